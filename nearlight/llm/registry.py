@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from nearlight.llm import packing, quality_rules, sharding, token_counts, url_filter
+from nearlight.llm import embedding_dedup, packing, piece_sampling, quality_rules, sharding, token_counts, url_filter, wavelet
 
 QUERIES = {
+    "op1_wavelet_shards": wavelet.query,
     "op3_url_filter": url_filter.query,
     "op4_best_fit_packing": packing.query,
+    "op5_embedding_dedup": embedding_dedup.query,
+    "op6_piece_sampling": piece_sampling.query,
     "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
 }
 ORACLE = {
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op8_token_counts": token_counts.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
