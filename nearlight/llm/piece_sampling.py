@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling.
 
-A text is its dummy space and itself, cut before every space into units; no piece reaches over
-such a cut (pieces with an inner space mark are left out), so the lattice of a text is the chain
+A text is its dummy space and itself, cut before every space and line end into units; no piece
+reaches over such a cut (pieces with an inner space mark are left out, and none holds a line end), so the lattice of a text is the chain
 of its units' lattices, and sampling each unit is sampling the text. All distinct units of a
 batch are filtered together: for every end position, in ascending order, the log-sum over the
 pieces that end there. Every occurrence then walks back from its end, drawing pieces by their
@@ -21,6 +21,7 @@ text without any space is one unit, filtered like the others.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) by row key, place and step."""
-    x = _mix(key + _M) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(step) * _M
+    x = _mix(key + _M) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.array(step, np.uint64) * _M
     return (_mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class Numbers(dict):
+    """Numbers of units in order of first sight."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 class Sampler:
     """Pieces of one model. ``sample`` segments texts, ``decode`` gives bytes back."""
 
@@ -57,7 +66,7 @@ class Sampler:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed = np.uint64(seed)
+        self.seed = _mix(np.array([seed], np.uint64))[0]
         rng = np.random.default_rng(7)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -88,10 +97,12 @@ class Sampler:
         self.logp, self.singles = logp, singles
         logp[self.byte_id] = -theta * np.log(8 + sp.get_piece_size())
         self.by_len = {}
+        self.maybe = np.zeros(1 << 20, bool)  # what is not set here is no piece
         for n, rows in by_len.items():
             buf = np.frombuffer(b"".join(r for r, _ in rows), np.uint8)
             h = self._hashes(self._prefix(buf), np.arange(len(rows)) * n, n)
             order = np.argsort(h)
+            self.maybe[h >> np.uint64(44)] = True
             self.by_len[n] = (h[order], np.array([i for _, i in rows], np.int64)[order])
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.wide = np.array([len(x) for x in surface], np.int64)
@@ -110,8 +121,8 @@ class Sampler:
     def lattice(self, units: list[str]):
         """Filtered lattices of ``units``, one node for each byte position of each unit.
 
-        Returns nodes' first edge, edges' piece and start node, edges' cumulative share plus
-        node number (ascending over all edges), and the units' first and last nodes."""
+        Returns nodes' first edge, edges' piece and start node, edges' cumulative share among
+        those that end in the same node, and the units' first and last nodes."""
         raw = [u.encode() for u in units]
         size = np.array([len(r) for r in raw], np.int64)
         end = np.cumsum(size)
@@ -122,12 +133,15 @@ class Sampler:
         node0 = begin + np.arange(len(units))  # a unit of n bytes has n + 1 nodes
         node = np.arange(len(buf)) + np.repeat(np.arange(len(units)), size)
         starts, ends, ids = [], [], []
-        for n, (hashes, piece) in self.by_len.items():
-            pos = np.flatnonzero(left >= n)
-            h = self._hashes(prefix, pos, n)
+        room = np.arange(len(buf))
+        for n, (hashes, piece) in sorted(self.by_len.items()):
+            room = room[np.flatnonzero(left[room] >= n)]
+            h = self._hashes(prefix, room, n)
+            may = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            h = h[may]
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
-            starts.append(node[pos[hit]])
+            hit = np.flatnonzero(hashes[k] == h)
+            starts.append(node[room[may[hit]]])
             ends.append(starts[-1] + n)
             ids.append(piece[k[hit]])
         bare = self._bare(units, begin)
@@ -137,7 +151,7 @@ class Sampler:
         s, e, p = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
         n_nodes = len(buf) + len(units)
         local = np.arange(n_nodes) - np.repeat(node0, size + 1)
-        order = np.lexsort((s, e, local[e]))
+        order = np.argsort(local[e] * n_nodes + e, kind="stable")
         s, e, p = s[order], e[order], p[order]
         alpha = np.full(n_nodes, -np.inf)
         alpha[node0] = 0.0
@@ -155,22 +169,17 @@ class Sampler:
             with np.errstate(divide="ignore"):
                 alpha[e[a:b][first]] = flat + np.log(total)
             weight[a:b] = x
-        order = np.argsort(e, kind="stable")
-        s, e, p, weight = s[order], e[order], p[order], weight[order]
         first = np.flatnonzero(np.diff(e, prepend=-1))
-        run = np.cumsum(weight)
         group = np.repeat(np.arange(len(first)), np.diff(first, append=len(e)))
+        edge0 = np.full(n_nodes, -1, np.int64)
+        share = weight
         if len(first):
-            before = (run - weight)[first]
+            run = np.cumsum(weight)
             total = np.maximum(np.add.reduceat(weight, first), 1e-300)
-            share = np.clip((run - before[group]) / total[group], 0, 1)
-            last = np.append(first[1:], len(e)) - 1
-            share[last] = 1.0
-        else:
-            share = weight
-        rank = np.full(n_nodes, -1, np.int64)
-        rank[e[first]] = np.arange(len(first))
-        return rank, p, s, share + group, node0, node0 + size
+            share = np.clip((run - (run - weight)[first][group]) / total[group], 0, 1)
+            share[np.append(first[1:], len(e)) - 1] = 1.0
+            edge0[e[first]] = first
+        return edge0, p, s, share, node0, node0 + size
 
     def _bare(self, units: list[str], begin: np.ndarray) -> np.ndarray:
         """Bytes of characters that have no piece of their own."""
@@ -190,23 +199,26 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and their number for each text."""
-        split = [t.split(" ") if t else [] for t in texts]
-        number: dict[str, int] = {}
-        flat = [number.setdefault(u, len(number)) for p in split for u in p]
-        per = np.array([len(p) for p in split], np.int64)
-        if not flat:
+        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        per = np.array([len(p) for p in cut], np.int64)
+        number = Numbers()
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
+        if not len(unit):
             return np.zeros(0, np.int64), per
-        rank, piece, start, ladder, node0, node1 = self.lattice([" " + u for u in number])
-        unit = np.array(flat, np.int64)
-        key = np.repeat(keys.astype(np.int64).view(np.uint64) ^ (self.seed * _M), per)
+        # A unit begins with its space or, where the text has one, with its line end.
+        edge0, piece, start, share, node0, node1 = self.lattice([u if u[:1] == "\n" else " " + u for u in number])
+        key = np.repeat(keys.astype(np.int64).view(np.uint64) ^ self.seed, per)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(per) - per, per)
         who, now = np.arange(len(unit)), node1[unit]
         got_who, got_id = [], []
         step = 0
         while len(who):
             u = uniform(key[who], place[who], step)
-            edge = np.searchsorted(ladder, rank[now] + u, side="right")
-            edge = np.minimum(edge, len(ladder) - 1)
+            edge = edge0[now]
+            more = np.flatnonzero(share[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[share[edge[more]] <= u[more]]
             got_who.append(who)
             got_id.append(piece[edge])
             now = start[edge]
