@@ -33,18 +33,36 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 BITS = 16
 BLOCK = 16 << 10  # bytes of a plane that are compressed together
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 _WORD_CUT = re.compile(r"(?<=\S) ")
-_ODD_SPACE = re.compile(r"\s ")
+
+
+class Pieces(dict):
+    """Numbers of pieces in order of first sight; new ones are kept in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
 
 
 class Encoder:
-    """Byte-level BPE through the tokenizers library, each distinct word encoded once.
+    """Byte-level BPE through the tokenizers library, each distinct piece encoded once.
 
-    A text may be cut before any space that follows a non-space character: the pre-tokenizer
-    begins a token there whatever surrounds it. The cut pieces' ids, joined, are the text's.
+    A text may be cut before any space that follows a non-space character, and before a single
+    line end between two of them: the pre-tokenizer begins a token there whatever surrounds it.
+    The cut pieces' ids, joined, are the text's. Pieces are written without their first
+    character, or with ``LINE`` or ``HEAD`` in place of a line end or of a text's beginning; a
+    head's ids begin with the end id of the text before.
     """
 
+    HEAD, LINE = "\ue000", "\ue001"
+    WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
@@ -55,79 +73,113 @@ class Encoder:
         for s, i in vocab.items():
             self.width[i] = len(s)  # one character of the vocabulary's alphabet stands for a byte
         self.end_id = end_id
+        self.marks = {c: vocab[c] for c in ".,"}
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.inner: dict[str, int] = {}
-        self.first: dict[str, int] = {}
+        self.pieces = Pieces()
         self.vals = np.zeros(1 << 16, np.uint16)
-        self.vals[0] = self.end_id
-        self.n_vals = 1
+        self.n_vals = 0
         self.starts = np.zeros(1 << 16, np.int64)
-        self.lens = np.ones(1 << 16, np.int64)
-        self.n = 1  # piece 0 is the end id
+        self.lens = np.zeros(1 << 16, np.int64)
+        self.heads = np.zeros(1 << 16, bool)
 
-    def _append(self, ids: np.ndarray, lens: np.ndarray) -> int:
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.n_vals + len(ids) > len(self.vals):
             self.vals = np.concatenate([self.vals, np.zeros_like(self.vals)])
-        while self.n + len(lens) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-        at = self.n
         self.vals[self.n_vals : self.n_vals + len(ids)] = ids
-        self.lens[at : at + len(lens)] = lens
-        self.starts[at : at + len(lens)] = self.n_vals + np.cumsum(lens) - lens
+        self.lens[numbers] = lens
+        self.starts[numbers] = self.n_vals + np.cumsum(lens) - lens
         self.n_vals += len(ids)
-        self.n += len(lens)
-        return at
-
-    def _singly(self, keys: list[str], texts: list[str], into: dict) -> None:
-        if keys:
-            got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            lens = np.array([len(x) for x in got], np.int64)
-            at = self._append(np.array([i for x in got for i in x], np.uint16), lens)
-            into.update(zip(keys, range(at, at + len(keys))))
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if not w or w[-1].isspace()]
-        self._singly(odd, [" " + w for w in odd], self.inner)
-        plain = [w for w in words if w and not w[-1].isspace()]
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum(np.array([len(w.encode()) + 1 for w in part], np.int64))
+
+    def _learn(self) -> None:
+        """Encode the pieces that were first seen since the last call."""
+        fresh = self.pieces.fresh
+        if not fresh:
+            return
+        base = len(self.pieces) - len(fresh)
+        # A full stop or comma after a letter is a token of its own: such pieces are put together.
+        ended = [k for k, w in enumerate(fresh) if w[-1:] in ".," and w[-2:-1].isalpha()]
+        stems = [self.pieces[fresh[k][:-1]] for k in ended]  # these may be new themselves
+        self.pieces.fresh = []
+        total = len(self.pieces)
+        while total > len(self.starts):
+            for name in ("starts", "lens", "heads"):
+                a = getattr(self, name)
+                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
+        plain, odd = [], []
+        skip = set(ended)
+        for k, w in enumerate(fresh):
+            if k in skip:
+                self.heads[base + k] = w[0] == self.HEAD
+                continue
+            body = w[1:] if w and w[0] in "\ue000\ue001" else w
+            (plain if body and not body[0].isspace() and not body[-1].isspace() else odd).append(k)
+            if w and w[0] == self.HEAD:
+                self.heads[base + k] = True
+        real = lambda w: w[1:] if w[:1] == self.HEAD else "\n" + w[1:] if w[:1] == self.LINE else " " + w
+        if odd:
+            got = [e.ids for e in self.tok.encode_batch_fast([real(fresh[k]) for k in odd], add_special_tokens=False)]
+            got = [[self.end_id, *g] if fresh[k][:1] == self.HEAD else g for k, g in zip(odd, got)]
+            self._store(base + np.array(odd), np.array([i for g in got for i in g], np.uint16), np.array([len(g) for g in got], np.int64))
+        for a in range(0, len(plain), 4096):
+            part = plain[a : a + 4096]
+            # Each begins with a space or a line end here; a head's line end then becomes the end id.
+            words = ["\n" + fresh[k][1:] if fresh[k][0] in "\ue000\ue001" else " " + fresh[k] for k in part]
+            ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(np.array([len(w.encode()) for w in words], np.int64))
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            at = self._append(ids.astype(np.uint16), np.diff(cut, prepend=0))
-            self.inner.update(zip(part, range(at, at + len(part))))
+            numbers = base + np.array(part)
+            head = self.heads[numbers]
+            ids[np.concatenate([[0], cut[:-1]])[head]] = self.end_id
+            self._store(numbers, ids.astype(np.uint16), np.diff(cut, prepend=0))
+        if ended:
+            of = np.array(stems)
+            lens = self.lens[of]
+            upto = np.cumsum(lens + 1)
+            ids = np.empty(int(upto[-1]), np.uint16)
+            mark = np.zeros(len(ids), bool)
+            mark[upto - 1] = True
+            ids[mark] = [self.marks[fresh[k][-1]] for k in ended]
+            ids[~mark] = self.vals[np.repeat(self.starts[of] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+            self._store(base + np.array(ended), ids, lens + 1)
+
+    def _cut(self, texts: list[str]) -> list[str]:
+        """Pieces of all texts in a row."""
+        whole = "\ue000" + " \ue000".join(texts)
+        if whole.count("\ue000") == len(texts) and "\ue001" not in whole and not any(c in whole for c in self.WIDE_SPACES):
+            raw = self.blank[np.frombuffer(" ".join(["", *texts, ""]).encode(), np.uint8)]
+            if not (raw[1:] & raw[:-1]).any():  # no blanks in a row, none at a text's ends, no empty text
+                return whole.replace("\n", " \ue001").split(" ")
+            if len(texts) > 1:  # part the odd texts from the others
+                out = []
+                for t in texts:
+                    out += self._cut([t])
+                return out
+        out = []
+        for t in texts:
+            p = _WORD_CUT.split(t)
+            marked = any(c in t for c in "\ue000\ue001")
+            out += ["\ue000" + t] if marked else ["\ue000" + p[0], *p[1:]]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and their numbers."""
-        if self.n > CACHE_WORDS:
+        if not texts:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        if len(self.pieces) > CACHE_WORDS:
             self.reset()
-        cut = [_WORD_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = [p[0] for p in cut]
-        new = list(dict.fromkeys(h for h in heads if h not in self.first))
-        self._singly(new, new, self.first)
-        seen: set[str] = set()
-        for p in cut:
-            seen.update(p[1:])
-        self._learn(list(seen - self.inner.keys()))
-        flat: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        get = self.inner.__getitem__
-        for i, p in enumerate(cut):
-            flat.append(self.first[p[0]])
-            flat.extend(map(get, p[1:]))
-            flat.append(0)
-            sizes[i] = len(p) + 1
-        idx = np.array(flat, np.int64)
+        cut = self._cut(texts)
+        idx = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
+        self._learn()
         lens = self.lens[idx]
         upto = np.cumsum(lens)
-        total = int(upto[-1]) if len(upto) else 0
-        at = np.repeat(self.starts[idx] - (upto - lens), lens) + np.arange(total)
-        ends = np.cumsum(sizes)
-        counts = np.diff(upto[ends - 1], prepend=0) if len(texts) else sizes
-        return self.vals[at], counts
+        at = np.repeat(self.starts[idx] - (upto - lens), lens) + np.arange(int(upto[-1]))
+        ids = np.append(self.vals[at[1:]], np.uint16(self.end_id))
+        head = np.flatnonzero(self.heads[idx])
+        return ids, np.diff((upto - lens)[head], append=upto[-1])
 
 
 class WaveletMatrix:
@@ -154,7 +206,7 @@ class WaveletMatrix:
                 blocks.append(comp.compress(raw))
             zeros.append(n - ones)
             if 0 < ones < n:
-                seq = np.concatenate([seq[~bit], seq[bit]])
+                seq = seq[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]
         head = WaveletMatrix.MAGIC + struct.pack("<QII", n, BITS, BLOCK) + blob(np.array(zeros, "<u8"))
         return head + struct.pack("<I", len(blocks)) + blob(np.array(ranks, "<u8")) + blob(np.array([len(x) for x in blocks], "<u4")) + b"".join(blocks)
 
@@ -247,8 +299,8 @@ class WaveletMatrix:
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             if z:
                 out = np.empty(self.n, np.uint16)
-                out[~bit] = seq[:z]
-                out[bit] = seq[z:]
+                out[np.flatnonzero(~bit)] = seq[:z]
+                out[np.flatnonzero(bit)] = seq[z:]
                 seq = out
             seq |= bit.astype(np.uint16) << np.uint16(self.bits - 1 - lv)
         return seq
