@@ -308,6 +308,14 @@ class WaveletMatrix:
 
 _encoders: dict = {}
 
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder, with what it has learned in earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 FILES = "part int, seq int, part_start long, n_tokens long, keys binary, counts binary, data binary"
 
 
@@ -321,9 +329,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     def encode(batches):
         from pyspark import TaskContext
 
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        enc = _encoders[tokenizer]
+        enc = encoder(tokenizer)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
