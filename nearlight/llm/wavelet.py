@@ -33,7 +33,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 BITS = 16
 BLOCK = 16 << 10  # bytes of a plane that are compressed together
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 _WORD_CUT = re.compile(r"(?<=\S) ")
 
 
@@ -85,6 +85,30 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.lens = np.zeros(1 << 16, np.int64)
         self.heads = np.zeros(1 << 16, bool)
+        self.hits = np.zeros(1 << 16, np.uint8)
+
+    def shrink(self) -> None:
+        """Forget the pieces that fewer than three batches had."""
+        keep = np.flatnonzero(self.hits[: len(self.pieces)] >= 3)
+        if len(keep) > CACHE_WORDS // 2:
+            return self.reset()
+        flags = np.zeros(len(self.pieces), bool)
+        flags[keep] = True
+        words = [w for w, f in zip(self.pieces, flags.tolist()) if f]
+        lens, starts, heads = self.lens[keep], self.starts[keep], self.heads[keep]
+        upto = np.cumsum(lens)
+        ids = self.vals[np.repeat(starts - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        self.reset()
+        self.pieces.update(zip(words, range(len(words))))
+        self._grow()
+        self.heads[: len(words)] = heads
+        self._store(np.arange(len(words)), ids, lens)
+
+    def _grow(self) -> None:
+        while len(self.pieces) > len(self.starts):
+            for name in ("starts", "lens", "heads", "hits"):
+                a = getattr(self, name)
+                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
 
     def _store(self, numbers: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.n_vals + len(ids) > len(self.vals):
@@ -104,11 +128,7 @@ class Encoder:
         ended = [k for k, w in enumerate(fresh) if w[-1:] in ".," and w[-2:-1].isalpha()]
         stems = [self.pieces[fresh[k][:-1]] for k in ended]  # these may be new themselves
         self.pieces.fresh = []
-        total = len(self.pieces)
-        while total > len(self.starts):
-            for name in ("starts", "lens", "heads"):
-                a = getattr(self, name)
-                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
+        self._grow()
         plain, odd = [], []
         skip = set(ended)
         for k, w in enumerate(fresh):
@@ -170,10 +190,12 @@ class Encoder:
         if not texts:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         if len(self.pieces) > CACHE_WORDS:
-            self.reset()
+            self.shrink()
         cut = self._cut(texts)
         idx = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
         self._learn()
+        hits = self.hits[idx]
+        self.hits[idx] = hits + (hits < 3)  # once a batch, however often a piece occurs
         lens = self.lens[idx]
         upto = np.cumsum(lens)
         at = np.repeat(self.starts[idx] - (upto - lens), lens) + np.arange(int(upto[-1]))
