@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearlight.llm import embedding_dedup, packing, piece_sampling, quality_rules, sharding, token_counts, url_filter, wavelet
+from nearlight.llm import embedding_dedup, ngram_join, packing, piece_sampling, quality_rules, sharding, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_embedding_dedup": embedding_dedup.query,
     "op6_piece_sampling": piece_sampling.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
