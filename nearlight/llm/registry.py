@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nearlight.llm import embedding_dedup, ngram_join, packing, piece_sampling, quality_rules, sharding, token_counts, url_filter, wavelet
+from nearlight.llm import embedding_dedup, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op3_url_filter": url_filter.query,
     "op4_best_fit_packing": packing.query,
     "op5_embedding_dedup": embedding_dedup.query,

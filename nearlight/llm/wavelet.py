@@ -32,6 +32,7 @@ from nearlight.llm.common import blob, chunks, small_batches, work_dir
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 BITS = 16
+NO_KEY = -(1 << 63)  # a null key in the files; it sorts first
 BLOCK = 16 << 10  # bytes of a plane that are compressed together
 CACHE_WORDS = 800_000
 _WORD_CUT = re.compile(r"(?<=\S) ")
@@ -345,7 +346,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     """Encode ``docs`` and write shards in ascending key order below ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
 
     def encode(batches):
@@ -408,7 +409,8 @@ def _read(spark: SparkSession, path: str, of, column: str, name: str) -> DataFra
                 out = [of(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]
                 yield pd.DataFrame({"k": keys, "start": begin + (base[r.part] + r.part_start), "n_tokens": counts, name: out})
 
-    return files.mapInPandas(decode, f"k long, start long, n_tokens long, {column}")
+    out = files.mapInPandas(decode, f"k long, start long, n_tokens long, {column}")
+    return out.withColumn("k", F.nullif("k", F.lit(NO_KEY)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
