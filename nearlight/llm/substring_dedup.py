@@ -39,7 +39,8 @@ CORE = 16  # windows whose common bytes are sorted first
 HOT = 20_000
 BITMAP = 1 << 25
 NO_KEY = -(1 << 63)  # stands for a null key inside
-SORT_BYTES = 6 << 20  # text of the anchors that are sorted together
+CHUNK = 1 << 19  # bytes of text whose windows are looked at together
+SORT_BYTES = 3 << 20  # text of the anchors that are sorted together
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,7 +198,7 @@ def segments(raw: list[bytes], length: int, gram: int):
 def _texts(batches):
     for pdf in batches:
         raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["t"]]
-        for i, j in chunks(raw):
+        for i, j in chunks(raw, CHUNK):
             yield pdf.iloc[i:j], raw[i:j]
 
 
