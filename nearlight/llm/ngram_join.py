@@ -6,8 +6,9 @@ that any linked set must meet is indexed. Index lists are kept in order of set s
 into blocks where sizes can no longer link, so whole blocks are skipped; sets that are equal
 are one class, and lists with equal members are one list. Answer level: in each block the
 first set is the leader and is compared with all members, once for each pair of sets; members
-of a block that the leader's answers have joined need no comparison with each other. What is
-left, members of one block in different components, is decided by bounds derived from their
+of a block that the leader's answers have joined need no comparison with each other. Before sets
+travel, counts of their hashes by range, a hundredth of their size, rule out pairs that must
+differ too much. What is left, members of one block in different components, is decided by bounds derived from their
 overlaps with the common leader where these suffice and by comparison where they don't.
 
 No link between components is lost: every pair of linked sets meets in a block, and each pair
@@ -33,6 +34,7 @@ from nearlight.llm.common import blob, chunks, components, cut, small_batches
 N = 5
 SKETCH = 1 << 20  # counters
 BITMAP = 1 << 25  # bits
+CHUNK = 1 << 19  # bytes of text that are hashed together
 BLOCK = 512  # members of a leader that one task compares
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -122,23 +124,56 @@ def _sets(batches, n: int):
     for pdf in batches:
         raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["t"]]
         keys = pdf["k"].to_numpy()
-        for i, j in chunks(raw):
+        for i, j in chunks(raw, CHUNK):
             yield keys[i:j], maker.sets(raw[i:j])
 
 
+def spread(x: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of about ``len(x) / 8`` equal ranges of hashes."""
+    if not len(x):
+        return b""
+    bits = max(3, (len(x) // 8).bit_length())
+    return blob(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16))
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets from their spreads."""
+    x, y = np.frombuffer(a, np.uint16).astype(np.int32), np.frombuffer(b, np.uint16).astype(np.int32)
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.abs(x - y).sum())
+
+
+def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, c)`` that their spreads do not rule out: linked sets differ in at most
+    ``(100 - percent) / (100 + percent)`` of both sizes."""
+    small_batches(pairs.sparkSession)
+    x = facts.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("counts").alias("sa"))
+    y = facts.select(F.col("sig").alias("c"), F.col("n").alias("nc"), F.col("counts").alias("sc"))
+
+    def run(batches):
+        for pdf in batches:
+            keep = [(100 + percent) * apart(p, q) <= (100 - percent) * (m + n) for p, q, m, n in zip(pdf["sa"], pdf["sc"], pdf["na"], pdf["nc"])]
+            yield pdf.loc[np.array(keep, bool), ["a", "c"]]
+
+    return pairs.join(x, "a").join(y, "c").mapInPandas(run, "a long, c long")
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def survey(rows: DataFrame, n: int) -> DataFrame:
-    """``(k, n, sig, part, counts)``: a row for each document, and parts of the task's sketch."""
+    """``(k, n, sig, part, counts)``: a row for each document with its spread (part -1), and parts
+    of the task's sketch."""
 
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for keys, sets in _sets(batches, n):
             all_ = np.concatenate(sets)
             total += np.bincount((all_ & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            yield pd.DataFrame({"k": keys, "n": [len(x) for x in sets], "sig": [signature(x) for x in sets], "part": -1, "counts": None})
+            yield pd.DataFrame({"k": keys, "n": [len(x) for x in sets], "sig": [signature(x) for x in sets], "part": -1, "counts": [spread(x) for x in sets]})
         parts = np.minimum(total, 65535).astype(np.uint16).reshape(64, -1)
         yield pd.DataFrame({"k": 0, "n": 0, "sig": 0, "part": range(64), "counts": [blob(p) for p in parts]})
 
@@ -310,6 +345,12 @@ def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "sig long, body binary").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body"))
 
 
+def sets_of(rows: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    small_batches(rows.sparkSession)
+    wanted = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("c")).distinct(), "ngram-wanted")
+    return cut(needed_sets(rows, n, wanted), "ngram-sets")
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two ascending arrays."""
     if len(a) > len(b):
@@ -381,22 +422,22 @@ def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", te
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     found = cut(survey(rows, n), "ngram-survey")
     facts = found.filter("part < 0").select("k", "n", "sig")
+    kinds = found.filter("part < 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     classes = frequency_classes(merged_sketch(found))
     n_buckets = max(64, 4 * rows.rdd.getNumPartitions())
     small_batches(spark)
     met = cut(blocks(index_entries(rows, n, percent, classes, n_buckets), percent), "ngram-blocks")
-    pairs = cut(met.filter("block is null").select("a", "c").distinct(), "ngram-pairs")
+    pairs = cut(possible(met.filter("block is null").select("a", "c").distinct(), kinds, percent), "ngram-pairs")
     members = met.filter("block is not null").select("block", "c", "n").distinct()
-    wanted = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("c")).distinct(), "ngram-wanted")
-    small_batches(spark)
-    sets = cut(needed_sets(rows, n, wanted), "ngram-sets")
-    known = cut(compare(pairs, sets, percent), "ngram-known")
+    known = cut(compare(pairs, sets_of(rows, n, pairs), percent), "ngram-known")
     small_batches(spark, 10_000)
     links = known.filter(linked(percent)).select(F.col("a").alias("u"), F.col("c").alias("v"))
     comps = components(links, "ngram")
     rest = cut(open_pairs(members, comps, known, percent), "ngram-rest")
-    more = compare(rest.filter("surely is null").select("a", "c"), sets, percent).filter(linked(percent))
-    late = rest.filter("surely").select(F.col("a").alias("u"), F.col("c").alias("v")).union(more.select("a", "c"))
+    late = rest.filter("surely").select(F.col("a").alias("u"), F.col("c").alias("v"))
+    unsure = cut(possible(rest.filter("surely is null").select("a", "c"), kinds, percent), "ngram-unsure")
+    if not unsure.isEmpty():
+        late = late.union(compare(unsure, sets_of(rows, n, unsure), percent).filter(linked(percent)).select("a", "c"))
     late = cut(late, "ngram-late")
     small_batches(spark, 10_000)
     if not late.isEmpty():
