@@ -1,6 +1,435 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the whole given tables, and their DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from nearlight.functions import cosine, dot, euclid, norm
+from nearlight.operators import clustering, health, replication, search, store
+from nearlight.sources import tables as t
+from nearlight.streaming import ingest
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+#: Tables of the data model as DuckDB sees them.
+BASE = """
+with vectors as (
+  select vec_id as id, embedding::double[] as vec, label::bigint as cluster_id, (vec_id % 7)::double as ts, vec_id % 8 as node from embeddings
+), queries as (select id as qid, vec as qvec from vectors where id % 50 = 0),
+nodes as (select unnest(range(8)) as node_id), active as (select node_id from nodes where node_id not in (2, 5)),
+placement as (select cluster_id, unnest([cluster_id % 8, (cluster_id + 1) % 8, (cluster_id + 3) % 8]) as node_id from (select distinct cluster_id from vectors)),
+replicas as (
+  select v.id, v.vec, v.cluster_id, v.ts - case when (v.id + p.node_id) % 3 = 0 then 1 else 0 end as ts, v.node, p.node_id
+  from vectors v join placement p using (cluster_id) where v.id % 5 <> p.node_id % 5
+), incoming as (
+  select id, vec, cluster_id + 100 as cluster_id, ts + case id % 3 when 0 then 1 when 1 then 0 else -1 end as ts, node from vectors
+), each as (select cluster_id, generate_subscripts(vec, 1) as pos, unnest(vec) as x from vectors),
+clusters as (
+  select cluster_id, list(m order by pos) as centroid from (select cluster_id, pos, avg(x) as m from each group by all) group by 1
+), near as (
+  select v.id, c.cluster_id, list_dot_product(v.vec, c.centroid) / sqrt(list_dot_product(v.vec, v.vec) * list_dot_product(c.centroid, c.centroid)) as score
+  from vectors v, clusters c
+), nearest as (select *, row_number() over (partition by id order by score desc, cluster_id) as rank from near),
+sims as (select id, node_id, max(score) as sim from near join placement using (cluster_id) group by all),
+loads as (
+  select n.node_id, coalesce(c.n, 0)::bigint as n from active n left join (select node_id, count(*) as n from replicas group by 1) c using (node_id)
+), beats as (select user_id::bigint as peer_id, epoch_us(ts::timestamp) / 1000.0 as ms from events),
+samples as (select event_type, (user_id % 8)::bigint as server, value::double as ms, epoch_us(ts::timestamp) / 1000.0 as end_ms from events)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = BASE + sql
+        return f
+
+    return add
+
+
+def _r(df, *cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def _centroids(spark, sf):
+    return clustering.centroids(t.vectors(spark, sf))
+
+
+_TOP = """select qid, id, round(score, 6) as score, rank from (
+  select qid, id, {s} as score, row_number() over (partition by qid order by {s} {o}, id) as rank from queries, vectors) where rank <= 10"""
+_COS = "list_dot_product(qvec, vec) / sqrt(list_dot_product(qvec, qvec) * list_dot_product(vec, vec))"
+_L2 = "list_distance(qvec, vec)"
+
+
+@query(_TOP.format(s=_COS, o="desc"))
+def vec_topk_cosine(spark, sf):
+    return _r(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10), "score")
+
+
+@query(_TOP.format(s="list_dot_product(qvec, vec)", o="desc"))
+def vec_topk_dot(spark, sf):
+    return _r(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10, "dot"), "score")
+
+
+@query(f"""select qid, id, rank from (
+  select qid, id, row_number() over (partition by qid order by round({_L2}, 9), id) as rank from queries, vectors) where rank <= 10""")
+def vec_topk_euclid(spark, sf):
+    return search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10, "euclid").select("qid", "id", "rank")
+
+
+@query(f"select id, round(max({_COS}), 6) as score from queries, vectors where qid <> id group by id order by max({_COS}) desc, id limit 100")
+def vec_topk_merged_global(spark, sf):
+    got = search.topk(t.queries(spark, sf), t.vectors(spark, sf), 101).filter("qid <> id")
+    return _r(search.merged(got.select("qid", "id", "score"), 100), "score")
+
+
+@query("select id, round(sqrt(list_dot_product(vec, vec)), 6) as norm, round(list_dot_product(vec, centroid), 6) as dot, round(list_distance(vec, centroid), 6) as dist from vectors join clusters using (cluster_id)")
+def vec_scalar_functions(spark, sf):
+    c = t.vectors(spark, sf).join(_centroids(spark, sf), "cluster_id")
+    return _r(c.select("id", norm("vec").alias("norm"), dot("vec", "centroid").alias("dot"), euclid("vec", "centroid").alias("dist")), "norm", "dot", "dist")
+
+
+@query("select id, cluster_id, ts, node from vectors where id = 7")
+def vec_point_lookup(spark, sf):
+    return store.lookup(t.vectors(spark, sf), 7).select("id", "cluster_id", "ts", "node")
+
+
+@query("select qid as ord, id, cluster_id from queries join vectors on id = qid + 1")
+def vec_multi_get(spark, sf):
+    wanted = t.queries(spark, sf).select(F.col("qid").alias("ord"), (F.col("qid") + 1).alias("id"))
+    return store.multi_get(t.vectors(spark, sf), wanted).select("ord", "id", "cluster_id")
+
+
+@query("select id, ts, node from vectors where cluster_id = 3")
+def vec_filter_cluster(spark, sf):
+    return t.vectors(spark, sf).filter("cluster_id = 3").select("id", "ts", "node")
+
+
+@query("select id, cluster_id from vectors where cluster_id <> 3 or cluster_id is null")
+def vec_delete_by_cluster(spark, sf):
+    return store.delete_where(t.vectors(spark, sf), F.col("cluster_id") == 3).select("id", "cluster_id")
+
+
+@query("select v.id, length(d.text)::bigint as n from vectors v left join documents d on d.doc_id = v.id where (d.text = (select text from documents where doc_id = 3)) is not true")
+def vec_delete_by_payload(spark, sf):
+    v = t.vectors(spark, sf, payload=True)
+    gone = t.read(spark, sf, "documents").filter("doc_id = 3").select(F.col("text").alias("payload"))
+    return v.join(gone, "payload", "left_anti").select("id", F.length("payload").cast("long").alias("n"))
+
+
+@query("select id, arg_max(cluster_id, (ts, node, seq)) as cluster_id, arg_max(ts, (ts, node, seq)) as ts from (select *, 1 as seq from vectors union all select *, 0 from incoming) group by id")
+def vec_lww_upsert(spark, sf):
+    return store.upsert(t.vectors(spark, sf), t.incoming(spark, sf)).select("id", "cluster_id", "ts")
+
+
+@query("select count(*) as n from incoming i left join vectors v using (id) where v.id is null or (i.ts, i.node) > (v.ts, v.node)")
+def vec_lww_accept_count(spark, sf):
+    return store.accepted(t.vectors(spark, sf), t.incoming(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query("select id, row_number() over (partition by cluster_id order by id) * 10 + cluster_id as new_id from vectors")
+def vec_id_assign(spark, sf):
+    return store.assign_ids(t.vectors(spark, sf), "id", 0, 8, "cluster_id").select("id", (F.col("new_id") + F.col("cluster_id")).alias("new_id"))
+
+
+@query("select id from vectors where id not in (select qid from queries)")
+def vec_remove_by_id(spark, sf):
+    return store.remove(t.vectors(spark, sf), t.queries(spark, sf).select(F.col("qid").alias("id"))).select("id")
+
+
+@query("select id, coalesce(try_cast(payload as bigint), -1) as cluster_id from (select id, case when id % 4 = 0 then 'x' else cluster_id::varchar end as payload from vectors)")
+def vec_reject_bad_cluster_ids(spark, sf):
+    v = t.vectors(spark, sf).select("id", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("cluster_id").cast("string")).alias("payload"))
+    return v.select("id", F.coalesce(F.col("payload").try_cast("long"), F.lit(-1)).alias("cluster_id"))
+
+
+@query("select id, ts, node from replicas where node_id = 1")
+def vec_digest(spark, sf):
+    return replication.digest(t.replicas(spark, sf), 1)
+
+
+@query("""select id, case when b.id is null then 'missing_there' when a.id is null then 'missing_here' when (a.ts, a.node) > (b.ts, b.node) then 'newer_here' else 'newer_there' end as what
+from (select * from replicas where node_id = 1) a full join (select * from replicas where node_id = 3) b using (id)
+where a.id is null or b.id is null or (a.ts, a.node) <> (b.ts, b.node)""")
+def digest_difference(spark, sf):
+    r = t.replicas(spark, sf)
+    return replication.digest_diff(replication.digest(r, 1), replication.digest(r, 3))
+
+
+@query("""select n.id, n.cluster_id, n.ts, n.node, p.node_id from (select id, any_value(cluster_id) as cluster_id, max((ts, node))[1] as ts, any_value(node) as node from replicas group by id) n
+join placement p using (cluster_id)""")
+def reconcile_all_replicas(spark, sf):
+    r = t.replicas(spark, sf)
+    return replication.reconcile(r, t.placement(t.vectors(spark, sf)))
+
+
+@query("select count(distinct id) as n_unique, count(*) as n_total from replicas")
+def unique_vs_total_replicas(spark, sf):
+    return t.replicas(spark, sf).agg(F.count_distinct("id").alias("n_unique"), F.count("*").alias("n_total"))
+
+
+@query("select cluster_id, pos, round(avg(x), 6) as m from each group by all")
+def centroids_by_label(spark, sf):
+    c = _centroids(spark, sf).select("cluster_id", F.posexplode("centroid").alias("pos", "m"))
+    return c.select("cluster_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("m", 6).alias("m"))
+
+
+@query("select id, cluster_id, round(score, 6) as score from nearest where rank = 1")
+def nearest_cluster_1(spark, sf):
+    return _r(search.nearest_clusters(t.vectors(spark, sf), _centroids(spark, sf), 1).select("id", "cluster_id", "score"), "score")
+
+
+@query("select id, cluster_id, round(score, 6) as score, rank from nearest where rank <= 3")
+def nearest_cluster_k(spark, sf):
+    return _r(search.nearest_clusters(t.vectors(spark, sf), _centroids(spark, sf), 3), "score")
+
+
+@query("select id, arg_min(c.cluster_id, (list_distance(vec, centroid), c.cluster_id)) as cluster_id from vectors v, clusters c group by id")
+def split_relabel_nearest_centroid(spark, sf):
+    return search.nearest_by_euclid(t.vectors(spark, sf), _centroids(spark, sf))
+
+
+@query("select id, node_id, round(sim, 6) as sim from sims")
+def node_similarity_max(spark, sf):
+    v = t.vectors(spark, sf)
+    return _r(search.node_similarity(v, _centroids(spark, sf), t.placement(v)), "sim")
+
+
+_ROUTED = """, cand as (
+  select s.id, s.node_id, s.sim, exists (select 1 from nearest n join placement p using (cluster_id) where n.id = s.id and n.rank <= 3 and p.node_id = s.node_id) as hit
+  from sims s where s.node_id in (select node_id from active)
+), routed as (
+  select id, node_id, sim, row_number() over (partition by id order by sim desc, node_id) as rank
+  from (select *, bool_or(hit) over (partition by id) as anyhit from cand) where hit or not anyhit
+)
+"""
+
+
+@query(_ROUTED + "select id, node_id, round(sim, 6) as sim, rank from routed where rank <= 3")
+def route_vectors_topk(spark, sf):
+    v = t.vectors(spark, sf)
+    return _r(search.route(v, _centroids(spark, sf), t.placement(v), t.active(spark)), "sim")
+
+
+@query("select n.id, n.cluster_id, p.node_id from nearest n join placement p using (cluster_id) where rank = 1")
+def destinations_explode(spark, sf):
+    v = t.vectors(spark, sf)
+    return replication.explode_destinations(search.destinations(v, _centroids(spark, sf), t.placement(v))).select("id", "cluster_id", "node_id")
+
+
+@query("select id, node_id from (select *, row_number() over (partition by id order by sim desc, node_id) as r from sims) where r <= 3")
+def destinations_fallback_top_rf(spark, sf):
+    v = t.vectors(spark, sf)
+    return replication.explode_destinations(search.destinations_without_index(v, _centroids(spark, sf), t.placement(v), 3)).select("id", "node_id")
+
+
+_SEARCHED = _ROUTED + f""", found as (
+  select qid, r.node_id, v.id, {_COS.replace('vec)', 'v.vec)').replace('qv.vec', 'qvec').replace('(vec,', '(v.vec,')} as score
+  from queries join routed r on r.id = qid and r.rank = 1 join replicas v on v.node_id = r.node_id
+), best as (select *, row_number() over (partition by qid order by score desc, id) as rank from found)
+"""
+
+
+def _routed(spark, sf):
+    v = t.vectors(spark, sf)
+    return search.search_routed(t.queries(spark, sf), _centroids(spark, sf), t.placement(v), t.active(spark), t.replicas(spark, sf), 10)
+
+
+@query(_SEARCHED + "select qid, node_id, id, round(score, 6) as score, rank from best where rank <= 10")
+def search_routed_best_node(spark, sf):
+    return _r(_routed(spark, sf), "score")
+
+
+@query(_SEARCHED + f""", exact as (
+  select * from (select qid, id, row_number() over (partition by qid order by {_COS} desc, id) as rank from queries, vectors) where rank <= 10
+) select e.qid, round(count(b.id) / count(*), 6) as recall from exact e left join (select * from best where rank <= 10) b on b.qid = e.qid and b.id = e.id group by e.qid""")
+def search_recall_at_10(spark, sf):
+    exact = search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10)
+    return _r(search.recall(exact, _routed(spark, sf)), "recall")
+
+
+@query("select cluster_id, count(*) as n from vectors group by 1")
+def cluster_sizes(spark, sf):
+    return t.vectors(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query("select node_id, arg_max(cluster_id, (n, -cluster_id)) as cluster_id, max(n) as n from (select node_id, cluster_id, count(*) as n from replicas group by all) group by node_id")
+def heaviest_cluster_per_node(spark, sf):
+    return replication.heaviest_cluster(t.replicas(spark, sf))
+
+
+def _loads(spark, sf):
+    return replication.load(t.replicas(spark, sf), t.nodes(spark), t.active(spark))
+
+
+@query("select sum(n)::bigint as total, round(avg(n), 6) as average, max(n) as most, min(n) as least from loads")
+def load_stats(spark, sf):
+    return _r(replication.load_stats(_loads(spark, sf)), "average")
+
+
+@query("select node_id, n from loads where n > 1.1 * (select avg(n) from loads) order by node_id <> 4, node_id limit 1")
+def detect_imbalance(spark, sf):
+    return replication.overloaded(_loads(spark, sf), 4, 0.1).select("node_id", "n")
+
+
+@query("select cluster_id, min(node_id) as node_id from placement group by 1")
+def rebalance_responsible(spark, sf):
+    return replication.responsible(t.placement(t.vectors(spark, sf)))
+
+
+@query("select node_id, greatest(n - coalesce(c, 0), 0) as projected from loads left join (select node_id, count(*) as c from replicas where cluster_id = 1 group by 1) using (node_id) where node_id <> 1 order by projected, node_id limit 3")
+def underloaded_peers(spark, sf):
+    copies = t.replicas(spark, sf).filter("cluster_id = 1").groupBy("node_id").agg(F.count("*").alias("c"))
+    return replication.underloaded(_loads(spark, sf), copies, 1, 3)
+
+
+@query("select cluster_id, case when ceil(1.2 * n / 3) * 3 < n then ceil(n / 3) + 1 else ceil(1.2 * n / 3) end::bigint as size_limit from (select cluster_id, count(*) as n from vectors group by 1)")
+def split_max_size(spark, sf):
+    n = t.vectors(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    m = F.ceil(1.2 * F.col("n") / 3)
+    return n.select("cluster_id", F.when(m * 3 < F.col("n"), F.ceil(F.col("n") / 3) + 1).otherwise(m).cast("long").alias("size_limit"))
+
+
+@query("select cluster_id, len(centroid)::bigint as dim from clusters where cluster_id <> 3 union all select 100 + i, 64 from (select unnest(range(3)) as i)")
+def topology_replace_cluster(spark, sf):
+    old = _centroids(spark, sf).select("cluster_id", F.size("centroid").cast("long").alias("dim")).filter("cluster_id <> 3")
+    return old.unionByName(spark.range(3).select((F.col("id") + 100).alias("cluster_id"), F.lit(64).cast("long").alias("dim")))
+
+
+@query("select id, case when cluster_id in (1, 3) then -1 else cluster_id end as cluster_id, cluster_id in (1, 3) as pending from vectors")
+def pending_rows_requeue(spark, sf):
+    v = t.vectors(spark, sf)
+    splitting = spark.createDataFrame([(1,), (3,)], "cluster_id long")
+    wait = v.join(F.broadcast(splitting), "cluster_id", "left_semi").select("id", F.lit(-1).cast("long").alias("cluster_id"), F.lit(True).alias("pending"))
+    return wait.unionByName(v.join(F.broadcast(splitting), "cluster_id", "left_anti").select("id", "cluster_id", F.lit(False).alias("pending")))
+
+
+def _delivered(spark, sf):
+    v = t.vectors(spark, sf)
+    copies = replication.explode_destinations(search.destinations(v, _centroids(spark, sf), t.placement(v)))
+    return replication.deliver(copies, t.active(spark))
+
+
+@query("select p.node_id, count(*) as n from nearest n join placement p using (cluster_id) where rank = 1 and p.node_id not in (select node_id from active) group by 1")
+def hints_by_target(spark, sf):
+    return _delivered(spark, sf)[1].groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+@query("select n.id, p.node_id from nearest n join placement p using (cluster_id) where rank = 1 and p.node_id = 2")
+def hints_deliverable(spark, sf):
+    back = spark.createDataFrame([(2,)], "node_id long")
+    return replication.deliver(_delivered(spark, sf)[1], back)[0].select("id", "node_id")
+
+
+@query("select node_id % 2 as partition, max(node_id) as coordinator from active group by 1")
+def elect_coordinator_per_partition(spark, sf):
+    return replication.elect(t.active(spark).withColumn("partition", F.col("node_id") % 2))
+
+
+@query("select node_id, 'left' as change from nodes where node_id in (2, 5)")
+def membership_change(spark, sf):
+    return replication.membership_change(t.nodes(spark), t.active(spark))
+
+
+@query("select peer_id, ms, round(ms - lag(ms) over (partition by peer_id order by ms), 3) as gap from beats")
+def heartbeat_intervals(spark, sf):
+    g = health.intervals(t.heartbeats(spark, sf))
+    return g.select("peer_id", "ms", F.round("gap", 3).alias("gap"))
+
+
+_BEATS = """, gaps as (select *, ms - lag(ms) over (partition by peer_id order by ms) as gap from beats),
+wins as (select *, coalesce(avg(gap) over w, 3000) as mean, coalesce(var_pop(gap) over w, 0) as var from gaps window w as (partition by peer_id order by ms rows between 499 preceding and current row))
+"""
+
+
+@query(_BEATS + "select peer_id, ms, round(mean, 3) as mean, round(sqrt(var), 2) as std from wins")
+def heartbeat_window_stats(spark, sf):
+    w = health.window_stats(t.heartbeats(spark, sf))
+    return w.select("peer_id", "ms", F.round("mean", 3).alias("mean"), F.round(F.sqrt("var"), 2).alias("std"))
+
+
+NOW = "(select max(ms) from beats)"
+
+
+def _now(spark, sf):
+    return t.heartbeats(spark, sf).agg(F.max("ms")).first()[0]
+
+
+@query(_BEATS + f"select peer_id, ({NOW} - ms - mean) / greatest(sqrt(var), 100) < 5.612001244174788 as available from wins qualify row_number() over (partition by peer_id order by ms desc) = 1")
+def heartbeat_available(spark, sf):
+    return health.suspicion(t.heartbeats(spark, sf), _now(spark, sf)).select("peer_id", "available")
+
+
+@query()
+def phi_value(spark, sf):
+    return health.suspicion_value(t.heartbeats(spark, sf), _now(spark, sf)).select("peer_id", F.round("phi", 6).alias("phi"))
+
+
+
+@query("""select event_type, n, round(mean, 6) as mean, round(median, 6) as median, round(std, 6) as std,
+round(case when n < 20 then most else v[a] + ((n + 1) * 0.95::double - a) * (v[a + 1] - v[a]) end, 6) as p95,
+round(case when n < 100 then most else v[b] + ((n + 1) * 0.99::double - b) * (v[b + 1] - v[b]) end, 6) as p99
+from (select *, least(greatest(floor((n + 1) * 0.95::double), 1), n - 1)::bigint as a, least(greatest(floor((n + 1) * 0.99::double), 1), n - 1)::bigint as b from (
+select event_type, count(*) as n, avg(ms) as mean, median(ms) as median, stddev_samp(ms) as std, max(ms) as most, list(ms order by ms) as v from samples group by 1))""")
+def latency_summary(spark, sf):
+    return _r(health.latency(t.latencies(spark, sf), "event_type"), "mean", "median", "std", "p95", "p99")
+
+
+@query("""select server, n, round(mean, 6) as mean, round(diff, 6) as diff, case when diff <= 10 then 'OK' when diff <= 30 then 'WARN' else 'SLOW' end as status
+from (select server, n, mean, (mean - g) / g * 100 as diff from (select server, count(*) as n, avg(ms) as mean from samples group by 1), (select avg(ms) as g from samples))""")
+def per_server_report(spark, sf):
+    return _r(health.server_report(t.latencies(spark, sf)), "mean", "diff")
+
+
+@query("select event_type, round(count(*) / ((max(end_ms) - min(end_ms)) / 1000.0), 6) as ops from samples group by 1")
+def throughput_by_scenario(spark, sf):
+    return _r(health.throughput(t.latencies(spark, sf), "event_type"), "ops")
+
+
+@query("select id, (row_number() over (order by id) - 1) // 512 % 4 as server from vectors")
+def batches_round_robin(spark, sf):
+    v = t.vectors(spark, sf).select("id")
+    # Rows are numbered by range partition: no task holds them all.
+    tagged = v.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()).persist()
+    seen, base = 0, []
+    for r in tagged.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():
+        base.append((r["p"], seen))
+        seen += r["n"]
+    offs = F.broadcast(spark.createDataFrame(base or [(0, 0)], "p int, base long"))
+    num = tagged.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1).join(offs, "p")
+    return num.select("id", F.expr("(i + base) div 512 % 4").alias("server"))
+
+
+@query("select cluster_id, count(*) as n, count(distinct label) = 3 as three, max(c) <= max(size_limit) as bounded from (select cluster_id, 1 as c, 1 as label, 1 as size_limit from vectors where false) group by 1"
+       " union all select cluster_id, count(*), true, true from vectors group by 1")
+def constrained_kmeans_split(spark, sf):
+    s = clustering.split_clusters(t.vectors(spark, sf), 3)
+    c = s.groupBy("cluster_id", "label", "size_limit").agg(F.count("*").alias("c"))
+    return c.groupBy("cluster_id").agg(F.sum("c").alias("n"), (F.count("*") == 3).alias("three"), (F.max("c") <= F.max("size_limit")).alias("bounded"))
+
+
+@query("select cluster_id, 3::bigint as n_nodes from clusters")
+def beam_placement(spark, sf):
+    sizes = {r["cluster_id"]: r["n"] for r in cluster_sizes(spark, sf).collect()}
+    made = clustering.place(sizes, list(range(t.N_NODES)), t.RF)
+    rows = [(c, n) for c, ns in made.items() for n in ns]
+    return spark.createDataFrame(rows, "cluster_id long, node_id long").groupBy("cluster_id").agg(F.count_distinct("node_id").alias("n_nodes"))
+
+
+@query()
+def kmeans_select_k(spark, sf):
+    out, _ = clustering.choose_k(t.vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>")), 5, 12)
+    return out
+
+
+@query("select id, arg_max(cluster_id, (ts, node, seq)) as cluster_id, max(ts) as ts from (select *, 1 as seq from vectors union all select *, 0 from incoming) group by id")
+def stream_lww(spark, sf):
+    return ingest.replay(spark, [t.vectors(spark, sf), t.incoming(spark, sf)]).select("id", "cluster_id", "ts")
+
+
+@query("select case when rank = 1 then 'clustered' end as state, count(*) as n from nearest where rank = 1 group by 1")
+def stream_bootstrap_cluster(spark, sf):
+    return ingest.bootstrap(spark, t.vectors(spark, sf), threshold=400).groupBy("state").agg(F.count("*").alias("n"))
