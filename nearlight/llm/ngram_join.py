@@ -6,7 +6,8 @@ that any linked set must meet is indexed. Index lists are kept in order of set s
 into blocks where sizes can no longer link, so whole blocks are skipped; sets that are equal
 are one class, and lists with equal members are one list. Answer level: in each block the
 first set is the leader and is compared with all members, once for each pair of sets; members
-of a block that the leader's answers have joined need no comparison with each other. Before sets
+of a block that the leader's answers have joined need no comparison with each other. Blocks that
+still span components get their most central member as a further leader. Before sets
 travel, counts of their hashes by range, a hundredth of their size, rule out pairs that must
 differ too much. What is left, members of one block in different components, is decided by bounds derived from their
 overlaps with the common leader where these suffice and by comparison where they don't.
@@ -35,6 +36,7 @@ N = 5
 SKETCH = 1 << 20  # counters
 BITMAP = 1 << 25  # bits
 CHUNK = 1 << 19  # bytes of text that are hashed together
+HUB_ROUNDS = 2  # further leaders before what is left is decided pair by pair
 BLOCK = 512  # members of a leader that one task compares
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -392,29 +394,134 @@ def linked(percent: int) -> str:
     return f"100 * inter >= {percent} * (na + nc - inter)"
 
 
-def open_pairs(members: DataFrame, comps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one block in different components, ``(a, c, surely)``, that are not compared yet.
+def mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(block, c, n, comp, m)``: members of blocks that span components, ``m`` to a block."""
+    named = members.join(comps.withColumnRenamed("node", "c"), "c", "left").select("block", "c", "n", F.coalesce("comp", "c").alias("comp"))
+    spans = named.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("block", "m")
+    return named.join(spans, "block")
+
+
+def groups(batches, *keys):
+    """Consecutive rows of equal keys as frames' slices; rows come sorted by the keys."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            held = None
+            continue
+        turn = np.zeros(len(pdf), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            turn[1:] |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(turn).tolist()
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            yield pdf.iloc[a:b]
+        held = pdf.iloc[cuts[-1] if cuts else 0 :]
+    if held is not None and len(held):
+        yield held
+
+
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    return x.reshape(*x.shape[:-1], size, -1).sum(axis=-1)
+
+
+def surviving(sx: list, nx: np.ndarray, cx: np.ndarray, sy: list, ny: np.ndarray, cy: np.ndarray, percent: int):
+    """Index pairs of members of different components that sizes and spreads leave possible."""
+    ys = [np.frombuffer(b, np.uint16).astype(np.int32) for b in sy]
+    size = np.array([len(y) for y in ys])
+    parts = {int(w): (np.flatnonzero(size == w), np.stack([y for y in ys if len(y) == w])) for w in set(size.tolist())}
+    cache: dict = {}
+    for i, b in enumerate(sx):
+        x = np.frombuffer(b, np.uint16).astype(np.int32)
+        for w, (at, mat) in parts.items():
+            ok = (cy[at] != cx[i]) & (100 * np.minimum(ny[at], nx[i]) >= percent * np.maximum(ny[at], nx[i]))
+            t = np.flatnonzero(ok)
+            if not len(t):
+                continue
+            short = min(len(x), w)
+            if (w, short) not in cache:
+                cache[(w, short)] = fold(mat, short)
+            far = np.abs(cache[(w, short)][t] - fold(x, short)).sum(axis=1)
+            t = t[np.flatnonzero((100 + percent) * far <= (100 - percent) * (ny[at[t]] + nx[i]))]
+            if len(t):
+                yield i, at[t]
+
+
+def hub_pairs(rest: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """One more leader for each block: ``(a, c)`` of its most central member and the others.
+
+    Each class takes part in its largest block only; a large block has a hub for each part."""
+    own = rest.groupBy("c").agg(F.max_by(F.struct("block", "m", "n", "comp"), F.struct("m", "block")).alias("r")).select("c", "r.*")
+    own = own.join(kinds.select(F.col("sig").alias("c"), "counts"), "c")
+    own = own.withColumn("salt", F.expr(f"pmod(xxhash64(c), cast(ceil(m / {8 * BLOCK}) as bigint))"))
+
+    def run(batches):
+        for g in groups(batches, "block", "salt"):
+            spreads = [np.frombuffer(b, np.uint16).astype(np.int32) for b in g["counts"]]
+            short = min(len(x) for x in spreads)
+            x = np.stack([fold(v, short) for v in spreads]).astype(np.float64)
+            c, comp, n = g["c"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(np.int64)
+            far = np.abs(x - x.mean(axis=0)).sum(axis=1)
+            hub = int(np.lexsort((c, far))[0])
+            s = list(g["counts"])
+            for _, at in surviving([s[hub]], n[hub : hub + 1], comp[hub : hub + 1], s, n, comp, percent):
+                yield pd.DataFrame({"a": c[hub], "c": c[at]})
+
+    return own.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInPandas(run, "a long, c long")
+
 
+def open_pairs(rest: DataFrame, kinds: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one block in different components that sizes and spreads leave possible and
+    that are not compared yet: ``(a, c, surely)``.
+
+    Blocks are looked at by pairs of tiles of members; only what survives is emitted.
     ``surely`` is what the bounds from a common leader say, or null where they leave it open."""
-    named = members.join(comps.withColumnRenamed("node", "c"), "c", "left").select("block", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    mixed = named.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
-    rest = cut(named.join(mixed, "block", "left_semi"), "ngram-open")
-    x = rest.select("block", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rest.select("block", "c", F.col("n").alias("nc"), F.col("comp").alias("cc"))
-    size = f"100 * least(na, nc) >= {percent} * greatest(na, nc)"
-    pairs = x.join(y, "block").filter(f"a < c and ca <> cc and {size}").select("a", "c", "na", "nc").distinct()
+    tile = 2 * BLOCK
+    r = rest.join(kinds.select(F.col("sig").alias("c"), "counts"), "c")
+    r = r.withColumn("tiles", F.expr(f"cast(ceil(m / {tile}) as int)")).withColumn("tile", F.expr("cast(pmod(xxhash64(c), tiles) as int)"))
+    r = r.select("block", "c", "n", "comp", "counts", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    r = r.select("block", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "c", "n", "comp", "counts")
+
+    def run(batches):
+        seen: set = set()  # of this task, to emit a pair of many blocks once; emptied when large
+        for g in groups(batches, "block", "t1", "t2"):
+            in1 = np.flatnonzero(g["tile"].to_numpy() == g["t1"].iloc[0])
+            in2 = np.flatnonzero(g["tile"].to_numpy() == g["t2"].iloc[0])
+            c, comp, n, s = g["c"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(np.int64), list(g["counts"])
+            if not len(in1) or not len(in2):
+                continue
+            a_, c_ = [], []
+            for i, at in surviving([s[k] for k in in1], n[in1], comp[in1], [s[k] for k in in2], n[in2], comp[in2], percent):
+                for x, y in ((min(p, q), max(p, q)) for p in (int(c[in1[i]]),) for q in c[in2[at]].tolist()):
+                    if (x, y) not in seen:
+                        seen.add((x, y))
+                        a_.append(x)
+                        c_.append(y)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if a_:
+                yield pd.DataFrame({"a": a_, "c": c_})
+
+    pairs = r.repartition("block", "t1", "t2").sortWithinPartitions("block", "t1", "t2").mapInPandas(run, "a long, c long").distinct()
     done = known.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))
-    pairs = pairs.join(done, ["a", "c"], "left_anti")
-    # Overlaps with one leader bound the overlap of its members.
-    via = known.groupBy(F.col("c").alias("m")).agg(F.max_by(F.struct("a", "inter", "na"), F.struct("inter", "a")).alias("v"))
+    pairs = cut(pairs.join(done, ["a", "c"], "left_anti"), "ngram-late-pairs")
+    via = known.groupBy(F.col("c").alias("m")).agg(F.max_by(F.struct("a", "inter", "na", "nc"), F.struct("inter", "a")).alias("v"))
     p = pairs.join(via.select(F.col("m").alias("a"), F.col("v").alias("va")), "a", "left").join(via.select(F.col("m").alias("c"), F.col("v").alias("vc")), "c", "left")
     low = "va.inter + vc.inter - va.na"
-    high = "least(va.inter, vc.inter) + least(na - va.inter, nc - vc.inter)"
-    need = f"{percent} * (na + nc)"
+    high = "least(va.inter, vc.inter) + least(va.nc - va.inter, vc.nc - vc.inter)"
+    need = f"{percent} * (va.nc + vc.nc)"
     said = f"case when va.a = vc.a and {100 + percent} * ({low}) >= {need} then true when va.a = vc.a and {100 + percent} * ({high}) < {need} then false end"
     return p.select("a", "c", F.expr(said).alias("surely"))
 
 
+def grown(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components after more links."""
+    small_batches(links.sparkSession, 10_000)
+    if links.isEmpty():
+        return comps
+    return components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(links), name)
+
+
 def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id)`` for every row: sets link at Jaccard ``percent`` / 100."""
     spark = docs.sparkSession
@@ -433,15 +540,27 @@ def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", te
     small_batches(spark, 10_000)
     links = known.filter(linked(percent)).select(F.col("a").alias("u"), F.col("c").alias("v"))
     comps = components(links, "ngram")
-    rest = cut(open_pairs(members, comps, known, percent), "ngram-rest")
-    late = rest.filter("surely").select(F.col("a").alias("u"), F.col("c").alias("v"))
-    unsure = cut(possible(rest.filter("surely is null").select("a", "c"), kinds, percent), "ngram-unsure")
-    if not unsure.isEmpty():
-        late = late.union(compare(unsure, sets_of(rows, n, unsure), percent).filter(linked(percent)).select("a", "c"))
-    late = cut(late, "ngram-late")
-    small_batches(spark, 10_000)
-    if not late.isEmpty():
-        comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(late), "ngram2")
+    members = cut(members, "ngram-members")
+    for turn in range(HUB_ROUNDS):
+        rest = cut(mixed(members, comps), "ngram-mixed")
+        if rest.isEmpty():
+            break
+        small_batches(spark)
+        pairs = cut(hub_pairs(rest, kinds, percent).join(known.select("a", "c"), ["a", "c"], "left_anti"), "ngram-hubs")
+        if pairs.isEmpty():
+            break
+        got = cut(compare(pairs, sets_of(rows, n, pairs), percent), "ngram-known")
+        known = known.unionByName(got)
+        comps = grown(comps, got.filter(linked(percent)).select(F.col("a").alias("u"), F.col("c").alias("v")), f"ngram-hub{turn}")
+    rest = cut(mixed(members, comps), "ngram-mixed")
+    if not rest.isEmpty():
+        small_batches(spark)
+        rest = cut(open_pairs(rest, kinds, known, percent), "ngram-rest")
+        late = rest.filter("surely").select(F.col("a").alias("u"), F.col("c").alias("v"))
+        unsure = rest.filter("surely is null").select("a", "c")
+        if not unsure.isEmpty():
+            late = late.union(compare(unsure, sets_of(rows, n, unsure), percent).filter(linked(percent)).select("a", "c"))
+        comps = grown(comps, cut(late, "ngram-late"), "ngram-last")
     named = facts.filter("n > 0").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("k", "n", F.coalesce("comp", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("k").alias("component_id"))
     out = named.join(least, "comp").select("k", "n", "component_id")
