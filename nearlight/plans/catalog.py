@@ -113,11 +113,11 @@ def vec_delete_by_cluster(spark, sf):
     return store.delete_where(t.vectors(spark, sf), F.col("cluster_id") == 3).select("id", "cluster_id")
 
 
-@query("select v.id, length(d.text)::bigint as n from vectors v left join documents d on d.doc_id = v.id where (d.text = (select text from documents where doc_id = 3)) is not true")
+@query("select v.id, coalesce(length(d.text), -1)::bigint as n from vectors v left join documents d on d.doc_id = v.id where (d.text = (select text from documents where doc_id = 3)) is not true")
 def vec_delete_by_payload(spark, sf):
     v = t.vectors(spark, sf, payload=True)
     gone = t.read(spark, sf, "documents").filter("doc_id = 3").select(F.col("text").alias("payload"))
-    return v.join(gone, "payload", "left_anti").select("id", F.length("payload").cast("long").alias("n"))
+    return v.join(gone, "payload", "left_anti").select("id", F.coalesce(F.length("payload"), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("select id, arg_max(cluster_id, (ts, node, seq)) as cluster_id, arg_max(ts, (ts, node, seq)) as ts from (select *, 1 as seq from vectors union all select *, 0 from incoming) group by id")
