@@ -145,3 +145,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Least index reachable from each of ``n`` nodes, by repeated minima over the edges."""
+    lab = np.arange(n)
+    if len(i) == 0:
+        return lab
+    u, v = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(u, kind="stable")
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.diff(u, prepend=-1))
+    nodes = u[first]
+    while True:
+        new = lab.copy()
+        new[nodes] = np.minimum(lab[nodes], np.minimum.reduceat(lab[v], first))
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, components, cut, small_batches
+from nearlight.llm.common import blob, components, cut, small_batches, spanning
 
 THRESHOLD = 0.98
 TILE = 2048
@@ -66,25 +66,6 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[n
     return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Least index reachable from each of ``n`` nodes, by repeated minima over the edges."""
-    lab = np.arange(n)
-    if len(i) == 0:
-        return lab
-    u, v = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.argsort(u, kind="stable")
-    u, v = u[order], v[order]
-    first = np.flatnonzero(np.diff(u, prepend=-1))
-    nodes = u[first]
-    while True:
-        new = lab.copy()
-        new[nodes] = np.minimum(lab[nodes], np.minimum.reduceat(lab[v], first))
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def usable(column: str = "embedding") -> str:
     c = f"`{column}`"
     return (

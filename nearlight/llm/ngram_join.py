@@ -9,11 +9,12 @@ first set is the leader and is compared with all members, once for each pair of
 of a block that the leader's answers have joined need no comparison with each other. Blocks that
 still span components get their most central member as a further leader. Before sets
 travel, counts of their hashes by range, a hundredth of their size, rule out pairs that must
-differ too much. What is left, members of one block in different components, is decided by bounds derived from their
-overlaps with the common leader where these suffice and by comparison where they don't.
+differ too much. What is left, members of one block in different components, is grouped into
+families; a family is compared tile by tile, and each set's overlaps are derived from those of
+the set before it by the shingles in which the two differ.
 
 No link between components is lost: every pair of linked sets meets in a block, and each pair
-of a block is either in one component or decided. Sets travel only for classes that meet
+of a block is either in one component or compared. Sets travel only for classes that meet
 another one, a hot leader's members are dealt to many tasks, and nothing but a sketch of fixed
 size and a bitmap of fixed size reaches the driver.
 
@@ -30,13 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, components, cut, small_batches
+from nearlight.llm.common import blob, chunks, components, cut, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
 BITMAP = 1 << 25  # bits
 CHUNK = 1 << 19  # bytes of text that are hashed together
-HUB_ROUNDS = 2  # further leaders before what is left is decided pair by pair
+HUB_ROUNDS = 1  # further leaders before what is left is compared by families
+TILE_SHINGLES = 500_000  # of the sets that a task holds on either side
 BLOCK = 512  # members of a leader that one task compares
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -470,12 +472,10 @@ def hub_pairs(rest: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return own.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInPandas(run, "a long, c long")
 
 
-def open_pairs(rest: DataFrame, kinds: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one block in different components that sizes and spreads leave possible and
-    that are not compared yet: ``(a, c, surely)``.
-
-    Blocks are looked at by pairs of tiles of members; only what survives is emitted.
-    ``surely`` is what the bounds from a common leader say, or null where they leave it open."""
+def open_families(rest: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: a spanning forest of the pairs of one block in different components that sizes
+    and spreads leave possible. Blocks are looked at by pairs of tiles of members; a task emits
+    an edge for each member at most, never the pairs."""
     tile = 2 * BLOCK
     r = rest.join(kinds.select(F.col("sig").alias("c"), "counts"), "c")
     r = r.withColumn("tiles", F.expr(f"cast(ceil(m / {tile}) as int)")).withColumn("tile", F.expr("cast(pmod(xxhash64(c), tiles) as int)"))
@@ -483,35 +483,82 @@ def open_pairs(rest: DataFrame, kinds: DataFrame, known: DataFrame, percent: int
     r = r.select("block", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "c", "n", "comp", "counts")
 
     def run(batches):
-        seen: set = set()  # of this task, to emit a pair of many blocks once; emptied when large
         for g in groups(batches, "block", "t1", "t2"):
-            in1 = np.flatnonzero(g["tile"].to_numpy() == g["t1"].iloc[0])
-            in2 = np.flatnonzero(g["tile"].to_numpy() == g["t2"].iloc[0])
-            c, comp, n, s = g["c"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(np.int64), list(g["counts"])
+            in1, in2 = tile_rows(g)
             if not len(in1) or not len(in2):
                 continue
-            a_, c_ = [], []
-            for i, at in surviving([s[k] for k in in1], n[in1], comp[in1], [s[k] for k in in2], n[in2], comp[in2], percent):
-                for x, y in ((min(p, q), max(p, q)) for p in (int(c[in1[i]]),) for q in c[in2[at]].tolist()):
-                    if (x, y) not in seen:
-                        seen.add((x, y))
-                        a_.append(x)
-                        c_.append(y)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if a_:
-                yield pd.DataFrame({"a": a_, "c": c_})
-
-    pairs = r.repartition("block", "t1", "t2").sortWithinPartitions("block", "t1", "t2").mapInPandas(run, "a long, c long").distinct()
-    done = known.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c"))
-    pairs = cut(pairs.join(done, ["a", "c"], "left_anti"), "ngram-late-pairs")
-    via = known.groupBy(F.col("c").alias("m")).agg(F.max_by(F.struct("a", "inter", "na", "nc"), F.struct("inter", "a")).alias("v"))
-    p = pairs.join(via.select(F.col("m").alias("a"), F.col("v").alias("va")), "a", "left").join(via.select(F.col("m").alias("c"), F.col("v").alias("vc")), "c", "left")
-    low = "va.inter + vc.inter - va.na"
-    high = "least(va.inter, vc.inter) + least(va.nc - va.inter, vc.nc - vc.inter)"
-    need = f"{percent} * (va.nc + vc.nc)"
-    said = f"case when va.a = vc.a and {100 + percent} * ({low}) >= {need} then true when va.a = vc.a and {100 + percent} * ({high}) < {need} then false end"
-    return p.select("a", "c", F.expr(said).alias("surely"))
+            c, comp, n, s = g["c"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(np.int64), list(g["counts"])
+            got = list(surviving([s[k] for k in in1], n[in1], comp[in1], [s[k] for k in in2], n[in2], comp[in2], percent))
+            if got:
+                i = np.concatenate([np.full(len(at), in1[i]) for i, at in got])
+                lab = spanning(i, in2[np.concatenate([at for _, at in got])], len(c))
+                some = np.flatnonzero(lab != np.arange(len(c)))
+                yield pd.DataFrame({"u": c[lab[some]], "v": c[some]})
+
+    return r.repartition("block", "t1", "t2").sortWithinPartitions("block", "t1", "t2").mapInPandas(run, "u long, v long")
+
+
+def tile_rows(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = g["tile"].to_numpy()
+    return np.flatnonzero(t == g["t1"].iloc[0]), np.flatnonzero(t == g["t2"].iloc[0])
+
+
+def tile_overlaps(xs: list[np.ndarray], ys: list[np.ndarray]):
+    """For each set of ``xs`` its overlaps with all of ``ys``: from the lists of ``ys`` once, and from
+    the answers of the set before it where the two differ in less than they hold."""
+    owner = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    vals = np.concatenate(ys)
+    order = np.argsort(vals, kind="stable")
+    vals, owner = vals[order], owner[order]
+
+    def count(x: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(vals, x, "left"), np.searchsorted(vals, x, "right")
+        size = b - a
+        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(owner[at], minlength=len(ys))
+
+    last, answer = None, None
+    for x in xs:
+        if last is not None:
+            more, less = np.setdiff1d(x, last, True), np.setdiff1d(last, x, True)
+            answer = answer + count(more) - count(less) if len(more) + len(less) < len(x) else count(x)
+        else:
+            answer = count(x)
+        last = x
+        yield answer
+
+
+def family_links(families: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: a spanning forest of the links within each family, all of its pairs compared.
+
+    ``families(node, comp)``, ``facts(c, n, at)`` with the components so far as ``at``."""
+    f = families.select(F.col("node").alias("c"), F.col("comp").alias("f")).join(facts, "c")
+    load = f.groupBy("f").agg(F.expr(f"cast(greatest(ceil(count(*) / {2 * BLOCK}), ceil(sum(n) / {TILE_SHINGLES})) as int)").alias("tiles"))
+    r = f.join(load, "f").withColumn("tile", F.expr("cast(pmod(xxhash64(c), tiles) as int)")).join(sets.withColumnRenamed("sig", "c"), "c")
+    r = r.select("f", "c", "at", "body", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    r = r.select("f", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "at", "c", "body")
+    small_batches(families.sparkSession)
+
+    def run(batches):
+        for g in groups(batches, "f", "t1", "t2"):
+            in1, in2 = tile_rows(g)
+            at, c = g["at"].to_numpy(), g["c"].to_numpy()
+            if not len(in1) or not len(in2) or (at == at[0]).all():
+                continue
+            body = [np.frombuffer(b, np.uint64) for b in g["body"]]
+            size = np.array([len(b) for b in body])
+            left, right = [], []
+            for i, inter in zip(in1, tile_overlaps([body[k] for k in in1], [body[k] for k in in2])):
+                hit = in2[np.flatnonzero(100 * inter >= percent * (size[i] + size[in2] - inter))]
+                hit = hit[at[hit] != at[i]]
+                left.append(np.full(len(hit), i))
+                right.append(hit)
+            lab = spanning(np.concatenate(left), np.concatenate(right), len(c))
+            some = np.flatnonzero(lab != np.arange(len(c)))
+            if len(some):
+                yield pd.DataFrame({"u": c[lab[some]], "v": c[some]})
+
+    return r.repartition("f", "t1", "t2").sortWithinPartitions("f", "t1", "t2", "at").mapInPandas(run, "u long, v long")
 
 
 def grown(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -555,12 +602,11 @@ def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", te
     rest = cut(mixed(members, comps), "ngram-mixed")
     if not rest.isEmpty():
         small_batches(spark)
-        rest = cut(open_pairs(rest, kinds, known, percent), "ngram-rest")
-        late = rest.filter("surely").select(F.col("a").alias("u"), F.col("c").alias("v"))
-        unsure = rest.filter("surely is null").select("a", "c")
-        if not unsure.isEmpty():
-            late = late.union(compare(unsure, sets_of(rows, n, unsure), percent).filter(linked(percent)).select("a", "c"))
-        comps = grown(comps, cut(late, "ngram-late"), "ngram-last")
+        families = components(cut(open_families(rest, kinds, percent), "ngram-open"), "ngram-families")
+        small_batches(spark)
+        sets = sets_of(rows, n, families.select(F.col("node").alias("a"), F.col("node").alias("c")))
+        now = rest.select("c", "n", F.col("comp").alias("at")).distinct()
+        comps = grown(comps, cut(family_links(families, now, sets, percent), "ngram-late"), "ngram-last")
     named = facts.filter("n > 0").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("k", "n", F.coalesce("comp", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("k").alias("component_id"))
     out = named.join(least, "comp").select("k", "n", "component_id")
