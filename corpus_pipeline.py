@@ -21,8 +21,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of linked documents."""
-    found = cut(ngram_join.join(docs), "pipeline-groups")
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    keep = ngram_join.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -42,11 +44,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/nearlight/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut inside are removed at the end, and the shuffles behind them let go."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and any executor
-    can be lost afterwards without recomputing what came before."""
+    can be lost afterwards without recomputing what came before. With ``keep`` the table
+    outlives the :func:`scratch` around it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, components, cut, small_batches, spanning
+from nearlight.llm.common import blob, chunks, components, cut, scratch, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
@@ -569,8 +569,7 @@ def grown(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(links), name)
 
 
-def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_shingles, component_id)`` for every row: sets link at Jaccard ``percent`` / 100."""
+def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
@@ -614,6 +613,12 @@ def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", te
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, n_shingles, component_id)`` for every row: sets link at Jaccard ``percent`` / 100."""
+    with scratch(docs.sparkSession):
+        return cut(_join(docs, n, percent, key, text), "ngram-result", keep=True)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every document's set size and component."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

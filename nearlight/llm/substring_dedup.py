@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, cut, small_batches
+from nearlight.llm.common import blob, chunks, cut, scratch, small_batches
 
 LENGTH = 400
 GRAM = 100
@@ -365,20 +365,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     small_batches(spark)
     number = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     rows = docs.select(number.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    found = cut(anchored(rows, length, gram), "substring-anchors")
-    rep = F.min(F.struct("k", "th", "lo")).alias("rep")
-    kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
-    many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
-    wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
-    small_batches(spark)
-    parts = cut(cut_segments(rows, wanted, length, gram), "substring-segments")
-    lone = sorted_windows(parts.filter("not hot"), length)
-    if not parts.filter("hot").isEmpty():
-        lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
-    whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b"))
-    flags = lone.unionByName(whole).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    flags = cut(flags, "substring-flags")
+    with scratch(spark):
+        flags = _flags(rows, length, gram, hot)
     others = [F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]]
     carry = [F.struct(*others).alias("row")] if keep_text else []
     whole_rows = docs.select(number.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *carry).withColumn("th", F.xxhash64("t"))
@@ -410,6 +398,25 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     return out.withColumn("k", F.nullif("k", F.lit(NO_KEY))).withColumnRenamed("k", key)
 
 
+def _flags(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """``(k, th, runs)``: runs of repeated windows of each text that has any."""
+    spark = rows.sparkSession
+    found = cut(anchored(rows, length, gram), "substring-anchors")
+    rep = F.min(F.struct("k", "th", "lo")).alias("rep")
+    kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
+    many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
+    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
+    wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
+    small_batches(spark)
+    parts = cut(cut_segments(rows, wanted, length, gram), "substring-segments")
+    lone = sorted_windows(parts.filter("not hot"), length)
+    if not parts.filter("hot").isEmpty():
+        lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
+    whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b"))
+    flags = lone.unionByName(whole).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    return cut(flags, "substring-flags", keep=True)
+
+
 def merge(runs, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by windows that start in ``runs`` of ``(a, b)``."""
     if runs is None or len(runs) == 0:
