@@ -19,8 +19,11 @@ a document longer than a shard is a shard of its own; other columns are not read
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -38,17 +41,18 @@ CACHE_WORDS = 800_000
 _WORD_CUT = re.compile(r"(?<=\S) ")
 
 
-class Pieces(dict):
-    """Numbers of pieces in order of first sight; new ones are kept in ``fresh``."""
+class Pieces(defaultdict):
+    """Numbers of pieces in order of first sight."""
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
+    def __init__(self, words: list[str] = ()):
+        super().__init__(count(len(words)).__next__, zip(words, range(len(words))))
+        self.known = len(words)
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.fresh.append(piece)
-        return n
+    def fresh(self) -> list[str]:
+        """Pieces that were first seen since the last call."""
+        new = list(islice(reversed(self), len(self) - self.known))[::-1]
+        self.known = len(self)
+        return new
 
 
 class Encoder:
@@ -62,6 +66,7 @@ class Encoder:
     """
 
     HEAD, LINE = "\ue000", "\ue001"
+    SIGNS = string.punctuation
     WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -74,13 +79,13 @@ class Encoder:
         for s, i in vocab.items():
             self.width[i] = len(s)  # one character of the vocabulary's alphabet stands for a byte
         self.end_id = end_id
-        self.marks = {c: vocab[c] for c in ".,"}
+        self.marks: dict[str, list[int]] = {}
         self.blank = np.zeros(256, bool)
         self.blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         self.reset()
 
-    def reset(self) -> None:
-        self.pieces = Pieces()
+    def reset(self, words: list[str] = ()) -> None:
+        self.pieces = Pieces(words)
         self.vals = np.zeros(1 << 16, np.uint16)
         self.n_vals = 0
         self.starts = np.zeros(1 << 16, np.int64)
@@ -99,8 +104,7 @@ class Encoder:
         lens, starts, heads = self.lens[keep], self.starts[keep], self.heads[keep]
         upto = np.cumsum(lens)
         ids = self.vals[np.repeat(starts - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        self.reset()
-        self.pieces.update(zip(words, range(len(words))))
+        self.reset(words)
         self._grow()
         self.heads[: len(words)] = heads
         self._store(np.arange(len(words)), ids, lens)
@@ -121,25 +125,35 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the pieces that were first seen since the last call."""
-        fresh = self.pieces.fresh
+        base = self.pieces.known
+        fresh = self.pieces.fresh()
         if not fresh:
             return
-        base = len(self.pieces) - len(fresh)
-        # A full stop or comma after a letter is a token of its own: such pieces are put together.
-        ended = [k for k, w in enumerate(fresh) if w[-1:] in ".," and w[-2:-1].isalpha()]
-        stems = [self.pieces[fresh[k][:-1]] for k in ended]  # these may be new themselves
-        self.pieces.fresh = []
-        self._grow()
-        plain, odd = [], []
-        skip = set(ended)
+        # Signs after a letter are tokens of their own: such pieces are put together from two.
+        plain, odd, ended, signs, heads = [], [], [], [], []
         for k, w in enumerate(fresh):
-            if k in skip:
-                self.heads[base + k] = w[0] == self.HEAD
+            if w.isalpha():
+                plain.append(k)
+                continue
+            if w[:1] == self.HEAD:
+                heads.append(base + k)
+            stem = w.rstrip(self.SIGNS)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                ended.append(k)
+                signs.append(w[len(stem) :])
                 continue
-            body = w[1:] if w and w[0] in "\ue000\ue001" else w
-            (plain if body and not body[0].isspace() and not body[-1].isspace() else odd).append(k)
-            if w and w[0] == self.HEAD:
-                self.heads[base + k] = True
+            body = w[1:] if w[:1] in (self.HEAD, self.LINE) else w
+            (plain if body and body == body.strip() else odd).append(k)
+        stems = [self.pieces[fresh[k][: -len(m)]] for k, m in zip(ended, signs)]  # these may be new themselves
+        more = self.pieces.fresh()
+        for k, w in enumerate(more, len(fresh)):  # they end in a letter and begin with none but a mark
+            body = w[1:] if w[0] in (self.HEAD, self.LINE) else w
+            (plain if body == body.strip() else odd).append(k)
+            if w[0] == self.HEAD:
+                heads.append(base + k)
+        fresh += more
+        self._grow()
+        self.heads[heads] = True
         real = lambda w: w[1:] if w[:1] == self.HEAD else "\n" + w[1:] if w[:1] == self.LINE else " " + w
         if odd:
             got = [e.ids for e in self.tok.encode_batch_fast([real(fresh[k]) for k in odd], add_special_tokens=False)]
@@ -148,24 +162,36 @@ class Encoder:
         for a in range(0, len(plain), 4096):
             part = plain[a : a + 4096]
             # Each begins with a space or a line end here; a head's line end then becomes the end id.
-            words = ["\n" + fresh[k][1:] if fresh[k][0] in "\ue000\ue001" else " " + fresh[k] for k in part]
-            ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(np.array([len(w.encode()) for w in words], np.int64))
+            words = " " + " ".join([fresh[k] for k in part])
+            words = words.replace(f" {self.HEAD}", "\n").replace(f" {self.LINE}", "\n")
+            raw = np.frombuffer(words.encode(), np.uint8)
+            starts = np.flatnonzero((raw == 32) | (raw == 10))
+            if len(starts) != len(part):  # blanks within pieces
+                parts = ["\n" + fresh[k][1:] if fresh[k][0] in (self.HEAD, self.LINE) else " " + fresh[k] for k in part]
+                words = "".join(parts)
+                ends = np.cumsum(np.array([len(w.encode()) for w in parts], np.int64))
+            else:
+                ends = np.append(starts[1:], len(raw))
+            ids = np.array(self.tok.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.int64)
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
             numbers = base + np.array(part)
             head = self.heads[numbers]
             ids[np.concatenate([[0], cut[:-1]])[head]] = self.end_id
             self._store(numbers, ids.astype(np.uint16), np.diff(cut, prepend=0))
         if ended:
-            of = np.array(stems)
+            new = sorted(set(signs) - self.marks.keys())
+            if len(self.marks) + len(new) > 4096:
+                self.marks, new = {}, sorted(set(signs))
+            self.marks |= {m: e.ids for m, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))}
+            tails = [self.marks[m] for m in signs]
+            of, tail = np.array(stems), np.array([len(x) for x in tails], np.int64)
             lens = self.lens[of]
-            upto = np.cumsum(lens + 1)
-            ids = np.empty(int(upto[-1]), np.uint16)
-            mark = np.zeros(len(ids), bool)
-            mark[upto - 1] = True
-            ids[mark] = [self.marks[fresh[k][-1]] for k in ended]
+            upto = np.cumsum(lens + tail)
+            mark = np.arange(int(upto[-1])) >= np.repeat(upto - tail, lens + tail)
+            ids = np.empty(len(mark), np.uint16)
+            ids[mark] = [i for x in tails for i in x]
             ids[~mark] = self.vals[np.repeat(self.starts[of] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
-            self._store(base + np.array(ended), ids, lens + 1)
+            self._store(base + np.array(ended), ids, lens + tail)
 
     def _cut(self, texts: list[str]) -> list[str]:
         """Pieces of all texts in a row."""
@@ -219,17 +245,19 @@ class WaveletMatrix:
         n = len(seq)
         zeros, blocks, ranks = [], [], []
         for b in range(BITS - 1, -1, -1):
-            bit = ((seq >> np.uint16(b)) & np.uint16(1)).astype(bool)
-            plane = np.packbits(bit, bitorder="little").tobytes()
             ones = 0
-            for k in range(0, len(plane), BLOCK):
-                raw = plane[k : k + BLOCK]
+            low, high = [], []
+            for k in range(0, n, 8 * BLOCK):  # a block at a time stays in the processor's cache
+                run = seq[k : k + 8 * BLOCK]
+                bit = (run & np.uint16(1 << b)) != 0
+                blocks.append(comp.compress(np.packbits(bit, bitorder="little").tobytes()))
                 ranks.append(ones)
-                ones += int(np.bitwise_count(np.frombuffer(raw, np.uint8)).sum())
-                blocks.append(comp.compress(raw))
+                at = np.flatnonzero(bit)
+                ones += len(at)
+                low.append(run.take(np.flatnonzero(~bit), mode="clip"))
+                high.append(run.take(at, mode="clip"))
             zeros.append(n - ones)
-            if 0 < ones < n:
-                seq = seq[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]
+            seq = np.concatenate(low + high) if n else seq
         head = WaveletMatrix.MAGIC + struct.pack("<QII", n, BITS, BLOCK) + blob(np.array(zeros, "<u8"))
         return head + struct.pack("<I", len(blocks)) + blob(np.array(ranks, "<u8")) + blob(np.array([len(x) for x in blocks], "<u4")) + b"".join(blocks)
 
@@ -318,14 +346,18 @@ class WaveletMatrix:
             z = int(self.zeros[lv])
             if z == self.n:
                 continue
-            raw = b"".join(self.unzip.decompress(self.data[self.at[i] : self.at[i] + self.lens[i]]) for i in range(lv * self.per, (lv + 1) * self.per))
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
-            if z:
-                out = np.empty(self.n, np.uint16)
-                out[np.flatnonzero(~bit)] = seq[:z]
-                out[np.flatnonzero(bit)] = seq[z:]
-                seq = out
-            seq |= bit.astype(np.uint16) << np.uint16(self.bits - 1 - lv)
+            out = np.empty(self.n, np.uint16)
+            low, high, one = 0, z, np.uint16(1 << (self.bits - 1 - lv))
+            for k in range(self.per):
+                i, run = lv * self.per + k, out[8 * self.block * k : 8 * self.block * (k + 1)]
+                raw = self.unzip.decompress(self.data[self.at[i] : self.at[i] + self.lens[i]])
+                bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(run), bitorder="little").view(bool)
+                at = np.flatnonzero(bit)
+                rest = len(run) - len(at)
+                run[np.flatnonzero(~bit)] = seq[low : low + rest]
+                run[at] = seq[high : high + len(at)] | one
+                low, high = low + rest, high + len(at)
+            seq = out
         return seq
 
 
