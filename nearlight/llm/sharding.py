@@ -1,12 +1,12 @@
 """Sharding by Karmarkar-Karp differencing of indivisible groups.
 
 Rows with equal texts form a group that stays in one shard. Groups are dealt by a hash of their
-text to buckets; each bucket is partitioned by differencing (repeatedly the two partial
-partitions of largest spread are joined, their sums in opposite order), and the buckets' own
-partial partitions are joined the same way. A bucket sends only its sums, one for each shard, to
-the driver: their number is the number of buckets, which is a parameter and does not follow the
-rows. A group is one row here whatever its count, so a hot text costs no more than another;
-the rows themselves are joined back and numbered by task, without gathering a shard.
+text to buckets whose number follows that of the groups; each bucket is partitioned by differencing
+(repeatedly the two partial partitions of largest spread are joined, their sums in opposite order),
+and the buckets' own partial partitions are joined the same way: ``FAN`` of them in a task, level
+by level, until ``FAN`` are left, whose sums, one for each shard, go to the driver. A group is one
+row here whatever its count, so a hot text costs no more than another; the rows themselves are
+joined back and numbered by task, without gathering a shard.
 
 Defined cases: a null text has size 16 and crc 0 and groups with the empty text; repeated rows
 are rows of one group; ties go by group hash; an empty table gives an empty result; other
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from nearlight.llm.common import cut, small_batches
 
 N_SHARDS = 40
-N_BUCKETS = 256
+BUCKET_GROUPS = 10_000
+FAN = 256
 
 
 def difference(partials: list[tuple[list[int], list[list]]], n: int) -> tuple[list[int], list[list]]:
@@ -92,59 +94,80 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_buckets: int = N_BUCKETS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join_partials(rows: list[tuple[int, int, int]], n: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Differencing over ``(node, part, total)``: the part of the whole that each part of each
+    node goes to, and the whole's sums."""
+    per: dict[int, list[int]] = {}
+    for node, part, total in rows:
+        per.setdefault(node, [0] * n)[part] = total
+    partials = []
+    for node in sorted(per):
+        order = sorted(range(n), key=lambda p: (-per[node][p], p))
+        partials.append(([per[node][p] for p in order], [[(node, p)] for p in order]))
+    sums, trees = difference(partials, n)
+    return [(node, p, s) for s, tree in enumerate(trees) for leaf in members(tree) for node, p in leaf], sums
+
+
+def place_parts(sums: DataFrame, n_shards: int, n_nodes: int, fan: int = FAN) -> DataFrame:
+    """``(node, part, shard)`` for every part of ``sums(node, part, total)``, nodes being numbered
+    below ``n_nodes``."""
+    spark = sums.sparkSession
+    if n_nodes <= fan:  # fan * n_shards rows at most
+        placed, _ = join_partials([(r["node"], r["part"], r["total"]) for r in sums.collect()], n_shards)
+        return F.broadcast(spark.createDataFrame(placed or [(-1, -1, -1)], "node int, part int, shard int"))
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        placed, totals = join_partials(list(pdf[["node", "part", "total"]].itertuples(index=False, name=None)), n_shards)
+        out = pd.DataFrame(placed, columns=["node", "part", "part2"])
+        return out.assign(up=int(pdf["up"].iloc[0]), total=out["part2"].map(dict(enumerate(totals))))
+
+    up = sums.withColumn("up", F.expr(f"node div {fan}").cast("int")).groupBy("up")
+    joined = cut(up.applyInPandas(level, "node int, part int, part2 int, up int, total long"), "shard-level")
+    above = joined.select(F.col("up").alias("node"), F.col("part2").alias("part"), "total").distinct()
+    top = place_parts(above, n_shards, -(-n_nodes // fan), fan).select(F.col("node").alias("up"), F.col("part").alias("part2"), "shard")
+    return joined.join(top, ["up", "part2"]).select("node", "part", "shard")
+
+
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, bucket_groups: int = BUCKET_GROUPS, fan: int = FAN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, size, crc, shard, slot)`` for every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
     rows = cut(groups(docs, key, text), "shard-rows")
-    sums = rows.groupBy("g").agg(F.sum("size").alias("total"))
-    parts = sums.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
+    totals = cut(rows.groupBy("g").agg(F.sum("size").alias("total")), "shard-sums")
+    n_buckets = max(1, -(-totals.count() // bucket_groups))
+    parts = totals.withColumn("node", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["total", "g"], ascending=[False, True], kind="stable")
         part, _ = split_groups(pdf["total"].tolist(), n_shards)
-        return pd.DataFrame({"g": pdf["g"], "b": pdf["b"], "part": part, "total": pdf["total"]})
+        return pd.DataFrame({"g": pdf["g"], "node": pdf["node"], "part": part, "total": pdf["total"]})
 
-    dealt = cut(parts.groupBy("b").applyInPandas(bucket, "g binary, b int, part int, total long"), "shard-groups")
-    # One sum for each bucket and part: n_buckets * n_shards rows at most.
-    per: dict[int, list] = {}
-    for r in dealt.groupBy("b", "part").agg(F.sum("total").alias("t")).collect():
-        per.setdefault(r["b"], [0] * n_shards)[r["part"]] = r["t"]
-    partials = []
-    for b in sorted(per):
-        order = sorted(range(n_shards), key=lambda p: (-per[b][p], p))
-        partials.append(([per[b][p] for p in order], [[(b, p)] for p in order]))
-    _, trees = difference(partials, n_shards)
-    places = [(b, p, s) for s, tree in enumerate(trees) for leaf in members(tree) for b, p in leaf]
-    place = spark.createDataFrame(places or [(-1, -1, -1)], "b int, part int, shard int")
-    final = dealt.join(F.broadcast(place), ["b", "part"]).select("g", "shard")  # at most n_buckets * n_shards rows
+    dealt = cut(parts.groupBy("node").applyInPandas(bucket, "g binary, node int, part int, total long"), "shard-groups")
+    place = place_parts(dealt.groupBy("node", "part").agg(F.sum("total").alias("total")), n_shards, n_buckets, fan)
+    final = dealt.join(place, ["node", "part"]).select("g", "shard")
     placed = cut(rows.join(final, "g").select("k", "size", "crc", "shard"), "shard-placed")
     return number(placed).withColumnRenamed("k", key)
 
 
 def number(placed: DataFrame) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard. Rows are counted by task and shard, the
-    driver adds up tasks times shards, and each task numbers its own rows."""
+    driver adds up 8 bytes for each task and shard, and each task numbers its own rows."""
     spark = placed.sparkSession
     tagged = placed.withColumn("task", F.spark_partition_id())
-    counts = tagged.groupBy("task", "shard").agg(F.count("*").alias("n")).collect()
-    start: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r["task"], r["shard"])):
-        base[(r["task"], r["shard"])] = start.get(r["shard"], 0)
-        start[r["shard"]] = base[(r["task"], r["shard"])] + r["n"]
+    counts = tagged.groupBy("task", "shard").agg(F.count("*").alias("n")).toPandas()
+    n = np.zeros((int(counts["task"].max()) + 1, int(counts["shard"].max()) + 1) if len(counts) else (0, 0), np.int64)
+    n[counts["task"], counts["shard"]] = counts["n"]
+    base = spark.sparkContext.broadcast(np.cumsum(n, axis=0) - n)
 
     def slots(batches):
-        seen: dict[tuple[int, int], int] = {}
+        at = None
         for pdf in batches:
-            slot = pdf.groupby("shard").cumcount()
             if len(pdf):
-                t = int(pdf["task"].iloc[0])
-                offs = {s: base[(t, s)] + seen.get((t, s), 0) for s in pdf["shard"].unique().tolist()}
-                slot = slot + pdf["shard"].map(offs)
-                for s, n in pdf["shard"].value_counts().items():
-                    seen[(t, s)] = seen.get((t, s), 0) + int(n)
-            yield pd.DataFrame({"k": pdf["k"], "size": pdf["size"], "crc": pdf["crc"], "shard": pdf["shard"], "slot": slot.astype("int64")})
+                at = base.value[int(pdf["task"].iloc[0])].copy() if at is None else at
+                shard = pdf["shard"].to_numpy()
+                slot = pdf.groupby("shard").cumcount().to_numpy() + at[shard]
+                at += np.bincount(shard, minlength=len(at))
+                yield pd.DataFrame({"k": pdf["k"], "size": pdf["size"], "crc": pdf["crc"], "shard": shard, "slot": slot})
 
     return tagged.mapInPandas(slots, "k long, size long, crc long, shard int, slot long")
 

@@ -212,13 +212,13 @@ def test_quality(spark, docs):
 
 
 def test_sharding(spark, docs):
-    got = sharding.shard(frame(spark, docs), n_shards=4, n_buckets=8).toPandas()
+    got = sharding.shard(frame(spark, docs), n_shards=4, bucket_groups=20, fan=3).toPandas()
     assert len(got) == len(docs) and got.groupby("crc")["shard"].nunique().max() == 1
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     by = got.groupby("shard")["size"].sum()
     assert by.max() - by.min() <= got.groupby("crc")["size"].sum().max()
-    assert sharding.shard(frame(spark, docs).limit(0), 4, 8).count() == 0
+    assert sharding.shard(frame(spark, docs).limit(0), 4).count() == 0
 
 
 def test_components(spark):
