@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nearlight.llm.common import cut, small_batches
 
 N_SHARDS = 40
-BUCKET_GROUPS = 10_000
+BUCKET_GROUPS = 2_000
 FAN = 256
 
 
