@@ -7,10 +7,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearlight.operators.ranking import ranked
+from nearlight.session import cut, ship
+
 SILHOUETTE_ROWS = 2000
+SPLIT_ROWS = 5000  # of a cluster that its centres are fitted on
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -96,15 +100,44 @@ def bounded_kmeans(x: np.ndarray, k: int, limit: int, rounds: int = 20, seed: in
 
 
 def split_clusters(vectors: DataFrame, k: int = 3) -> DataFrame:
-    """``(id, cluster_id, label, size_limit)``: every cluster split into ``k`` bounded ones."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        limit = max_split_size(len(pdf), k)
-        lab = bounded_kmeans(np.array(pdf["vec"].tolist(), float), k, limit)
-        return pd.DataFrame({"id": pdf["id"], "cluster_id": pdf["cluster_id"], "label": lab, "size_limit": limit})
-
-    return vectors.select("id", "cluster_id", "vec").groupBy("cluster_id").applyInPandas(one, "id long, cluster_id long, label long, size_limit long")
+    """``(id, cluster_id, label, size_limit)``: every cluster split into ``k`` bounded ones.
+
+    Centres are fitted on at most ``SPLIT_ROWS`` rows of a cluster; all rows are then assigned.
+    Where a label is over the limit it keeps the rows that lose most by leaving and is closed,
+    and the others go on to their next label; ``k - 1`` rounds are enough, as ``k`` limits hold
+    all rows. Rows without cluster or vector are left out."""
+    v = vectors.select("id", "cluster_id", "vec").filter("cluster_id is not null and vec is not null")
+    first = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.xxhash64("id"), "id"))
+    ship(vectors.sparkSession)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values("id")["vec"].tolist(), float)
+        lab = bounded_kmeans(x, k, max_split_size(len(x), k))
+        centres = [x[lab == c].mean(0).tolist() for c in np.unique(lab)]
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "centres": [centres]})
+
+    centres = v.withColumn("r", first).filter(f"r <= {SPLIT_ROWS}").groupBy("cluster_id").applyInPandas(fit, "cluster_id long, centres array<array<double>>")
+    n = v.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    limit = F.when(F.ceil(1.2 * F.col("n") / k) * k < F.col("n"), F.ceil(F.col("n") / k) + 1).otherwise(F.ceil(1.2 * F.col("n") / k))
+    per = cut(centres.join(n, "cluster_id").select("cluster_id", "centres", limit.cast("long").alias("size_limit")), "split-centres")
+    gap = F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with("vec", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y).alias("d"), i.alias("label")))
+    left = v.join(per, "cluster_id").select("id", "cluster_id", "size_limit", F.array_sort(gap).alias("far"))
+    out = None
+    for _ in range(k - 1):
+        best, second = F.col("far")[0], F.get("far", F.lit(1))
+        cost = F.coalesce(best["d"] - second["d"], F.lit(float("-inf")))  # those that lose most come first
+        r = ranked(left.select("*", best["label"].alias("label"), cost.alias("cost")), ["cluster_id", "label"], ["cost", "id"])
+        r = cut(r.withColumn("full", F.col("total") > F.col("size_limit")), "split-round")
+        shut = r.filter("full").groupBy("cluster_id").agg(F.collect_set("label").alias("shut"))
+        stay = r.filter("full and rank <= size_limit").select("id", "cluster_id", F.col("label").cast("long").alias("label"), "size_limit")
+        out = stay if out is None else out.unionByName(stay)
+        if shut.isEmpty():
+            break
+        rest = r.filter("not full or rank > size_limit").join(shut, "cluster_id", "left")
+        still = F.filter("far", lambda s: ~F.array_contains(F.coalesce("shut", F.array().cast("array<int>")), s["label"]))
+        left = rest.select("id", "cluster_id", "size_limit", still.alias("far"))
+    last = left.select("id", "cluster_id", F.col("far")[0]["label"].cast("long").alias("label"), "size_limit")
+    return last if out is None else out.unionByName(last)
 
 
 def place(sizes: dict[int, int], nodes: list[int], rf: int, beam: int = 50) -> dict[int, tuple[int, ...]]:
@@ -122,3 +155,17 @@ def place(sizes: dict[int, int], nodes: list[int], rf: int, beam: int = 50) -> d
         following.sort(key=lambda s: s[:2])
         states = [(s[2], s[3]) for s in following[:beam]]
     return states[0][1]
+
+
+def silhouette_score(vectors: DataFrame) -> DataFrame:
+    """``(score, n)``: silhouette of the given clusters over at most ``SILHOUETTE_ROWS`` rows by hash of
+    the id, which is the bound of the sample that the driver sees."""
+    rows = vectors.filter("vec is not null and cluster_id is not null").orderBy(F.xxhash64("id"), "id").limit(SILHOUETTE_ROWS).select("cluster_id", "vec").collect()
+    score = silhouette(np.array([r["vec"] for r in rows], float), np.array([r["cluster_id"] for r in rows])) if rows else None
+    return vectors.sparkSession.createDataFrame([(score, len(rows))], "score double, n long")
+
+
+def sizes_with_empty(vectors: DataFrame, k: int) -> DataFrame:
+    """``(cluster_id, n)`` for the clusters 0 to ``k - 1``, those without rows included."""
+    n = vectors.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return vectors.sparkSession.range(k).withColumnRenamed("id", "cluster_id").join(n, "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearlight.functions import PHI_8, phi, quantile_exclusive
+from nearlight.functions import PHI_8, phi
+from nearlight.operators.ranking import ranked
 
 SAMPLE = 500
 FIRST_MEAN, STD_FLOOR = 3000.0, 100.0
@@ -35,11 +36,29 @@ def suspicion_value(beats: DataFrame, now_ms: float) -> DataFrame:
 
 
 def latency(samples: DataFrame, *by: str) -> DataFrame:
-    """Mean, median, exclusive p95 and p99 (the maximum where there are too few), deviation."""
-    a = samples.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.median("ms").alias("median"), F.stddev_samp("ms").alias("std"), F.max("ms").alias("most"), F.collect_list("ms").alias("v"))
-    p95 = F.when(F.col("n") < 20, F.col("most")).otherwise(quantile_exclusive("v", 0.95))
-    p99 = F.when(F.col("n") < 100, F.col("most")).otherwise(quantile_exclusive("v", 0.99))
-    return a.select(*by, "n", "mean", "median", "std", p95.alias("p95"), p99.alias("p99"))
+    """Mean, median, exclusive p95 and p99 (the maximum where there are too few), deviation.
+
+    Quantiles are picked by rank, so a group may hold any share of the rows; null ``ms`` do not count."""
+    r = ranked(samples.select(*by, "ms").filter("ms is not null"), list(by), ["ms"])
+
+    def place(p: float) -> Column:
+        return F.greatest(F.lit(1), F.least(F.floor((F.col("total") + 1) * p), F.col("total") - 1))
+
+    def at(where: Column) -> Column:
+        return F.max(F.when(F.col("rank") == where, F.col("ms")))
+
+    picks = [at(place(p) + i).alias(f"v{i}_{q}") for q, p in (("p95", 0.95), ("p99", 0.99)) for i in (0, 1)]
+    a = r.groupBy(*by).agg(
+        F.max("total").alias("n"), F.avg("ms").alias("mean"), F.stddev_samp("ms").alias("std"), F.max("ms").alias("most"),
+        F.avg(F.when(F.abs(2 * F.col("rank") - F.col("total") - 1) <= 1, F.col("ms"))).alias("median"), *picks,
+    )
+
+    def quantile(q: str, p: float, fewest: int) -> Column:
+        n = F.col("n")
+        part = (n + 1) * p - F.greatest(F.lit(1), F.least(F.floor((n + 1) * p), n - 1))
+        return F.when(n < fewest, F.col("most")).otherwise(F.col(f"v0_{q}") + part * (F.col(f"v1_{q}") - F.col(f"v0_{q}"))).alias(q)
+
+    return a.select(*by, "n", "mean", "median", "std", quantile("p95", 0.95, 20), quantile("p99", 0.99, 100))
 
 
 def server_report(samples: DataFrame) -> DataFrame:
@@ -53,3 +72,24 @@ def server_report(samples: DataFrame) -> DataFrame:
 
 def throughput(samples: DataFrame, by: str) -> DataFrame:
     return samples.groupBy(by).agg((F.count("*") / ((F.max("end_ms") - F.min("end_ms")) / 1000.0)).alias("ops"))
+
+
+def after_resets(beats: DataFrame) -> DataFrame:
+    """``(peer_id, ms, epoch, gap)`` of ``beats(peer_id, ms, reset)``: a reset begins a new history, so the
+    beat itself has no gap."""
+    w = Window.partitionBy("peer_id").orderBy("ms")
+    e = beats.withColumn("epoch", F.sum(F.col("reset").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = F.when(~F.col("reset"), F.col("ms") - F.lag("ms").over(w))
+    return e.select("peer_id", "ms", "epoch", gap.alias("gap"))
+
+
+def extremes(samples: DataFrame) -> DataFrame:
+    """Fastest and slowest server by mean, how much slower in percent, and what to say about it:
+    ``warning`` over 50, ``notice`` over 20, else ``balanced``; ties to the least server."""
+    s = samples.groupBy("server").agg(F.avg("ms").alias("mean"))
+    a = s.agg(
+        F.min_by("server", F.struct("mean", "server")).alias("fastest"), F.max_by("server", F.struct("mean", -F.col("server"))).alias("slowest"),
+        F.min("mean").alias("lo"), F.max("mean").alias("hi"),
+    ).withColumn("diff", (F.col("hi") - F.col("lo")) / F.col("lo") * 100)
+    level = F.when(F.col("diff") > 50, "warning").when(F.col("diff") > 20, "notice").otherwise("balanced")
+    return a.select("fastest", "slowest", "diff", level.alias("level"))

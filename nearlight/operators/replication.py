@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,5 +95,23 @@ def underloaded(loads: DataFrame, copies: DataFrame, me: int, limit: int) -> Dat
     return p.filter(F.col("node_id") != me).orderBy("projected", "node_id").limit(limit).select("node_id", "projected")
 
 
-def numbered_per(rows: DataFrame, part: str, order: str) -> DataFrame:
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(part).orderBy(order)))
+def distinct_peers(peers: DataFrame) -> DataFrame:
+    """One peer for each (ip, port), the least id."""
+    return peers.groupBy("ip", "port").agg(F.min("node_id").alias("node_id"))
+
+
+def replay_hints(replicas: DataFrame, hints: DataFrame, active: DataFrame) -> DataFrame:
+    """Replicas once hints for reachable nodes have arrived: the newest version of each copy, the
+    stored one of equals. ``hints`` has the columns of ``replicas``."""
+    back = hints.join(active, "node_id", "left_semi").select(*replicas.columns)
+    both = replicas.withColumn("_stored", F.lit(1)).unionByName(back.withColumn("_stored", F.lit(0)))
+    rest = [c for c in replicas.columns if c not in ("id", "node_id")]
+    best = both.groupBy("id", "node_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "node", "_stored")).alias("r"))
+    return best.select("id", "node_id", "r.*")
+
+
+def hand_out(labels: DataFrame, plan: DataFrame) -> DataFrame:
+    """Copies of split rows ``(id, cluster_id, label)`` for each node of ``plan(cluster_id, label, new_id,
+    destinations)``, under the new cluster id."""
+    new = labels.join(plan, ["cluster_id", "label"])
+    return new.select("id", F.col("new_id").alias("cluster_id"), F.explode("destinations").alias("node_id"))

@@ -5,9 +5,11 @@ lexicographically, a missing one counting as (0, 0)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearlight.operators.ranking import ranked
+
 
 def version():
     return F.struct(F.coalesce(F.col("ts"), F.lit(0.0)), F.coalesce(F.col("node"), F.lit(0)))
@@ -47,10 +49,21 @@ def remove(stored: DataFrame, ids: DataFrame) -> DataFrame:
 
 def assign_ids(rows: DataFrame, order: str, node: int, n_peers: int, part: str | None = None) -> DataFrame:
     """Ids ``counter * 10**digits + node``, the counter following ``order`` (within ``part``)."""
-    w = (Window.partitionBy(part) if part else Window.partitionBy()).orderBy(order)
-    return rows.withColumn("new_id", F.row_number().over(w).cast("long") * 10 ** len(str(n_peers)) + node)
+    r = ranked(rows, [part] if part else [], [order])
+    return r.withColumn("new_id", F.col("rank").cast("long") * 10 ** len(str(n_peers)) + node).drop("rank", "total")
 
 
 def insert_partitioned(rows: DataFrame, path: str) -> None:
     """One folder for each cluster; a read with a cluster filter touches only its folders."""
     rows.write.mode("overwrite").partitionBy("cluster_id").parquet(path)
+
+
+def prefix(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by id, or all of fewer."""
+    return rows.orderBy("id").limit(n)
+
+
+def answers_json(found: DataFrame) -> DataFrame:
+    """``(qid, answer)``: each query's hits in rank order as one JSON text."""
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"])
+    return found.groupBy("qid").agg(hits.alias("ids")).select("qid", F.to_json(F.struct("qid", "ids")).alias("answer"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearlight.functions import cosine, dot, euclid, norm
-from nearlight.operators import clustering, health, replication, search, store
+from nearlight.operators import clustering, health, ranking, replication, search, store
 from nearlight.sources import tables as t
 from nearlight.streaming import ingest
 
@@ -391,16 +390,7 @@ def throughput_by_scenario(spark, sf):
 
 @query("select id, (row_number() over (order by id) - 1) // 512 % 4 as server from vectors")
 def batches_round_robin(spark, sf):
-    v = t.vectors(spark, sf).select("id")
-    # Rows are numbered by range partition: no task holds them all.
-    tagged = v.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()).persist()
-    seen, base = 0, []
-    for r in tagged.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():
-        base.append((r["p"], seen))
-        seen += r["n"]
-    offs = F.broadcast(spark.createDataFrame(base or [(0, 0)], "p int, base long"))
-    num = tagged.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1).join(offs, "p")
-    return num.select("id", F.expr("(i + base) div 512 % 4").alias("server"))
+    return ranking.ranked(t.vectors(spark, sf).select("id"), [], ["id"]).select("id", F.expr("(rank - 1) div 512 % 4").alias("server"))
 
 
 @query("select cluster_id, count(*) as n, count(distinct label) = 3 as three, max(c) <= max(size_limit) as bounded from (select cluster_id, 1 as c, 1 as label, 1 as size_limit from vectors where false) group by 1"
@@ -433,3 +423,83 @@ def stream_lww(spark, sf):
 @query("select case when rank = 1 then 'clustered' end as state, count(*) as n from nearest where rank = 1 group by 1")
 def stream_bootstrap_cluster(spark, sf):
     return ingest.bootstrap(spark, t.vectors(spark, sf), threshold=400).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("select id, cluster_id from vectors order by id limit 100")
+def vec_prefix_scan(spark, sf):
+    return store.prefix(t.vectors(spark, sf), 100).select("id", "cluster_id")
+
+
+@query(f"""select qid, to_json({{'qid': qid, 'ids': list(id order by rank)}})::varchar as answer from (
+  select qid, id, row_number() over (partition by qid order by {_COS} desc, id) as rank from queries, vectors) where rank <= 10 group by qid""")
+def vec_answers_json(spark, sf):
+    return store.answers_json(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10))
+
+
+@query("select id, cluster_id, case when id % 3 = 0 then 2 in (id % 4, (id + 1) % 4) else exists (select 1 from placement p where p.cluster_id = v.cluster_id and p.node_id = 2) end as hold from vectors v")
+def vec_should_hold(spark, sf):
+    v = t.vectors(spark, sf)
+    stored = F.when(F.col("id") % 3 == 0, F.array(F.col("id") % 4, (F.col("id") + 1) % 4))
+    held = t.placement(v).groupBy("cluster_id").agg(F.collect_set("node_id").alias("destinations"))
+    calculated = v.select("id", "cluster_id").join(held, "cluster_id", "left")
+    return replication.should_hold(v.select("id", "cluster_id", stored.alias("destinations")), 2, calculated).select("id", "cluster_id", "hold")
+
+
+@query("select observer, peer, arg_max(op, event_id) as op from (select event_id, user_id % 8 as observer, event_id % 7 as peer, case event_id % 3 when 0 then 'block' else 'unblock' end as op from events) group by all")
+def partition_link_state(spark, sf):
+    e = t.read(spark, sf, "events")
+    op = F.when(F.col("event_id") % 3 == 0, "block").otherwise("unblock")
+    return replication.last_links(e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 8).alias("observer"), (F.col("event_id") % 7).alias("peer"), op.alias("op")))
+
+
+@query("select ip, port, min(node_id) as node_id from (select user_id::bigint as node_id, 'host' || user_id % 9 as ip, user_id % 11 as port from events) group by all")
+def peers_distinct(spark, sf):
+    e = t.read(spark, sf, "events")
+    return replication.distinct_peers(e.select(F.col("user_id").cast("long").alias("node_id"), F.concat(F.lit("host"), F.col("user_id") % 9).alias("ip"), (F.col("user_id") % 11).alias("port")))
+
+
+@query("""select id, node_id, arg_max(cluster_id, (ts, node, stored)) as cluster_id, arg_max(ts, (ts, node, stored)) as ts, arg_max(node, (ts, node, stored)) as node from (
+  select id, node_id, cluster_id, ts, node, 1 as stored from replicas
+  union all select id, node_id, i.cluster_id + 100, i.ts, i.node, 0 from (select id, cluster_id - 100 as cluster_id, ts, node from incoming) i join placement p using (cluster_id) where p.node_id in (select node_id from active)
+) group by all""")
+def hints_replay(spark, sf):
+    hints = t.incoming(spark, sf).withColumn("home", F.col("cluster_id") - 100).join(t.placement(t.vectors(spark, sf)).withColumnRenamed("cluster_id", "home"), "home")
+    stored = t.replicas(spark, sf).select("id", "node_id", "cluster_id", "ts", "node")
+    return replication.replay_hints(stored, hints, t.active(spark))
+
+
+@query("select id, 1000 + cluster_id * 3 + id % 3 as cluster_id, unnest([(cluster_id + id % 3) % 8, (cluster_id + id % 3 + 4) % 8]) as node_id from vectors")
+def split_hand_out(spark, sf):
+    v = t.vectors(spark, sf)
+    c, l = F.col("cluster_id"), F.col("label")
+    plan = v.select("cluster_id").distinct().select("cluster_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("label"))
+    plan = plan.select("cluster_id", "label", (1000 + c * 3 + l).alias("new_id"), F.array((c + l) % 8, (c + l + 4) % 8).alias("destinations"))
+    return replication.hand_out(v.select("id", "cluster_id", (F.col("id") % 3).alias("label")), plan)
+
+
+@query("""select peer_id, ms, epoch, round(case when not reset then ms - prev end, 3) as gap from (
+  select *, lag(ms) over w as prev, sum(reset::bigint) over (w rows between unbounded preceding and current row)::bigint as epoch
+  from (select user_id::bigint as peer_id, epoch_us(ts::timestamp) / 1000.0 as ms, event_id % 20 = 0 as reset from events) window w as (partition by peer_id order by ms))""")
+def heartbeat_after_reset(spark, sf):
+    e = t.read(spark, sf, "events")
+    beats = e.select(F.col("user_id").cast("long").alias("peer_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ms"), (F.col("event_id") % 20 == 0).alias("reset"))
+    return health.after_resets(beats).select("peer_id", "ms", "epoch", F.round("gap", 3).alias("gap"))
+
+
+@query("""select fastest, slowest, round(diff, 6) as diff, case when diff > 50 then 'warning' when diff > 20 then 'notice' else 'balanced' end as level from (
+  select arg_min(server, (mean, server)) as fastest, arg_max(server, (mean, -server)) as slowest, (max(mean) - min(mean)) / min(mean) * 100 as diff
+  from (select server, avg(ms) as mean from samples group by 1))""")
+def server_extremes(spark, sf):
+    return _r(health.extremes(t.latencies(spark, sf)), "diff")
+
+
+@query("select i as cluster_id, coalesce(n, 0)::bigint as n from (select unnest(range(12)) as i) left join (select cluster_id, count(*) as n from vectors group by 1) on cluster_id = i")
+def cluster_sizes_with_empty(spark, sf):
+    return clustering.sizes_with_empty(t.vectors(spark, sf), 12)
+
+
+@query(""", d as (select a.id, a.cluster_id as c, b.cluster_id as o, sum(list_distance(a.vec, b.vec)) as s, count(*) as n from vectors a, vectors b group by all),
+e as (select id, max(case when c = o then s / greatest(n - 1, 1) end) as a, max(case when c = o then n end) as own, min(case when c <> o then s / n end) as b from d group by id)
+select round(avg(case when own > 1 then (b - a) / greatest(a, b) else 0 end), 6) as score, count(*) as n from e""")
+def silhouette_by_label(spark, sf):
+    return _r(clustering.silhouette_score(t.vectors(spark, sf)), "score")

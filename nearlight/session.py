@@ -1,13 +1,14 @@
-"""Sending the package's sources to executors that do not have it installed."""
+"""Durable folders, and the package's sources for executors that do not have it installed."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,16 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; a private one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearlight-")
+    return f"{base.rstrip('/')}/nearlight/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a durable folder and read it back: lineage ends here."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearlight.operators import clustering, search, store
-
-
-def _dir(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearlight-")
-    return f"{base.rstrip('/')}/nearlight/{name}-{uuid.uuid4().hex}"
+from nearlight.session import work_dir
 
 
 class Snapshots:
@@ -49,17 +42,17 @@ def upsert_stream(spark: SparkSession, source: str, schema, path: str, checkpoin
 
 def replay(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     """The batches as a stream, one file each, and the table that they leave."""
-    source, path = _dir(spark, "stream-source"), _dir(spark, "stream-table")
+    source, path = work_dir(spark, "stream-source"), work_dir(spark, "stream-table")
     for b in batches:
         b.coalesce(1).write.mode("append").parquet(source)
-    n = upsert_stream(spark, source, batches[0].schema, path, _dir(spark, "stream-checkpoint"))
+    n = upsert_stream(spark, source, batches[0].schema, path, work_dir(spark, "stream-checkpoint"))
     return spark.read.schema(batches[0].schema).parquet(f"{path}/{n - 1}")
 
 
 def bootstrap(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
     """Rows are buffered until ``threshold`` of them have come; then clusters are learned once
     and buffered and later rows go to their nearest. Adds ``state`` and ``cluster_id``."""
-    source, path = _dir(spark, "boot-source"), _dir(spark, "boot-table")
+    source, path = work_dir(spark, "boot-source"), work_dir(spark, "boot-table")
     rows.repartitionByRange(4, "id").write.parquet(source)
     schema = rows.select("id", "vec", "cluster_id").schema
     done: dict = {}
@@ -81,5 +74,5 @@ def bootstrap(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame
         done["last"] = number
 
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*schema.names)
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", _dir(spark, "boot-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", work_dir(spark, "boot-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/{done['last']}")

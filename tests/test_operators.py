@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearlight.functions import cosine, phi, quantile_exclusive
-from nearlight.operators import clustering, replication, search, store
+from nearlight.operators import clustering, health, ranking, replication, search, store
 
 
 def test_cosine_of_zero_is_zero(spark):
@@ -67,3 +67,42 @@ def test_placement_gives_every_cluster_its_replicas():
 def test_delete_keeps_null(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "id long, cluster_id long")
     assert sorted(r["id"] for r in store.delete_where(df, F.col("cluster_id") == 5).collect()) == [2, 3]
+
+
+def test_ranks_with_nulls_ties_and_an_empty_table(spark):
+    rows = [(1, "a", 3), (2, "a", 1), (3, None, 5), (4, None, 5), (5, "b", None), (6, "a", 2)]
+    df = spark.createDataFrame(rows, "id long, g string, x long")
+    got = {r["id"]: (r["rank"], r["total"]) for r in ranking.ranked(df, ["g"], ["x", "id"]).collect()}
+    assert got == {1: (3, 3), 2: (1, 3), 6: (2, 3), 3: (1, 2), 4: (2, 2), 5: (1, 1)}
+    assert [r["rank"] for r in ranking.ranked(df, [], ["id"]).orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
+    assert ranking.ranked(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_latency_of_few_and_many(spark):
+    import statistics
+
+    many = [float(x * x % 101) for x in range(150)]
+    df = spark.createDataFrame([("many", x) for x in many] + [("few", 4.0), ("few", 2.0), ("few", None)], "op string, ms double")
+    got = {r["op"]: r for r in health.latency(df, "op").collect()}
+    cut = statistics.quantiles(many, n=100)
+    assert math.isclose(got["many"]["p95"], cut[94]) and math.isclose(got["many"]["p99"], cut[98])
+    assert math.isclose(got["many"]["median"], statistics.median(many))
+    assert (got["few"]["n"], got["few"]["median"], got["few"]["p95"]) == (2, 3.0, 4.0)
+
+
+def test_split_keeps_every_row_and_the_bound(spark):
+    rng = np.random.default_rng(5)
+    near, far = rng.normal(size=(90, 2)), rng.normal(size=(6, 2)) + 50
+    rows = [(i, 0, x.tolist()) for i, x in enumerate(np.concatenate([near, far]))] + [(200, 1, [1.0, 2.0]), (201, 2, None), (202, None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, cluster_id long, vec array<double>")
+    got = clustering.split_clusters(df, 3).toPandas()
+    assert sorted(got["id"]) == [*range(96), 200]
+    assert got.groupby(["cluster_id", "label"]).size().max() <= clustering.max_split_size(96, 3)
+
+
+def test_replayed_hints_lose_to_equal_versions(spark):
+    schema = "id long, node_id long, cluster_id long, ts double, node long"
+    stored = spark.createDataFrame([(1, 0, 5, 1.0, 0), (2, 0, 5, 1.0, 0)], schema)
+    hints = spark.createDataFrame([(1, 0, 6, 1.0, 0), (2, 0, 6, 2.0, 0), (3, 0, 6, 1.0, 0), (4, 1, 6, 1.0, 0)], schema)
+    got = replication.replay_hints(stored, hints, spark.createDataFrame([(0,)], "node_id long"))
+    assert {r["id"]: r["cluster_id"] for r in got.collect()} == {1: 5, 2: 6, 3: 6}
