@@ -109,8 +109,8 @@ class Shingler:
 
 def signature(x: np.ndarray) -> int:
     """A signed 64-bit name for a set."""
-    v = np.add.reduce(mix(x * np.uint64(0xD6E8FEB86659FD93) + _K))
-    return int(mix(np.array([v + np.uint64(len(x)) * _K], np.uint64)).view(np.int64)[0])
+    v = np.add.reduce(mix(x * np.uint64(0xD6E8FEB86659FD93) + _K), keepdims=True)
+    return int(mix(v + np.array([len(x)], np.uint64) * _K).view(np.int64)[0])
 
 
 _shinglers: dict = {}
