@@ -15,6 +15,7 @@ from nearlight.session import cut, ship
 
 SILHOUETTE_ROWS = 2000
 SPLIT_ROWS = 5000  # of a cluster that its centres are fitted on
+TILE = 1024  # rows that are compared at a time
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -26,17 +27,24 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 def silhouette(x: np.ndarray, lab: np.ndarray) -> float:
     """Mean Euclidean silhouette."""
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0))
     ks, inv, cnt = np.unique(lab, return_inverse=True, return_counts=True)
-    if len(ks) < 2:
-        return -1.0
-    sums = np.stack([d[:, inv == k].sum(1) for k in range(len(ks))], 1)
-    own = sums[np.arange(len(x)), inv] / np.maximum(cnt[inv] - 1, 1)
+    d = distances(x, x)
+    return float(silhouettes(np.stack([d[:, inv == k].sum(1) for k in range(len(ks))], 1), cnt, inv).mean())
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def silhouettes(sums: np.ndarray, cnt: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    """Of each row, from its sums of distances to the ``cnt`` rows of every cluster; ``inv`` is its own."""
+    if len(cnt) < 2:
+        return np.full(len(inv), -1.0)
+    own = sums[np.arange(len(inv)), inv] / np.maximum(cnt[inv] - 1, 1)
     other = sums / cnt
-    other[np.arange(len(x)), inv] = np.inf
+    other[np.arange(len(inv)), inv] = np.inf
     b = other.min(1)
-    s = np.where(cnt[inv] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-300), 0)
-    return float(s.mean())
+    return np.where(cnt[inv] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-300), 0)
 
 
 def choose_k(vectors: DataFrame, min_k: int = 5, max_k: int = 30, seed: int = 42) -> tuple[DataFrame, int]:
@@ -158,11 +166,61 @@ def place(sizes: dict[int, int], nodes: list[int], rf: int, beam: int = 50) -> d
 
 
 def silhouette_score(vectors: DataFrame) -> DataFrame:
-    """``(score, n)``: silhouette of the given clusters over at most ``SILHOUETTE_ROWS`` rows by hash of
-    the id, which is the bound of the sample that the driver sees."""
-    rows = vectors.filter("vec is not null and cluster_id is not null").orderBy(F.xxhash64("id"), "id").limit(SILHOUETTE_ROWS).select("cluster_id", "vec").collect()
-    score = silhouette(np.array([r["vec"] for r in rows], float), np.array([r["cluster_id"] for r in rows])) if rows else None
-    return vectors.sparkSession.createDataFrame([(score, len(rows))], "score double, n long")
+    """``(score, n)``: mean Euclidean silhouette of the given clusters, every row against all rows.
+
+    Rows lie in tiles of at most ``TILE`` by cluster. A pair of tiles gives each row of either its sums
+    of distances to the other's rows by cluster; a tile's sums are then added up."""
+    spark = vectors.sparkSession
+    ship(spark)
+
+    def lay(batches):
+        from pyspark import TaskContext
+
+        base, n, held = TaskContext.get().partitionId() << 32, 0, None
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None:
+                held = pdf if held is None else pd.concat([held, pdf])
+            while held is not None and len(held) >= (TILE if pdf is not None else 1):
+                t, held = held[:TILE], held[TILE:]
+                x = np.array(t["vec"].tolist(), float)
+                yield pd.DataFrame({"tile": [base + n], "labels": [t["cluster_id"].to_numpy(np.int64).tobytes()], "vecs": [x.tobytes()]})
+                n += 1
+
+    def measure(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                la, lb = np.frombuffer(r.labels, np.int64), np.frombuffer(r.labels2, np.int64)
+                d = distances(np.frombuffer(r.vecs).reshape(len(la), -1), np.frombuffer(r.vecs2).reshape(len(lb), -1))
+                if r.tile == r.tile2:
+                    np.fill_diagonal(d, 0)
+                for tile, to, m in [(r.tile, lb, d), (r.tile2, la, d.T)][: 1 + (r.tile != r.tile2)]:
+                    ks, at, cnt = np.unique(to, return_index=True, return_counts=True)  # a tile is in the order of its clusters
+                    sums = [x.tobytes() for x in np.add.reduceat(m, at, axis=1).T]
+                    yield pd.DataFrame({"tile": tile, "cluster_id": ks, "n": cnt, "sums": sums, "labels": [r.labels if r.tile == r.tile2 else None] * len(ks)})
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        ks, which = np.unique(pdf["cluster_id"], return_inverse=True)
+        lab = np.frombuffer(pdf["labels"].dropna().iloc[0], np.int64)
+        sums, cnt = np.zeros((len(ks), len(lab))), np.zeros(len(ks), np.int64)
+        for k, n, x in zip(which, pdf["n"], pdf["sums"]):
+            sums[k] += np.frombuffer(x)
+            cnt[k] += n
+        return pd.DataFrame({"s": [silhouettes(sums.T, cnt, np.searchsorted(ks, lab)).sum()], "n": [len(lab)]})
+
+    v = vectors.filter("vec is not null and cluster_id is not null").select("cluster_id", "id", F.col("vec").cast("array<double>").alias("vec"))
+    order = v.repartitionByRange("cluster_id", "id").sortWithinPartitions("cluster_id", "id").select("cluster_id", "vec")
+    laid = order.mapInPandas(lay, "tile long, labels binary, vecs binary")
+    laid = cut(laid.repartition(spark.sparkContext.defaultParallelism), "silhouette-tiles")
+    other = laid.select(F.col("tile").alias("tile2"), F.col("labels").alias("labels2"), F.col("vecs").alias("vecs2"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 1)  # a pair of tiles is large
+    try:
+        sums = cut(laid.join(other, F.col("tile") <= F.col("tile2")).mapInPandas(measure, "tile long, cluster_id long, n long, sums binary, labels binary"), "silhouette-sums")
+    finally:
+        spark.conf.set(size, before)
+    per = sums.groupBy("tile").applyInPandas(score, "s double, n long")
+    return per.agg((F.sum("s") / F.sum("n")).alias("score"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def sizes_with_empty(vectors: DataFrame, k: int) -> DataFrame:

@@ -106,3 +106,22 @@ def test_replayed_hints_lose_to_equal_versions(spark):
     hints = spark.createDataFrame([(1, 0, 6, 1.0, 0), (2, 0, 6, 2.0, 0), (3, 0, 6, 1.0, 0), (4, 1, 6, 1.0, 0)], schema)
     got = replication.replay_hints(stored, hints, spark.createDataFrame([(0,)], "node_id long"))
     assert {r["id"]: r["cluster_id"] for r in got.collect()} == {1: 5, 2: 6, 3: 6}
+
+
+def test_silhouette_takes_every_row(spark):
+    rng = np.random.default_rng(8)
+    lab = rng.choice([-3, 0, 7, 9], 2500, p=[0.2, 0.6, 0.1, 0.1])
+    lab[17] = 50  # alone in its cluster
+    x = rng.normal(size=(2500, 3)) + lab[:, None] / 5
+    rows = [(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(lab, x))] + [(3000, None, [0.0] * 3), (3001, 0, None)]
+    df = spark.createDataFrame(rows, "id long, cluster_id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(lab):
+        mean = {k: d[i, lab == k].sum() / max((lab == k).sum() - (k == c), 1) for k in set(lab)}
+        a, b = mean[c], min(m for k, m in mean.items() if k != c)
+        want.append((b - a) / max(a, b) if (lab == c).sum() > 1 else 0)
+    got = clustering.silhouette_score(df).first()
+    assert got["n"] == 2500 and math.isclose(got["score"], np.mean(want), abs_tol=1e-9)
+    assert tuple(clustering.silhouette_score(df.limit(0)).first()) == (None, 0)
+    assert clustering.silhouette_score(df.filter("cluster_id = 7")).first()["score"] == -1
