@@ -1,8 +1,9 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling.
 
-A text is its dummy space and itself, cut before every space and line end into units; no piece
-reaches over such a cut (pieces with an inner space mark are left out, and none holds a line end), so the lattice of a text is the chain
-of its units' lattices, and sampling each unit is sampling the text. All distinct units of a
+A text is its dummy space and itself, cut into units before every line end and every space that does
+not follow a space; no piece reaches over such a cut (inside a piece a space mark only follows a space
+mark, which is checked, and none holds a line end), so the lattice of a text is the chain of its units'
+lattices, and sampling each unit is sampling the text. All distinct units of a
 batch are filtered together: for every end position, in ascending order, the log-sum over the
 pieces that end there. Every occurrence then walks back from its end, drawing pieces by their
 share of that sum. The draws come from a counter-based generator over the row's key, the unit's
@@ -20,6 +21,7 @@ text without any space is one unit, filtered like the others.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -33,6 +35,7 @@ from nearlight.llm.common import chunks, small_batches
 THETA = 1.0
 SEED = 20
 MARK = "▁"
+UNIT = re.compile("\n[^ \n]*| +[^ \n]*")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +54,15 @@ def uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     return (_mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def units(text: str) -> list[str]:
+    """The units of a text, each without its first space."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text:
+        return text.replace("\n", " \n").split(" ")
+    return [u[1:] if u[0] == " " else u for u in UNIT.findall(" " + text)]
+
+
 class Numbers(dict):
     """Numbers of units in order of first sight."""
 
@@ -88,8 +100,8 @@ class Sampler:
                 continue
             raw = piece.replace(MARK, " ").encode()
             surface.append(raw)
-            if MARK in piece[1:]:
-                continue
+            if re.search(b"(?s:.)\\n|[^ ] ", raw):
+                raise ValueError(f"piece {i} reaches over a cut between units")
             logp[i] = -theta * np.log(8 - sp.get_score(i))
             by_len.setdefault(len(raw), []).append((raw, i))
             if len(piece) == 1:
@@ -199,13 +211,13 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and their number for each text."""
-        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        cut = [units(t) for t in texts]
         per = np.array([len(p) for p in cut], np.int64)
         number = Numbers()
         unit = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
         if not len(unit):
             return np.zeros(0, np.int64), per
-        # A unit begins with its space or, where the text has one, with its line end.
+        # A unit begins with its first space or, where the text has one, with its line end.
         edge0, piece, start, share, node0, node1 = self.lattice([u if u[:1] == "\n" else " " + u for u in number])
         key = np.repeat(keys.astype(np.int64).view(np.uint64) ^ self.seed, per)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(per) - per, per)

@@ -162,6 +162,35 @@ def test_pieces(spark, docs):
     assert a == {r["doc_id"]: r["ids_crc32"] for r in piece_sampling.digest(df.repartition(7), path).collect()}
 
 
+@pytest.mark.parametrize("text", ["   a  b", "of    it\n  \n   x ", " ", " \n" + " " * 7, "a b\nc"])
+def test_pieces_follow_the_enumerated_distribution(text):
+    import public_tokenizers as P
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    vocab = {sp.id_to_piece(i).replace("▁", " "): (i, 1 / (8 - sp.get_score(i))) for i in plain}
+    feed = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i) and sp.id_to_piece(i) == "<0x0A>")
+    vocab["\n"] = (feed, 1 / (8 + sp.get_piece_size()))
+
+    def ways(rest):
+        if not rest:
+            return [((), 1.0)]
+        heads = [(rest[n:], *vocab[rest[:n]]) for n in range(1, len(rest) + 1) if rest[:n] in vocab]
+        return [((i, *ids), w * v) for after, i, w in heads for ids, v in ways(after)]
+
+    want = dict(ways(" " + text))
+    total, n = sum(want.values()), 40_000
+    ids, counts = piece_sampling.sampler(path).sample([text] * n, np.arange(n))
+    got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1]))
+    assert set(got) <= set(want)
+    for way, w in want.items():
+        p = w / total
+        assert abs(got[way] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 5
+    assert any(set(sp.id_to_piece(i)) == {"▁"} and len(sp.id_to_piece(i)) > 1 for way in got for i in way) == ("  " in " " + text)
+
+
 def shingles(t, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
