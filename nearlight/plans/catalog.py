@@ -411,7 +411,7 @@ def beam_placement(spark, sf):
 
 @query()
 def kmeans_select_k(spark, sf):
-    out, _ = clustering.choose_k(t.vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>")), 5, 12)
+    out, _ = clustering.choose_k(t.vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>")))
     return out
 
 

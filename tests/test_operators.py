@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearlight.functions import cosine, phi, quantile_exclusive
 from nearlight.operators import clustering, health, ranking, replication, search, store
+from nearlight.plans import catalog
 
 
 def test_cosine_of_zero_is_zero(spark):
@@ -125,3 +126,14 @@ def test_silhouette_takes_every_row(spark):
     assert got["n"] == 2500 and math.isclose(got["score"], np.mean(want), abs_tol=1e-9)
     assert tuple(clustering.silhouette_score(df.limit(0)).first()) == (None, 0)
     assert clustering.silhouette_score(df.filter("cluster_id = 7")).first()["score"] == -1
+
+
+def test_select_k_finds_more_than_twelve_clusters(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    lab = np.arange(16 * 25) % 16
+    x = np.eye(16)[lab] * 10 + rng.normal(size=(400, 16)) / 100
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["cluster_id"] for r in catalog.QUERIES["kmeans_select_k"](spark, str(tmp_path)).collect()}
+    assert len(got) == 400 and len(set(got.values())) > 12
+    assert len({(lab[i], c) for i, c in got.items()}) == 16 == len(set(got.values()))
