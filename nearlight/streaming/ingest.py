@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearlight.operators import clustering, search, store
-from nearlight.session import work_dir
+from nearlight.session import cut, work_dir
 
 
 class Snapshots:
@@ -49,28 +49,51 @@ def replay(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     return spark.read.schema(batches[0].schema).parquet(f"{path}/{n - 1}")
 
 
+#: Vectors that clusters can be learned from.
+USABLE = "vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+
+
+def learn(buffer: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """K-means with chosen k over the usable vectors of the commonest length: ``(id, cluster_id)``
+    of these and the centroids; None where there are none."""
+    good = buffer.filter(USABLE).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    size = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if size is None:
+        return None
+    good = good.filter(F.size("vec") == size["d"])
+    labels = cut(clustering.choose_k(good)[0], "boot-labels")
+    return labels, clustering.centroids(good.join(labels, "id"))
+
+
 def bootstrap(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
-    """Rows are buffered until ``threshold`` of them have come; then clusters are learned once
-    and buffered and later rows go to their nearest. Adds ``state`` and ``cluster_id``."""
+    """Rows are buffered until ``threshold`` of them have come; then clusters are learned from the
+    buffer once, whatever ``cluster_id`` its rows bring. Buffered rows take their K-means cluster,
+    later rows the nearest one, and rows without a usable vector -1. Adds ``state`` and ``cluster_id``."""
     source, path = work_dir(spark, "boot-source"), work_dir(spark, "boot-table")
     rows.repartitionByRange(4, "id").write.parquet(source)
     schema = rows.select("id", "vec", "cluster_id").schema
     done: dict = {}
 
+    def clustered(found: DataFrame, into: DataFrame) -> DataFrame:
+        joined = found.drop("cluster_id").join(into.select("id", "cluster_id"), "id", "left")
+        return joined.select("id", "vec", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), F.lit("clustered").alias("state"))
+
     def batch(new: DataFrame, number: int) -> None:
-        all_ = new.select("id", "vec", "cluster_id")
-        if number:
-            all_ = all_.unionByName(spark.read.parquet(f"{path}/{number - 1}").select("id", "vec", "cluster_id"))
-        if "clusters" not in done and all_.count() >= threshold:
-            done["clusters"] = clustering.centroids(all_)
-            done["clusters"].write.mode("overwrite").parquet(f"{path}-clusters")
+        new = new.select("id", "vec", "cluster_id")
+        before = spark.read.parquet(f"{path}/{number - 1}") if number else None
+        learned = None
         if "clusters" in done:
-            cents = spark.read.parquet(f"{path}-clusters")
-            near = search.nearest_clusters(all_, cents, 1).select("id", F.col("cluster_id").alias("c"))
-            out = all_.join(near, "id").select("id", "vec", F.col("c").alias("cluster_id"), F.lit("clustered").alias("state"))
+            near = search.nearest_clusters(new.filter(USABLE), spark.read.parquet(done["clusters"]), 1)
+            out = before.unionByName(clustered(new, near))
         else:
-            out = all_.withColumn("state", F.lit("bootstrap"))
+            buffer = cut(new if before is None else new.unionByName(before.drop("state")), "boot-buffer")
+            learned = learn(buffer) if buffer.count() >= threshold else None
+            if learned:
+                learned[1].write.mode("overwrite").parquet(f"{path}-clusters")
+            out = clustered(buffer, learned[0]) if learned else buffer.withColumn("state", F.lit("bootstrap"))
         out.write.mode("overwrite").parquet(f"{path}/{number}")
+        if learned:
+            done["clusters"] = f"{path}-clusters"  # only now: a batch that is sent again learns again
         done["last"] = number
 
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*schema.names)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearlight.functions import cosine, phi, quantile_exclusive
 from nearlight.operators import clustering, health, ranking, replication, search, store
 from nearlight.plans import catalog
+from nearlight.streaming import ingest
 
 
 def test_cosine_of_zero_is_zero(spark):
@@ -137,3 +138,17 @@ def test_select_k_finds_more_than_twelve_clusters(spark, tmp_path):
     got = {r["id"]: r["cluster_id"] for r in catalog.QUERIES["kmeans_select_k"](spark, str(tmp_path)).collect()}
     assert len(got) == 400 and len(set(got.values())) > 12
     assert len({(lab[i], c) for i, c in got.items()}) == 16 == len(set(got.values()))
+
+
+def test_bootstrap_learns_its_clusters_and_keeps_every_row(spark):
+    rng = np.random.default_rng(6)
+    lab = np.arange(40) % 5
+    x = np.eye(5)[lab] + rng.normal(size=(40, 5)) / 1000
+    odd = {3: None, 7: [1.0], 33: None, 38: [1.0, 2.0]}
+    df = spark.createDataFrame([(i, odd.get(i, v.tolist()), -1) for i, v in enumerate(x)], "id long, vec array<double>, cluster_id long")
+    got = {r["id"]: r for r in ingest.bootstrap(spark, df, 20).collect()}
+    assert sorted(got) == [*range(40)] and {r["state"] for r in got.values()} == {"clustered"}
+    assert {i for i, r in got.items() if r["cluster_id"] == -1} == set(odd)
+    assert len({(lab[i], r["cluster_id"]) for i, r in got.items() if i not in odd}) == 5 == len({r["cluster_id"] for r in got.values()} - {-1})
+    waiting = ingest.bootstrap(spark, df, 41).collect()
+    assert len(waiting) == 40 and {r["state"] for r in waiting} == {"bootstrap"}
