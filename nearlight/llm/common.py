@@ -3,87 +3,45 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearlight import session
+from nearlight.session import cut, drop_path, kept_dir, ship, work_dir  # noqa: F401
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="nearlight-src-"), "nearlight_src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a private one only where that is unset."""
-    ship(spark)
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("nearlight.work.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="nearlight-")
-        spark.conf.set("nearlight.work.dir", base)
-    return f"{base.rstrip('/')}/nearlight/{name}-{uuid.uuid4().hex}"
-
-
-_scopes: list[list[str]] = []
+NO_KEY = -(1 << 63)  # stands for a null key inside
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables that are cut inside are removed at the end, and the shuffles behind them let go."""
-    _scopes.append([])
-    try:
+    """As :func:`nearlight.session.scratch`; batch sizes set inside are put back at the end, small
+    shuffles end in few tasks and files, and what is behind removed tables is let go."""
+    with session.scratch(spark), session.settings(spark, rows=10_000, bytes=64 << 20, spread="false"):
         yield
-    finally:
-        for path in _scopes.pop():
-            drop_path(spark, path)
-        gc.collect()
-        spark._jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and any executor
-    can be lost afterwards without recomputing what came before. With ``keep`` the table
-    outlives the :func:`scratch` around it."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep Arrow batches small until the end of the :func:`scratch` around: texts are long, and
+    several arrays of 8 bytes a byte follow."""
+    ship(spark)
+    spark.conf.set(session.SETTINGS["rows"], str(rows))
+    spark.conf.set(session.SETTINGS["bytes"], str(8 << 20))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system API, whatever store holds it."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def key_column(key: str):
+    """The key as a long that is never null: pandas would turn a column with nulls to doubles, which
+    hold no long above 2**53. :func:`null_key` undoes it."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small: texts are long, and several arrays of 8 bytes a byte follow."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def null_key(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("k", F.nullif("k", F.lit(NO_KEY))).withColumnRenamed("k", key)
 
 
 def chunks(texts: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -164,6 +122,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return total
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, on arrays."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
