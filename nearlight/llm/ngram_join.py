@@ -2,9 +2,11 @@
 
 Set relations are used at two levels. Index level: shingles are put in one global order, rare
 first (counts from a sketch of fixed size over all documents), and only the prefix of a set
-that any linked set must meet is indexed. Index lists are kept in order of set size and cut
-into blocks where sizes can no longer link, so whole blocks are skipped; sets that are equal
-are one class, and lists with equal members are one list. Answer level: in each block the
+that any linked set must meet is indexed, each shingle with its position. Index lists are kept in
+order of set size and of position and cut into blocks where sizes can no longer link or positions
+lie too far apart (before a common shingle two sets differ at least by the difference of its
+positions), so whole blocks are skipped; sets that are equal are one class, and lists with equal
+members are one list. Answer level: in each block the
 first set is the leader and is compared with all members, once for each pair of sets; members
 of a block that the leader's answers have joined need no comparison with each other. Blocks that
 still span components get their most central member as a further leader. Before sets
@@ -16,26 +18,30 @@ the set before it by the shingles in which the two differ.
 No link between components is lost: every pair of linked sets meets in a block, and each pair
 of a block is either in one component or compared. Sets travel only for classes that meet
 another one, a hot leader's members are dealt to many tasks, and nothing but a sketch of fixed
-size and a bitmap of fixed size reaches the driver.
+size and a bitmap of bounded size reaches the driver.
 
 Defined cases: null texts and texts without words have size 0 and link with nothing; with
 fewer words than ``N`` the whole sequence is the one shingle; repeated rows and equal texts
-link; an empty table gives an empty result; other columns are not read. Equality of shingles is
+link; rows with a null key take part but never name a component (one of such rows only has a null
+name); an empty table gives an empty result; other columns are not read. Equality of shingles is
 equality of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, components, cut, scratch, small_batches, spanning
+from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, key_column, mix, null_key, scratch, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
-BITMAP = 1 << 25  # bits
+BITMAP = (16, 28)  # least and most bits of the prefilter's names; it has 16 for each wanted set
+LONG = 1 << 22  # bytes of a text that are hashed together
 CHUNK = 1 << 19  # bytes of text that are hashed together
 HUB_ROUNDS = 1  # further leaders before what is left is compared by families
 TILE_SHINGLES = 500_000  # of the sets that a task holds on either side
@@ -44,10 +50,7 @@ BLOCK = 512  # members of a leader that one task compares
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_BLANK = re.compile(rb"[\x09-\x0D\x20]")
 
 
 class Shingler:
@@ -72,6 +75,12 @@ class Shingler:
 
     def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts in a row, and each text's number of words."""
+        if len(raw) == 1 and len(raw[0]) > LONG:
+            cuts = [0]
+            while len(raw[0]) - cuts[-1] > LONG and (m := _BLANK.search(raw[0], cuts[-1] + LONG)):
+                cuts.append(m.end())
+            got = [self.words([raw[0][a:b], b""])[0] for a, b in zip(cuts, [*cuts[1:], len(raw[0])])]
+            return np.concatenate(got), np.array([sum(map(len, got))])
         size = np.array([len(r) + 1 for r in raw], np.int64)
         buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         self._powers(len(buf) + 1)
@@ -204,7 +213,7 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def index_entries(rows: DataFrame, n: int, percent: int, classes: np.ndarray, n_buckets: int) -> DataFrame:
-    """``(b, body)``: packed prefix entries (shingle, class, size) by bucket of the shingle."""
+    """``(b, body)``: packed prefix entries (shingle, size, position, class) by bucket of the shingle."""
     held = rows.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
     def run(batches):
@@ -215,6 +224,7 @@ def index_entries(rows: DataFrame, n: int, percent: int, classes: np.ndarray, n_
         def flush():
             h, sig = np.concatenate(hs), np.repeat(np.array(sigs, np.int64), [len(x) for x in hs])
             size = np.repeat(np.array(sizes, np.int32), [len(x) for x in hs])
+            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in hs])
             b = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[by], np.arange(n_buckets + 1))
@@ -223,7 +233,7 @@ def index_entries(rows: DataFrame, n: int, percent: int, classes: np.ndarray, n_
             for k in range(n_buckets):
                 t = by[cuts[k] : cuts[k + 1]]
                 if len(t):
-                    out.append((k, blob(low[t]) + blob(size[t]) + blob(sig[t])))
+                    out.append((k, blob(low[t]) + blob(size[t]) + blob(place[t]) + blob(sig[t])))
             return pd.DataFrame(out, columns=["b", "body"])
 
         for _, sets in _sets(batches, n):
@@ -251,28 +261,35 @@ def index_entries(rows: DataFrame, n: int, percent: int, classes: np.ndarray, n_
 
 
 def blocks(entries: DataFrame, percent: int) -> DataFrame:
-    """Lists of equal shingles, by size, cut where sizes can no longer link.
+    """Lists of equal shingles, cut where sizes can no longer link or positions are too far apart.
 
     Rows ``(a, c, block)``: leader ``a`` and member ``c``; ``block`` names a block of three or more
     (those of two are settled by their leader), null for the leader's pair itself."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs, sizes, sigs = [], [], []
+        parts: list = [[], [], [], []]
         for body in pdf["body"]:
-            m = len(body) // 16
-            hs.append(np.frombuffer(body, np.uint32, m))
-            sizes.append(np.frombuffer(body, np.int32, m, 4 * m))
-            sigs.append(np.frombuffer(body, np.int64, m, 8 * m))
-        h, size, sig = np.concatenate(hs), np.concatenate(sizes), np.concatenate(sigs)
+            m = len(body) // 20
+            for x, kind, at in zip(parts, (np.uint32, np.int32, np.int32, np.int64), (0, 4, 8, 12)):
+                x.append(np.frombuffer(body, kind, m, at * m))
+        h, size, place, sig = [np.concatenate(x) for x in parts]
         order = np.lexsort((sig, size, h))
-        h, size, sig = h[order], size[order], sig[order]
         first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])  # one class from many tasks
-        t = np.flatnonzero(first)
-        h, size, sig = h[t], size[t], sig[t]
+        first[1:] = (h[order[1:]] != h[order[:-1]]) | (sig[order[1:]] != sig[order[:-1]])  # one class from many tasks
+        t = order[np.flatnonzero(first)]
+        h, size, place, sig = h[t], size[t], place[t], sig[t]
         fresh = np.ones(len(h), bool)
         # Sizes ascend: where the next is out of reach of this one, nothing later reaches back.
         fresh[1:] = (h[1:] != h[:-1]) | (100 * size[:-1].astype(np.int64) < percent * size[1:].astype(np.int64))
+        run = np.cumsum(fresh) - 1
+        most = size[np.append(np.flatnonzero(fresh)[1:], len(h)) - 1].astype(np.int64)
+        by = np.lexsort((place, run))
+        # So with positions, which may differ by what two of the run's largest sets may.
+        fresh[1:] |= (100 + percent) * np.diff(place[by].astype(np.int64)) > 2 * (100 - percent) * most[run[1:]]
+        run = np.empty(len(h), np.int64)
+        run[by] = np.cumsum(fresh)
+        t = np.lexsort((sig, size, run))
+        size, sig = size[t], sig[t]
         start = np.flatnonzero(fresh)
         length = np.diff(start, append=len(h))
         some = np.flatnonzero(length > 1)
@@ -308,13 +325,14 @@ def start_ends(start: np.ndarray, length: np.ndarray, total: int) -> np.ndarray:
 
 
 def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``(sig, body)`` for all classes of ``wanted(sig)``, found again by a bitmap of fixed size."""
-    words = BITMAP // 64
+    """``(sig, body)`` for all classes of ``wanted(sig)``, found again by a bitmap of 32 MB at most."""
+    width = min(max(BITMAP[0], (16 * wanted.count()).bit_length()), BITMAP[1])
+    words, shift = (1 << width) // 64, 64 - width
 
     def bits(batches):
-        got = np.zeros(BITMAP, bool)
+        got = np.zeros(1 << width, bool)
         for pdf in batches:
-            got[(pdf["sig"].to_numpy(np.int64).view(np.uint64) >> np.uint64(39)).astype(np.int64)] = True
+            got[(pdf["sig"].to_numpy(np.int64).view(np.uint64) >> np.uint64(shift)).astype(np.int64)] = True
         packed = np.packbits(got).reshape(64, -1)
         some = [p for p in range(64) if packed[p].any()]
         yield pd.DataFrame({"part": some, "bits": [blob(packed[p]) for p in some]})
@@ -339,7 +357,7 @@ def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 if not len(x):
                     continue
                 sig = signature(x)
-                k = (sig & (1 << 64) - 1) >> 39
+                k = (sig & (1 << 64) - 1) >> shift
                 if maybe[k >> 3] >> (7 - (k & 7)) & 1 and sig not in seen:
                     seen.add(sig)
                     out.append((sig, blob(x)))
@@ -572,7 +590,7 @@ def grown(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(key_column(key).alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     found = cut(survey(rows, n), "ngram-survey")
     facts = found.filter("part < 0").select("k", "n", "sig")
     kinds = found.filter("part < 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
@@ -607,10 +625,10 @@ def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
         now = rest.select("c", "n", F.col("comp").alias("at")).distinct()
         comps = grown(comps, cut(family_links(families, now, sets, percent), "ngram-late"), "ngram-last")
     named = facts.filter("n > 0").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("k", "n", F.coalesce("comp", "sig").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("k").alias("component_id"))
+    least = named.groupBy("comp").agg(F.min(F.nullif("k", F.lit(NO_KEY))).alias("component_id"))
     out = named.join(least, "comp").select("k", "n", "component_id")
-    out = out.unionByName(facts.filter("n = 0").select("k", "n", F.col("k").alias("component_id")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = out.unionByName(facts.filter("n = 0").select("k", "n", F.nullif("k", F.lit(NO_KEY)).alias("component_id")))
+    return null_key(out.select("k", F.col("n").alias("n_shingles"), "component_id"), key)
 
 
 def join(docs: DataFrame, n: int = N, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
