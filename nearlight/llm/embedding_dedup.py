@@ -1,16 +1,18 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Equal vectors of a label collapse to one with a count. The rest are laid out in tiles of
-one label, near vectors together by random-hyperplane signs; pairs of tiles whose centroids and
-radii rule out a link are left out. A pair of tiles is multiplied in int8: with
-``u = q / s + d``, ``|u.v - (q_u.q_v) / (s_u s_v)| <= |d_u| |v| + |q_u / s_u| |d_v|``, so that only
-pairs whose product plus that bound reaches the threshold are recomputed in double precision.
-A task returns, for each vector, the count of its links and one edge to its local component, never
-the pairs themselves.
+Equal vectors of a label collapse to one numbered class with a count. The classes are laid out in
+tiles of one label, near vectors together by random-hyperplane signs; pairs of tiles whose centroids
+and radii rule out a link are left out. Tiles travel as int8 with a scale and the exact length of what
+quantisation loses: with ``u = q / s + d``, ``|u.v - (q_u.q_v) / (s_u s_v)| <= |d_u| |v| + |q_u / s_u|
+|d_v|``, so that a product less that bound at the threshold is a link, and one plus that bound below
+it is none. Only tile pairs with products between the two are sent once more with their doubles, and
+only those products are recomputed. A task returns, for each vector, the count of its links and one
+edge to its local component, never the pairs themselves.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
 vectors without label, link with nothing and are kept as their own component; vectors of
-different lengths do not link; repeated rows are links of each other; an empty table gives an
+different lengths do not link; repeated rows are links of each other; a row with a null key links and
+counts like others but names no component (null where no member has a key); an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, components, cut, small_batches, spanning
+from nearlight.llm.common import NO_KEY, blob, components, cut, key_column, null_key, scratch, small_batches, spanning
 
 THRESHOLD = 0.98
 TILE = 2048
@@ -29,7 +31,7 @@ STRIP = 256
 PLANES = 12
 SLACK = 1e-9  # of double arithmetic on unit vectors
 
-TILES = "tile long, label long, dim int, ids binary, mult binary, vecs binary, mid binary, far double"
+TILES = "tile long, label long, dim int, ids binary, mult binary, vecs binary, quant binary, scale binary, lost binary, mid binary, far double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,26 +46,26 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, s, np.sqrt(((u - q / s[:, None]) ** 2).sum(axis=1))
 
 
-def links(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors ``a`` and ``b`` with cosine at least ``threshold``."""
-    qa, sa, ea = quantise(a)
-    qb, sb, eb = quantise(b)
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # integer sums stay exact
-    qa, qb = qa.astype(kind), qb.astype(kind)
-    left, right = [], []
-    for k in range(0, len(a), STRIP):
+def products(qa, sa, ea, qb, sb, eb, threshold: float):
+    """Index pairs by strips of ``a``: those that are links for sure, and those left open."""
+    kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64  # integer sums stay exact
+    right = qb.T.astype(kind)
+    for k in range(0, len(qa), STRIP):
         t = slice(k, k + STRIP)
-        near = (qa[t] @ qb.T).astype(np.float64) / (sa[t, None] * sb)
+        near = (qa[t].astype(kind) @ right).astype(np.float64) / (sa[t, None] * sb)
         bound = ea[t, None] + (1 + ea[t, None]) * eb + SLACK
         i, j = np.nonzero(near + bound >= threshold)
         sure = near[i, j] - bound[i, j] >= threshold
-        open_ = np.flatnonzero(~sure)
-        for m in range(0, len(open_), 1 << 16):
-            o = open_[m : m + (1 << 16)]
-            sure[o] = np.einsum("nd,nd->n", a[t][i[o]], b[j[o]]) >= threshold
-        left.append(i[sure] + k)
-        right.append(j[sure])
-    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
+        yield i[sure] + k, j[sure], i[~sure] + k, j[~sure]
+
+
+def recomputed(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the open pairs are links, in double precision."""
+    out = np.zeros(len(i), bool)
+    for m in range(0, len(i), 1 << 16):
+        t = slice(m, m + (1 << 16))
+        out[t] = np.einsum("nd,nd->n", a[i[t]], b[j[t]]) >= threshold
+    return out
 
 
 def usable(column: str = "embedding") -> str:
@@ -100,10 +102,11 @@ def tiles(reps: DataFrame) -> DataFrame:
             for k in range(0, len(x), TILE):
                 t = slice(k, k + TILE)
                 u = unit(x[t].astype(np.float64))
+                q, s, e = quantise(u)
                 mid = u.mean(axis=0)
                 mid = mid / max(np.linalg.norm(mid), 1e-300)
                 far = float(np.arccos(np.clip((u @ mid).min(), -1, 1)))
-                yield {"tile": base + n, "label": label, "dim": dim, "ids": blob(ids[t]), "mult": blob(mult[t]), "vecs": blob(x[t]), "mid": blob(mid), "far": far}
+                yield {"tile": base + n, "label": label, "dim": dim, "ids": blob(ids[t]), "mult": blob(mult[t]), "vecs": blob(u), "quant": blob(q.astype(np.int8)), "scale": blob(s), "lost": blob(e), "mid": blob(mid), "far": far}
                 n += 1
 
         held, at, size = [], None, 0
@@ -136,50 +139,80 @@ def tile_links(laid: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pd.Series(np.arccos(np.clip(cos, -1, 1)) <= ra + rb + reach)
 
     pairs = meta.join(other, ["label", "dim"]).filter("tile <= tile2").filter(near("mid", "mid2", "far", "far2")).select("tile", "tile2")
-    a = laid.select("tile", "dim", "ids", "mult", "vecs")
-    b = laid.select(F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("mult").alias("mult2"), F.col("vecs").alias("vecs2"))
-
-    def multiply(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ia, ma = np.frombuffer(r.ids, np.int64), np.frombuffer(r.mult, np.int64)
-                xa = unit(np.frombuffer(r.vecs).reshape(len(ia), r.dim))
-                if r.tile == r.tile2:
-                    i, j = links(xa, xa, threshold)
-                    keep = i != j
-                    i, j, ids, n = i[keep], j[keep], ia, len(ia)
-                    cnt = np.bincount(i, ma[j], n)
-                else:
-                    ib, mb = np.frombuffer(r.ids2, np.int64), np.frombuffer(r.mult2, np.int64)
-                    xb = unit(np.frombuffer(r.vecs2).reshape(len(ib), r.dim))
-                    i, j = links(xa, xb, threshold)
-                    n, ids = len(ia) + len(ib), np.concatenate([ia, ib])
-                    cnt = np.bincount(i, mb[j], n) + np.bincount(j + len(ia), ma[i], n)
-                    j = j + len(ia)
-                some = np.flatnonzero(cnt)
-                yield pd.DataFrame({"u": ids[some], "v": ids[spanning(i, j, n)][some], "n": cnt[some].astype(np.int64)})
-
-    return pairs.join(a, "tile").join(b, "tile2").mapInPandas(multiply, "u long, v long, n long")
+    light = ["ids", "mult", "quant", "scale", "lost"]
+
+    def with_tiles(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        a = laid.select("tile", "dim", *columns)
+        b = laid.select(F.col("tile").alias("tile2"), *[F.col(c).alias(f"{c}2") for c in columns])
+        return pairs.join(a, "tile").join(b, "tile2")
+
+    def multiply(doubles: bool):
+        def run(batches):
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    one = r.tile == r.tile2
+                    ia, ma = np.frombuffer(r.ids, np.int64), np.frombuffer(r.mult, np.int64)
+                    ib, mb = (ia, ma) if one else (np.frombuffer(r.ids2, np.int64), np.frombuffer(r.mult2, np.int64))
+                    left = np.frombuffer(r.quant, np.int8).reshape(len(ia), -1), np.frombuffer(r.scale), np.frombuffer(r.lost)
+                    right = np.frombuffer(r.quant2, np.int8).reshape(len(ib), -1), np.frombuffer(r.scale2), np.frombuffer(r.lost2)
+                    if doubles:
+                        xa, xb = np.frombuffer(r.vecs).reshape(len(ia), -1), np.frombuffer(r.vecs2).reshape(len(ib), -1)
+                    got, n_open = [], 0
+                    for i, j, oi, oj in products(*left, *right, threshold):
+                        if doubles:
+                            hit = recomputed(xa, xb, oi, oj, threshold)
+                            i, j = oi[hit], oj[hit]
+                        n_open += int((oi != oj).sum()) if one else len(oi)
+                        got.append((i, j))
+                    i, j = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+                    if one:
+                        i, j = i[i != j], j[i != j]
+                        n, ids, cnt = len(ia), ia, np.bincount(i, ma[j], len(ia))
+                    else:
+                        n, ids = len(ia) + len(ib), np.concatenate([ia, ib])
+                        cnt = np.bincount(i, mb[j], n) + np.bincount(j + len(ia), ma[i], n)
+                        j = j + len(ia)
+                    some = np.flatnonzero(cnt)
+                    yield pd.DataFrame({"u": ids[some], "v": ids[spanning(i, j, n)][some], "n": cnt[some].astype(np.int64), "tile": -1, "tile2": -1})
+                    if n_open and not doubles:
+                        yield pd.DataFrame({"u": [-1], "v": [-1], "n": [0], "tile": [r.tile], "tile2": [r.tile2]})
+
+        return run
+
+    schema = "u long, v long, n long, tile long, tile2 long"
+    first = cut(with_tiles(pairs, light).mapInPandas(multiply(False), schema), "embedding-products")
+    again = first.filter("tile >= 0").select("tile", "tile2")
+    second = with_tiles(again, [*light, "vecs"]).mapInPandas(multiply(True), schema)
+    return first.filter("tile < 0").unionByName(second).select("u", "v", "n")
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
     """``(key, n_links, component_id, kept)`` for every row."""
+    with scratch(vectors.sparkSession):
+        return cut(_dedup(vectors, threshold, key, vec, label), "embedding-result", keep=True)
+
+
+def _dedup(vectors: DataFrame, threshold: float, key: str, vec: str, label: str) -> DataFrame:
     rows = vectors.select(
-        F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vec).cast("array<double>").alias("e"),
+        key_column(key).alias("k"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vec}`").cast("array<double>").alias("e"),
         F.expr(f"coalesce({usable(vec)}, false) and `{label}` is not null").alias("ok"),
     )
-    good = rows.filter("ok").select("label", "e", "id")
-    reps = cut(good.groupBy("label", "e").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "embedding-reps")
+    good = rows.filter("ok").select("label", "e", "k")
+    # Classes are numbered: keys may be null or repeated.
+    named = F.nullif("k", F.lit(NO_KEY))
+    reps = good.groupBy("label", "e").agg(F.min(named).alias("least"), F.count("*").alias("mult"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()), "embedding-reps")
     found = cut(tile_links(tiles(reps.select("label", F.size("e").alias("dim"), "e", F.col("rep").alias("id"), "mult")), threshold), "embedding-links")
     small_batches(vectors.sparkSession, 10_000)
     comps = components(found.select("u", "v"), "embedding")
     counts = found.groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
     facts = reps.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "label", "e", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id")
+        "label", "e", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp")
     )
-    linked = good.join(facts, ["label", "e"]).select("id", "n_links", "component_id")
-    alone = rows.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", key)
+    names = facts.groupBy("comp").agg(F.min("least").alias("component_id"))
+    linked = good.join(facts.join(names, "comp"), ["label", "e"]).select("k", "n_links", "component_id")
+    alone = rows.filter("not ok").select("k", F.lit(0).cast("long").alias("n_links"), named.alias("component_id"))
+    return null_key(linked.unionByName(alone).withColumn("kept", named.eqNullSafe(F.col("component_id"))).select("k", "n_links", "component_id", "kept"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
