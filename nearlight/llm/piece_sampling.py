@@ -14,7 +14,7 @@ The model's piece scores are ranks, not probabilities: a piece of rank ``r`` wei
 ``(r + 8) ** -theta``. Characters without a piece of their own, and the space mark itself where a
 text holds it, go by the byte pieces, so that decoding gives the text back exactly.
 
-Defined cases: a null text counts as empty and has no pieces; a null key is key 0; repeated rows
+Defined cases: a null text counts as empty and has no pieces; a null key draws as key 0 and stays null; repeated rows
 get equal segmentations; an empty table gives an empty result; other columns are not read. A
 text without any space is one unit, filtered like the others.
 """
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import chunks, small_batches
+from nearlight.llm.common import NO_KEY, chunks, key_column, mix, null_key, ship
 
 THETA = 1.0
 SEED = 20
@@ -39,19 +39,10 @@ UNIT = re.compile("\n[^ \n]*| +[^ \n]*")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, on arrays."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def uniform(key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) by row key, place and step."""
-    x = _mix(key + _M) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.array(step, np.uint64) * _M
-    return (_mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    x = mix(key + _M) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.array(step, np.uint64) * _M
+    return (mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def units(text: str) -> list[str]:
@@ -71,6 +62,15 @@ class Numbers(dict):
         return n
 
 
+def _eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, zeros after the end."""
+    return np.ndarray(len(buf), "<u8", buf.tobytes() + bytes(8), strides=(1,))
+
+
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * min(n, 8)) - 1)
+
+
 class Sampler:
     """Pieces of one model. ``sample`` segments texts, ``decode`` gives bytes back."""
 
@@ -78,7 +78,7 @@ class Sampler:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed = _mix(np.array([seed], np.uint64))[0]
+        self.seed = mix(np.array([seed], np.uint64))[0]
         rng = np.random.default_rng(7)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,7 +115,9 @@ class Sampler:
             h = self._hashes(self._prefix(buf), np.arange(len(rows)) * n, n)
             order = np.argsort(h)
             self.maybe[h >> np.uint64(44)] = True
-            self.by_len[n] = (h[order], np.array([i for _, i in rows], np.int64)[order])
+            ends = _eight(buf)
+            at = (np.arange(len(rows)) * n)[order]
+            self.by_len[n] = (h[order], np.array([i for _, i in rows], np.int64)[order], ends[at] & _mask(n), ends[at + max(0, n - 8)], buf.reshape(-1, n)[order])
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.wide = np.array([len(x) for x in surface], np.int64)
         self.at = np.cumsum(self.wide) - self.wide
@@ -140,19 +142,27 @@ class Sampler:
         end = np.cumsum(size)
         begin = end - size
         buf = np.frombuffer(b"".join(raw), np.uint8)
-        prefix = self._prefix(buf)
+        prefix, ahead = self._prefix(buf), _eight(buf)
         left = np.repeat(end, size) - np.arange(len(buf))  # bytes to the unit's end
         node0 = begin + np.arange(len(units))  # a unit of n bytes has n + 1 nodes
         node = np.arange(len(buf)) + np.repeat(np.arange(len(units)), size)
         starts, ends, ids = [], [], []
         room = np.arange(len(buf))
-        for n, (hashes, piece) in sorted(self.by_len.items()):
+        for n, (hashes, piece, front, back, whole) in sorted(self.by_len.items()):
             room = room[np.flatnonzero(left[room] >= n)]
             h = self._hashes(prefix, room, n)
             may = np.flatnonzero(self.maybe[h >> np.uint64(44)])
             h = h[may]
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = np.flatnonzero(hashes[k] == h)
+            # A hash finds a piece, its bytes decide.
+            at, own = room[may[hit]], k[hit]
+            same = ahead[at] & _mask(n) == front[own]
+            if n > 8:
+                same &= ahead[at + n - 8] == back[own]
+            if n > 16:
+                same &= (buf[at[:, None] + np.arange(8, n - 8)] == whole[own, 8 : n - 8]).all(axis=1)
+            hit = hit[same]
             starts.append(node[room[may[hit]]])
             ends.append(starts[-1] + n)
             ids.append(piece[k[hit]])
@@ -270,13 +280,14 @@ def sampler(path: str, theta: float = THETA, seed: int = SEED) -> Sampler:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    ship(docs.sparkSession)
+    return docs.select(key_column(key).alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
 
 
 def _segment(model: Sampler, pdf: pd.DataFrame):
     texts = pdf["t"].fillna("").tolist()
-    keys = pdf["k"].fillna(0).to_numpy(np.int64)
+    keys = pdf["k"].to_numpy(np.int64)
+    keys = np.where(keys == NO_KEY, 0, keys)
     for i, j in chunks(texts, 4 << 20):
         ids, counts = model.sample(texts[i:j], keys[i:j])
         yield slice(i, j), texts[i:j], ids, counts
@@ -292,7 +303,7 @@ def encode(docs: DataFrame, model: str, theta: float = THETA, seed: int = SEED,
                 parts = np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])
                 yield pd.DataFrame({"k": pdf["k"].iloc[at], "pieces": list(parts)})
 
-    return _rows(docs, key, text).mapInPandas(run, "k long, pieces array<int>").withColumnRenamed("k", key)
+    return null_key(_rows(docs, key, text).mapInPandas(run, "k long, pieces array<int>"), key)
 
 
 def decode(rows: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
@@ -306,7 +317,8 @@ def decode(rows: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
             texts = m.decode(ids, np.array([len(p) for p in parts], np.int64))
             yield pd.DataFrame({"k": pdf["k"], "text": [t.decode() for t in texts]})
 
-    return rows.select(F.col(key).alias("k"), "pieces").mapInPandas(run, "k long, text string").withColumnRenamed("k", key)
+    ship(rows.sparkSession)
+    return null_key(rows.select(key_column(key).alias("k"), "pieces").mapInPandas(run, "k long, text string"), key)
 
 
 def digest(docs: DataFrame, model: str, theta: float = THETA, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +335,7 @@ def digest(docs: DataFrame, model: str, theta: float = THETA, seed: int = SEED,
                 same = [b == t.encode() for b, t in zip(back, texts)]
                 yield pd.DataFrame({"k": pdf["k"].iloc[at], "n_pieces": counts, "ids_crc32": crc, "n_bytes": [len(b) for b in back], "lossless": same})
 
-    return _rows(docs, key, text).mapInPandas(run, "k long, n_pieces long, ids_crc32 long, n_bytes long, lossless boolean").withColumnRenamed("k", key)
+    return null_key(_rows(docs, key, text).mapInPandas(run, "k long, n_pieces long, ids_crc32 long, n_bytes long, lossless boolean"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
