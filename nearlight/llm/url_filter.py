@@ -3,13 +3,20 @@
 Native throughout: features, statistics, training and scoring are DataFrame and SQL functions.
 Labelled URLs are those that a rule judges (or any table with a label). Training is
 histogram boosting: features are small integers, equal labelled feature vectors are first
-counted, and each level of each tree is one aggregate of gradients and curvatures by node,
+summed, and each level of each tree is one aggregate of gradients and curvatures by node,
 feature and bin (at most ``2**depth * features * BINS`` rows come to the driver, whatever the
 input). Every labelled URL takes part; there is no sample.
 
+The suffix statistic is a blocked share, drawn to the overall one, that a row never has a part in:
+hosts fall into ``FOLDS`` folds, and a labelled row reads the statistic of the other folds. Suffixes with
+few labels have the overall share. A split must gain more than chance would give it (``GAIN``, of a
+chi-squared test over all candidate splits), so that without lexical evidence the model keeps
+to the overall share and allows; :func:`held_out` measures it on hosts that it has not seen.
+
 Defined cases: a null URL or one without ``://`` has empty host and path and meets no rule with
 a path; it is judged by the model on the features of the empty text. Repeated rows get equal
-verdicts. Without labelled rows the model allows. Other columns are not read.
+verdicts. Without labelled rows the model allows. Other columns are carried and never read; those
+named like one of the operator's own (``host path rule score verdict``) give way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import cut
+from nearlight.llm.common import cut, scratch
 
 RULES = (
     ("allow", "org", "/"),
@@ -30,6 +37,9 @@ RULES = (
 )
 BINS = 32
 TREES, DEPTH, RATE, RIDGE, MIN_CURVATURE = 6, 3, 0.4, 1.0, 2.0
+GAIN = 20.0  # of a split, about a chi-squared of one degree: passed by chance in 1 of 10**5
+FOLDS, PULL, FEWEST, HOST = 4, 10, 30, 4
+OWN = ("host", "path", "rule", "score", "verdict")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +48,8 @@ def _q(s: str) -> str:
 
 
 def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``host``, ``path`` and ``tail`` (what follows the path) to ``pages``."""
+    """Adds ``host``, ``path`` and ``tail`` (what follows the path) to ``pages``, whose other columns have
+    none of these names."""
     u = f"coalesce(`{url}`, '')"
     rest = f"if(instr({u}, '://') > 0, substr({u}, instr({u}, '://') + 3), '')"
     out = pages.withColumn("rest", F.expr(rest))
@@ -85,16 +96,31 @@ def features(url: str = "url") -> dict[str, str]:
     }
 
 
-def with_features(pages: DataFrame, stats: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the feature columns; ``stats(suffix, suffix_bin)`` are the suffix statistics."""
-    out = pages.withColumn("suffix", F.expr("substring_index(host, '.', -1)")).join(stats, "suffix", "left")
-    return out.withColumn("suffix_bin", F.coalesce("suffix_bin", F.lit(BINS // 2))).selectExpr("*", *[f"{e} as {n}" for n, e in features(url).items()])
+SUFFIX = "substring_index(host, '.', -1)"
+FOLD = f"cast(pmod(xxhash64(host), {FOLDS}) as int)"
 
 
 def suffix_stats(labelled: DataFrame) -> DataFrame:
-    """Smoothed share of blocked URLs for each host suffix, as a bin."""
-    s = labelled.groupBy(F.expr("substring_index(host, '.', -1)").alias("suffix")).agg(F.sum("y").alias("b"), F.count("*").alias("n"))
-    return s.select("suffix", F.expr(f"cast(floor({BINS} * (b + 1) / (n + 2)) as int)").alias("suffix_bin"))
+    """``(suffix, bins, rest)`` for suffixes with ``FEWEST`` labels and more: the blocked share as a
+    bin, for each fold without its own rows, and last over all."""
+    cells = labelled.groupBy(F.expr(SUFFIX).alias("suffix"), F.expr(FOLD).alias("fold")).agg(F.sum("y").alias("b"), F.count("*").alias("n"))
+    whole = cells.agg(F.expr("(sum(b) + 1) / (sum(n) + 2)").alias("prior"))
+    outer = [f"sum(if(fold <> {f}, {c}, 0))" for f in range(FOLDS) for c in "bn"] + ["sum(b)", "sum(n)"]
+    per = cells.groupBy("suffix").agg(*[F.expr(e).alias(f"s{i}") for i, e in enumerate(outer)]).filter(f"s{2 * FOLDS + 1} >= {FEWEST}")
+    share = ", ".join(f"cast(floor({BINS} * (s{2 * i} + {PULL} * prior) / (s{2 * i + 1} + {PULL})) as int)" for i in range(FOLDS + 1))
+    return per.join(F.broadcast(whole)).select("suffix", F.expr(f"array({share})").alias("bins"))  # one row is broadcast
+
+
+def overall_bin(labelled: DataFrame) -> int:
+    r = labelled.agg(F.expr(f"cast(floor({BINS} * (sum(y) + 1) / (count(*) + 2)) as int)").alias("x")).first()
+    return r["x"] or 0
+
+
+def with_features(pages: DataFrame, stats: DataFrame, rest: int, url: str = "url") -> DataFrame:
+    """Adds the feature columns; rows with a label ``y`` read the statistic of the other folds."""
+    out = pages.withColumn("suffix", F.expr(SUFFIX)).join(stats, "suffix", "left")
+    out = out.withColumn("suffix_bin", F.expr(f"coalesce(bins[if(y is null, {FOLDS}, {FOLD})], {rest})"))
+    return out.selectExpr("*", *[f"{e} as {n}" for n, e in features(url).items()])
 
 
 class Trees:
@@ -113,9 +139,9 @@ class Trees:
         return " + ".join([f"{self.base!r}D", *[self._sql(t) for t in self.trees]])
 
 
-def fit(labelled: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
-    """Boost logistic trees on ``labelled`` (feature columns and ``y`` 0 or 1)."""
-    cells = cut(labelled.groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("s")), "url-cells")
+def fit(labelled: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPTH, rate: float = RATE, gain_least: float = GAIN) -> Trees:
+    """Boost logistic trees on ``labelled`` (feature columns, weight ``w`` and ``y`` 0 or 1)."""
+    cells = cut(labelled.groupBy(*names).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s")), "url-cells")
     tot = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not tot["n"]:
         return Trees()
@@ -143,7 +169,7 @@ def fit(labelled: DataFrame, names: list[str], trees: int = TREES, depth: int =
                 g = sum(x[1] for x in by[0])
                 h = sum(x[2] for x in by[0])
                 weight[k] = round(-rate * g / (h + RIDGE), 9)
-                best = (1e-6, None)
+                best = (gain_least, None)
                 for f, hist_f in by.items() if level < depth else ():
                     gl = hl = 0.0
                     for b, x, y in hist_f[:-1]:
@@ -167,15 +193,54 @@ def fit(labelled: DataFrame, names: list[str], trees: int = TREES, depth: int =
     return model
 
 
-def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """Adds host, path, rule, score and verdict to ``pages``."""
-    rows = ruled(parsed(pages, url), rules)
-    labelled = rows.filter("rule_verdict is not null").withColumn("y", F.expr("cast(rule_verdict = 'block' as int)"))
-    stats = cut(suffix_stats(labelled), "url-suffix")
-    names = list(features(url))
-    model = fit(with_features(labelled, stats, url).select(*names, "y"), names)
-    out = with_features(rows, stats, url).withColumn("score", F.expr(model.score()))
-    return out.withColumn("verdict", F.expr("coalesce(rule_verdict, if(score > 0, 'block', 'allow'))"))
+def prepared(pages: DataFrame, rules, url: str, label: str | None) -> DataFrame:
+    """``(row, u, host, path, tail, rule, rule_verdict, y)``, the page's own columns apart in ``row``.
+    ``y`` is 1 where ``label`` (or, without one, a rule) blocks, 0 where it allows, else null."""
+    given = F.col(f"`{label}`").cast("int") if label else F.lit(None).cast("int")
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(f"`{url}`").cast("string").alias("u"), given.alias("given"))
+    said = "given" if label else "cast(rule_verdict = 'block' as int)"
+    return ruled(parsed(base, "u"), rules).withColumn("y", F.expr(said))
+
+
+def trained(rows: DataFrame) -> tuple[Trees, DataFrame, int]:
+    """The model of labelled ``rows``, and the suffix statistics that it reads."""
+    labelled = cut(rows.filter("y is not null").select("u", "host", "path", "tail", "y"), "url-labelled")
+    stats, rest = cut(suffix_stats(labelled), "url-suffix"), overall_bin(labelled)
+    names = list(features("u"))
+    rows = cut(with_features(labelled, stats, rest, "u").select("host", *names, "y"), "url-features")
+    # Pages of one host are alike, not so many witnesses: all of them together weigh HOST at most.
+    weight = rows.groupBy("host").agg(F.expr(f"least(1D, {HOST}D / count(*))").alias("w"))
+    return fit(rows.join(weight, "host"), names), stats, rest
+
+
+def judge(pages: DataFrame, rules=RULES, url: str = "url", label: str | None = None) -> DataFrame:
+    """Adds host, path, rule, score and verdict to ``pages``; labels are the column ``label`` or, without
+    one, the rules' verdicts."""
+    with scratch(pages.sparkSession):
+        rows = prepared(pages, rules, url, label)
+        model, stats, rest = trained(rows)
+        stats = spark_rows(stats)
+    out = with_features(rows.withColumn("y", F.lit(None).cast("int")), stats, rest, "u").withColumn("score", F.expr(model.score()))
+    out = out.withColumn("verdict", F.expr("coalesce(rule_verdict, if(score > 0, 'block', 'allow'))"))
+    return out.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in OWN], *OWN)
+
+
+def spark_rows(stats: DataFrame) -> DataFrame:
+    """The suffixes' statistics as a table that outlives the temporary ones: a row for each suffix of
+    ``FEWEST`` labels and more."""
+    return cut(stats, "url-statistics", keep=True)
+
+
+def held_out(pages: DataFrame, rules=RULES, url: str = "url", label: str | None = None) -> DataFrame:
+    """``(n, blocked, right, base)``: labelled pages of the first fold's hosts, how many are blocked, the
+    share that a model of the other folds judges right, and the share that the commoner verdict would."""
+    with scratch(pages.sparkSession):
+        rows = prepared(pages, rules, url, label).filter("y is not null")
+        model, stats, rest = trained(rows.filter(f"{FOLD} <> 0"))
+        test = with_features(rows.filter(f"{FOLD} = 0"), stats, rest, "u")
+        right = F.expr(f"avg(cast((({model.score()}) > 0) = (y = 1) as int))").alias("right")
+        out = test.agg(F.count("*").alias("n"), F.sum("y").alias("blocked"), right, F.expr("greatest(avg(y), 1 - avg(y))").alias("base"))
+        return cut(out, "url-held-out", keep=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
