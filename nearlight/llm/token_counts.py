@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import work_dir
+from nearlight.llm.common import chunks, kept_dir, ship
+from nearlight.llm.wavelet import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -44,6 +45,22 @@ def counted(docs: DataFrame, *versions: str, text: str = "text") -> DataFrame:
     return docs.select("source", "lang", F.inline(pairs))
 
 
+def encoded(docs: DataFrame, path: str, version: str, text: str = "text") -> DataFrame:
+    """As :func:`counted` for a byte-level tokenizer of the tokenizers library, without end ids."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        enc = encoder(path)
+        for pdf in batches:
+            texts = pdf["t"].tolist()
+            for i, j in chunks(texts, 1 << 20):
+                yield pdf.iloc[i:j][["source", "lang"]].assign(n_tokens=enc.encode(texts[i:j])[1] - 1)
+
+    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    out = rows.mapInPandas(run, "source string, lang string, n_tokens long")
+    return out.select("source", "lang", F.lit(version).alias("tokenizer"), "n_tokens")
+
+
 def signed(rows: DataFrame, sign: int) -> DataFrame:
     return rows.withColumn("sign", F.lit(sign).cast("long"))
 
@@ -90,7 +107,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op8: all documents inserted under two tokenizers, the byte counts then revised to the
     version with an end id, and both batches sent twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rollup = Rollup(spark, work_dir(spark, "token-counts"))
+    rollup = Rollup(spark, kept_dir(spark, "token-counts"))
     insert = signed(counted(docs, "words@1", "bytes@1"), 1)
     revise = revision(counted(docs, "bytes@1"), counted(docs, "bytes@2"))
     for batch, changes in (("1", insert), ("2", revise), ("1", insert), ("2", revise)):
