@@ -1,16 +1,21 @@
 """Sharding by Karmarkar-Karp differencing of indivisible groups.
 
-Rows with equal texts form a group that stays in one shard. Groups are dealt by a hash of their
-text to buckets whose number follows that of the groups; each bucket is partitioned by differencing
-(repeatedly the two partial partitions of largest spread are joined, their sums in opposite order),
-and the buckets' own partial partitions are joined the same way: ``FAN`` of them in a task, level
-by level, until ``FAN`` are left, whose sums, one for each shard, go to the driver. A group is one
-row here whatever its count, so a hot text costs no more than another; the rows themselves are
-joined back and numbered by task, without gathering a shard.
+Rows with equal texts form a group that stays in one shard. Differencing starts from single groups:
+repeatedly the two partial partitions of largest spread are joined, their sums in opposite order,
+until one is left. A partial partition keeps its sums less the least of them, and only those above
+it, so that a join of two small ones costs their own entries and not one for each shard.
+
+Differencing needs all its items in one place, so their number is bounded whatever the input: a
+group above one ``SHARE``-th of a shard's mean is an item of its own (there are fewer than ``n_shards *
+SHARE`` of them), and the others go to ``BUNDLES`` items by a hash of their text. Items' sums, some
+70 000 rows at most, come to the driver, which differences them; the large items let no shard be
+filled before its small ones are dealt. A group is one row whatever its count, and rows find their
+shard by two broadcast tables of that bounded size, so a hot text moves no other row than its own
+and no shuffle carries rows. Slots are numbered by task.
 
 Defined cases: a null text has size 16 and crc 0 and groups with the empty text; repeated rows
-are rows of one group; ties go by group hash; an empty table gives an empty result; other
-columns are not read.
+are rows of one group; null keys stay null; ties go by group hash; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,33 +27,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import cut, small_batches
+from nearlight.llm.common import cut, key_column, null_key, scratch, small_batches
 
 N_SHARDS = 40
-BUCKET_GROUPS = 2_000
-FAN = 256
+SHARE = 1_000
+BUNDLES = 1 << 15
 
 
-def difference(partials: list[tuple[list[int], list[list]]], n: int) -> tuple[list[int], list[list]]:
-    """Join partial partitions until one is left. Each is ``(sums, parts)`` of length ``n``,
-    sums in descending order; two join with the largest sum of one meeting the least of the
-    other. ``parts[i]`` is a list of opaque members, joined as linked pairs."""
-    heap = [(-(s[0] - s[-1]), i, s, p) for i, (s, p) in enumerate(partials)]
+def difference(partials: list[list[tuple[int, object]]], n: int) -> list[tuple[int, object]]:
+    """Join partial partitions until one is left. Each lists ``(sum, members)`` of its parts in
+    descending order, those above its least sum only, sums counted from there; members are leaves
+    or linked pairs. Returns the last one's parts in the same form."""
+    heap = [(-p[0][0], i, p) for i, p in enumerate(partials) if p]
     heapq.heapify(heap)
-    serial = len(heap)
+    serial = len(partials)
     while len(heap) > 1:
-        _, _, a, pa = heapq.heappop(heap)
-        _, _, b, pb = heapq.heappop(heap)
-        sums = [x + y for x, y in zip(a, reversed(b))]
-        parts = [x if not y else y if not x else (x, y) for x, y in zip(pa, reversed(pb))]
-        order = sorted(range(n), key=lambda i: -sums[i])
-        sums, parts = [sums[i] for i in order], [parts[i] for i in order]
-        # What every shard holds alike cannot change a later choice.
-        heapq.heappush(heap, (-(sums[0] - sums[-1]), serial, sums, parts))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if len(a) + len(b) <= n:  # the largest of one meet nothing of the other
+            joined = a + b
+        else:
+            # Parts a[i] and b[j] meet where i + j = n - 1.
+            joined = a[: n - len(b)]
+            for i in range(n - len(b), len(a)):
+                (x, p), (y, q) = a[i], b[n - 1 - i]
+                joined.append((x + y, (p, q)))
+            joined += b[: n - len(a)]
+        joined.sort(key=lambda e: -e[0])
+        if len(joined) == n:
+            least = joined[-1][0]
+            if least:
+                joined = [(s - least, p) for s, p in joined]
+            # A part at the least sum still has members: it stays, with nothing above the least.
+        heapq.heappush(heap, (-joined[0][0], serial, joined))
         serial += 1
-    if not heap:
-        return [0] * n, [None] * n
-    return heap[0][2], heap[0][3]
+    return heap[0][2] if heap else []
 
 
 def members(tree) -> list:
@@ -56,8 +69,6 @@ def members(tree) -> list:
     out, stack = [], [tree]
     while stack:
         x = stack.pop()
-        if not x:
-            continue
         if isinstance(x, tuple):
             stack.extend(x)
         else:
@@ -65,88 +76,45 @@ def members(tree) -> list:
     return out
 
 
-def split_groups(sizes: list[int], n: int) -> tuple[list[int], list[int]]:
-    """Shards of one bucket's groups: part of each group, and the parts' sums in descending
-    order. Groups are first laid out ``n`` at a time in descending order, each layer being a
-    partial partition of least spread, and the layers are then differenced."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    partials = []
-    for k in range(0, len(order), n):
-        layer = order[k : k + n]
-        pad = n - len(layer)
-        partials.append(([sizes[i] for i in layer] + [0] * pad, [[i] for i in layer] + [None] * pad))
-    sums, parts = difference(partials, n)
+def split_groups(sizes: list[int], n: int) -> list[int]:
+    """The part, from 0 in descending order of sums, that each group goes to."""
     out = [0] * len(sizes)
-    for p, tree in enumerate(parts):
-        for leaf in members(tree):
-            out[leaf[0]] = p
-    return out, sums
+    for p, (_, tree) in enumerate(difference([[(s, i)] for i, s in enumerate(sizes)], n)):
+        for i in members(tree):
+            out[i] = p
+    return out
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Row facts without the text: key, size, crc and the group's hash."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return docs.select(
-        F.col(key).alias("k"),
+        key_column(key).alias("k"),
         (F.octet_length(t).cast("long") + 16).alias("size"),
         F.crc32(t.cast("binary")).alias("crc"),
         F.unhex(F.sha2(t.cast("binary"), 256)).alias("g"),
     )
 
 
-def join_partials(rows: list[tuple[int, int, int]], n: int) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """Differencing over ``(node, part, total)``: the part of the whole that each part of each
-    node goes to, and the whole's sums."""
-    per: dict[int, list[int]] = {}
-    for node, part, total in rows:
-        per.setdefault(node, [0] * n)[part] = total
-    partials = []
-    for node in sorted(per):
-        order = sorted(range(n), key=lambda p: (-per[node][p], p))
-        partials.append(([per[node][p] for p in order], [[(node, p)] for p in order]))
-    sums, trees = difference(partials, n)
-    return [(node, p, s) for s, tree in enumerate(trees) for leaf in members(tree) for node, p in leaf], sums
-
-
-def place_parts(sums: DataFrame, n_shards: int, n_nodes: int, fan: int = FAN) -> DataFrame:
-    """``(node, part, shard)`` for every part of ``sums(node, part, total)``, nodes being numbered
-    below ``n_nodes``."""
-    spark = sums.sparkSession
-    if n_nodes <= fan:  # fan * n_shards rows at most
-        placed, _ = join_partials([(r["node"], r["part"], r["total"]) for r in sums.collect()], n_shards)
-        return F.broadcast(spark.createDataFrame(placed or [(-1, -1, -1)], "node int, part int, shard int"))
-
-    def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed, totals = join_partials(list(pdf[["node", "part", "total"]].itertuples(index=False, name=None)), n_shards)
-        out = pd.DataFrame(placed, columns=["node", "part", "part2"])
-        return out.assign(up=int(pdf["up"].iloc[0]), total=out["part2"].map(dict(enumerate(totals))))
-
-    up = sums.withColumn("up", F.expr(f"node div {fan}").cast("int")).groupBy("up")
-    joined = cut(up.applyInPandas(level, "node int, part int, part2 int, up int, total long"), "shard-level")
-    above = joined.select(F.col("up").alias("node"), F.col("part2").alias("part"), "total").distinct()
-    top = place_parts(above, n_shards, -(-n_nodes // fan), fan).select(F.col("node").alias("up"), F.col("part").alias("part2"), "shard")
-    return joined.join(top, ["up", "part2"]).select("node", "part", "shard")
-
-
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, bucket_groups: int = BUCKET_GROUPS, fan: int = FAN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, share: int = SHARE, bundles: int = BUNDLES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, size, crc, shard, slot)`` for every row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark, 10_000)
-    rows = cut(groups(docs, key, text), "shard-rows")
-    totals = cut(rows.groupBy("g").agg(F.sum("size").alias("total")), "shard-sums")
-    n_buckets = max(1, -(-totals.count() // bucket_groups))
-    parts = totals.withColumn("node", F.pmod(F.xxhash64("g"), F.lit(n_buckets)).cast("int"))
-
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["total", "g"], ascending=[False, True], kind="stable")
-        part, _ = split_groups(pdf["total"].tolist(), n_shards)
-        return pd.DataFrame({"g": pdf["g"], "node": pdf["node"], "part": part, "total": pdf["total"]})
-
-    dealt = cut(parts.groupBy("node").applyInPandas(bucket, "g binary, node int, part int, total long"), "shard-groups")
-    place = place_parts(dealt.groupBy("node", "part").agg(F.sum("total").alias("total")), n_shards, n_buckets, fan)
-    final = dealt.join(place, ["node", "part"]).select("g", "shard")
-    placed = cut(rows.join(final, "g").select("k", "size", "crc", "shard"), "shard-placed")
-    return number(placed).withColumnRenamed("k", key)
+    with scratch(spark):
+        small_batches(spark, 10_000)
+        bundle = F.pmod(F.xxhash64("g"), F.lit(bundles)).cast("int").alias("bundle")
+        rows = cut(groups(docs, key, text), "shard-rows")
+        totals = cut(rows.groupBy("g").agg(F.sum("size").alias("total")), "shard-sums")
+        limit = (totals.agg(F.sum("total")).first()[0] or 0) // (n_shards * share)
+        large = [(r["g"], r["total"]) for r in totals.filter(F.col("total") > limit).collect()]  # fewer than n_shards * share
+        small = [(r["bundle"], r["total"]) for r in totals.filter(F.col("total") <= limit).groupBy(bundle).agg(F.sum("total").alias("total")).collect()]
+        items = [(t, bytes(g), None) for g, t in large] + [(t, b"", b) for b, t in small]
+        items.sort(key=lambda x: (-x[0], x[1], x[2] or 0))
+        part = split_groups([x[0] for x in items], n_shards)
+        of_group = spark.createDataFrame([(x[1], p) for x, p in zip(items, part) if x[2] is None], "g binary, own int")
+        of_bundle = spark.createDataFrame([(x[2], p) for x, p in zip(items, part) if x[2] is not None], "bundle int, common int")
+        placed = rows.withColumn("bundle", bundle).join(F.broadcast(of_group), "g", "left").join(F.broadcast(of_bundle), "bundle", "left")
+        placed = cut(placed.select("k", "size", "crc", F.coalesce("own", "common").alias("shard")), "shard-placed")
+        return cut(null_key(number(placed), key), "shard-result", keep=True)  # tasks are numbered as they read now
 
 
 def number(placed: DataFrame) -> DataFrame:
