@@ -9,226 +9,362 @@ select and counting without inflating the rest.
 Files: Parquet, a row for each shard, so that any store that Spark writes will do and a lost
 executor's output is written anew by the retried task. Columns: ``part`` and ``seq`` (order),
 ``part_start`` (ids before the shard in its part), ``n_tokens``, ``keys`` and ``counts`` (each
-document's key and number of ids, little-endian int64), ``data`` (the matrix).
+document's key and number of ids, little-endian int64; the least int64 is a null key), ``data`` (the
+matrix).
 
-Defined cases: a null or empty text is the end id alone; equal keys follow each other in text
-order; strings of special tokens in a text are ordinary text; an empty table writes no shard;
+Defined cases: a null or empty text is the end id alone; a null key sorts first; equal keys follow each
+other by a hash of their texts; strings of special tokens in a text are ordinary text; an empty table writes no shard;
 a document longer than a shard is a shard of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import struct
 import zlib
-from collections import defaultdict
-from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, small_batches, work_dir
+from nearlight.llm.common import blob, chunks, kept_dir, key_column, mix, null_key, scratch, ship, small_batches
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 BITS = 16
-NO_KEY = -(1 << 63)  # a null key in the files; it sorts first
 BLOCK = 16 << 10  # bytes of a plane that are compressed together
 CACHE_WORDS = 800_000
 _WORD_CUT = re.compile(r"(?<=\S) ")
 
 
-class Pieces(defaultdict):
-    """Numbers of pieces in order of first sight."""
+class Merges:
+    """A byte-level vocabulary's merges over many short words at once.
+
+    Every word does one merge a round: of its neighbouring pairs the one of least rank, the leftmost
+    of equals, which is the order that the tokenizers library keeps. Ranks are kept beside the
+    symbols, so that a merge looks up its two new pairs only."""
+
+    NONE = 1 << 24
+    WIDEST = 64  # symbols of a word
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        key = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # The alphabet: bytes that print stand for themselves, the others follow 255 in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.first = np.array([vocab[sign[b]] for b in range(256)], np.int32)
+        rank = np.arange(len(key), dtype=np.int32)
+        self.tables = []
+        seed = 0x9E3779B1
+        while len(key):  # a key whose slot is taken goes to the next table
+            at = self._slot(key, seed)
+            _, one = np.unique(at, return_index=True)
+            keys, ranks = np.zeros(1 << 18, np.uint32), np.full(1 << 18, self.NONE, np.int32)
+            keys[at[one]], ranks[at[one]] = key[one], rank[one]
+            self.tables.append((seed, keys, ranks))
+            rest = np.setdiff1d(np.arange(len(key)), one)
+            key, rank, seed = key[rest], rank[rest], (seed * 0x85EBCA6B | 1) & 0xFFFFFFFF
 
-    def __init__(self, words: list[str] = ()):
-        super().__init__(count(len(words)).__next__, zip(words, range(len(words))))
-        self.known = len(words)
+    @staticmethod
+    def _slot(key: np.ndarray, seed: int) -> np.ndarray:
+        return (key * np.uint32(seed)) >> np.uint32(14)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        out = np.full(len(key), self.NONE, np.int32)
+        todo = None
+        for seed, keys, ranks in self.tables:
+            k = key if todo is None else key[todo]
+            at = self._slot(k, seed)
+            hit = keys[at] == k
+            if todo is None:
+                np.copyto(out, ranks[at], where=hit)
+                taken = ranks[at] < self.NONE  # an empty slot ends the search
+                todo = np.flatnonzero(taken & ~hit)
+            else:
+                out[todo[hit]] = ranks[at[hit]]
+                todo = todo[(ranks[at] < self.NONE) & ~hit]
+            if not len(todo):
+                break
+        return out
 
-    def fresh(self) -> list[str]:
-        """Pieces that were first seen since the last call."""
-        new = list(islice(reversed(self), len(self) - self.known))[::-1]
-        self.known = len(self)
-        return new
+    def encode(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ``size`` bytes (1 to ``WIDEST``) that follow each other in ``raw``, and
+        their numbers."""
+        sym = self.first[raw]
+        count = size.astype(np.int64)
+        who = np.arange(len(count))
+        done_who, done_sym, final = [], [], count.copy()
+        end = np.cumsum(count)
+        rank = np.full(len(sym), self.NONE, np.int32)
+        if len(sym) > 1:
+            rank[:-1] = self.ranks(sym[:-1], sym[1:])
+        rank[end - 1] = self.NONE
+        while len(who):
+            start = np.cumsum(count) - count
+            place = np.arange(len(sym)) - np.repeat(start, count)
+            best = np.minimum.reduceat(rank.astype(np.int64) * self.WIDEST + place, start)
+            more = best < self.NONE * self.WIDEST
+            if not more.all():
+                keep = np.repeat(more, count)
+                done_who.append(who[~more])
+                done_sym.append(sym[~keep])
+                final[who[~more]] = count[~more]
+                sym, rank = sym[keep], rank[keep]
+                who, count, best = who[more], count[more], best[more]
+                start = np.cumsum(count) - count
+                if not len(who):
+                    break
+            at = start + best % self.WIDEST
+            sym[at] = self.made[best // self.WIDEST]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            count = count - 1
+            sym, rank = sym[keep], rank[keep]
+            at -= np.arange(len(at))  # one symbol less for each word before
+            start = np.cumsum(count) - count
+            rank[at] = self.NONE
+            t = at[at + 1 < start + count]
+            rank[t] = self.ranks(sym[t], sym[t + 1])
+            t = at[at > start]
+            rank[t - 1] = self.ranks(sym[t - 1], sym[t])
+        order = np.concatenate(done_who) if done_who else who
+        ids = np.concatenate(done_sym) if done_sym else sym
+        # Words end in the order of their rounds: back to their own.
+        n = final[order]
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(n) - n
+        upto = np.cumsum(final)
+        return ids[np.repeat(begin - (upto - final), final) + np.arange(int(upto[-1]) if len(upto) else 0)], final
 
 
 class Encoder:
-    """Byte-level BPE through the tokenizers library, each distinct piece encoded once.
+    """Byte-level BPE of whole texts, each distinct piece encoded once.
 
     A text may be cut before any space that follows a non-space character, and before a single
-    line end between two of them: the pre-tokenizer begins a token there whatever surrounds it.
-    The cut pieces' ids, joined, are the text's. Pieces are written without their first
-    character, or with ``LINE`` or ``HEAD`` in place of a line end or of a text's beginning; a
-    head's ids begin with the end id of the text before.
+    line end between two of them: the pre-tokenizer begins a token there whatever surrounds it. So
+    it does before signs that follow a letter and end such a piece. The cut pieces' ids, joined, are
+    the text's. Words of letters go through :class:`Merges`, all other pieces through the tokenizers
+    library. Pieces are kept by a 64-bit hash with their length and first eight bytes beside it.
     """
 
-    HEAD, LINE = "\ue000", "\ue001"
-    SIGNS = string.punctuation
-    WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    SPACE, LINE, HEAD, TAIL = range(4)  # what comes before a piece: a space, a line end, the end id, nothing
+    WIDE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.width = np.zeros(max(vocab.values()) + 2, np.int64)
-        for s, i in vocab.items():
-            self.width[i] = len(s)  # one character of the vocabulary's alphabet stands for a byte
-        self.end_id = end_id
-        self.marks: dict[str, list[int]] = {}
-        self.blank = np.zeros(256, bool)
+        if self.tok.get_vocab_size() > 1 << BITS or not 0 <= end_id < 1 << BITS:
+            raise ValueError(f"ids of {BITS} bits are not enough for this vocabulary")
+        self.merges = self._merges(path)
+        self.end_id, self.line = end_id, self.tok.encode("\n", add_special_tokens=False).ids
+        rng = np.random.default_rng(17)
+        self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = self.inverse = np.ones(0, np.uint64)
+        self.blank, self.sign, self.letter = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
         self.blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-        self.reset()
+        self.sign[[ord(c) for c in string.punctuation]] = True
+        self.letter[[ord(c) for c in string.ascii_letters]] = True
+        self._reset()
 
-    def reset(self, words: list[str] = ()) -> None:
-        self.pieces = Pieces(words)
+    @staticmethod
+    def _merges(path: str) -> Merges | None:
+        """The vocabulary's merges where a word of letters after a space is one token to them."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")]
+        fits = model.get("type", "BPE") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        return Merges(model) if fits and not any(odd) and spec.get("normalizer") is None else None
+
+    def _reset(self) -> None:
+        self.n, self.n_vals, self.slots = 0, 0, 20
         self.vals = np.zeros(1 << 16, np.uint16)
-        self.n_vals = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lens = np.zeros(1 << 16, np.int64)
-        self.heads = np.zeros(1 << 16, bool)
-        self.hits = np.zeros(1 << 16, np.uint8)
+        self.facts = {k: np.zeros(1 << 16, t) for k, t in (("starts", np.int64), ("lens", np.int64), ("hits", np.uint8), ("hash", np.uint64), ("check", np.uint64))}
+        self.place = np.full(1 << self.slots, -1, np.int32)
 
-    def shrink(self) -> None:
+    def _shrink(self) -> None:
         """Forget the pieces that fewer than three batches had."""
-        keep = np.flatnonzero(self.hits[: len(self.pieces)] >= 3)
+        f, n = self.facts, self.n
+        keep = np.flatnonzero(f["hits"][:n] >= 3)
         if len(keep) > CACHE_WORDS // 2:
-            return self.reset()
-        flags = np.zeros(len(self.pieces), bool)
-        flags[keep] = True
-        words = [w for w, f in zip(self.pieces, flags.tolist()) if f]
-        lens, starts, heads = self.lens[keep], self.starts[keep], self.heads[keep]
+            keep = keep[:0]
+        lens = f["lens"][keep]
         upto = np.cumsum(lens)
-        ids = self.vals[np.repeat(starts - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        self.reset(words)
-        self._grow()
-        self.heads[: len(words)] = heads
-        self._store(np.arange(len(words)), ids, lens)
-
-    def _grow(self) -> None:
-        while len(self.pieces) > len(self.starts):
-            for name in ("starts", "lens", "heads", "hits"):
-                a = getattr(self, name)
-                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
+        ids = self.vals[np.repeat(f["starts"][keep] - (upto - lens), lens) + np.arange(int(lens.sum()))]
+        h, check = f["hash"][keep], f["check"][keep]
+        self._reset()
+        self._add(h, check)
+        self._store(np.arange(len(keep)), ids, lens)
+
+    def _add(self, h: np.ndarray, check: np.ndarray) -> None:
+        """New numbers for pieces that the table does not have."""
+        n = self.n + len(h)
+        while n > len(self.facts["hash"]):
+            self.facts = {k: np.concatenate([v, np.zeros_like(v)]) for k, v in self.facts.items()}
+        self.facts["hash"][self.n : n], self.facts["check"][self.n : n] = h, check
+        number = np.arange(self.n, n, dtype=np.int32)
+        self.n = n
+        if 2 * n > len(self.place):
+            self.slots += 2
+            self.place = np.full(1 << self.slots, -1, np.int32)
+            number, h = np.arange(n, dtype=np.int32), self.facts["hash"][:n]
+        at = (h >> np.uint64(64 - self.slots)).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.place[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            self.place[at[free[one]]] = number[free[one]]
+            rest = np.ones(len(at), bool)
+            rest[free[one]] = False
+            at, number = (at[rest] + 1) & (len(self.place) - 1), number[rest]
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, -1 for those that the table does not have."""
+        at = (h >> np.uint64(64 - self.slots)).astype(np.int64)
+        out = self.place[at]
+        todo = np.flatnonzero((out >= 0) & ((self.facts["hash"][out] != h) | (self.facts["check"][out] != check)))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.place) - 1)
+            got = self.place[at[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & ((self.facts["hash"][got] != h[todo]) | (self.facts["check"][got] != check[todo]))]
+        return out
 
     def _store(self, numbers: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.n_vals + len(ids) > len(self.vals):
             self.vals = np.concatenate([self.vals, np.zeros_like(self.vals)])
         self.vals[self.n_vals : self.n_vals + len(ids)] = ids
-        self.lens[numbers] = lens
-        self.starts[numbers] = self.n_vals + np.cumsum(lens) - lens
+        self.facts["lens"][numbers] = lens
+        self.facts["starts"][numbers] = self.n_vals + np.cumsum(lens) - lens
         self.n_vals += len(ids)
 
-    def _learn(self) -> None:
-        """Encode the pieces that were first seen since the last call."""
-        base = self.pieces.known
-        fresh = self.pieces.fresh()
-        if not fresh:
-            return
-        # Signs after a letter are tokens of their own: such pieces are put together from two.
-        plain, odd, ended, signs, heads = [], [], [], [], []
-        for k, w in enumerate(fresh):
-            if w.isalpha():
-                plain.append(k)
-                continue
-            if w[:1] == self.HEAD:
-                heads.append(base + k)
-            stem = w.rstrip(self.SIGNS)
-            if len(stem) < len(w) and stem[-1:].isalpha():
-                ended.append(k)
-                signs.append(w[len(stem) :])
-                continue
-            body = w[1:] if w[:1] in (self.HEAD, self.LINE) else w
-            (plain if body and body == body.strip() else odd).append(k)
-        stems = [self.pieces[fresh[k][: -len(m)]] for k, m in zip(ended, signs)]  # these may be new themselves
-        more = self.pieces.fresh()
-        for k, w in enumerate(more, len(fresh)):  # they end in a letter and begin with none but a mark
-            body = w[1:] if w[0] in (self.HEAD, self.LINE) else w
-            (plain if body == body.strip() else odd).append(k)
-            if w[0] == self.HEAD:
-                heads.append(base + k)
-        fresh += more
-        self._grow()
-        self.heads[heads] = True
-        real = lambda w: w[1:] if w[:1] == self.HEAD else "\n" + w[1:] if w[:1] == self.LINE else " " + w
-        if odd:
-            got = [e.ids for e in self.tok.encode_batch_fast([real(fresh[k]) for k in odd], add_special_tokens=False)]
-            got = [[self.end_id, *g] if fresh[k][:1] == self.HEAD else g for k, g in zip(odd, got)]
-            self._store(base + np.array(odd), np.array([i for g in got for i in g], np.uint16), np.array([len(g) for g in got], np.int64))
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            # Each begins with a space or a line end here; a head's line end then becomes the end id.
-            words = " " + " ".join([fresh[k] for k in part])
-            words = words.replace(f" {self.HEAD}", "\n").replace(f" {self.LINE}", "\n")
-            raw = np.frombuffer(words.encode(), np.uint8)
-            starts = np.flatnonzero((raw == 32) | (raw == 10))
-            if len(starts) != len(part):  # blanks within pieces
-                parts = ["\n" + fresh[k][1:] if fresh[k][0] in (self.HEAD, self.LINE) else " " + fresh[k] for k in part]
-                words = "".join(parts)
-                ends = np.cumsum(np.array([len(w.encode()) for w in parts], np.int64))
-            else:
-                ends = np.append(starts[1:], len(raw))
-            ids = np.array(self.tok.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.int64)
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            numbers = base + np.array(part)
-            head = self.heads[numbers]
-            ids[np.concatenate([[0], cut[:-1]])[head]] = self.end_id
-            self._store(numbers, ids.astype(np.uint16), np.diff(cut, prepend=0))
-        if ended:
-            new = sorted(set(signs) - self.marks.keys())
-            if len(self.marks) + len(new) > 4096:
-                self.marks, new = {}, sorted(set(signs))
-            self.marks |= {m: e.ids for m, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))}
-            tails = [self.marks[m] for m in signs]
-            of, tail = np.array(stems), np.array([len(x) for x in tails], np.int64)
-            lens = self.lens[of]
-            upto = np.cumsum(lens + tail)
-            mark = np.arange(int(upto[-1])) >= np.repeat(upto - tail, lens + tail)
-            ids = np.empty(len(mark), np.uint16)
-            ids[mark] = [i for x in tails for i in x]
-            ids[~mark] = self.vals[np.repeat(self.starts[of] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
-            self._store(base + np.array(ended), ids, lens + tail)
-
-    def _cut(self, texts: list[str]) -> list[str]:
-        """Pieces of all texts in a row."""
-        whole = "\ue000" + " \ue000".join(texts)
-        if whole.count("\ue000") == len(texts) and "\ue001" not in whole and not any(c in whole for c in self.WIDE_SPACES):
-            raw = self.blank[np.frombuffer(" ".join(["", *texts, ""]).encode(), np.uint8)]
-            if not (raw[1:] & raw[:-1]).any():  # no blanks in a row, none at a text's ends, no empty text
-                return whole.replace("\n", " \ue001").split(" ")
-            if len(texts) > 1:  # part the odd texts from the others
-                out = []
-                for t in texts:
-                    out += self._cut([t])
-                return out
-        out = []
-        for t in texts:
-            p = _WORD_CUT.split(t)
-            marked = any(c in t for c in "\ue000\ue001")
-            out += ["\ue000" + t] if marked else ["\ue000" + p[0], *p[1:]]
-        return out
+    def _letters(self, raw: np.ndarray) -> np.ndarray:
+        """Bytes of Latin letters: of ASCII, or two bytes of U+00C0 to U+017F but for two signs."""
+        ok = self.letter[raw]
+        lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC5))
+        lead = lead[(raw[lead] != 0xC3) | ((raw[lead + 1] >= 0x80) & (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7))]
+        ok[lead] = ok[lead + 1] = True
+        return ok
+
+    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, base: int) -> None:
+        """Encode new pieces and store them from the number ``base`` on."""
+        size = end - start
+        latin = np.zeros(len(size), bool)
+        if self.merges:
+            upto = np.cumsum(size)
+            raw = buf[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]))]
+            odd = np.concatenate([[0], np.cumsum(~self._letters(raw))])
+            latin = (odd[upto] == odd[upto - size]) & (size > 0) & (size < Merges.WIDEST) & (kind != self.TAIL)
+            part = np.flatnonzero(latin)
+        if latin.any():
+            spaced = (kind[part] == self.SPACE).astype(np.int64)
+            n = size[part] + spaced
+            upto = np.cumsum(n)
+            at = np.repeat(start[part] - spaced - (upto - n), n) + np.arange(int(upto[-1]))
+            words = buf[at]
+            words[(upto - n)[spaced > 0]] = 32
+            ids, lens = self.merges.encode(words, n)
+            more = np.where(kind[part] == self.LINE, len(self.line), np.where(kind[part] == self.HEAD, 1, 0))
+            out = np.empty(len(ids) + int(more.sum()), np.uint16)
+            upto = np.cumsum(lens + more)
+            own = np.arange(len(out)) >= np.repeat(upto - lens, lens + more)
+            out[own] = ids
+            first = upto - lens - more
+            out[first[kind[part] == self.HEAD]] = self.end_id
+            for i, x in enumerate(self.line):
+                out[first[kind[part] == self.LINE] + i] = x
+            self._store(base + part, out, lens + more)
+        rest = np.flatnonzero(~latin)
+        if len(rest):
+            raw, before = buf.tobytes(), {self.SPACE: " ", self.LINE: "\n", self.HEAD: "", self.TAIL: ""}
+            words = [before[k] + raw[a:b].decode() for a, b, k in zip(start[rest].tolist(), end[rest].tolist(), kind[rest].tolist())]
+            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            got = [[self.end_id, *g] if k == self.HEAD else g for g, k in zip(got, kind[rest].tolist())]
+            self._store(base + rest, np.array([i for g in got for i in g], np.uint16), np.array([len(g) for g in got], np.int64))
+
+    def _cut(self, raw: list[bytes]):
+        """Bytes, and each piece's first byte, end and kind, for all texts in a row."""
+        buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+        size = np.array([len(r) for r in raw], np.int64)
+        head = np.cumsum(size + 1) - size - 1  # the line end before each text
+        blank = self.blank[buf]
+        odd = np.zeros(len(raw), bool)
+        # Blanks in a row, at a text's ends, or none between: texts that need a closer look.
+        odd[np.minimum(np.searchsorted(head, np.flatnonzero(blank[1:] & blank[:-1]), side="right") - 1, len(raw) - 1)] = True
+        runs = np.flatnonzero(blank[1:] & blank[:-1])
+        odd[np.maximum(np.searchsorted(head, runs + 1, side="right") - 1, 0).clip(max=len(raw) - 1)] = True
+        high = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))  # wide spaces begin with these
+        for k in np.unique(np.searchsorted(head, high, side="right") - 1).tolist():
+            odd[k] = odd[k] or bool(self.WIDE_SPACES.search(raw[k].decode()))
+        if not odd.any():
+            at = np.flatnonzero((buf == 32) | (buf == 10))
+            start, end = at[:-1] + 1, at[1:]
+            kind = np.where(buf[at[:-1]] == 10, self.LINE, self.SPACE)
+            kind[np.searchsorted(at, head)] = self.HEAD
+            last = np.maximum.accumulate(np.where(self.sign[buf], -1, np.arange(len(buf))))[end - 1]
+            tail = (last >= start) & (last < end - 1) & self.letter[buf[last]]
+            to = np.arange(len(start)) + np.cumsum(tail) - tail
+            n = len(start) + int(tail.sum())
+            s, e, k = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, self.TAIL, np.int64)
+            s[to], e[to], k[to] = start, np.where(tail, last + 1, end), kind
+            s[to[tail] + 1], e[to[tail] + 1] = last[tail] + 1, end[tail]
+            return buf, s, e, k
+        if len(raw) > 1:
+            turn = [0, *(np.flatnonzero(np.diff(odd)) + 1).tolist(), len(raw)]
+            parts = []
+            for a, b in zip(turn, turn[1:]):
+                parts += [self._cut(raw[i : i + 1]) for i in range(a, b)] if odd[a] else [self._cut(raw[a:b])]
+            base = np.cumsum([0, *[len(x[0]) for x in parts]])
+            return np.concatenate([x[0] for x in parts]), *[np.concatenate([x[j] + (b if j < 3 else 0) for x, b in zip(parts, base)]) for j in (1, 2, 3)]
+        words = [w.encode() for w in _WORD_CUT.split(raw[0].decode())]
+        n = np.array([len(w) for w in words], np.int64)
+        kind = np.full(len(n), self.SPACE)
+        kind[0] = self.HEAD
+        end = np.cumsum(n) + 1
+        return np.frombuffer(b" " + b"".join(words), np.uint8), end - n, end, kind
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and their numbers."""
         if not texts:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        if len(self.pieces) > CACHE_WORDS:
-            self.shrink()
-        cut = self._cut(texts)
-        idx = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
-        self._learn()
-        hits = self.hits[idx]
-        self.hits[idx] = hits + (hits < 3)  # once a batch, however often a piece occurs
-        lens = self.lens[idx]
+        if self.n > CACHE_WORDS:
+            self._shrink()
+        buf, start, end, kind = self._cut([t.encode() for t in texts])
+        if len(buf) + 1 > len(self.power):
+            inv = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+            one = np.ones(1, np.uint64)
+            self.power = np.cumprod(np.concatenate([one, np.full(len(buf) + 1, self.BASE)]))
+            self.inverse = np.cumprod(np.concatenate([one, np.full(len(buf) + 1, inv)]))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.table[buf] * self.power[: len(buf)])])
+        size = end - start
+        h = mix((prefix[end] - prefix[start]) * self.inverse[start] + (4 * size + kind).astype(np.uint64))
+        # The first eight bytes of each piece, read across the buffer.
+        eight = np.ndarray(len(buf), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+        check = eight[np.minimum(start, len(buf) - 1)] & (~np.uint64(0) >> (8 * (8 - np.clip(size, 0, 8))).clip(max=63).astype(np.uint64)) ^ (size.astype(np.uint64) << np.uint64(48)) ^ (kind.astype(np.uint64) << np.uint64(62))
+        idx = self._find(h, check)
+        new = np.flatnonzero(idx < 0)
+        if len(new):
+            _, first, which = np.unique(h[new], return_index=True, return_inverse=True)
+            at, base = new[first], self.n
+            self._add(h[at], check[at])
+            self._learn(buf, start[at], end[at], kind[at], base)
+            idx[new] = base + which
+        hits = self.facts["hits"][idx]
+        self.facts["hits"][idx] = hits + (hits < 3)  # once a batch, however often a piece occurs
+        lens = self.facts["lens"][idx]
         upto = np.cumsum(lens)
-        at = np.repeat(self.starts[idx] - (upto - lens), lens) + np.arange(int(upto[-1]))
-        ids = np.append(self.vals[at[1:]], np.uint16(self.end_id))
-        head = np.flatnonzero(self.heads[idx])
-        return ids, np.diff((upto - lens)[head], append=upto[-1])
+        at = np.repeat(self.facts["starts"][idx] - (upto - lens), lens) + np.arange(int(upto[-1]))
+        ids = np.append(self.vals[at[1:]], np.uint16(self.end_id))  # each head begins with the end id of the text before
+        return ids, np.diff((upto - lens)[np.flatnonzero(kind == self.HEAD)], append=upto[-1])
 
 
 class WaveletMatrix:
@@ -377,9 +513,8 @@ FILES = "part int, seq int, part_start long, n_tokens long, keys binary, counts
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, key: str = "doc_id", text: str = "text") -> None:
     """Encode ``docs`` and write shards in ascending key order below ``path``."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows = docs.select(key_column(key).alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").drop("h")  # rows of one key, the null one too, may be many
 
     def encode(batches):
         from pyspark import TaskContext
@@ -410,7 +545,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
         if held:
             yield flush()
 
-    rows.mapInPandas(encode, FILES).write.option("compression", "none").parquet(path)
+    with scratch(spark):
+        small_batches(spark)
+        rows.mapInPandas(encode, FILES).write.option("compression", "none").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -424,7 +561,7 @@ def digest_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, of, column: str, name: str) -> DataFrame:
-    small_batches(spark, 4)
+    ship(spark)
     files = spark.read.schema(FILES).parquet(path)
     base, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row for each writing task
@@ -442,13 +579,13 @@ def _read(spark: SparkSession, path: str, of, column: str, name: str) -> DataFra
                 yield pd.DataFrame({"k": keys, "start": begin + (base[r.part] + r.part_start), "n_tokens": counts, name: out})
 
     out = files.mapInPandas(decode, f"k long, start long, n_tokens long, {column}")
-    return out.withColumn("k", F.nullif("k", F.lit(NO_KEY)))
+    return null_key(out, "k")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: every document's place and digest, from the shards read back."""
     import public_tokenizers
 
-    path = work_dir(spark, "wavelet")
+    path = kept_dir(spark, "wavelet")
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return digest_documents(spark, path).withColumnRenamed("k", "doc_id")
