@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,34 @@ from nearlight.session import cut, drop_path, kept_dir, ship, work_dir  # noqa:
 
 NO_KEY = -(1 << 63)  # stands for a null key inside
 
+_held: ContextVar[list] = ContextVar("held")
+
 
 @contextmanager
 def scratch(spark: SparkSession):
     """As :func:`nearlight.session.scratch`; batch sizes set inside are put back at the end, small
     shuffles end in few tasks and files, and what is behind removed tables is let go."""
-    with session.scratch(spark), session.settings(spark, rows=10_000, bytes=64 << 20, spread="false"):
-        yield
+    token = _held.set([])
+    try:
+        with session.scratch(spark), session.settings(spark, rows=10_000, bytes=64 << 20, spread="false"):
+            yield
+    finally:
+        for df in _held.get():
+            df.unpersist()
+        _held.reset(token)
     gc.collect()
     spark._jvm.System.gc()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks until the end of the :func:`scratch` around. Its lineage
+    stays, so what a lost executor held is computed again; unlike :func:`cut` it asks nothing of the
+    shared store, which pays off for large tables that a few stages read."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _held.get().append(out)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches small until the end of the :func:`scratch` around: texts are long, and
     several arrays of 8 bytes a byte follow."""
