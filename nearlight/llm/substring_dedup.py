@@ -10,16 +10,22 @@ Sorting every suffix of a corpus in one place is neither possible nor needed. Ev
 equal windows name equal anchors at equal offsets, so suffixes are dealt to sorts by anchor.
 Consecutive windows with one anchor are a segment.
 
-- Segments that are equal as a whole, anchor and place included, are counted without their text.
+- Segments that are equal as a whole, by a cryptographic digest of anchor, place and bytes, are
+  counted without their text.
 - An anchor that occurs once settles its windows; so does one whose segments are all equal.
 - For the others, one text of each distinct segment goes to the sort of its anchor. There the
   cores of 16 neighbouring windows are sorted first, and the windows themselves only where two
   cores agree.
-- An anchor with more than ``HOT`` distinct segments (a passage that a large share of all documents
-  holds in different surroundings) is dealt by window instead, and counted with partial sums.
+- The windows of an anchor with more than ``HOT`` distinct segments (a passage that many documents hold
+  in different surroundings) are dealt on by window: a sort needs them in one task, and such an
+  anchor may have a third of all rows. Their 128-bit cryptographic digests are counted with partial sums.
+
+Polynomial hashes are taken modulo 2**64 with random odd values for the bytes; the strings that
+defeat any such base agree in fewer than 50 of the 64 bits at ``LENGTH`` bytes and below. What hashes
+find equal in a sort is compared byte by byte. Long texts are looked at in overlapping parts.
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` keep everything; repeated rows
-are occurrences of each other; an empty table gives an empty result; other columns are not read.
+are occurrences of each other; null keys stay null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,26 +37,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, cut, scratch, small_batches
+from nearlight.llm.common import blob, chunks, cut, hold, key_column, mix, null_key, scratch, small_batches
 
 LENGTH = 400
 GRAM = 100
 CORE = 16  # windows whose common bytes are sorted first
-HOT = 20_000
-BITMAP = 1 << 25
-NO_KEY = -(1 << 63)  # stands for a null key inside
+HOT = 4_000
+BITMAP = (16, 28)  # least and most bits of the prefilter's names; it has 16 for each wanted segment
+PART = 1 << 22  # bytes of a text that are looked at together
+LIVE = 1 << 18  # windows that are sorted together
 CHUNK = 1 << 19  # bytes of text whose windows are looked at together
 SORT_BYTES = 3 << 20  # text of the anchors that are sorted together
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Hashes:
     """Prefix polynomial hashes of a buffer; ``of(i, n)`` names the ``n`` bytes from ``i``."""
 
@@ -191,30 +192,41 @@ def segments(raw: list[bytes], length: int, gram: int):
     p = anchor[first]
     doc = np.searchsorted(end, lo, side="right")
     ah = mix(h.of(p, gram) + _K)
-    cx = mix(h.of(lo, hi - lo + length) + (p - lo).astype(np.uint64) * _K + mix((hi - lo).astype(np.uint64) + _K))
+    whole, digest = memoryview(buf.tobytes()), hashlib.blake2b
+    cx = b"".join([digest(whole[a:b], digest_size=8).digest() for a, b in zip(lo.tolist(), (hi + length).tolist())])
+    cx = np.frombuffer(cx, np.uint64) ^ mix((p - lo).astype(np.uint64) + _K)
     return doc, lo, hi, p, ah, cx, begin, h
 
 
-def _texts(batches):
+def _texts(batches, length: int):
+    """Texts or parts of long ones with their rows: ``(frame, rows, first bytes, bytes)``. Parts
+    overlap by ``length - 1``, so that each window lies in one part."""
     for pdf in batches:
-        raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["t"]]
+        rows, froms, raw = [], [], []
+        for i, t in enumerate(pdf["t"]):
+            x = t.encode()
+            for a in range(0, max(1, len(x) - length + 1), PART):
+                rows.append(i)
+                froms.append(a)
+                raw.append(x[a : a + PART + length - 1])
+        rows, froms = np.array(rows, np.int64), np.array(froms, np.int64)
         for i, j in chunks(raw, CHUNK):
-            yield pdf.iloc[i:j], raw[i:j]
+            yield pdf, rows[i:j], froms[i:j], raw[i:j]
 
 
 def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """``(ah, cx, k, th, lo, hi)``: a row for each segment."""
 
     def run(batches):
-        for pdf, raw in _texts(batches):
+        for pdf, row, at, raw in _texts(batches, length):
             got = segments(raw, length, gram)
             if got is None:
                 continue
             doc, lo, hi, _, ah, cx, begin, _ = got
-            k, th = pdf["k"].to_numpy()[doc], pdf["th"].to_numpy()[doc]
-            yield pd.DataFrame({"ah": ah.view(np.int64), "cx": cx.view(np.int64), "k": k, "th": th, "lo": (lo - begin[doc]).astype(np.int32), "hi": (hi - begin[doc]).astype(np.int32)})
+            k, th, base = pdf["k"].to_numpy()[row[doc]], pdf["th"].to_numpy()[row[doc]], at[doc] - begin[doc]
+            yield pd.DataFrame({"ah": ah.view(np.int64), "cx": cx.view(np.int64), "k": k, "th": th, "lo": lo + base, "hi": hi + base})
 
-    return rows.mapInPandas(run, "ah long, cx long, k long, th long, lo int, hi int")
+    return rows.mapInPandas(run, "ah long, cx long, k long, th long, lo long, hi long")
 
 
 def _name(ah, cx, k, th, lo) -> np.ndarray:
@@ -222,30 +234,32 @@ def _name(ah, cx, k, th, lo) -> np.ndarray:
     out = x[0]
     for v in x[1:]:
         out = mix(out + v * np.uint64(0xD1342543DE82EF95) + _K)
-    return (out >> np.uint64(39)).astype(np.int64)
+    return out
 
 
-def bitmap(wanted: DataFrame) -> np.ndarray:
-    """Bits of the names of ``wanted`` rows; of fixed size whatever their number."""
+def bitmap(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the names of ``wanted`` rows, 32 MB at most, and what names are shifted by."""
+    width = min(max(BITMAP[0], (16 * wanted.count()).bit_length()), BITMAP[1])
+    shift = np.uint64(64 - width)
 
     def bits(batches):
-        got = np.zeros(BITMAP, bool)
+        got = np.zeros(1 << width, bool)
         for pdf in batches:
-            got[_name(pdf["ah"], pdf["cx"], pdf["k"], pdf["th"], pdf["lo"])] = True
+            got[(_name(pdf["ah"], pdf["cx"], pdf["k"], pdf["th"], pdf["lo"]) >> shift).astype(np.int64)] = True
         packed = np.packbits(got).reshape(64, -1)
         some = [p for p in range(64) if packed[p].any()]
         yield pd.DataFrame({"part": some, "bits": [blob(packed[p]) for p in some]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(BITMAP // 512, np.uint8)
+        out = np.zeros((1 << width) // 512, np.uint8)
         for b in pdf["bits"]:
             out |= np.frombuffer(b, np.uint8)
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [blob(out)]})
 
-    whole = np.zeros((64, BITMAP // 512), np.uint8)
+    whole = np.zeros((64, (1 << width) // 512), np.uint8)
     for r in wanted.mapInPandas(bits, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect():
         whole[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return whole.reshape(-1)
+    return whole.reshape(-1), shift
 
 
 def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -254,26 +268,26 @@ def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) ->
     held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches):
-        maybe = held.value
-        for pdf, raw in _texts(batches):
+        maybe, shift = held.value
+        for pdf, row, begins, raw in _texts(batches, length):
             got = segments(raw, length, gram)
             if got is None:
                 continue
             doc, lo, hi, p, ah, cx, begin, h = got
-            k, th = pdf["k"].to_numpy()[doc], pdf["th"].to_numpy()[doc]
-            at = lo - begin[doc]
-            name = _name(ah.view(np.int64), cx.view(np.int64), k, th, at)
+            k, th = pdf["k"].to_numpy()[row[doc]], pdf["th"].to_numpy()[row[doc]]
+            at = lo - begin[doc] + begins[doc]
+            name = (_name(ah.view(np.int64), cx.view(np.int64), k, th, at) >> shift).astype(np.int64)
             t = np.flatnonzero(maybe[name >> 3] >> (7 - (name & 7)).astype(np.uint8) & 1)
             if len(t):
                 text = h.buf.tobytes()
                 yield pd.DataFrame(
                     {
-                        "ah": ah[t].view(np.int64), "cx": cx[t].view(np.int64), "k": k[t], "th": th[t], "lo": at[t].astype(np.int32), "off": (p - lo)[t].astype(np.int32),
+                        "ah": ah[t].view(np.int64), "cx": cx[t].view(np.int64), "k": k[t], "th": th[t], "lo": at[t], "off": (p - lo)[t].astype(np.int32),
                         "body": [text[a : b + length] for a, b in zip(lo[t].tolist(), hi[t].tolist())],
                     }
                 )
 
-    got = rows.mapInPandas(run, "ah long, cx long, k long, th long, lo int, off int, body binary")
+    got = rows.mapInPandas(run, "ah long, cx long, k long, th long, lo long, off int, body binary")
     # Rows that are repeated as a whole give the same segment twice.
     return got.join(wanted, ["ah", "cx", "k", "th", "lo"]).dropDuplicates(["ah", "cx"])
 
@@ -294,10 +308,19 @@ def sort_segments(parts: list[tuple[bytes, int]], length: int) -> list[np.ndarra
     code = part * (1 << 32) + block
     first = np.flatnonzero(np.diff(code, prepend=-1))
     core = anchor[part[first]] - CORE * block[first]
-    met = equal_runs(h, core, length - CORE + 1) >= 0
-    live = np.flatnonzero(np.repeat(met, np.diff(first, append=len(code))))
+    met = equal_runs(h, core, length - CORE + 1)
+    # Equal windows have equal cores: the windows of some classes of cores are sorted at a time.
+    each = np.diff(first, append=len(code))
+    by = np.argsort(met, kind="stable")
+    by = by[np.searchsorted(met[by], 0) :]
     dup = np.zeros(len(start), bool)
-    dup[live] = equal_runs(h, start[live], length) >= 0
+    many = np.cumsum(each[by])
+    fresh = np.flatnonzero(np.diff(met[by], prepend=-1))
+    cut_at = fresh[np.flatnonzero(np.diff(many[fresh] // LIVE, prepend=-1))] if len(fresh) else fresh
+    for a, b in zip(cut_at.tolist(), [*cut_at[1:].tolist(), len(by)]):
+        n = each[by[a:b]]
+        live = np.repeat(first[by[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        dup[live] = equal_runs(h, start[live], length) >= 0
     return np.split(dup, np.cumsum(n_win)[:-1])
 
 
@@ -327,30 +350,22 @@ def sorted_windows(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return parts.repartition("ah").sortWithinPartitions("ah").mapInPandas(run, "k long, th long, a long, b long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # dealt evenly: a byte costs more here than in a shuffle
+    return parts.repartition(n, "ah").sortWithinPartitions("ah").mapInPandas(run, "k long, th long, a long, b long")
 
 
 def hot_windows(parts: DataFrame, length: int) -> DataFrame:
-    """As :func:`sorted_windows` for hot anchors: windows are counted by two hashes of their bytes."""
+    """As :func:`sorted_windows` for hot anchors: windows are counted by 128 bits of their digest."""
 
     def run(batches):
+        digest = hashlib.blake2b
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                g = pdf.iloc[i : i + 500]
-                raw = g["body"].tolist()
-                size = np.array([len(b) for b in raw], np.int64)
-                begin = np.cumsum(size) - size
-                n_win = size - length + 1
-                h = Hashes(np.frombuffer(b"".join(raw), np.uint8))
-                part = np.repeat(np.arange(len(raw)), n_win)
-                start = np.repeat(begin - (np.cumsum(n_win) - n_win), n_win) + np.arange(int(n_win.sum()))
-                half = length // 2
-                w1 = mix(h.of(start, length))
-                w2 = mix(h.of(start, half) + mix(h.of(start + half, length - half) + _K))
-                lo = g["lo"].to_numpy(np.int64)[part] + start - begin[part]
-                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "k": g["k"].to_numpy()[part], "th": g["th"].to_numpy()[part], "a": lo, "n": g["n"].to_numpy()[part]})
-
-    each = cut(parts.mapInPandas(run, "w1 long, w2 long, k long, th long, a long, n long"), "substring-hot")
+            for k, th, lo, n, body in pdf[["k", "th", "lo", "n", "body"]].itertuples(index=False, name=None):
+                view = memoryview(body)
+                got = np.frombuffer(b"".join([digest(view[a : a + length], digest_size=16).digest() for a in range(len(body) - length + 1)]), np.int64)
+                yield pd.DataFrame({"w1": got[0::2], "w2": got[1::2], "k": k, "th": th, "a": lo + np.arange(len(got) // 2), "n": n})
+
+    each = hold(parts.mapInPandas(run, "w1 long, w2 long, k long, th long, a long, n long"))
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1")
     return each.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k", "th", "a", F.col("a").alias("b"))
 
@@ -363,14 +378,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     spark = docs.sparkSession
     gram = gram or max(8, length // 4)
     small_batches(spark)
-    number = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    rows = docs.select(number.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")
+    rows = docs.select(key_column(key).alias("k"), whole).withColumn("th", F.xxhash64("t"))
     with scratch(spark):
+        small_batches(spark)
         flags = _flags(rows, length, gram, hot)
     others = [F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]]
     carry = [F.struct(*others).alias("row")] if keep_text else []
-    whole_rows = docs.select(number.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *carry).withColumn("th", F.xxhash64("t"))
-    small_batches(spark)
+    whole_rows = docs.select(key_column(key).alias("k"), whole, *carry).withColumn("th", F.xxhash64("t"))
 
     def apply(batches):
         for pdf in batches:
@@ -395,24 +410,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     if keep_text:
         schema += f", row {whole_rows.schema['row'].dataType.simpleString()}, kept_text string"
     out = whole_rows.join(flags, ["k", "th"], "left").drop("th").mapInPandas(apply, schema)
-    return out.withColumn("k", F.nullif("k", F.lit(NO_KEY))).withColumnRenamed("k", key)
+    return null_key(out, key)
 
 
 def _flags(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     """``(k, th, runs)``: runs of repeated windows of each text that has any."""
     spark = rows.sparkSession
-    found = cut(anchored(rows, length, gram), "substring-anchors")
+    found = hold(anchored(rows, length, gram))
     rep = F.min(F.struct("k", "th", "lo")).alias("rep")
     kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
     many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
+    known = hold(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"))
     wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
     small_batches(spark)
-    parts = cut(cut_segments(rows, wanted, length, gram), "substring-segments")
+    parts = hold(cut_segments(rows, wanted, length, gram))
     lone = sorted_windows(parts.filter("not hot"), length)
     if not parts.filter("hot").isEmpty():
         lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
-    whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b"))
+    whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
     flags = lone.unionByName(whole).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     return cut(flags, "substring-flags", keep=True)
 
