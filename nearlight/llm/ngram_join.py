@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, key_column, mix, null_key, scratch, small_batches, spanning
+from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, hold, key_column, mix, null_key, scratch, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
@@ -370,7 +370,7 @@ def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 def sets_of(rows: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("c")).distinct(), "ngram-wanted")
-    return cut(needed_sets(rows, n, wanted), "ngram-sets")
+    return hold(needed_sets(rows, n, wanted))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -591,13 +591,13 @@ def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(key_column(key).alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    found = cut(survey(rows, n), "ngram-survey")
+    found = hold(survey(rows, n))
     facts = found.filter("part < 0").select("k", "n", "sig")
     kinds = found.filter("part < 0 and n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     classes = frequency_classes(merged_sketch(found))
     n_buckets = max(64, 4 * rows.rdd.getNumPartitions())
     small_batches(spark)
-    met = cut(blocks(index_entries(rows, n, percent, classes, n_buckets), percent), "ngram-blocks")
+    met = hold(blocks(index_entries(rows, n, percent, classes, n_buckets), percent))
     pairs = cut(possible(met.filter("block is null").select("a", "c").distinct(), kinds, percent), "ngram-pairs")
     members = met.filter("block is not null").select("block", "c", "n").distinct()
     known = cut(compare(pairs, sets_of(rows, n, pairs), percent), "ngram-known")
