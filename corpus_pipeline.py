@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearlight.llm import ngram_join, packing, quality_rules, substring_dedup
-from nearlight.llm.common import cut
+from nearlight.llm.common import cut, scratch
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,10 @@ def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces, bins and offsets of what is left."""
-    return packing.pack_documents(docs)
+    """Pieces, bins and offsets of what is left, by the ids of the byte-level tokenizer."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -50,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return STAGES[-1][1](spark, docs, sf_dir)  # reads its own tables only
