@@ -73,10 +73,10 @@ def vec_topk_dot(spark, sf):
     return _r(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10, "dot"), "score")
 
 
-@query(f"""select qid, id, rank from (
-  select qid, id, row_number() over (partition by qid order by round({_L2}, 9), id) as rank from queries, vectors) where rank <= 10""")
+@query(f"""select qid, id, rank, round(score, 6) as score from (
+  select qid, id, {_L2} as score, row_number() over (partition by qid order by round({_L2}, 9), id) as rank from queries, vectors) where rank <= 10""")
 def vec_topk_euclid(spark, sf):
-    return search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10, "euclid").select("qid", "id", "rank")
+    return _r(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10, "euclid"), "score").select("qid", "id", "rank", "score")
 
 
 @query(f"select id, round(max({_COS}), 6) as score from queries, vectors where qid <> id group by id order by max({_COS}) desc, id limit 100")
