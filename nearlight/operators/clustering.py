@@ -7,10 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearlight.operators.ranking import ranked
+from nearlight.operators.vectors import usable
 from nearlight.session import cut, ship
 
 SILHOUETTE_ROWS = 2000
@@ -19,12 +20,36 @@ TILE = 1024  # rows that are compared at a time
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
-    """``(cluster_id, centroid)``: element-wise means, summed by position before the shuffle."""
-    each = vectors.select("cluster_id", F.posexplode("vec").alias("pos", "x"))
-    mean = each.groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """``(cluster_id, centroid)``: element-wise means over usable vectors, summed in each task to one row
+    for each cluster before anything is shuffled."""
+    ship(vectors.sparkSession)
+
+    def add(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for (c, d), g in pdf.groupby(["cluster_id", "dim"]):
+                s, n = sums.get((c, d), (0.0, 0))
+                sums[(c, d)] = (s + np.array(g["vec"].tolist(), np.float64).sum(0), n + len(g))
+        yield pd.DataFrame([(c, s.tolist(), n) for (c, _), (s, n) in sums.items()], columns=["cluster_id", "s", "n"])
+
+    rows = vectors.filter(usable("vec")).filter("cluster_id is not null").select("cluster_id", F.size("vec").alias("dim"), F.col("vec").cast("array<double>").alias("vec"))
+    each = rows.mapInPandas(add, "cluster_id long, s array<double>, n long").select("cluster_id", "n", F.posexplode("s").alias("pos", "x"))
+    mean = each.groupBy("cluster_id", "pos").agg((F.sum("x") / F.sum("n")).alias("m"))
     return mean.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def learn(buffer: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """K-means with chosen k over the usable vectors of the commonest length: ``(id, cluster_id)``
+    of these and the centroids; None where there are none."""
+    good = buffer.filter(usable("vec")).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    size = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if size is None:
+        return None
+    good = good.filter(F.size("vec") == size["d"])
+    labels = cut(choose_k(good)[0], "boot-labels")
+    return labels, cut(centroids(good.join(labels, "id")), "boot-centroids")
+
+
 def silhouette(x: np.ndarray, lab: np.ndarray) -> float:
     """Mean Euclidean silhouette."""
     ks, inv, cnt = np.unique(lab, return_inverse=True, return_counts=True)
@@ -65,6 +90,7 @@ def choose_k(vectors: DataFrame, min_k: int = 5, max_k: int = 30, seed: int = 42
         s = silhouette(np.array([r["features"].toArray() for r in sample]), np.array([r["prediction"] for r in sample]))
         if s > best[0]:
             best = (s, model)
+    rows.unpersist()
     out = best[1].transform(rows).select("id", F.col("prediction").cast("long").alias("cluster_id"))
     return out, best[1].getK()
 
@@ -110,12 +136,13 @@ def bounded_kmeans(x: np.ndarray, k: int, limit: int, rounds: int = 20, seed: in
 def split_clusters(vectors: DataFrame, k: int = 3) -> DataFrame:
     """``(id, cluster_id, label, size_limit)``: every cluster split into ``k`` bounded ones.
 
-    Centres are fitted on at most ``SPLIT_ROWS`` rows of a cluster; all rows are then assigned.
+    Centres are fitted on about ``SPLIT_ROWS`` rows of a cluster, drawn by a hash of the id; all rows are then assigned.
     Where a label is over the limit it keeps the rows that lose most by leaving and is closed,
     and the others go on to their next label; ``k - 1`` rounds are enough, as ``k`` limits hold
     all rows. Rows without cluster or vector are left out."""
     v = vectors.select("id", "cluster_id", "vec").filter("cluster_id is not null and vec is not null")
-    first = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.xxhash64("id"), "id"))
+    n = cut(v.groupBy("cluster_id").agg(F.count("*").alias("n")), "split-sizes")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < F.lit(SPLIT_ROWS << 30)  # about SPLIT_ROWS rows, all of fewer
     ship(vectors.sparkSession)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,8 +151,7 @@ def split_clusters(vectors: DataFrame, k: int = 3) -> DataFrame:
         centres = [x[lab == c].mean(0).tolist() for c in np.unique(lab)]
         return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "centres": [centres]})
 
-    centres = v.withColumn("r", first).filter(f"r <= {SPLIT_ROWS}").groupBy("cluster_id").applyInPandas(fit, "cluster_id long, centres array<array<double>>")
-    n = v.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    centres = v.join(n, "cluster_id").filter(draw).drop("n").groupBy("cluster_id").applyInPandas(fit, "cluster_id long, centres array<array<double>>")
     limit = F.when(F.ceil(1.2 * F.col("n") / k) * k < F.col("n"), F.ceil(F.col("n") / k) + 1).otherwise(F.ceil(1.2 * F.col("n") / k))
     per = cut(centres.join(n, "cluster_id").select("cluster_id", "centres", limit.cast("long").alias("size_limit")), "split-centres")
     gap = F.transform("centres", lambda c, i: F.struct(F.aggregate(F.zip_with("vec", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y).alias("d"), i.alias("label")))

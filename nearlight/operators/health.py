@@ -39,19 +39,24 @@ def latency(samples: DataFrame, *by: str) -> DataFrame:
     """Mean, median, exclusive p95 and p99 (the maximum where there are too few), deviation.
 
     Quantiles are picked by rank, so a group may hold any share of the rows; null ``ms`` do not count."""
-    r = ranked(samples.select(*by, "ms").filter("ms is not null"), list(by), ["ms"])
+    good = samples.select(*by, "ms").filter("ms is not null")
+    # Equal values are counted first, so a very common one is one row.
+    r = ranked(good.groupBy(*by, "ms").agg(F.count("*").alias("c")), list(by), ["ms"], "c")
 
     def place(p: float) -> Column:
         return F.greatest(F.lit(1), F.least(F.floor((F.col("total") + 1) * p), F.col("total") - 1))
 
     def at(where: Column) -> Column:
-        return F.max(F.when(F.col("rank") == where, F.col("ms")))
+        return F.max(F.when((F.col("rank") >= where) & (F.col("rank") - F.col("c") < where), F.col("ms")))
 
     picks = [at(place(p) + i).alias(f"v{i}_{q}") for q, p in (("p95", 0.95), ("p99", 0.99)) for i in (0, 1)]
-    a = r.groupBy(*by).agg(
-        F.max("total").alias("n"), F.avg("ms").alias("mean"), F.stddev_samp("ms").alias("std"), F.max("ms").alias("most"),
-        F.avg(F.when(F.abs(2 * F.col("rank") - F.col("total") - 1) <= 1, F.col("ms"))).alias("median"), *picks,
-    )
+    middle = [at(F.floor((F.col("total") + i) / 2)).alias(f"m{i}") for i in (1, 2)]
+    sums = good.groupBy(*by).agg(F.avg("ms").alias("mean"), F.stddev_samp("ms").alias("std"), F.max("ms").alias("most"))
+    a = r.groupBy(*by).agg(F.max("total").alias("n"), *middle, *picks).withColumn("median", (F.col("m1") + F.col("m2")) / 2)
+    same = F.lit(True)
+    for c in by:
+        same &= a[c].eqNullSafe(sums[c])
+    a = a.join(sums, same).select(a["*"], "mean", "std", "most")
 
     def quantile(q: str, p: float, fewest: int) -> Column:
         n = F.col("n")
@@ -61,6 +66,27 @@ def latency(samples: DataFrame, *by: str) -> DataFrame:
     return a.select(*by, "n", "mean", "median", "std", quantile("p95", 0.95, 20), quantile("p99", 0.99, 100))
 
 
+def error_share(samples: DataFrame, *by: str) -> DataFrame:
+    """Operations of ``samples(..., ok)``, failed ones among them, their share in percent."""
+    failed = F.count_if(~F.coalesce("ok", F.lit(False)))
+    return samples.groupBy(*by).agg(F.count("*").alias("n"), failed.alias("errors"), (100 * failed / F.count("*")).alias("percent"))
+
+
+def tail_ratio(summary: DataFrame) -> DataFrame:
+    """How far the slowest hundredth lies from the middle: p99 over the median, null where that is 0."""
+    return summary.withColumn("tail", F.when(F.col("median") != 0, F.col("p99") / F.col("median")))
+
+
+def first_contact(joined: DataFrame, now_ms: float) -> DataFrame:
+    """A peer that answers when it joins has had its first beat: ``(peer_id, ms)``."""
+    return joined.filter("answered").select("peer_id", F.lit(float(now_ms)).alias("ms"))
+
+
+def jittered(seed: int, every: float = 3.0, by: float = 0.5, least: float = 0.1) -> Column:
+    """Seconds to the next beat."""
+    return F.greatest(F.lit(least), every + (2 * F.rand(seed) - 1) * by)
+
+
 def server_report(samples: DataFrame) -> DataFrame:
     """Average by server against the global one: OK to 10 %, WARN to 30 %, else SLOW."""
     s = samples.groupBy("server").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"))

@@ -115,3 +115,129 @@ def hand_out(labels: DataFrame, plan: DataFrame) -> DataFrame:
     destinations)``, under the new cluster id."""
     new = labels.join(plan, ["cluster_id", "label"])
     return new.select("id", F.col("new_id").alias("cluster_id"), F.explode("destinations").alias("node_id"))
+
+
+def allowed(peers: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Peers that no simulated partition of ``blocked(node_id)`` cuts off."""
+    return peers.join(blocked, "node_id", "left_anti")
+
+
+def reachable_peer(peers: DataFrame, active: DataFrame, node: int) -> DataFrame:
+    """The peer of an id, if it is reachable."""
+    return peers.filter(F.col("node_id") == node).join(active, "node_id", "left_semi")
+
+
+def find_coordinator(peers: DataFrame, active: DataFrame) -> DataFrame:
+    """The first reachable peer of ``peers(ord, node_id, claims)`` that claims to coordinate."""
+    return peers.join(active, "node_id", "left_semi").filter("claims").orderBy("ord").limit(1)
+
+
+def first_other(targets: DataFrame, me: int) -> DataFrame:
+    """The first of ``targets(ord, node_id)`` that is not ``me``."""
+    return targets.filter(F.col("node_id") != me).orderBy("ord").limit(1)
+
+
+def invert(assignment: DataFrame) -> DataFrame:
+    """``(cluster_id, destinations)`` of ``assignment(node_id, clusters)``."""
+    each = assignment.select("node_id", F.explode("clusters").alias("cluster_id"))
+    return each.groupBy("cluster_id").agg(F.array_sort(F.collect_set("node_id")).alias("destinations"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their ``label`` of ``labels(id, label)``, 0 where there is none."""
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def send(rows: DataFrame, routed: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies for reachable nodes, hints for the others, and ``(dropped)``, the rows without any
+    destination. ``routed(id, cluster_id, destinations)``; a row's cluster is set only if it has none."""
+    to = routed.select("id", F.col("cluster_id").alias("_c"), "destinations")
+    all_ = rows.drop("destinations").join(to, "id", "left")
+    all_ = all_.withColumn("cluster_id", F.when(F.col("cluster_id") == -1, F.coalesce("_c", F.lit(-1))).otherwise(F.col("cluster_id"))).drop("_c")
+    dropped = all_.agg(F.count_if(F.coalesce(F.size("destinations"), F.lit(0)) <= 0).alias("dropped"))
+    return *deliver(explode_destinations(all_), active), dropped
+
+
+def replication_check(replicas: DataFrame, rf: int) -> DataFrame:
+    """Distinct ids, copies, and whether every id has ``rf`` of them."""
+    per = replicas.groupBy("id").agg(F.count("*").alias("c"))
+    return per.agg(F.count("*").alias("n_unique"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_total"), F.coalesce(F.sum("c") == F.count("*") * rf, F.lit(True)).alias("complete"))
+
+
+#: Below this share of the average load a node is short of rows; a part of a split may fall a fifth short of it.
+SHORT, SLACK = 0.7, 0.8
+
+
+def keep_when_planned(loads: DataFrame, me: int, sent: int, parts: int) -> DataFrame:
+    """``(projected, average, keep)``: whether ``me`` should keep one of ``parts`` of the ``sent`` rows. The
+    average counts ``me`` with what it will have left."""
+    left = F.when(F.col("node_id") == me, F.greatest(F.col("n") - sent, F.lit(0))).otherwise(F.col("n"))
+    a = loads.select("node_id", left.alias("n")).agg(F.max(F.when(F.col("node_id") == me, F.col("n"))).alias("projected"), F.avg("n").alias("average"))
+    keep = (F.col("projected") < SHORT * F.col("average")) & (F.col("projected") + sent / parts >= SLACK * SHORT * F.col("average"))
+    return a.withColumn("keep", F.coalesce(keep, F.lit(False)))
+
+
+def keep_when_distributed(loads: DataFrame, me: int) -> DataFrame:
+    """``(projected, average, keep)``: whether ``me``, its rows gone, must keep one. The average is the peers'."""
+    a = loads.agg(F.max(F.when(F.col("node_id") == me, F.col("n"))).alias("projected"), F.avg(F.when(F.col("node_id") != me, F.col("n"))).alias("average"))
+    return a.withColumn("keep", F.coalesce(F.col("projected") < SHORT * F.col("average"), F.lit(False)))
+
+
+def by_load(loads: DataFrame, limit: int) -> DataFrame:
+    """The least loaded peers; those whose load is not known come last."""
+    return loads.orderBy(F.col("n").asc_nulls_last(), "node_id").limit(limit)
+
+
+def chosen_replicas(forced: DataFrame, loads: DataFrame, rf: int) -> DataFrame:
+    """``rf`` nodes: all of ``forced(node_id)``, then the least loaded others."""
+    f = forced.select("node_id", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("n"))
+    rest = loads.join(forced, "node_id", "left_anti").select("node_id", F.lit(1).alias("turn"), "n")
+    return f.unionByName(rest).orderBy("turn", F.col("n").asc_nulls_last(), "node_id").limit(rf).select("node_id")
+
+
+# Hints: ``(target_id, seq, ...)``, appended and never merged.
+def add_hints(hints: DataFrame, target: int, rows: DataFrame) -> DataFrame:
+    return hints.unionByName(rows.withColumn("target_id", F.lit(target).cast("long")).select(*hints.columns))
+
+
+def take_hints(hints: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
+    """A target's hints in order, and the table without them."""
+    mine = F.col("target_id") == target
+    return hints.filter(mine).orderBy("seq"), hints.filter(~mine)
+
+
+def hint_counts(hints: DataFrame) -> DataFrame:
+    return hints.groupBy("target_id").agg(F.count("*").alias("n"))
+
+
+def exchange(replicas: DataFrame, a: int, b: int, calculated: DataFrame, topology: DataFrame | None = None) -> DataFrame:
+    """Replicas once ``a`` and ``b`` have compared digests: each sends the other what it lacks or has
+    older, if the other should hold it (stored ``destinations``, else ``calculated(id, destinations)``, else
+    whatever)."""
+    pair = replicas.filter(F.col("node_id").isin(a, b))
+    row = F.struct(*[c for c in replicas.columns if c not in ("id", "node_id")])
+    sides = pair.groupBy("id").agg(*[F.max_by(row, F.when(F.col("node_id") == n, F.struct("ts", "node"))).alias(f"r{n}") for n in (a, b)], *[F.max(F.when(F.col("node_id") == n, F.struct("ts", "node"))).alias(f"v{n}") for n in (a, b)])
+    moves = None
+    for src, dst in ((a, b), (b, a)):
+        news = sides.filter(f"v{src} is not null and (v{dst} is null or v{src} > v{dst})").select("id", f"r{src}.*")
+        hold = should_hold(news, dst, calculated, topology is None or not topology.isEmpty()).filter("hold").drop("hold")
+        part = hold.withColumn("node_id", F.lit(dst).cast("long")).select(*replicas.columns)
+        moves = part if moves is None else moves.unionByName(part)
+    old = replicas.join(moves.select("id", "node_id"), ["id", "node_id"], "left_anti")
+    return old.unionByName(moves)
+
+
+def newer_topology(topologies: DataFrame) -> DataFrame:
+    """The cluster list of the highest version of ``topologies(node_id, version, ...)``, the least node of equals."""
+    rest = [c for c in topologies.columns if c != "node_id"]
+    return topologies.agg(F.max_by(F.struct(*rest), F.struct("version", -F.col("node_id"))).alias("r")).select("r.*")
+
+
+def heal(replicas: DataFrame, hints: DataFrame, active: DataFrame, calculated: DataFrame, me: int) -> tuple[DataFrame, DataFrame]:
+    """What a node does when a partition ends: deliver hints to reachable targets, then compare with
+    each reachable peer of greater id. Returns replicas and the hints that are left."""
+    out = replay_hints(replicas, hints.drop("seq").withColumnRenamed("target_id", "node_id"), active)
+    left = hints.join(active.select(F.col("node_id").alias("target_id")), "target_id", "left_anti")
+    for r in active.filter(F.col("node_id") > me).orderBy("node_id").collect():
+        out = exchange(out, me, r["node_id"], calculated)
+    return out, left

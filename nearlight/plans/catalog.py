@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearlight.functions import cosine, dot, euclid, norm
-from nearlight.operators import clustering, health, ranking, replication, search, store
+from nearlight.operators import clustering, engine, health, rebalance, replication, search, store
+from nearlight.session import kept_dir
+from nearlight.sources import requests
 from nearlight.sources import tables as t
+from nearlight.sources.collections import Collections
 from nearlight.streaming import ingest
 
 QUERIES: dict = {}
@@ -112,13 +115,6 @@ def vec_delete_by_cluster(spark, sf):
     return store.delete_where(t.vectors(spark, sf), F.col("cluster_id") == 3).select("id", "cluster_id")
 
 
-@query("select v.id, coalesce(length(d.text), -1)::bigint as n from vectors v left join documents d on d.doc_id = v.id where (d.text = (select text from documents where doc_id = 3)) is not true")
-def vec_delete_by_payload(spark, sf):
-    v = t.vectors(spark, sf, payload=True)
-    gone = t.read(spark, sf, "documents").filter("doc_id = 3").select(F.col("text").alias("payload"))
-    return v.join(gone, "payload", "left_anti").select("id", F.coalesce(F.length("payload"), F.lit(-1)).cast("long").alias("n"))
-
-
 @query("select id, arg_max(cluster_id, (ts, node, seq)) as cluster_id, arg_max(ts, (ts, node, seq)) as ts from (select *, 1 as seq from vectors union all select *, 0 from incoming) group by id")
 def vec_lww_upsert(spark, sf):
     return store.upsert(t.vectors(spark, sf), t.incoming(spark, sf)).select("id", "cluster_id", "ts")
@@ -139,12 +135,6 @@ def vec_remove_by_id(spark, sf):
     return store.remove(t.vectors(spark, sf), t.queries(spark, sf).select(F.col("qid").alias("id"))).select("id")
 
 
-@query("select id, coalesce(try_cast(payload as bigint), -1) as cluster_id from (select id, case when id % 4 = 0 then 'x' else cluster_id::varchar end as payload from vectors)")
-def vec_reject_bad_cluster_ids(spark, sf):
-    v = t.vectors(spark, sf).select("id", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("cluster_id").cast("string")).alias("payload"))
-    return v.select("id", F.coalesce(F.col("payload").try_cast("long"), F.lit(-1)).alias("cluster_id"))
-
-
 @query("select id, ts, node from replicas where node_id = 1")
 def vec_digest(spark, sf):
     return replication.digest(t.replicas(spark, sf), 1)
@@ -165,11 +155,6 @@ def reconcile_all_replicas(spark, sf):
     return replication.reconcile(r, t.placement(t.vectors(spark, sf)))
 
 
-@query("select count(distinct id) as n_unique, count(*) as n_total from replicas")
-def unique_vs_total_replicas(spark, sf):
-    return t.replicas(spark, sf).agg(F.count_distinct("id").alias("n_unique"), F.count("*").alias("n_total"))
-
-
 @query("select cluster_id, pos, round(avg(x), 6) as m from each group by all")
 def centroids_by_label(spark, sf):
     c = _centroids(spark, sf).select("cluster_id", F.posexplode("centroid").alias("pos", "m"))
@@ -292,20 +277,6 @@ def split_max_size(spark, sf):
     return n.select("cluster_id", F.when(m * 3 < F.col("n"), F.ceil(F.col("n") / 3) + 1).otherwise(m).cast("long").alias("size_limit"))
 
 
-@query("select cluster_id, len(centroid)::bigint as dim from clusters where cluster_id <> 3 union all select 100 + i, 64 from (select unnest(range(3)) as i)")
-def topology_replace_cluster(spark, sf):
-    old = _centroids(spark, sf).select("cluster_id", F.size("centroid").cast("long").alias("dim")).filter("cluster_id <> 3")
-    return old.unionByName(spark.range(3).select((F.col("id") + 100).alias("cluster_id"), F.lit(64).cast("long").alias("dim")))
-
-
-@query("select id, case when cluster_id in (1, 3) then -1 else cluster_id end as cluster_id, cluster_id in (1, 3) as pending from vectors")
-def pending_rows_requeue(spark, sf):
-    v = t.vectors(spark, sf)
-    splitting = spark.createDataFrame([(1,), (3,)], "cluster_id long")
-    wait = v.join(F.broadcast(splitting), "cluster_id", "left_semi").select("id", F.lit(-1).cast("long").alias("cluster_id"), F.lit(True).alias("pending"))
-    return wait.unionByName(v.join(F.broadcast(splitting), "cluster_id", "left_anti").select("id", "cluster_id", F.lit(False).alias("pending")))
-
-
 def _delivered(spark, sf):
     v = t.vectors(spark, sf)
     copies = replication.explode_destinations(search.destinations(v, _centroids(spark, sf), t.placement(v)))
@@ -388,27 +359,6 @@ def throughput_by_scenario(spark, sf):
     return _r(health.throughput(t.latencies(spark, sf), "event_type"), "ops")
 
 
-@query("select id, (row_number() over (order by id) - 1) // 512 % 4 as server from vectors")
-def batches_round_robin(spark, sf):
-    return ranking.ranked(t.vectors(spark, sf).select("id"), [], ["id"]).select("id", F.expr("(rank - 1) div 512 % 4").alias("server"))
-
-
-@query("select cluster_id, count(*) as n, count(distinct label) = 3 as three, max(c) <= max(size_limit) as bounded from (select cluster_id, 1 as c, 1 as label, 1 as size_limit from vectors where false) group by 1"
-       " union all select cluster_id, count(*), true, true from vectors group by 1")
-def constrained_kmeans_split(spark, sf):
-    s = clustering.split_clusters(t.vectors(spark, sf), 3)
-    c = s.groupBy("cluster_id", "label", "size_limit").agg(F.count("*").alias("c"))
-    return c.groupBy("cluster_id").agg(F.sum("c").alias("n"), (F.count("*") == 3).alias("three"), (F.max("c") <= F.max("size_limit")).alias("bounded"))
-
-
-@query("select cluster_id, 3::bigint as n_nodes from clusters")
-def beam_placement(spark, sf):
-    sizes = {r["cluster_id"]: r["n"] for r in cluster_sizes(spark, sf).collect()}
-    made = clustering.place(sizes, list(range(t.N_NODES)), t.RF)
-    rows = [(c, n) for c, ns in made.items() for n in ns]
-    return spark.createDataFrame(rows, "cluster_id long, node_id long").groupBy("cluster_id").agg(F.count_distinct("node_id").alias("n_nodes"))
-
-
 @query()
 def kmeans_select_k(spark, sf):
     out, _ = clustering.choose_k(t.vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>")))
@@ -420,22 +370,11 @@ def stream_lww(spark, sf):
     return ingest.replay(spark, [t.vectors(spark, sf), t.incoming(spark, sf)]).select("id", "cluster_id", "ts")
 
 
-@query("select case when rank = 1 then 'clustered' end as state, count(*) as n from nearest where rank = 1 group by 1")
-def stream_bootstrap_cluster(spark, sf):
-    return ingest.bootstrap(spark, t.vectors(spark, sf), threshold=400).groupBy("state").agg(F.count("*").alias("n"))
-
-
 @query("select id, cluster_id from vectors order by id limit 100")
 def vec_prefix_scan(spark, sf):
     return store.prefix(t.vectors(spark, sf), 100).select("id", "cluster_id")
 
 
-@query(f"""select qid, to_json({{'qid': qid, 'ids': list(id order by rank)}})::varchar as answer from (
-  select qid, id, row_number() over (partition by qid order by {_COS} desc, id) as rank from queries, vectors) where rank <= 10 group by qid""")
-def vec_answers_json(spark, sf):
-    return store.answers_json(search.topk(t.queries(spark, sf), t.vectors(spark, sf), 10))
-
-
 @query("select id, cluster_id, case when id % 3 = 0 then 2 in (id % 4, (id + 1) % 4) else exists (select 1 from placement p where p.cluster_id = v.cluster_id and p.node_id = 2) end as hold from vectors v")
 def vec_should_hold(spark, sf):
     v = t.vectors(spark, sf)
@@ -503,3 +442,353 @@ e as (select id, max(case when c = o then s / greatest(n - 1, 1) end) as a, max(
 select round(avg(case when own > 1 then (b - a) / greatest(a, b) else 0 end), 6) as score, count(*) as n from e""")
 def silhouette_by_label(spark, sf):
     return _r(clustering.silhouette_score(t.vectors(spark, sf)), "score")
+
+
+# Store
+
+
+_TWICE = """, twice as (
+  select id, cluster_id, ts, node, 2 * id as ord from incoming union all
+  select id, cluster_id + 100, ts + (id % 2) - (id % 3 = 2)::int, node, 2 * id + 1 from incoming
+)"""
+
+
+def _twice(spark, sf):
+    """Two updates of every vector in one batch: the second newer, equal or older than the first."""
+    i = t.incoming(spark, sf)
+    one = i.withColumn("ord", 2 * F.col("id"))
+    shift = F.col("id") % 2 - (F.col("id") % 3 == 2).cast("int")
+    two = i.withColumn("cluster_id", F.col("cluster_id") + 100).withColumn("ts", F.col("ts") + shift).withColumn("ord", 2 * F.col("id") + 1)
+    return one.unionByName(two)
+
+
+@query(_TWICE + " select id, arg_max(cluster_id, (ts, node, -ord)) as cluster_id, max(ts) as ts from (select id, cluster_id, ts, node, -1 as ord from vectors union all select * from twice) group by id")
+def vec_batch_insert(spark, sf):
+    return store.insert_batch(t.vectors(spark, sf), _twice(spark, sf), "ord")[0].select("id", "cluster_id", "ts")
+
+
+@query(_TWICE + """ select count(*) filter (where (ts, node) > before) as n from (
+  select id, ts, node, ord, max((ts, node)) over (partition by id order by ord rows between unbounded preceding and 1 preceding) as before
+  from (select id, ts, node, -1 as ord from vectors union all select id, ts, node, ord from twice)) where ord >= 0""")
+def vec_batch_accept_count(spark, sf):
+    return store.insert_batch(t.vectors(spark, sf), _twice(spark, sf), "ord")[1]
+
+
+@query("select try_cast(payload as bigint) as cluster_id, id from (select id, case when id % 4 = 0 then 'x' else cluster_id::varchar end as payload from vectors) where try_cast(payload as bigint) is not null")
+def vec_reject_bad_cluster_ids(spark, sf):
+    return store.valid_clusters(_texts(spark, sf), "payload")[0].select("id", "cluster_id")
+
+
+def _texts(spark, sf):
+    return t.vectors(spark, sf).select("id", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("cluster_id").cast("string")).alias("payload"))
+
+
+@query("select count(*) as n from vectors where id % 4 = 0")
+def vec_rejected_count(spark, sf):
+    return store.valid_clusters(_texts(spark, sf), "payload")[1]
+
+
+@query("select v.id, coalesce(length(d.text), -1)::bigint as n from vectors v left join documents d on d.doc_id = v.id where (d.text = (select text from documents where doc_id = 3)) is not true")
+def vec_delete_by_payload(spark, sf):
+    gone = t.read(spark, sf, "documents").filter("doc_id = 3").select(F.col("text").alias("payload"))
+    return store.delete_payload(t.vectors(spark, sf, payload=True), gone).select("id", F.coalesce(F.length("payload"), F.lit(-1)).cast("long").alias("n"))
+
+
+@query("select i as id, exists (select 1 from vectors v where v.id = i) as found from (select unnest(range(0, 4000, 7)) as i)")
+def vec_exists(spark, sf):
+    return store.contains(t.vectors(spark, sf), spark.range(0, 4000, 7))
+
+
+@query("select id, 'p' || id as payload, case when id % 3 = 0 then -1 else cluster_id end as cluster_id, case when id % 2 = 0 then ts else 0 end as ts, case when id % 2 = 0 then node else 0 end as node, case when id % 5 = 0 then 2 else -1 end::bigint as n_to from vectors")
+def vec_decode_points(spark, sf):
+    i = F.col("id")
+    fields = F.struct(
+        F.concat(F.lit("p"), i).alias("string"), F.when(i % 3 != 0, F.col("cluster_id")).alias("cluster_id"), F.when(i % 2 == 0, F.col("ts")).alias("version_ts"),
+        F.when(i % 2 == 0, F.col("node")).alias("version_node"), F.when(i % 5 == 0, F.array(i, i + 1)).alias("destinations"),
+    )
+    points = t.vectors(spark, sf).select("id", "vec", F.to_json(fields).alias("point"))
+    return store.decode(points).select("id", "payload", "cluster_id", "ts", "node", F.expr("if(destinations is null, -1, size(destinations))").cast("long").alias("n_to"))
+
+
+@query("select id, case when id % 2 = 0 then ts else 77 end as ts, case when id % 2 = 0 then node else 4 end as node, len(p.d)::bigint as n_to from vectors left join (select cluster_id, list(node_id) as d from placement group by 1) p using (cluster_id)")
+def vec_widen_rows(spark, sf):
+    v = t.vectors(spark, sf)
+    some = v.withColumn("ts", F.when(F.col("id") % 2 == 0, F.col("ts")))
+    to = t.placement(v).groupBy("cluster_id").agg(F.collect_set("node_id").alias("destinations"))
+    return store.widen(some, 77.0, 4, to).select("id", "ts", "node", F.size("destinations").cast("long").alias("n_to"))
+
+
+@query("select id as ord, row_number() over (order by id) * 10 + 3 as id, -1::bigint as cluster_id, 5.0::double as ts, 3::bigint as node from vectors")
+def vec_client_stamp(spark, sf):
+    rows = t.vectors(spark, sf).select(F.col("id").alias("ord"), "vec")
+    return store.stamp(rows, "ord", 3, 8, 5.0).select("ord", "id", "cluster_id", "ts", "node")
+
+
+@query("select id, case when cluster_id in (1, 3) then -1 else cluster_id end as cluster_id, cluster_id in (1, 3) as pending from vectors")
+def pending_rows_requeue(spark, sf):
+    now, wait = store.divert(t.vectors(spark, sf), spark.createDataFrame([(1,), (3,)], "cluster_id long"))
+    return store.unassigned(wait).select("id", "cluster_id", F.lit(True).alias("pending")).unionByName(now.select("id", "cluster_id", F.lit(False).alias("pending")))
+
+
+@query("select id, (row_number() over (order by id) - 1) // 512 as batch, (row_number() over (order by id) - 1) // 512 % 4 as server from vectors")
+def batches_round_robin(spark, sf):
+    return store.batches(t.vectors(spark, sf).select("id"), "id", 512, 4)
+
+
+# Requests and collections
+
+
+@query("""select id as request, case when id % 10 = 0 or id % 10 = 1 then 400 else 200 end as status, case when id % 10 > 1 then o else -1 end as ord,
+case when id % 10 > 1 then 2 else -1 end::bigint as dim, case when id % 10 > 1 then 'it''s "' || id || '"' end as payload
+from vectors, (select unnest(range(2)) as o) where id % 10 > 1 or o = 0""")
+def requests_inserted(spark, sf):
+    i = F.col("id")
+    pair = F.concat(F.lit('[[1.5, '), i, F.lit('], "it\'s \\"'), i, F.lit('\\""]'))
+    body = F.when(i % 10 == 0, '{"vectors": []}').when(i % 10 == 1, "no json").otherwise(F.concat(F.lit('{"vectors": ['), pair, F.lit(", "), pair, F.lit("]}")))
+    got = requests.inserts(t.vectors(spark, sf).select(i.alias("request"), body.alias("body")))
+    return got.select("request", "status", F.coalesce("ord", F.lit(-1)).alias("ord"), F.expr("if(vec is null, -1, size(vec))").cast("long").alias("dim"), "payload")
+
+
+@query(f"""select qid, rank, id, round(score, 6) as distance, 64::bigint as dim, coalesce(length(d.text), -1)::bigint as n from (
+  select qid, id, {_COS} as score, row_number() over (partition by qid order by {_COS} desc, id) as rank from queries, vectors) left join documents d on d.doc_id = id where rank <= 10""")
+def vec_answers_json(spark, sf):
+    v = t.vectors(spark, sf, payload=True)
+    told = requests.answers(search.with_rows(search.topk(t.queries(spark, sf), v, 10), v))
+    kind = "results array<struct<vector: array<float>, id: bigint, payload: string, distance: double>>"
+    each = told.select("qid", F.posexplode(F.from_json("answer", kind)["results"]).alias("pos", "r"))
+    return each.select("qid", (F.col("pos") + 1).cast("long").alias("rank"), "r.id", F.round("r.distance", 6).alias("distance"), F.size("r.vector").cast("long").alias("dim"), F.coalesce(F.length("r.payload"), F.lit(-1)).cast("long").alias("n"))
+
+
+@query("select 'h' || node_id as host, case when node_id % 2 = 0 then 7000 + node_id else 6334 end::int as port from nodes")
+def peer_addresses(spark, sf):
+    n = F.col("node_id")
+    url = F.when(n % 2 == 0, F.concat(F.lit("http://h"), n, F.lit(":"), 7000 + n)).otherwise(F.concat(F.lit("h"), n, F.lit(":x")))
+    host, port = requests.server_of(F.col("u"))
+    return t.nodes(spark).select(url.alias("u")).select(host.alias("host"), port.alias("port"))
+
+
+def _collection(spark, sf):
+    """All vectors in two batches, the first sent twice."""
+    c = Collections(spark, kept_dir(spark, "collections"))
+    assert c.create("v", 64, "Manhattan") and not c.create("v", 3) and c.about("v") == (64, "cosine")
+    v = t.vectors(spark, sf, payload=True)
+    c.insert("v", v.filter("id % 2 = 0"), "a")
+    c.insert("v", v.filter("id % 2 = 1"), "b")
+    c.insert("v", v.filter("id % 2 = 0"), "a")
+    return c
+
+
+@query("select cluster_id, count(*) as n, sum(id)::bigint as ids from vectors group by 1")
+def collection_batches(spark, sf):
+    return _collection(spark, sf).scan("v").groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("select id, ts, node from vectors where cluster_id = 3")
+def collection_scan_cluster(spark, sf):
+    return _collection(spark, sf).scan("v", 3).select("id", "ts", "node")
+
+
+@query(f"""select qid, id, round(score, 6) as score, rank from (
+  select qid, id, {_COS} as score, row_number() over (partition by qid order by {_COS} desc, id) as rank
+  from (select id as qid, vec as qvec, cluster_id from vectors where id % 50 = 0) q join vectors using (cluster_id)) where rank <= 10""")
+def collection_query_by_cluster(spark, sf):
+    q = t.vectors(spark, sf).filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "cluster_id")
+    return _r(_collection(spark, sf).query_by_cluster("v", q, 10).select("qid", "id", "score", "rank"), "score")
+
+
+# Replication
+
+
+@query("select count(distinct id) as n_unique, count(*) as n_total, count(*) = 3 * count(distinct id) as complete from replicas")
+def unique_vs_total_replicas(spark, sf):
+    return replication.replication_check(t.replicas(spark, sf), 3)
+
+
+@query("select node_id from nodes where node_id not in (1, 6)")
+def peers_allowed(spark, sf):
+    return replication.allowed(t.nodes(spark), spark.createDataFrame([(1,), (6,)], "node_id long"))
+
+
+@query("select (select min(node_id) from active where node_id >= 5 and node_id % 3 = 0) as coordinator, (select node_id from active where node_id = 4) as peer, 0::bigint as target")
+def coordinator_lookup(spark, sf):
+    n = F.col("node_id")
+    claims = t.nodes(spark).select(n.alias("ord"), "node_id", ((n >= 5) & (n % 3 == 0)).alias("claims"))
+    found = replication.find_coordinator(claims, t.active(spark)).select(n.alias("coordinator"))
+    peer = replication.reachable_peer(t.nodes(spark), t.active(spark), 4).select(n.alias("peer"))
+    target = replication.first_other(t.nodes(spark).withColumn("ord", (n + 1) % 8), 7).select(n.alias("target"))
+    return found.join(peer).join(target)
+
+
+@query("select cluster_id, array_to_string(list_sort(list(node_id)), ',') as destinations from placement group by 1")
+def assignment_inversion(spark, sf):
+    by_node = t.placement(t.vectors(spark, sf)).groupBy("node_id").agg(F.collect_set("cluster_id").alias("clusters"))
+    return replication.invert(by_node).withColumn("destinations", F.array_join(F.col("destinations").cast("array<string>"), ","))
+
+
+@query("select id, case when id % 4 <> 0 then id % 3 else 0 end as label from vectors")
+def labels_with_default(spark, sf):
+    v = t.vectors(spark, sf).select("id")
+    return replication.labelled(v, v.filter("id % 4 <> 0").select("id", (F.col("id") % 3).alias("label")))
+
+
+@query("""select what, count(*) as n, sum(id)::bigint as ids, sum(cluster_id)::bigint as clusters from (
+  select case when p.node_id in (select node_id from active) then 'copy' else 'hint' end as what, v.id, case when v.id % 2 = 0 then n.cluster_id else v.cluster_id end as cluster_id
+  from vectors v join nearest n on n.id = v.id and n.rank = 1 and n.cluster_id <> 4 join placement p on p.cluster_id = n.cluster_id
+  union all select 'dropped', 0, 0 from nearest where rank = 1 and cluster_id = 4) group by 1""")
+def rows_sent(spark, sf):
+    v = t.vectors(spark, sf)
+    to = search.destinations(v, _centroids(spark, sf), t.placement(v).filter("cluster_id <> 4"))
+    rows = v.withColumn("cluster_id", F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("cluster_id")))
+    copies, hints, dropped = replication.send(rows, to, t.active(spark))
+    sums = [d.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("cluster_id").alias("clusters")).select(F.lit(w).alias("what"), "*") for d, w in ((copies, "copy"), (hints, "hint"))]
+    lost = dropped.filter("dropped > 0").select(F.lit("dropped").alias("what"), F.col("dropped").alias("n"), F.lit(0).cast("long").alias("ids"), F.lit(0).cast("long").alias("clusters"))
+    return sums[0].unionByName(sums[1]).unionByName(lost)
+
+
+_KEEP = """select me, round(projected, 6) as projected, round(average, 6) as average, projected < 0.7 * average{more} as keep from (
+  select m.node_id as me, {left}::double as projected, {avg} as average from loads m)"""
+
+
+@query(_KEEP.format(more=" and projected + 30 >= 0.8 * 0.7 * average", left="greatest(m.n - 90, 0)", avg="(select avg(case when l.node_id = m.node_id then greatest(l.n - 90, 0) else l.n end) from loads l)"))
+def keep_when_planned(spark, sf):
+    return _kept(spark, sf, lambda loads, me: replication.keep_when_planned(loads, me, 90, 3))
+
+
+@query(_KEEP.format(more="", left="m.n", avg="(select avg(l.n) from loads l where l.node_id <> m.node_id)"))
+def keep_when_distributed(spark, sf):
+    return _kept(spark, sf, replication.keep_when_distributed)
+
+
+def _kept(spark, sf, rule):
+    loads, out = _loads(spark, sf), None
+    for me in (0, 1, 3, 4, 6, 7):
+        got = rule(loads, me).select(F.lit(me).cast("long").alias("me"), F.round(F.col("projected").cast("double"), 6).alias("projected"), F.round("average", 6).alias("average"), "keep")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("select node_id from (select 7 as node_id, 0 as turn, 0 as n union all select node_id, 1, n from loads where node_id <> 7) order by turn, n, node_id limit 3")
+def replicas_chosen(spark, sf):
+    return replication.chosen_replicas(spark.createDataFrame([(7,)], "node_id long"), _loads(spark, sf), 3)
+
+
+@query("""select id, node_id, ts, node from replicas where node_id not in (1, 3) union all
+select id, p.node_id, max((ts, node))[1] as ts, max((ts, node))[2] as node from (select r.* from replicas r where node_id in (1, 3)) r, (select unnest([1, 3]) as node_id) p
+where exists (select 1 from placement q where q.cluster_id = r.cluster_id and q.node_id = p.node_id) or exists (select 1 from replicas o where o.id = r.id and o.node_id = p.node_id)
+group by id, p.node_id""")
+def pair_exchange(spark, sf):
+    r = t.replicas(spark, sf).select("id", "cluster_id", "ts", "node", "node_id").withColumn("destinations", F.lit(None).cast("array<long>"))
+    v = t.vectors(spark, sf)
+    home = t.placement(v).groupBy("cluster_id").agg(F.collect_set("node_id").alias("destinations"))
+    return replication.exchange(r, 1, 3, v.select("id", "cluster_id").join(home, "cluster_id")).select("id", "node_id", "ts", "node")
+
+
+@query("select 3::bigint as version, 'c' as clusters")
+def topology_newest(spark, sf):
+    rows = [(1, 2, "a"), (4, 3, "d"), (2, 3, "c"), (3, 1, "b")]
+    return replication.newer_topology(spark.createDataFrame(rows, "node_id long, version long, clusters string"))
+
+
+# Search, splits and states
+
+
+@query(_ROUTED + f""", found as (
+  select distinct qid, v.id, {_COS.replace('vec)', 'v.vec)').replace('qv.vec', 'qvec').replace('(vec,', '(v.vec,')} as score, first_value(r.node_id) over (partition by qid, v.id order by r.rank) as node_id
+  from queries join routed r on r.id = qid and r.rank <= 3 join replicas v on v.node_id = r.node_id
+) select qid, node_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from found) where rank <= 10""")
+def search_routed_three_nodes(spark, sf):
+    v = t.vectors(spark, sf)
+    return _r(search.search_routed(t.queries(spark, sf), _centroids(spark, sf), t.placement(v), t.active(spark), t.replicas(spark, sf), 10, 3), "score")
+
+
+@query("select cluster_id, len(centroid)::bigint as dim from clusters where cluster_id <> 3 union all select 100 + i, 64 from (select unnest(range(3)) as i)")
+def topology_replace_cluster(spark, sf):
+    v = t.vectors(spark, sf)
+    c = _centroids(spark, sf)
+    topology = rebalance.empty(spark).with_clusters(None, c, t.placement(v))
+    new = c.filter("cluster_id = 3").select("centroid").join(spark.range(3)).select((F.col("id") + 100).alias("cluster_id"), "centroid")
+    topology = topology.with_clusters(3, new, t.placement(new))
+    return topology.clusters.select("cluster_id", F.size("centroid").cast("long").alias("dim"))
+
+
+@query("""select id, node_id, cluster_id from replicas where cluster_id <> 1 union all
+select id, unnest([(id % 3) % 8, (id % 3 + 4) % 8]) as node_id, 500 + id % 3 as cluster_id from (select distinct id from replicas where cluster_id = 1)""")
+def split_given_labels(spark, sf):
+    r = t.replicas(spark, sf).select("id", "vec", "cluster_id", "ts", "node", "node_id")
+    labels = t.vectors(spark, sf).filter("id % 3 > 0").select("id", (F.col("id") % 3).alias("label"))  # label 0 is the default
+    l = F.col("id")
+    plan = spark.range(3).select(l.alias("label"), (500 + l).alias("new_id"), F.array_repeat(F.lit(0.0), 64).alias("centroid"), F.array(l % 8, (l + 4) % 8).alias("destinations"))
+    topology = rebalance.empty(spark).with_clusters(None, _centroids(spark, sf), t.placement(t.vectors(spark, sf)))
+    return rebalance.split(r, topology, 1, plan, labels)[0].select("id", "node_id", "cluster_id")
+
+
+_STATES = """from (select unnest(['bootstrap', 'clustered', 'client', 'handoff', 'reconcile', 'other']) as sender), (select unnest(['bootstrap', 'clustered']) as status),
+(select unnest([true, false]) as coordinates), (select unnest([true, false]) as knows)"""
+
+
+def _states(spark):
+    def each(values, name):
+        return spark.createDataFrame([(v,) for v in values], name)
+
+    s = each(["bootstrap", "clustered", "client", "handoff", "reconcile", "other"], "sender string").join(each(["bootstrap", "clustered"], "status string"))
+    return s.join(each([True, False], "coordinates boolean")).join(each([True, False], "knows boolean"))
+
+
+@query(f"""select *, case sender when 'clustered' then 'save' when 'handoff' then 'save' when 'reconcile' then 'insert'
+  when 'bootstrap' then if(not coordinates, 'refuse', if(status = 'bootstrap', 'buffer', 'route'))
+  when 'client' then if(status = 'clustered', 'route', if(coordinates, 'buffer', if(knows, 'forward', 'drop'))) else 'refuse' end as action {_STATES}""")
+def receive_actions(spark, sf):
+    return _states(spark).withColumn("action", engine.receive_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
+
+
+@query(f"""select *, case sender when 'clustered' then 'search' when 'bootstrap' then if(not coordinates, 'refuse', if(status = 'bootstrap', 'scan buffer', 'search'))
+  when 'client' then if(status = 'clustered', 'search', if(coordinates, 'scan buffer', if(knows, 'forward', 'nothing'))) else 'refuse' end as action {_STATES}""")
+def query_actions(spark, sf):
+    return _states(spark).withColumn("action", engine.query_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
+
+
+@query()
+def constrained_kmeans_split(spark, sf):
+    return clustering.split_clusters(t.vectors(spark, sf), 3)
+
+
+@query()
+def beam_placement(spark, sf):
+    sizes = {r["cluster_id"]: r["n"] for r in cluster_sizes(spark, sf).collect()}
+    made = clustering.place(sizes, list(range(t.N_NODES)), t.RF)
+    return spark.createDataFrame([(c, n, sizes[c]) for c, ns in made.items() for n in ns], "cluster_id long, node_id long, n long")
+
+
+@query()
+def stream_bootstrap_cluster(spark, sf):
+    return ingest.bootstrap(spark, t.vectors(spark, sf), threshold=400).select("id", "cluster_id", "state")
+
+
+@query()
+def rebalance_overloaded_node(spark, sf):
+    v = t.vectors(spark, sf, payload=True)
+    topology = rebalance.empty(spark).with_clusters(None, _centroids(spark, sf), t.placement(v))
+    copies = v.join(topology.placement, "cluster_id").select("id", "vec", "payload", "cluster_id", "ts", "node", "node_id")
+    return rebalance.rebalance(copies, topology, t.nodes(spark), 1, t.RF, tolerance=0.1)[0].select("id", "cluster_id", "node_id")
+
+
+# Health
+
+
+@query(_BEATS + "select peer_id, ms, least(count(gap) over (partition by peer_id), 500) as n, round(mean, 3) as mean, round(sqrt(var), 2) as std from wins qualify row_number() over (partition by peer_id order by ms desc) = 1")
+def heartbeat_stream(spark, sf):
+    got = ingest.heartbeats(spark, t.heartbeats(spark, sf))
+    return got.select("peer_id", "ms", "n", F.round("mean", 3).alias("mean"), F.round(F.sqrt("var"), 2).alias("std"))
+
+
+@query("select event_type, count(*) as n, count(*) filter (where event_id % 10 = 0) as errors, round(100.0 * count(*) filter (where event_id % 10 = 0) / count(*), 6)::double as percent from events group by 1")
+def error_share(spark, sf):
+    e = t.read(spark, sf, "events").select("event_type", (F.col("event_id") % 10 != 0).alias("ok"))
+    return _r(health.error_share(e, "event_type"), "percent")
+
+
+@query("""select event_type, round((case when n < 100 then most else v[b] + ((n + 1) * 0.99::double - b) * (v[b + 1] - v[b]) end) / median, 6) as tail
+from (select *, least(greatest(floor((n + 1) * 0.99::double), 1), n - 1)::bigint as b from (
+select event_type, count(*) as n, median(ms) as median, max(ms) as most, list(ms order by ms) as v from samples group by 1))""")
+def latency_tail(spark, sf):
+    return _r(health.tail_ratio(health.latency(t.latencies(spark, sf), "event_type")), "tail").select("event_type", "tail")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from nearlight.operators import clustering, search, store
-from nearlight.session import cut, work_dir
+from nearlight.operators import clustering, health, search, store
+from nearlight.session import cut, drop_path, kept_dir, ship, work_dir
 
 
 class Snapshots:
@@ -16,86 +20,108 @@ class Snapshots:
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
+    def numbers(self) -> list[int]:
+        """Finished batches."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(f.getName()) for f in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def read(self, number: int | None) -> DataFrame:
+        if number is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch - 1}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{number}")
 
-    def write(self, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+    def before(self, batch: int) -> DataFrame:
+        return self.read(max((n for n in self.numbers() if n < batch), default=None))
 
+    def last(self) -> DataFrame:
+        return self.read(max(self.numbers(), default=None))
 
-def upsert_stream(spark: SparkSession, source: str, schema, path: str, checkpoint: str) -> int:
-    """Drain a Parquet stream into last-writer-wins snapshots; returns the number of batches."""
-    table = Snapshots(spark, path, schema)
-    last = -1
+    def write(self, batch: int, rows: DataFrame) -> None:
+        """The batch's snapshot; those before the last but one are removed."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        for n in self.numbers()[:-2]:
+            drop_path(self.spark, f"{self.path}/{n}")
 
-    def batch(rows: DataFrame, number: int) -> None:
-        nonlocal last
-        table.write(number, store.upsert(table.before(number), rows))
-        last = number
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
+def _drain(stream: DataFrame, batch, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last + 1
-
-
-def replay(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
-    """The batches as a stream, one file each, and the table that they leave."""
-    source, path = work_dir(spark, "stream-source"), work_dir(spark, "stream-table")
-    for b in batches:
-        b.coalesce(1).write.mode("append").parquet(source)
-    n = upsert_stream(spark, source, batches[0].schema, path, work_dir(spark, "stream-checkpoint"))
-    return spark.read.schema(batches[0].schema).parquet(f"{path}/{n - 1}")
 
 
-#: Vectors that clusters can be learned from.
-USABLE = "vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+def upsert_stream(spark: SparkSession, source: str, schema, path: str, checkpoint: str) -> DataFrame:
+    """Drain a Parquet stream into last-writer-wins snapshots; the table that it leaves, also after a
+    restart without new files. Equal versions of one batch go by ``_batch``, if the rows have it."""
+    columns = [c for c in schema.names if c != "_batch"]
+    table = Snapshots(spark, path, StructType([schema[c] for c in columns]))
+    order = "_batch" if "_batch" in schema.names else None
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(source)
+    _drain(stream, lambda rows, n: table.write(n, store.upsert(table.before(n), rows, order)), checkpoint)
+    return table.last()
 
 
-def learn(buffer: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """K-means with chosen k over the usable vectors of the commonest length: ``(id, cluster_id)``
-    of these and the centroids; None where there are none."""
-    good = buffer.filter(USABLE).select("id", F.col("vec").cast("array<double>").alias("vec"))
-    size = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return None
-    good = good.filter(F.size("vec") == size["d"])
-    labels = cut(clustering.choose_k(good)[0], "boot-labels")
-    return labels, clustering.centroids(good.join(labels, "id"))
+def replay(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
+    """The batches as a stream and the table that they leave."""
+    source = kept_dir(spark, "stream-source")
+    for i, b in enumerate(batches):
+        b.withColumn("_batch", F.lit(i)).write.mode("append").parquet(source)
+    schema = StructType([*batches[0].schema.fields, StructField("_batch", IntegerType())])
+    return upsert_stream(spark, source, schema, kept_dir(spark, "stream-table"), work_dir(spark, "stream-checkpoint"))
 
 
 def bootstrap(spark: SparkSession, rows: DataFrame, threshold: int) -> DataFrame:
     """Rows are buffered until ``threshold`` of them have come; then clusters are learned from the
     buffer once, whatever ``cluster_id`` its rows bring. Buffered rows take their K-means cluster,
-    later rows the nearest one, and rows without a usable vector -1. Adds ``state`` and ``cluster_id``."""
-    source, path = work_dir(spark, "boot-source"), work_dir(spark, "boot-table")
+    later rows the nearest one, and rows without a usable vector -1. Adds ``state`` and ``cluster_id``.
+    What was learned lies beside the table by batch, so a restart goes on with it."""
+    source, path = kept_dir(spark, "boot-source"), kept_dir(spark, "boot-table")
     rows.repartitionByRange(4, "id").write.parquet(source)
-    schema = rows.select("id", "vec", "cluster_id").schema
-    done: dict = {}
+    kept = rows.select("id", "vec", F.col("cluster_id").cast("long").alias("cluster_id"))
+    table = Snapshots(spark, f"{path}/rows", kept.withColumn("state", F.lit("")).schema)
+    layouts = Snapshots(spark, f"{path}/clusters", "cluster_id long, centroid array<double>")
 
     def clustered(found: DataFrame, into: DataFrame) -> DataFrame:
         joined = found.drop("cluster_id").join(into.select("id", "cluster_id"), "id", "left")
         return joined.select("id", "vec", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), F.lit("clustered").alias("state"))
 
     def batch(new: DataFrame, number: int) -> None:
-        new = new.select("id", "vec", "cluster_id")
-        before = spark.read.parquet(f"{path}/{number - 1}") if number else None
-        learned = None
-        if "clusters" in done:
-            near = search.nearest_clusters(new.filter(USABLE), spark.read.parquet(done["clusters"]), 1)
-            out = before.unionByName(clustered(new, near))
-        else:
-            buffer = cut(new if before is None else new.unionByName(before.drop("state")), "boot-buffer")
-            learned = learn(buffer) if buffer.count() >= threshold else None
-            if learned:
-                learned[1].write.mode("overwrite").parquet(f"{path}-clusters")
-            out = clustered(buffer, learned[0]) if learned else buffer.withColumn("state", F.lit("bootstrap"))
-        out.write.mode("overwrite").parquet(f"{path}/{number}")
+        new, before = new.select(*kept.columns), table.before(number)
+        known = [n for n in layouts.numbers() if n < number]
+        if known:
+            near = search.nearest_clusters(new, layouts.read(known[-1]), 1)
+            return table.write(number, before.unionByName(clustered(new, near)))
+        buffer = cut(new.unionByName(before.drop("state")), "boot-buffer")
+        learned = clustering.learn(buffer) if buffer.count() >= threshold else None
         if learned:
-            done["clusters"] = f"{path}-clusters"  # only now: a batch that is sent again learns again
-        done["last"] = number
-
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*schema.names)
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", work_dir(spark, "boot-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/{done['last']}")
+            layouts.write(number, learned[1])
+        table.write(number, clustered(buffer, learned[0]) if learned else buffer.withColumn("state", F.lit("bootstrap")))
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).select(*kept.columns)
+    _drain(stream, batch, work_dir(spark, "boot-checkpoint"))
+    return table.last()
+
+
+def heartbeats(spark: SparkSession, beats: DataFrame) -> DataFrame:
+    """``(peer_id, ms, n, mean, var)`` of each peer's last ``SAMPLE`` gaps, kept as state by a stream of ``beats(peer_id,
+    ms)``. A peer's first beat activates it, without a gap. Beats of a batch are taken in order."""
+    source, table = kept_dir(spark, "beats-source"), kept_dir(spark, "beats-table")
+    beats.repartitionByRange(4, "ms").write.parquet(source)
+    ship(spark)
+    out = "peer_id long, ms double, n long, mean double, var double"
+
+    def step(key, frames, state):
+        ms = np.sort(np.concatenate([f["ms"].to_numpy(np.float64) for f in frames]))
+        last, gaps = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        all_ = ms if last is None else np.concatenate([[last], ms])
+        gaps = (gaps + np.diff(all_).tolist())[-health.SAMPLE :]
+        state.update((float(all_[-1]), gaps))
+        mean, var = (float(np.mean(gaps)), float(np.var(gaps))) if gaps else (health.FIRST_MEAN, 0.0)
+        yield pd.DataFrame({"peer_id": [key[0]], "ms": [float(all_[-1])], "n": [len(gaps)], "mean": [mean], "var": [var]})
+
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    kept = stream.groupBy("peer_id").applyInPandasWithState(step, out, "last double, gaps array<double>", "update", GroupStateTimeout.NoTimeout)
+    writer = kept.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{table}/{n}"))
+    writer.option("checkpointLocation", work_dir(spark, "beats-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    found = Snapshots(spark, table, f"{out}, batch int")
+    rows = spark.read.schema(f"{out}, batch int").parquet(*[f"{table}/{n}" for n in found.numbers()])
+    return rows.groupBy("peer_id").agg(F.max_by(F.struct("ms", "n", "mean", "var"), "batch").alias("r")).select("peer_id", "r.*")
