@@ -79,7 +79,7 @@ def newest(replicas: DataFrame, cluster: int) -> DataFrame:
 def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: int, cluster: int, rf: int, parts: int = PARTS) -> tuple[DataFrame, DataFrame] | None:
     """``(label, new_id, centroid, destinations)`` of the parts, and ``(id, label)``; None for an empty
     cluster. Fewer rows than parts move as one. Part 0 stays at ``me``, the others go to the peers that
-    will have least, each once, then to ``me``; copies go to the least loaded of the rest."""
+    will have least, each once, then to ``me``; copies go to those that will have least of the rest."""
     rows = newest(replicas, cluster)
     n = rows.count()
     if not n:
@@ -89,16 +89,20 @@ def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: i
         labels, parts = rows.select("id", F.lit(0).cast("long").alias("label")), 1
     else:
         labels = cut(clustering.split_clusters(rows, parts).select("id", "label"), "split-labels")
-    loads = replication.load(replicas, active, active)
+    # A row for each node: its load once the cluster's copies have gone, counted up as parts are dealt.
     copies = replicas.filter(F.col("cluster_id") == cluster).groupBy("node_id").agg(F.count("*").alias("c"))
-    turn = [r["node_id"] for r in replication.underloaded(loads, copies, me, 2 * parts).collect()]
-    order = [r["node_id"] for r in replication.by_load(loads, 1 << 30).collect()]  # a row for each node
-    first = next_ids(topology)
-    found = {r["label"] for r in labels.select("label").distinct().collect()}
-    to = []
+    load = {r["node_id"]: r["projected"] for r in replication.underloaded(replication.load(replicas, active, active), copies, -1, 1 << 30).collect()}
+    first, used, to = next_ids(topology), {me}, []
+    least = lambda nodes: sorted(nodes, key=lambda x: (load[x], x))
     for i in range(parts):
-        primary = me if i == 0 or not turn else turn.pop(0)
-        to.append((i, first + i, [primary, *[x for x in order if x != primary][: rf - 1]]))
+        others = least(set(load) - used)
+        primary = me if i == 0 or not others else others[0]
+        used.add(primary)
+        nodes = [primary, *least(set(load) - {primary})[: rf - 1]]
+        to.append((i, first + i, nodes))
+        for x in nodes:
+            load[x] = load.get(x, 0) + n // parts
+    found = {r["label"] for r in labels.select("label").distinct().collect()}
     plan = spark.createDataFrame([x for x in to if x[0] in found], "label long, new_id long, destinations array<long>")
     centres = clustering.centroids(rows.join(labels, "id").select(F.col("label").alias("cluster_id"), "vec")).withColumnRenamed("cluster_id", "label")
     return cut(plan.join(centres, "label", "left"), "split-plan"), labels

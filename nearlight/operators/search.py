@@ -193,7 +193,7 @@ def nearest_clusters(vectors: DataFrame, clusters: DataFrame, k: int = 1) -> Dat
         return vectors.sparkSession.createDataFrame([], schema)
     if not Index.fits(clusters):
         q = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-        got = topk(q, clusters.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec")), k)
+        got = topk(q, clusters.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec")), min(k, clusters.count()))
         return got.select(F.col("qid").alias("id"), F.col("id").alias("cluster_id"), "score", "rank")
 
     def near(index, ids, x):
