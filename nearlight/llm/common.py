@@ -32,6 +32,11 @@ def scratch(spark: SparkSession):
         for df in _held.get():
             df.unpersist()
         _held.reset(token)
+    let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffles removed that no table needs any more: Spark does so for what the driver has collected."""
     gc.collect()
     spark._jvm.System.gc()
 

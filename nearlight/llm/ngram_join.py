@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, hold, key_column, mix, null_key, scratch, small_batches, spanning
+from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, hold, key_column, let_go, mix, null_key, scratch, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
@@ -370,7 +370,7 @@ def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 def sets_of(rows: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("c")).distinct(), "ngram-wanted")
-    return hold(needed_sets(rows, n, wanted))
+    return cut(needed_sets(rows, n, wanted), "ngram-sets")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -597,7 +597,8 @@ def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
     classes = frequency_classes(merged_sketch(found))
     n_buckets = max(64, 4 * rows.rdd.getNumPartitions())
     small_batches(spark)
-    met = hold(blocks(index_entries(rows, n, percent, classes, n_buckets), percent))
+    met = cut(blocks(index_entries(rows, n, percent, classes, n_buckets), percent), "ngram-blocks")
+    let_go(spark)
     pairs = cut(possible(met.filter("block is null").select("a", "c").distinct(), kinds, percent), "ngram-pairs")
     members = met.filter("block is not null").select("block", "c", "n").distinct()
     known = cut(compare(pairs, sets_of(rows, n, pairs), percent), "ngram-known")
@@ -625,7 +626,7 @@ def _join(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFra
         now = rest.select("c", "n", F.col("comp").alias("at")).distinct()
         comps = grown(comps, cut(family_links(families, now, sets, percent), "ngram-late"), "ngram-last")
     named = facts.filter("n > 0").join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("k", "n", F.coalesce("comp", "sig").alias("comp"))
-    least = named.groupBy("comp").agg(F.min(F.nullif("k", F.lit(NO_KEY))).alias("component_id"))
+    least = cut(named.groupBy("comp").agg(F.min(F.nullif("k", F.lit(NO_KEY))).alias("component_id")), "ngram-least")  # apart, so that the join may split a hot component
     out = named.join(least, "comp").select("k", "n", "component_id")
     out = out.unionByName(facts.filter("n = 0").select("k", "n", F.nullif("k", F.lit(NO_KEY)).alias("component_id")))
     return null_key(out.select("k", F.col("n").alias("n_shingles"), "component_id"), key)

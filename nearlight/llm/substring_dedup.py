@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, cut, hold, key_column, mix, null_key, scratch, small_batches
+from nearlight.llm.common import blob, chunks, cut, hold, key_column, let_go, mix, null_key, scratch, small_batches
 
 LENGTH = 400
 GRAM = 100
@@ -420,10 +420,11 @@ def _flags(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     rep = F.min(F.struct("k", "th", "lo")).alias("rep")
     kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
     many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = hold(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"))
+    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
     wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
     small_batches(spark)
-    parts = hold(cut_segments(rows, wanted, length, gram))
+    parts = cut(cut_segments(rows, wanted, length, gram), "substring-segments")
+    let_go(spark)
     lone = sorted_windows(parts.filter("not hot"), length)
     if not parts.filter("hot").isEmpty():
         lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
