@@ -514,7 +514,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     """Encode ``docs`` and write shards in ascending key order below ``path``."""
     spark = docs.sparkSession
     rows = docs.select(key_column(key).alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").drop("h")  # rows of one key, the null one too, may be many
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # dealt evenly: a byte costs more here than in a shuffle
+    rows = rows.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t").drop("h")  # rows of one key, the null one too, may be many
 
     def encode(batches):
         from pyspark import TaskContext
