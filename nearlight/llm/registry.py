@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearlight.llm import embedding_dedup, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, url_filter, wavelet
+from nearlight.llm import embedding_dedup, filter_audit, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
+    "op11_filter_audit": filter_audit.query,
 }
 ORACLE = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op8_token_counts": token_counts.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
