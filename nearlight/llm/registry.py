@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearlight.llm import embedding_dedup, filter_audit, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, url_filter, wavelet
+from nearlight.llm import embedding_dedup, filter_audit, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, turn_repair, url_filter, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_turn_repair": turn_repair.query,
 }
 ORACLE = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op8_token_counts": token_counts.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
 }
