@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearlight.llm import embedding_dedup, filter_audit, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, turn_repair, url_filter, wavelet
+from nearlight.llm import embedding_dedup, filter_audit, language_id, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, turn_repair, url_filter, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.query,
     "op11_filter_audit": filter_audit.query,
     "op12_turn_repair": turn_repair.query,
+    "op13_language_id": language_id.query,
 }
 ORACLE = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
