@@ -2,8 +2,8 @@
 
 Queries travel, vectors stay: a block of queries of bounded size goes to every task, and each task
 carries a running top k through its rows. A cluster index (centroids and placement) travels the same
-way up to ``INDEX_BYTES``; beyond that, clusters are searched like any other vectors and placement is
-joined. Vectors that are null or hold null or non-finite components match nothing."""
+way up to ``INDEX_BYTES``; beyond that, clusters get an approximate index of their own (:mod:`nearlight.operators.ann`)
+that vectors meet list by list, and placement is joined. Vectors that are null or hold null or non-finite components match nothing."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearlight.operators.vectors import usable
-from nearlight.session import cut, ship
+from nearlight.session import cut, kept_dir, ship
 
 #: Bytes of query vectors, and of running answers, that one pass over the vectors carries.
 QUERY_BYTES = 64 << 20
@@ -185,15 +185,19 @@ def _mapped(vectors: DataFrame, index: Index, of, schema: str) -> DataFrame:
     return rows.select("id", "vec").mapInPandas(run, schema)
 
 
-def nearest_clusters(vectors: DataFrame, clusters: DataFrame, k: int = 1) -> DataFrame:
+def nearest_clusters(vectors: DataFrame, clusters: DataFrame, k: int = 1, index=None) -> DataFrame:
     """``(id, cluster_id, score, rank)`` by cosine to ``clusters(cluster_id, centroid)``, ties to the least
-    cluster; ``k`` is clamped to their number, and 0 gives nothing."""
+    cluster; ``k`` is clamped to their number, and 0 gives nothing. ``index``, over the clusters as ``(id, vec)``, is
+    asked in their place; without one, more clusters than may travel are indexed first."""
     schema = "id long, cluster_id long, score double, rank long"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    if not Index.fits(clusters):
-        q = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-        got = topk(q, clusters.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec")), min(k, clusters.count()))
+    if index is None and not Index.fits(clusters):
+        from nearlight.operators import ann
+
+        index = ann.build(clusters.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec")), kept_dir(vectors.sparkSession, "cluster-index"))
+    if index is not None:
+        got = index.search(vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), k)
         return got.select(F.col("qid").alias("id"), F.col("id").alias("cluster_id"), "score", "rank")
 
     def near(index, ids, x):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearlight.functions import cosine, dot, euclid, norm
-from nearlight.operators import clustering, engine, health, rebalance, replication, search, store
+from nearlight.operators import ann, clustering, engine, health, rebalance, replication, search, store
 from nearlight.session import kept_dir
 from nearlight.sources import requests
 from nearlight.sources import tables as t
@@ -88,6 +88,31 @@ def vec_topk_merged_global(spark, sf):
     return _r(search.merged(got.select("qid", "id", "score"), 100), "score")
 
 
+def _index(spark, sf, metric="cosine"):
+    return ann.build(t.vectors(spark, sf), kept_dir(spark, "index"), metric)
+
+
+@query()
+def index_topk(spark, sf):
+    """By the lists and codes that the index has measured to be enough; a test holds its recall against brute force."""
+    return _r(_index(spark, sf).search(t.queries(spark, sf), 10), "score")
+
+
+@query(_TOP.format(s=_COS, o="desc"))
+def index_topk_all_lists(spark, sf):
+    index = _index(spark, sf)
+    return _r(index.search(t.queries(spark, sf), 10, probes=len(index.centres), depth=0), "score")
+
+
+@query("select id, cluster_id, round(score, 6) as score, rank from nearest where rank <= 3")
+def index_nearest_cluster_k(spark, sf):
+    """Clusters through an index of their own, loaded from its folder."""
+    c = _centroids(spark, sf).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"))
+    path = kept_dir(spark, "cluster-index")
+    ann.build(c, path, n_lists=1)
+    return _r(search.nearest_clusters(t.vectors(spark, sf), _centroids(spark, sf), 3, ann.load(spark, path)), "score")
+
+
 @query("select id, round(sqrt(list_dot_product(vec, vec)), 6) as norm, round(list_dot_product(vec, centroid), 6) as dot, round(list_distance(vec, centroid), 6) as dist from vectors join clusters using (cluster_id)")
 def vec_scalar_functions(spark, sf):
     c = t.vectors(spark, sf).join(_centroids(spark, sf), "cluster_id")
