@@ -621,6 +621,35 @@ def collection_query_by_cluster(spark, sf):
     return _r(_collection(spark, sf).query_by_cluster("v", q, 10).select("qid", "id", "score", "rank"), "score")
 
 
+def _versions(spark, sf):
+    """All vectors, an update of each, the update again, and a fold of both."""
+    c = Collections(spark, kept_dir(spark, "collections"))
+    c.create("v", 64)
+    none = F.lit(None).cast("string").alias("payload")
+    first, update = (r.select("*", none) for r in (t.vectors(spark, sf), t.incoming(spark, sf)))
+    taken = [("first", c.insert("v", first, "first")), ("update", c.insert("v", update, "update")), ("again", c.insert("v", update, "again"))]
+    return c, taken
+
+
+@query("""select id, arg_max(cluster_id, (ts, node, seq)) as cluster_id, arg_max(ts, (ts, node, seq)) as ts from (select *, 1 as seq from vectors union all select *, 0 from incoming) group by id""")
+def collection_versions(spark, sf):
+    return _versions(spark, sf)[0].scan("v").select("id", "cluster_id", "ts")
+
+
+@query("select id, ts from vectors where cluster_id = 3 and id % 3 <> 0")
+def collection_cluster_left(spark, sf):
+    """Rows that an update moves to another cluster are gone from theirs, also once folded."""
+    c, _ = _versions(spark, sf)
+    c.compact("v")
+    return c.scan("v", 3).select("id", "ts")
+
+
+@query("""select 'first' as batch, count(*) as n from vectors union all select 'again', 0
+union all select 'update', count(*) from incoming i join vectors v using (id) where (i.ts, i.node) > (v.ts, v.node)""")
+def collection_taken(spark, sf):
+    return spark.createDataFrame(_versions(spark, sf)[1], "batch string, n long")
+
+
 # Replication
 
 
