@@ -358,6 +358,41 @@ def heartbeat_available(spark, sf):
     return health.suspicion(t.heartbeats(spark, sf), _now(spark, sf)).select("peer_id", "available")
 
 
+_CHANGES = _BEATS + f""", dated as (
+  select *, lag(ms + mean + 5.612001244174788 * greatest(sqrt(var), 100)) over w as due, row_number() over w as beat, lead(ms) over w as next,
+         ms + mean + 5.612001244174788 * greatest(sqrt(var), 100) as own from wins window w as (partition by peer_id order by ms)
+), changes as (
+  select peer_id, ms, 'contact' as cause from dated where beat = 1
+  union all select peer_id, due, 'silence' from dated where ms >= due
+  union all select peer_id, ms, 'return' from dated where ms >= due
+  union all select peer_id, own, 'silence' from dated where next is null and {NOW} >= own
+)
+"""
+
+
+@query(_CHANGES + "select peer_id, cause, round(ms, -2) as ms, cause <> 'silence' as available from changes")
+def heartbeat_changes(spark, sf):
+    """Contact, silence and return of every peer, by timers where nothing comes any more."""
+    got = ingest.suspicions(spark, t.heartbeats(spark, sf).withColumn("answered", F.lit(True)))
+    return got.select("peer_id", "cause", F.round("ms", -2).alias("ms"), "available")
+
+
+@query(_CHANGES + "select peer_id, arg_max(cause, (ms, cause)) <> 'silence' as available from changes group by 1")
+def heartbeat_available_stream(spark, sf):
+    got = ingest.suspicions(spark, t.heartbeats(spark, sf).withColumn("answered", F.lit(True)))
+    return got.groupBy("peer_id").agg(F.max_by("available", F.struct("ms", "cause")).alias("available"))
+
+
+@query("""select id, case when b then -1 else cluster_id end as cluster_id, b as released
+from (select id, cluster_id, cluster_id in (3, 4) and id > 100 and id < 400 as b from vectors) where not (cluster_id = 4 and id > 100)""")
+def split_divert_stream(spark, sf):
+    """Clusters 3 and 4 are split from row 100 on; 3 until row 400, 4 without end, so that its rows still wait."""
+    v = t.vectors(spark, sf).select("cluster_id", F.col("id").alias("seq"), F.lit("row").alias("kind"), "id")
+    told = spark.createDataFrame([(3, 100, "begin", None), (4, 100, "begin", None), (3, 400, "end", None)], "cluster_id long, seq long, kind string, id long")
+    rows = v.filter("seq not in (100, 400) or cluster_id not in (3, 4)").unionByName(told)
+    return ingest.divert(spark, rows).select("id", "cluster_id", "released")
+
+
 @query()
 def phi_value(spark, sf):
     return health.suspicion_value(t.heartbeats(spark, sf), _now(spark, sf)).select("peer_id", F.round("phi", 6).alias("phi"))
