@@ -138,42 +138,67 @@ class VectorIndex:
         depth = self.depth if depth is None else depth
         blocks = -(-n_queries * len(self.books) * CODES * 4 // LUT_BYTES)
         asked = self.probed(queries, k, probes)
-        each = asked.select("qid", "qvec", F.explode("lists").alias("list"))
         if blocks > BLOCKS:
-            return search._ranked(self._joined(each, k), k, self.metric)
+            return search._ranked(self._joined(asked.select("qid", "qvec", F.explode("lists").alias("list")), k), k, self.metric)
         if not depth:
-            return search._ranked(search._answers(each.withColumnRenamed("list", "part"), self.rows().withColumnRenamed("list", "part"), k, self.metric), k, self.metric)
+            return search._ranked(self._blocked(asked, k, blocks, exact=True).select("qid", "id", F.col("approx").alias("score")), k, self.metric)
         return search._ranked(self._scored(self.candidates(asked, depth * k, blocks), queries, n_queries * depth * k), k, self.metric)
 
     def candidates(self, asked: DataFrame, want: int, blocks: int = 1) -> DataFrame:
         """``(qid, list, id, approx, rank)``: the ``want`` rows of the asked lists that the codes rank first."""
+        found = self._blocked(asked, want, blocks)
+        w = Window.partitionBy("qid").orderBy(F.desc("approx"), "id", "list")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want)
+
+    def _blocked(self, asked: DataFrame, want: int, blocks: int, exact: bool = False) -> DataFrame:
         found = None
         for b in range(max(1, blocks)):
             part = asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-            got = self._by_codes(part.toPandas(), want)  # LUT_BYTES bound the queries of a block
-            got = got if blocks <= 1 else cut(got, "ann-codes")
+            got = self._best(part.toPandas(), want, exact)  # LUT_BYTES bound the queries of a block
+            got = got if blocks <= 1 else cut(got, "ann-best")
             found = got if found is None else found.unionByName(got)
-        w = Window.partitionBy("qid").orderBy(F.desc("approx"), "id", "list")
-        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want)
+        return found
 
-    def _by_codes(self, asked: pd.DataFrame, want: int) -> DataFrame:
+    def _best(self, asked: pd.DataFrame, want: int, exact: bool) -> DataFrame:
+        """The best ``want`` rows of the asked lists in each task, by codes or by vectors."""
         qid = asked["qid"].to_numpy(np.int64)
-        q = _unit(np.array(asked["qvec"].tolist(), float).reshape(len(asked), self.dim), self.metric)
+        q = np.array(asked["qvec"].tolist(), float).reshape(len(asked), self.dim)
+        q = q if exact else _unit(q, self.metric)
         askers: dict[int, list[int]] = {}
         for p, lists in enumerate(asked["lists"]):
             for c in lists:
                 askers.setdefault(int(c), []).append(p)
         sent = self.spark.sparkContext.broadcast((qid, q, askers, self.centres, self.books))  # LUT_BYTES and search.INDEX_BYTES at most
-        euclid = self.metric == "euclid"
+        metric = self.metric
 
-        def run(batches):
-            qid, q, askers, centres, books = sent.value
+        def by_codes(q, centres, books):
             at, m = _cuts(q.shape[1]), len(books)
-            lut = np.zeros((len(qid), m, CODES), np.float32)
+            lut = np.zeros((len(q), m, CODES), np.float32)
             for j, w in enumerate(books):
                 lut[:, j, : len(w)] = q[:, at[j] : at[j + 1]] @ w.T
-            lut = lut.reshape(len(qid), -1)
+            lut = lut.reshape(len(q), -1)
             offset = np.arange(m, dtype=np.int32) * CODES
+
+            def scored(c, who, g):
+                codes = np.frombuffer(b"".join(g["code"]), np.uint8).reshape(len(g), m) + offset
+                less = g["bias"].to_numpy(np.float64) if metric == "euclid" else 0
+                for p, base in zip(who, q[who] @ centres[c]):
+                    yield p, base + lut[p][codes].sum(1, dtype=np.float64) - less
+
+            return scored
+
+        def by_vectors(q, centres, books):
+            def scored(c, who, g):
+                x = np.array(g["vec"].tolist(), float)
+                step = max(1, search.CELLS // len(x))
+                for a in range(0, len(who), step):
+                    yield from zip(who[a : a + step], search.scores(q[who[a : a + step]], x, metric))
+
+            return scored
+
+        def run(batches):
+            qid, q, askers, centres, books = sent.value
+            scored = (by_vectors if exact else by_codes)(q, centres, books)
             held: dict[int, list] = {}
 
             def best(parts):
@@ -186,11 +211,8 @@ class VectorIndex:
                     who = askers.get(c)
                     if who is None:
                         continue
-                    codes = np.frombuffer(b"".join(g["code"]), np.uint8).reshape(len(g), m) + offset
-                    ids, bias = g["id"].to_numpy(np.int64), g["bias"].to_numpy(np.float64)
-                    base = q[who] @ centres[c]
-                    for p, x in zip(who, base):
-                        s = x + lut[p][codes].sum(1, dtype=np.float64) - (bias if euclid else 0)
+                    ids = g["id"].to_numpy(np.int64)
+                    for p, s in scored(c, who, g):
                         if len(s) > want:
                             top = np.flatnonzero(s >= np.partition(s, len(s) - want)[len(s) - want])  # ties stay
                             s, i = s[top], ids[top]
@@ -204,7 +226,7 @@ class VectorIndex:
                 s, i, c = best(parts)[0]
                 yield pd.DataFrame({"qid": qid[p], "list": c, "id": i, "approx": s})
 
-        rows = self.rows().select("list", "id", "bias", "code")
+        rows = self.rows().select("list", "id", *(["vec"] if exact else ["bias", "code"]))
         if len(askers) <= 1000:
             rows = rows.filter(F.col("list").isin(list(askers)))
         return rows.mapInPandas(run, "qid long, list long, id long, approx double")
