@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 
@@ -17,6 +18,9 @@ from nearlight.session import cut, ship
 SILHOUETTE_ROWS = 2000
 SPLIT_ROWS = 5000  # of a cluster that its centres are fitted on
 TILE = 1024  # rows that are compared at a time
+CELLS = 1 << 18  # sums of distances that a task keeps
+PASSES = 8  # over all rows, to settle the models of all k together
+STARTS = 3  # of each model on the sample
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -72,27 +76,98 @@ def silhouettes(sums: np.ndarray, cnt: np.ndarray, inv: np.ndarray) -> np.ndarra
     return np.where(cnt[inv] > 1, (b - own) / np.maximum(np.maximum(own, b), 1e-300), 0)
 
 
+def _seeds(x: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """``most`` rows of a sample, each drawn by its squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < most and far.max() > 0:
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _settled(x: np.ndarray, centres: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Lloyd's rounds on a sample."""
+    for _ in range(rounds):
+        lab = distances(x, centres).argmin(1)
+        n = np.bincount(lab, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, lab, x)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if np.allclose(new, centres, atol=1e-9):
+            break
+        centres = new
+    return centres
+
+
+def _best_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The tightest of a few settled starts."""
+    starts = [_settled(x, _seeds(x, k, seed + i)) for i in range(STARTS)]
+    return min(starts, key=lambda c: (distances(x, c).min(1) ** 2).sum())
+
+
+def _pass(rows: DataFrame, models: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], float]:
+    """One round of Lloyd over all rows for all models: their new centres, and the farthest that one has moved.
+    A task sums its rows to one row for each centre before anything is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)  # max_k ** 2 / 2 centres
+
+    def add(batches):
+        sums = {k: np.zeros((len(c), c.shape[1] + 1)) for k, c in sent.value.items()}
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), float)
+            for k, c in sent.value.items():
+                np.add.at(sums[k], distances(x, c).argmin(1), np.hstack([x, np.ones((len(x), 1))]))
+        yield pd.DataFrame([(k, i, v.tolist()) for k, s in sums.items() for i, v in enumerate(s)], columns=["k", "i", "s"])
+
+    each = rows.mapInPandas(add, "k int, i int, s array<double>").select("k", "i", F.posexplode("s").alias("pos", "x"))
+    total = each.groupBy("k", "i", "pos").agg(F.sum("x").alias("x")).toPandas()
+    out, moved = {}, 0.0
+    for k, g in total.groupby("k"):
+        s = g.pivot(index="i", columns="pos", values="x").to_numpy()
+        out[int(k)] = np.where(s[:, -1:] > 0, s[:, :-1] / np.maximum(s[:, -1:], 1), models[int(k)])
+        moved = max(moved, float(np.abs(out[int(k)] - models[int(k)]).max()))
+    return out, moved
+
+
 def choose_k(vectors: DataFrame, min_k: int = 5, max_k: int = 30, seed: int = 42) -> tuple[DataFrame, int]:
     """K-means with the ``k`` of best silhouette (least of equals), over a sample of at most
-    ``SILHOUETTE_ROWS`` rows; too few rows give one cluster. Returns ``(id, cluster_id)`` and k."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    ``SILHOUETTE_ROWS`` rows; too few rows give one cluster. Returns ``(id, cluster_id)`` and k.
 
+    The models for all ``k`` are started on that sample, a task for each, and then settled together: every one
+    of at most ``PASSES`` passes over all rows moves the centres of all of them."""
+    spark = vectors.sparkSession
+    ship(spark)
     n = vectors.count()
     ks = range(max(2, min_k), min(max_k, n - 1) + 1)
     if not len(ks):
         return vectors.select("id", F.lit(0).cast("long").alias("cluster_id")), 1
-    rows = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
-    best = (-2.0, None)
-    for k in ks:
-        model = KMeans(k=k, maxIter=150, seed=seed).fit(rows)
-        sample = model.transform(rows).orderBy(F.xxhash64("id")).limit(SILHOUETTE_ROWS).select("features", "prediction").collect()
-        s = silhouette(np.array([r["features"].toArray() for r in sample]), np.array([r["prediction"] for r in sample]))
-        if s > best[0]:
-            best = (s, model)
-    rows.unpersist()
-    out = best[1].transform(rows).select("id", F.col("prediction").cast("long").alias("cluster_id"))
-    return out, best[1].getK()
+    rows = cut(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")), "kmeans-rows")
+    sample = rows.orderBy(F.xxhash64("id")).limit(SILHOUETTE_ROWS).select("vec").toPandas()
+    x = np.array(sample["vec"].tolist())
+    given = spark.sparkContext.broadcast(x)
+
+    def start(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                yield pd.DataFrame({"k": [k], "centres": [_best_start(given.value, int(k), seed).tolist()]})
+
+    tasks = spark.range(ks[0], ks[-1] + 1, 1, len(ks))
+    models = {r["k"]: np.array(r["centres"]) for r in tasks.mapInPandas(start, "k long, centres array<array<double>>").collect()}
+    for _ in range(PASSES):
+        models, moved = _pass(rows, models)
+        if moved < 1e-4:
+            break
+    score = {k: silhouette(x, distances(x, c).argmin(1)) for k, c in models.items()}
+    k = max(ks, key=lambda k: (score[k], -k))
+    centres = spark.sparkContext.broadcast(models[k])
+
+    def label(batches):
+        for pdf in batches:
+            lab = distances(np.array(pdf["vec"].tolist(), float), centres.value).argmin(1)
+            yield pd.DataFrame({"id": pdf["id"], "cluster_id": lab.astype(np.int64)})
+
+    return rows.mapInPandas(label, "id long, cluster_id long"), k
 
 
 def max_split_size(n: int, k: int) -> int:
@@ -174,21 +249,64 @@ def split_clusters(vectors: DataFrame, k: int = 3) -> DataFrame:
     return last if out is None else out.unionByName(last)
 
 
+def _lightest(loads: np.ndarray, rf: int):
+    """Sets of ``rf`` positions by the sum of their loads, then by position, one after the other: the next
+    of any set exchanges one member for the one that follows it in the order of loads."""
+    order = np.lexsort((np.arange(len(loads)), loads))
+    weight = loads[order].tolist()
+    at = order.tolist()
+
+    def entry(chosen: tuple[int, ...]) -> tuple:
+        return sum(weight[i] for i in chosen), tuple(sorted(at[i] for i in chosen)), chosen
+
+    queue, seen = [entry(tuple(range(rf)))], {tuple(range(rf))}
+    while queue:
+        total, combo, chosen = heapq.heappop(queue)
+        yield total, combo
+        for k, i in enumerate(chosen):
+            if i + 1 < len(at) and (k + 1 == rf or chosen[k + 1] != i + 1):
+                following = (*chosen[:k], i + 1, *chosen[k + 1 :])
+                if following not in seen:
+                    seen.add(following)
+                    heapq.heappush(queue, entry(following))
+
+
 def place(sizes: dict[int, int], nodes: list[int], rf: int, beam: int = 50) -> dict[int, tuple[int, ...]]:
-    """Replica nodes of each cluster: beam search for the least sum of squared loads."""
-    rf = min(rf, len(nodes))
+    """Replica nodes of each cluster: beam search for the least sum of squared loads, the fullest cluster first.
+
+    A set of nodes adds what its loads add up to, so each of the beam's states yields its sets best first, and a
+    queue over the states takes as many as the beam holds; no other set is looked at. Ties go to the earlier
+    state, then to the least nodes."""
+    nodes, rf = sorted(nodes), min(rf, len(nodes))
     if not rf:
         return {}
-    states: list[tuple[dict, dict]] = [({n: 0 for n in nodes}, {})]
-    for c in sorted(sizes, key=lambda c: (-sizes[c], c)):
+    states: list[tuple[int, np.ndarray, tuple]] = [(0, np.zeros(len(nodes), np.int64), ())]  # score, loads, sets so far
+    order = sorted(sizes, key=lambda c: (-sizes[c], c))
+    for c in order:
+        ways = [_lightest(loads if sizes[c] else 0 * loads, rf) for _, loads, _ in states]  # an empty cluster adds nothing anywhere
+        queue: list[tuple] = []
+
+        def offer(i: int) -> None:
+            found = next(ways[i], None)
+            if found is not None:
+                score = states[i][0] + 2 * sizes[c] * found[0] + rf * sizes[c] ** 2
+                heapq.heappush(queue, (score, i, found[1]))
+
+        for i in range(len(states)):
+            offer(i)
         following = []
-        for loads, made in states:
-            for combo in itertools.combinations(sorted(nodes), rf):
-                new = loads | {n: loads[n] + sizes[c] for n in combo}
-                following.append((sum(v * v for v in new.values()), len(following), new, made | {c: combo}))
-        following.sort(key=lambda s: s[:2])
-        states = [(s[2], s[3]) for s in following[:beam]]
-    return states[0][1]
+        while queue and len(following) < beam:
+            score, i, combo = heapq.heappop(queue)
+            loads = states[i][1].copy()
+            loads[list(combo)] += sizes[c]
+            following.append((score, loads, (states[i][2], combo)))
+            offer(i)
+        states = following
+    made, chain = {}, states[0][2]
+    for c in reversed(order):
+        chain, combo = chain
+        made[c] = tuple(nodes[i] for i in combo)
+    return {c: made[c] for c in order}
 
 
 def silhouette_score(vectors: DataFrame) -> DataFrame:
@@ -249,6 +367,44 @@ def silhouette_score(vectors: DataFrame) -> DataFrame:
     return per.agg((F.sum("s") / F.sum("n")).alias("score"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def silhouette_estimate(vectors: DataFrame, rows: int = SILHOUETTE_ROWS, chance: float = 0.01) -> DataFrame:
+    """``(score, bound, n, sampled)``: the mean silhouette of the given clusters from ``rows`` of the rows, drawn by a hash
+    of the id, each measured against all rows in one pass; but for ``chance``, the mean over all ``n`` rows lies within
+    ``bound`` (Serfling's inequality for draws without replacement; values lie between -1 and 1).
+
+    A task keeps the sampled rows' sums of distances by cluster, so their number goes down with the number of clusters."""
+    spark = vectors.sparkSession
+    ship(spark)
+    v = vectors.filter("vec is not null and cluster_id is not null").select("id", "cluster_id", F.col("vec").cast("array<double>").alias("vec"))
+    sizes = {r["cluster_id"]: r["n"] for r in v.groupBy("cluster_id").agg(F.count("*").alias("n")).limit(CELLS).collect()}
+    n, schema = sum(sizes.values()), "score double, bound double, n long, sampled long"
+    if not n:
+        return spark.createDataFrame([(None, None, 0, 0)], schema)
+    ks = np.array(sorted(sizes))
+    m = max(1, min(rows, n, CELLS // len(ks)))
+    drawn = v.orderBy(F.xxhash64("id"), "id").limit(m).toPandas()
+    sent = spark.sparkContext.broadcast((np.array(drawn["vec"].tolist(), float), ks))
+
+    def add(batches):
+        x, ks = sent.value
+        sums = np.zeros((len(x), len(ks)))
+        for pdf in batches:
+            for a in range(0, len(pdf), TILE):
+                part = pdf.iloc[a : a + TILE].sort_values("cluster_id")
+                lab, first = np.unique(part["cluster_id"].to_numpy(), return_index=True)
+                d = distances(x, np.array(part["vec"].tolist(), float))
+                sums[:, np.searchsorted(ks, lab)] += np.add.reduceat(d, first, axis=1)
+        at = np.nonzero(sums)
+        yield pd.DataFrame({"i": at[0], "c": at[1], "s": sums[at]})
+
+    total = v.select("cluster_id", "vec").mapInPandas(add, "i int, c int, s double").groupBy("i", "c").agg(F.sum("s").alias("s")).toPandas()
+    sums = np.zeros((m, len(ks)))
+    sums[total["i"], total["c"]] = total["s"]
+    s = silhouettes(sums, np.array([sizes[k] for k in ks.tolist()]), np.searchsorted(ks, drawn["cluster_id"].to_numpy()))
+    bound = 2 * math.sqrt(math.log(2 / chance) * (1 - (m - 1) / n) / (2 * m))
+    return spark.createDataFrame([(float(s.mean()), bound, n, m)], schema)
+
+
 def sizes_with_empty(vectors: DataFrame, k: int) -> DataFrame:
     """``(cluster_id, n)`` for the clusters 0 to ``k - 1``, those without rows included."""
     n = vectors.groupBy("cluster_id").agg(F.count("*").alias("n"))

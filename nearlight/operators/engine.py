@@ -64,11 +64,19 @@ class Engine:
         self.inserted += new.count()
         self.receive(new, "client")
 
-    def receive(self, rows: DataFrame, sender: str) -> str:
-        """Rows from a client or from a node; what was done with them."""
-        says = receive_action(F.lit(sender), F.lit(self.status), F.lit(True), F.lit(self.coordinator is not None))
-        action = self.spark.range(1).select(says).first()[0]
-        if action == "buffer":
+    def _says(self, action, sender: str, at: int | None) -> str:
+        """What a node (the coordinator, if none is named) does with what ``sender`` sends."""
+        lead = self.coordinator
+        return self.spark.range(1).select(action(F.lit(sender), F.lit(self.status), F.lit(lead is not None and at in (None, lead)), F.lit(lead is not None))).first()[0]
+
+    def receive(self, rows: DataFrame, sender: str, at: int | None = None) -> str:
+        """Rows from a client or from a node, at a node; what was done with them."""
+        action = self._says(receive_action, sender, at)
+        if action == "forward":
+            self.receive(rows, sender)
+        elif action == "drop":
+            self.dropped += rows.count()
+        elif action == "buffer":
             self.buffer = cut(store.upsert(self.buffer, rows.select(*self.buffer.columns)), "engine-buffer")
             self._cluster()
         elif action == "route":
@@ -114,9 +122,13 @@ class Engine:
         to = copies.select("id", "vec", "payload", "cluster_id", "ts", "node", F.col("node_id").alias("target_id"))
         return replication.replay_hints(self.replicas, to.withColumnRenamed("target_id", "node_id"), self.active).select(*self.replicas.columns)
 
-    def query(self, queries: DataFrame, k: int = 100, look: int = 4) -> DataFrame:
-        """``(qid, rank, id, score, vec, payload)``."""
-        if self.status == "bootstrap":
+    def query(self, queries: DataFrame, k: int = 100, look: int = 4, at: int | None = None) -> DataFrame:
+        """``(qid, rank, id, score, vec, payload)`` of a client's queries at a node."""
+        action = self._says(query_action, "client", at)
+        if action == "forward":
+            return self.query(queries, k, look)
+        if action in ("scan buffer", "nothing"):
+            queries = queries if action == "scan buffer" else queries.limit(0)
             return search.with_rows(search.topk(queries, self.buffer, k), self.buffer)
         found = search.search_routed(queries, self.topology.clusters, self.topology.placement, self.active, self.replicas, k, look)
         rows = self.replicas.groupBy("id").agg(F.max_by(F.struct("vec", "payload"), F.struct(store.version(), -F.col("node_id"))).alias("r")).select("id", "r.*")
@@ -154,6 +166,6 @@ class Engine:
         # Stored clusters decide where a copy belongs; vectors only where a row has none.
         stored = rebalance.attached(self.replicas.select("id", "cluster_id").dropDuplicates(["id"]), self.topology).select("id", F.col("destinations").alias("own"))
         calc = to.select("id", "destinations").join(stored, "id", "full").select("id", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("destinations")).alias("destinations"))
-        out, left = replication.heal(held, late, self.active, cut(calc, "engine-homes"), min(r["node_id"] for r in self.active.collect()))
+        out, left = replication.heal(held, late, self.active, cut(calc, "engine-homes"))
         self.replicas = cut(out.drop("destinations"), "engine-replicas")
         self.hints = cut(left.select(*self.hints.columns), "engine-hints")

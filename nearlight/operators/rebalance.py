@@ -6,14 +6,19 @@ a cluster that is gone. Choices that could be random are the least loaded node,
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from nearlight.operators import clustering, replication, search, store
 from nearlight.session import cut
 
+log = logging.getLogger(__name__)
+
 PARTS = 3
 CHECK_SECONDS = 86_400  # between two looks at the load
 
@@ -76,10 +81,11 @@ def newest(replicas: DataFrame, cluster: int) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(row, F.struct(store.version(), -F.col("node_id"))).alias("r")).select("id", "r.*")
 
 
-def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: int, cluster: int, rf: int, parts: int = PARTS) -> tuple[DataFrame, DataFrame] | None:
+def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: int, cluster: int, rf: int, parts: int = PARTS, home: bool = True) -> tuple[DataFrame, DataFrame] | None:
     """``(label, new_id, centroid, destinations)`` of the parts, and ``(id, label)``; None for an empty
-    cluster. Fewer rows than parts move as one. Part 0 stays at ``me``, the others go to the peers that
-    will have least, each once, then to ``me``; copies go to those that will have least of the rest."""
+    cluster. Fewer rows than parts move as one. With ``home`` part 0 stays at ``me``; else none does, but the last, if
+    ``me`` would be short of rows without it. The others go to the peers that will have least, each
+    once, then to ``me``; copies go to those that will have least of the rest."""
     rows = newest(replicas, cluster)
     n = rows.count()
     if not n:
@@ -91,12 +97,18 @@ def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: i
         labels = cut(clustering.split_clusters(rows, parts).select("id", "label"), "split-labels")
     # A row for each node: its load once the cluster's copies have gone, counted up as parts are dealt.
     copies = replicas.filter(F.col("cluster_id") == cluster).groupBy("node_id").agg(F.count("*").alias("c"))
-    load = {r["node_id"]: r["projected"] for r in replication.underloaded(replication.load(replicas, active, active), copies, -1, 1 << 30).collect()}
+    stored = replication.load(replicas, active, active)
+    load = {r["node_id"]: r["projected"] for r in replication.underloaded(stored, copies, -1, 1 << 30).collect()}
+    keep = False
+    if not home:
+        gone = stored.join(copies, "node_id", "left").select("node_id", F.when(F.col("node_id") == me, F.col("n")).otherwise(F.greatest(F.col("n") - F.coalesce("c", F.lit(0)), F.lit(0))).alias("n"))
+        keep = replication.keep_when_planned(gone, me, n, parts).first()["keep"]
     first, used, to = next_ids(topology), {me}, []
     least = lambda nodes: sorted(nodes, key=lambda x: (load[x], x))
     for i in range(parts):
         others = least(set(load) - used)
-        primary = me if i == 0 or not others else others[0]
+        stays = home and i == 0 or keep and i == parts - 1
+        primary = me if stays or not others else others[0]
         used.add(primary)
         nodes = [primary, *least(set(load) - {primary})[: rf - 1]]
         to.append((i, first + i, nodes))
@@ -108,13 +120,33 @@ def plan_split(replicas: DataFrame, topology: Topology, active: DataFrame, me: i
     return cut(plan.join(centres, "label", "left"), "split-plan"), labels
 
 
-def split(replicas: DataFrame, topology: Topology, cluster: int, plan: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, Topology]:
+def kept_home(plan: DataFrame, sizes: dict[int, int], replicas: DataFrame, active: DataFrame, cluster: int, me: int) -> DataFrame:
+    """The plan, or, if no part of it stays at ``me`` and ``me`` would be short of rows, the plan with the smallest part's
+    last destination replaced by ``me`` (a single one stays beside it)."""
+    parts = sorted((r["new_id"], r["label"], list(r["destinations"])) for r in plan.select("new_id", "label", "destinations").collect())
+    if not sum(sizes.values()) or any(me in to for _, _, to in parts):
+        return plan
+    rest = replicas.filter(F.coalesce(F.col("cluster_id") != cluster, F.lit(True)) | (F.col("node_id") != me))
+    if not replication.keep_when_distributed(replication.load(rest, active, active), me).first()["keep"]:
+        return plan
+    _, label, to = min(parts, key=lambda p: (sizes.get(p[1], 0), p[0]))
+    to = [*(to[:-1] if len(to) > 1 else to), me]
+    return plan.withColumn("destinations", F.when(F.col("label") == label, F.array(*[F.lit(x).cast("long") for x in to])).otherwise(F.col("destinations")))
+
+
+def split(
+    replicas: DataFrame, topology: Topology, cluster: int, plan: DataFrame, labels: DataFrame | None = None, me: int | None = None, active: DataFrame | None = None,
+) -> tuple[DataFrame, Topology]:
     """Replicas and topology once ``cluster`` has become the plan's. Rows without a label go to label 0; without
-    labels at all, to the nearest centroid. Every copy is written anew at its part's destinations."""
+    labels at all, to the nearest centroid. Every copy is written anew at its part's destinations; ``me``, if it is
+    named with the ``active`` nodes, keeps a part that it must not lose (:func:`kept_home`)."""
     rows = newest(replicas, cluster)
     if labels is None:
         near = search.nearest_by_euclid(rows, plan.select(F.col("label").alias("cluster_id"), "centroid"))
         labels = near.withColumnRenamed("cluster_id", "label")
+    if me is not None:
+        sizes = replication.labelled(rows, labels).groupBy("label").agg(F.count("*").alias("n")).collect()
+        plan = kept_home(plan, {r["label"]: r["n"] for r in sizes}, replicas, active, cluster, me)
     parts = replication.labelled(rows, labels).drop("cluster_id").join(plan.select("label", F.col("new_id").alias("cluster_id"), "destinations"), "label")
     moved = replication.explode_destinations(parts.drop("label")).select(*replicas.columns)
     # Rows without a cluster (null) are not the cluster's.
@@ -141,7 +173,7 @@ def rebalance(replicas: DataFrame, topology: Topology, active: DataFrame, me: in
     plan = plan_split(replicas, topology, active, node, full["cluster_id"], rf, parts)
     if plan is None:
         return replicas, topology, False
-    return *split(replicas, topology, full["cluster_id"], *plan), True
+    return *split(replicas, topology, full["cluster_id"], *plan, node, active), True
 
 
 def requeue(pending: DataFrame, topology: Topology) -> DataFrame:
@@ -156,5 +188,21 @@ def due(seconds: float, status: str) -> bool:
     return status == "clustered" and seconds >= CHECK_SECONDS
 
 
+def monitor(spark: SparkSession, look, status, checkpoint: str, seconds: float = CHECK_SECONDS) -> StreamingQuery:
+    """Call ``look()`` every ``seconds`` while ``status()`` is ``clustered``, the first time after one interval, until the
+    returned query is stopped. A look that fails is reported as the query's progress goes on."""
+    began = time.monotonic()
+
+    def tick(_, number: int) -> None:
+        if time.monotonic() - began >= seconds and status() == "clustered":
+            try:
+                look()
+            except Exception:
+                log.exception("a look at the load failed")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{max(1, round(seconds * 1000))} milliseconds").option("checkpointLocation", checkpoint).start()
+
+
 def bumped(topology: Topology, version: int) -> Topology:
     return replace(topology, version=max(topology.version, version))

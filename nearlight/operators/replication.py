@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearlight.session import cut
+
 
 def explode_destinations(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode("destinations").alias("node_id"))
@@ -233,11 +235,89 @@ def newer_topology(topologies: DataFrame) -> DataFrame:
     return topologies.agg(F.max_by(F.struct(*rest), F.struct("version", -F.col("node_id"))).alias("r")).select("r.*")
 
 
-def heal(replicas: DataFrame, hints: DataFrame, active: DataFrame, calculated: DataFrame, me: int) -> tuple[DataFrame, DataFrame]:
-    """What a node does when a partition ends: deliver hints to reachable targets, then compare with
-    each reachable peer of greater id. Returns replicas and the hints that are left."""
-    out = replay_hints(replicas, hints.drop("seq").withColumnRenamed("target_id", "node_id"), active)
+BUCKETS = 4096
+
+
+def _holders(rows: DataFrame, calculated: DataFrame | None, live: list[int]) -> DataFrame:
+    """Adds ``holders``, the reachable nodes that should hold a row: its stored ``destinations``, else those of
+    ``calculated(id, destinations)``, which may be none; every node where nothing is calculated."""
+    nodes = F.array(*[F.lit(n).cast("long") for n in live]) if live else F.array().cast("array<long>")
+    stored = F.col("destinations") if "destinations" in rows.columns else F.lit(None).cast("array<long>")
+    rows = rows.withColumn("_stored", stored)
+    if calculated is None:
+        to = F.when(F.size("_stored") > 0, F.col("_stored")).otherwise(nodes)
+    else:
+        rows = rows.join(calculated.select(F.col("id").alias("_id"), F.col("destinations").alias("_calc")), F.col("id") == F.col("_id"), "left")
+        to = F.when(F.size("_stored") > 0, F.col("_stored")).otherwise(F.coalesce("_calc", F.array().cast("array<long>")))
+    return rows.withColumn("holders", F.array_sort(F.array_intersect(to, nodes)))
+
+
+def open_ranges(keys: DataFrame) -> DataFrame:
+    """``(bucket)`` of ``keys(id, node_id, v, holders, bucket)`` in which copies differ.
+
+    A node's digest of a bucket is, for each set of holders, the number of its rows and two exclusive sums of
+    their hashes; a bucket is settled if all holders of each set have the same digest and nobody else has any."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), "id", "v")) for seed in (1, 2)]
+    each = keys.groupBy("bucket", "holders", "node_id").agg(F.count("*").alias("n"), sums[0].alias("h1"), sums[1].alias("h2"))
+    d = F.struct("n", "h1", "h2")
+    sets = each.groupBy("bucket", "holders").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"), F.min(d).alias("lo"), F.max(d).alias("hi"))
+    return sets.filter("nodes <> holders or lo <> hi").select("bucket").distinct()
+
+
+def missing_copies(replicas: DataFrame, active: DataFrame, calculated: DataFrame | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """What all pairs of reachable nodes would send each other: ``(id, source, node_id)``, a row for each copy that is
+    missing or older at a node that should hold the newest, and ``(bucket)``, the ranges of ids in which nodes differ.
+    Only the newest version of an id travels, and its destinations decide; a node that it does not name keeps what it has.
+
+    One plan, whatever the number of nodes. Ids, versions and homes are read once to digests; only ranges with
+    different digests are compared by id, still without their rows."""
+    live = sorted({r["node_id"] for r in active.collect()})
+    here = replicas.filter(F.col("node_id").isin(live) & F.col("id").isNotNull())
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    version = F.struct(F.coalesce("ts", F.lit(0.0)).alias("ts"), F.coalesce("node", F.lit(0)).cast("long").alias("node"))
+    narrow = here.select("id", "node_id", version.alias("v"), *(["destinations"] if "destinations" in replicas.columns else []))
+    keys = cut(_holders(narrow, calculated, live).select("id", "node_id", "v", "holders", bucket.alias("bucket")), "digest-keys")
+    differ = cut(open_ranges(keys), "digest-ranges")
+    left = keys.join(F.broadcast(differ), "bucket", "left_semi")  # at most so many buckets
+    newest = left.groupBy("id").agg(F.max_by(F.struct("v", "node_id", "holders"), F.struct("v", (-F.col("node_id")).alias("s"))).alias("o"))
+    best = newest.select("id", "o.v", F.col("o.node_id").alias("source"), F.explode("o.holders").alias("node_id"))
+    own = left.select(F.col("id").alias("_id"), F.col("node_id").alias("_n"), F.col("v").alias("_v"))
+    news = best.join(own, (F.col("id") == F.col("_id")) & (F.col("node_id") == F.col("_n")), "left").filter("_v is null or v > _v")
+    return news.select("id", "source", "node_id"), differ
+
+
+def reconcile_all(replicas: DataFrame, active: DataFrame, calculated: DataFrame | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Replicas once all reachable nodes have compared with each other, and ``(node_id, n)``, the copies that each
+    received. Rows of settled ranges and of other nodes are passed on as they are, without a shuffle."""
+    moves, differ = missing_copies(replicas, active, calculated, buckets)
+    moves = cut(moves, "digest-moves")
+    bucket = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"), F.lit(-1))
+    marked = replicas.withColumn("_bucket", bucket)
+    same = marked.join(F.broadcast(differ.withColumnRenamed("bucket", "_bucket")), "_bucket", "left_anti").select(*replicas.columns)
+    rest = marked.join(F.broadcast(differ.withColumnRenamed("bucket", "_bucket")), "_bucket", "left_semi").select(*replicas.columns)
+    sent = rest.join(moves.select("id", F.col("source").alias("node_id"), F.col("node_id").alias("_to")), ["id", "node_id"])
+    sent = sent.drop("node_id").withColumnRenamed("_to", "node_id").select(*replicas.columns)
+    kept = rest.join(moves.select("id", "node_id"), ["id", "node_id"], "left_anti").select(*replicas.columns)
+    return same.unionByName(kept).unionByName(sent), moves.groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+def heal(replicas: DataFrame, hints: DataFrame, active: DataFrame, calculated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What happens when a partition ends: hints are delivered to reachable targets, then all reachable
+    nodes compare. Returns replicas and the hints that are left."""
+    out = cut(replay_hints(replicas, hints.drop("seq").withColumnRenamed("target_id", "node_id"), active), "healed-hints")
     left = hints.join(active.select(F.col("node_id").alias("target_id")), "target_id", "left_anti")
-    for r in active.filter(F.col("node_id") > me).orderBy("node_id").collect():
-        out = exchange(out, me, r["node_id"], calculated)
-    return out, left
+    return reconcile_all(out, active, calculated)[0], left
+
+
+# How many ids there are, from sketches that are kept and merged instead of the ids.
+SKETCH = 14
+
+
+def id_sketches(rows: DataFrame, *by: str) -> DataFrame:
+    """``(by, sketch)``: the ids of each node, batch or whatever ``by`` names, in some 16 kB."""
+    return rows.groupBy(*by).agg(F.hll_sketch_agg("id", F.lit(SKETCH)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """``(by, ids)``: how many different ids the sketches of a group hold together, to about one percent."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("ids"))

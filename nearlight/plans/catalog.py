@@ -319,14 +319,30 @@ def hints_deliverable(spark, sf):
     return replication.deliver(_delivered(spark, sf)[1], back)[0].select("id", "node_id")
 
 
-@query("select node_id % 2 as partition, max(node_id) as coordinator from active group by 1")
+#: Every user of the events as a node, and reachable unless its last event is an error.
+_USERS = """, users as (select user_id::bigint as node_id, min(event_id) as ord, arg_max(event_type, event_id) <> 'error' as up from events group by 1),
+up as (select node_id from users where up)
+"""
+
+
+def _users(spark, sf, rows="true"):
+    last = t.read(spark, sf, "events").filter(rows).groupBy(F.col("user_id").cast("long").alias("node_id"))
+    return last.agg(F.min("event_id").alias("ord"), (F.max_by("event_type", "event_id") != "error").alias("up"))
+
+
+def _up(spark, sf, rows="true"):
+    return _users(spark, sf, rows).filter("up").select("node_id")
+
+
+@query(_USERS + "select node_id % 4 as partition, max(node_id) as coordinator from up group by 1")
 def elect_coordinator_per_partition(spark, sf):
-    return replication.elect(t.active(spark).withColumn("partition", F.col("node_id") % 2))
+    return replication.elect(_up(spark, sf).withColumn("partition", F.col("node_id") % 4))
 
 
-@query("select node_id, 'left' as change from nodes where node_id in (2, 5)")
+@query(_USERS + """, early as (select user_id::bigint as node_id from events where event_id % 3 = 0 group by 1 having arg_max(event_type, event_id) <> 'error')
+select node_id, 'joined' as change from up where node_id not in (select node_id from early) union all select node_id, 'left' from early where node_id not in (select node_id from up)""")
 def membership_change(spark, sf):
-    return replication.membership_change(t.nodes(spark), t.active(spark))
+    return replication.membership_change(_up(spark, sf, "event_id % 3 = 0"), _up(spark, sf))
 
 
 @query("select peer_id, ms, round(ms - lag(ms) over (partition by peer_id order by ms), 3) as gap from beats")
@@ -504,6 +520,14 @@ def silhouette_by_label(spark, sf):
     return _r(clustering.silhouette_score(t.vectors(spark, sf)), "score")
 
 
+@query("select count(*) as n, least(count(*), 300) as sampled, true as near from vectors")
+def silhouette_estimated(spark, sf):
+    """From 300 rows, each against all, and whether the value over all rows lies within the stated bound."""
+    v = t.vectors(spark, sf)
+    told = clustering.silhouette_estimate(v, 300).join(clustering.silhouette_score(v).select(F.col("score").alias("exact")))
+    return told.select("n", "sampled", (F.abs(F.col("score") - F.col("exact")) <= F.col("bound")).alias("near"))
+
+
 # Store
 
 
@@ -619,12 +643,12 @@ def vec_answers_json(spark, sf):
     return each.select("qid", (F.col("pos") + 1).cast("long").alias("rank"), "r.id", F.round("r.distance", 6).alias("distance"), F.size("r.vector").cast("long").alias("dim"), F.coalesce(F.length("r.payload"), F.lit(-1)).cast("long").alias("n"))
 
 
-@query("select 'h' || node_id as host, case when node_id % 2 = 0 then 7000 + node_id else 6334 end::int as port from nodes")
+@query("select node_id, 'h' || node_id as host, case when node_id % 2 = 0 then 7000 + node_id else 6334 end::int as port from (select distinct user_id::bigint as node_id from events)")
 def peer_addresses(spark, sf):
     n = F.col("node_id")
     url = F.when(n % 2 == 0, F.concat(F.lit("http://h"), n, F.lit(":"), 7000 + n)).otherwise(F.concat(F.lit("h"), n, F.lit(":x")))
     host, port = requests.server_of(F.col("u"))
-    return t.nodes(spark).select(url.alias("u")).select(host.alias("host"), port.alias("port"))
+    return _users(spark, sf).select("node_id", url.alias("u")).select("node_id", host.alias("host"), port.alias("port"))
 
 
 def _collection(spark, sf):
@@ -688,24 +712,64 @@ def collection_taken(spark, sf):
 # Replication
 
 
+_LIVE = """, live as (select * from replicas where node_id in (select node_id from {nodes})), newest as (
+  select id, any_value(cluster_id) as cluster_id, max({{'ts': ts, 'node': node}}) as v from live group by id
+), homes as (select n.id, p.node_id, n.v.ts as ts, n.v.node as node from newest n join placement p using (cluster_id) where p.node_id in (select node_id from {nodes}))
+"""
+
+
+def _reconciled(spark, sf, nodes):
+    v, r = t.vectors(spark, sf), t.replicas(spark, sf)
+    homes = t.placement(v).groupBy("cluster_id").agg(F.collect_list("node_id").alias("destinations"))
+    return replication.reconcile_all(r, nodes, v.select("id", "cluster_id").join(homes, "cluster_id").select("id", "destinations"))
+
+
+@query(_LIVE.format(nodes="nodes") + "select id, node_id, ts, node from homes")
+def reconcile_eight_nodes(spark, sf):
+    return _reconciled(spark, sf, t.nodes(spark))[0].select("id", "node_id", "ts", "node")
+
+
+@query(_LIVE.format(nodes="active") + "select id, node_id, ts, node from homes union all select id, node_id, ts, node from replicas where node_id not in (select node_id from active)")
+def reconcile_reachable(spark, sf):
+    """Copies of nodes that cannot be reached neither count nor change."""
+    return _reconciled(spark, sf, t.active(spark))[0].select("id", "node_id", "ts", "node")
+
+
+@query(_LIVE.format(nodes="nodes") + """select h.node_id, count(*) as n from homes h left join replicas r on r.id = h.id and r.node_id = h.node_id
+where r.id is null or (h.ts, h.node) > (r.ts, r.node) group by 1""")
+def reconcile_received(spark, sf):
+    return _reconciled(spark, sf, t.nodes(spark))[1]
+
+
+@query("select node_id, true as near from replicas group by 1 union all select -1, true")
+def distinct_ids_sketched(spark, sf):
+    """Sketches by node and batch, merged by node and over all, against the exact counts: within three percent."""
+    r = t.replicas(spark, sf).withColumn("batch", F.col("id") % 7)
+    kept = replication.id_sketches(r, "node_id", "batch")
+    told = replication.merged_sketches(kept, "node_id").unionByName(replication.merged_sketches(kept.withColumn("node_id", F.lit(-1).cast("long")), "node_id"))
+    exact = r.groupBy("node_id").agg(F.countDistinct("id").alias("n")).unionByName(r.agg(F.lit(-1).cast("long").alias("node_id"), F.countDistinct("id").alias("n")))
+    return told.join(exact, "node_id").select("node_id", (F.abs(F.col("ids") - F.col("n")) <= 0.03 * F.col("n")).alias("near"))
+
+
 @query("select count(distinct id) as n_unique, count(*) as n_total, count(*) = 3 * count(distinct id) as complete from replicas")
 def unique_vs_total_replicas(spark, sf):
     return replication.replication_check(t.replicas(spark, sf), 3)
 
 
-@query("select node_id from nodes where node_id not in (1, 6)")
+@query(_USERS + "select node_id from up")
 def peers_allowed(spark, sf):
-    return replication.allowed(t.nodes(spark), spark.createDataFrame([(1,), (6,)], "node_id long"))
+    users = _users(spark, sf)
+    return replication.allowed(users.select("node_id"), users.filter("not up").select("node_id"))
 
 
-@query("select (select min(node_id) from active where node_id >= 5 and node_id % 3 = 0) as coordinator, (select node_id from active where node_id = 4) as peer, 0::bigint as target")
+@query(_USERS + """select 'coordinator' as what, arg_min(node_id, ord) as node_id from users where up and node_id % 3 = 1 having count(*) > 0
+union all select 'peer', node_id from up where node_id = 4 union all select 'target', arg_min(node_id, ord) from users where node_id <> (select arg_min(node_id, ord) from users)""")
 def coordinator_lookup(spark, sf):
-    n = F.col("node_id")
-    claims = t.nodes(spark).select(n.alias("ord"), "node_id", ((n >= 5) & (n % 3 == 0)).alias("claims"))
-    found = replication.find_coordinator(claims, t.active(spark)).select(n.alias("coordinator"))
-    peer = replication.reachable_peer(t.nodes(spark), t.active(spark), 4).select(n.alias("peer"))
-    target = replication.first_other(t.nodes(spark).withColumn("ord", (n + 1) % 8), 7).select(n.alias("target"))
-    return found.join(peer).join(target)
+    users, up = _users(spark, sf).persist(), _up(spark, sf)
+    first = users.orderBy("ord").first()["node_id"]
+    found = replication.find_coordinator(users.withColumn("claims", F.col("node_id") % 3 == 1), up).select(F.lit("coordinator").alias("what"), "node_id")
+    peer = replication.reachable_peer(users, up, 4).select(F.lit("peer").alias("what"), "node_id")
+    return found.unionByName(peer).unionByName(replication.first_other(users, first).select(F.lit("target").alias("what"), "node_id"))
 
 
 @query("select cluster_id, array_to_string(list_sort(list(node_id)), ',') as destinations from placement group by 1")
@@ -772,10 +836,11 @@ def pair_exchange(spark, sf):
     return replication.exchange(r, 1, 3, v.select("id", "cluster_id").join(home, "cluster_id")).select("id", "node_id", "ts", "node")
 
 
-@query("select 3::bigint as version, 'c' as clusters")
+@query("""select version, clusters from (select user_id as node_id, count(*) filter (event_type = 'purchase') as version, count(*) || ' clusters' as clusters from events group by 1)
+order by version desc, node_id limit 1""")
 def topology_newest(spark, sf):
-    rows = [(1, 2, "a"), (4, 3, "d"), (2, 3, "c"), (3, 1, "b")]
-    return replication.newer_topology(spark.createDataFrame(rows, "node_id long, version long, clusters string"))
+    e = t.read(spark, sf, "events").groupBy(F.col("user_id").alias("node_id"))
+    return replication.newer_topology(e.agg(F.count_if(F.col("event_type") == "purchase").alias("version"), F.concat(F.count("*"), F.lit(" clusters")).alias("clusters")))
 
 
 # Search, splits and states
@@ -811,29 +876,31 @@ def split_given_labels(spark, sf):
     return rebalance.split(r, topology, 1, plan, labels)[0].select("id", "node_id", "cluster_id")
 
 
-_STATES = """from (select unnest(['bootstrap', 'clustered', 'client', 'handoff', 'reconcile', 'other']) as sender), (select unnest(['bootstrap', 'clustered']) as status),
-(select unnest([true, false]) as coordinates), (select unnest([true, false]) as knows)"""
-
+#: Every event as a message: who sends it, and the state of the node that it reaches.
+_STATES = """from (select event_id, case event_id % 7 when 0 then 'bootstrap' when 1 then 'clustered' when 2 then 'client' when 3 then 'client' when 4 then 'handoff' when 5 then 'reconcile' else 'other' end as sender,
+case when user_id % 2 = 0 then 'bootstrap' else 'clustered' end as status, event_type in ('click', 'view') as coordinates, value > 50 as knows from events)"""
 
-def _states(spark):
-    def each(values, name):
-        return spark.createDataFrame([(v,) for v in values], name)
 
-    s = each(["bootstrap", "clustered", "client", "handoff", "reconcile", "other"], "sender string").join(each(["bootstrap", "clustered"], "status string"))
-    return s.join(each([True, False], "coordinates boolean")).join(each([True, False], "knows boolean"))
+def _states(spark, sf):
+    e, i = t.read(spark, sf, "events"), F.col("event_id")
+    names = F.array(*[F.lit(x) for x in ("bootstrap", "clustered", "client", "client", "handoff", "reconcile", "other")])
+    return e.select(
+        "event_id", F.get(names, (i % 7).cast("int")).alias("sender"), F.when(F.col("user_id") % 2 == 0, "bootstrap").otherwise("clustered").alias("status"),
+        F.col("event_type").isin("click", "view").alias("coordinates"), (F.col("value") > 50).alias("knows"),
+    )
 
 
 @query(f"""select *, case sender when 'clustered' then 'save' when 'handoff' then 'save' when 'reconcile' then 'insert'
   when 'bootstrap' then if(not coordinates, 'refuse', if(status = 'bootstrap', 'buffer', 'route'))
   when 'client' then if(status = 'clustered', 'route', if(coordinates, 'buffer', if(knows, 'forward', 'drop'))) else 'refuse' end as action {_STATES}""")
 def receive_actions(spark, sf):
-    return _states(spark).withColumn("action", engine.receive_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
+    return _states(spark, sf).withColumn("action", engine.receive_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
 
 
 @query(f"""select *, case sender when 'clustered' then 'search' when 'bootstrap' then if(not coordinates, 'refuse', if(status = 'bootstrap', 'scan buffer', 'search'))
   when 'client' then if(status = 'clustered', 'search', if(coordinates, 'scan buffer', if(knows, 'forward', 'nothing'))) else 'refuse' end as action {_STATES}""")
 def query_actions(spark, sf):
-    return _states(spark).withColumn("action", engine.query_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
+    return _states(spark, sf).withColumn("action", engine.query_action(F.col("sender"), F.col("status"), F.col("coordinates"), F.col("knows")))
 
 
 @query()

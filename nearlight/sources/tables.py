@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,11 @@ def peers(spark: SparkSession, path: str, me: int | None = None) -> DataFrame:
     p = spark.read.schema("id long, url string, port long").json(path, multiLine=True)
     p = p.filter("url is not null and port is not null").dropDuplicates(["url", "port"])
     return p if me is None else p.filter(F.col("id") != me)
+
+
+def write_peers(spark: SparkSession, addresses: list[tuple[str, int | str]], path: str) -> int:
+    """Write a list that :func:`peers` reads: ``(url, port)`` in the order of their ids, which count from 0; an empty url
+    is this machine. A port that is no number is refused."""
+    listed = [{"id": i, "url": url.strip() or "127.0.0.1", "port": int(port)} for i, (url, port) in enumerate(addresses)]
+    spark.createDataFrame([(json.dumps(listed, indent=4),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return len(listed)
