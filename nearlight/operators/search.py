@@ -150,7 +150,7 @@ class Index:
     def __init__(self, clusters: DataFrame, placement: DataFrame | None = None, active: DataFrame | None = None):
         rows = [(r["cluster_id"], r["centroid"]) for r in clusters.orderBy("cluster_id").collect()]
         self.cid = np.array([r[0] for r in rows], np.int64)
-        self.mat = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        self.mat = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
         pairs = sorted({(r["node_id"], r["cluster_id"]) for r in placement.collect()}) if placement is not None else []
         self.nodes = np.array(sorted({n for n, _ in pairs}), np.int64)
         at = {c: i for i, c in enumerate(self.cid.tolist())}

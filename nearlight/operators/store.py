@@ -15,30 +15,32 @@ def version():
     return F.struct(F.coalesce(F.col("ts"), F.lit(0.0)), F.coalesce(F.col("node"), F.lit(0)))
 
 
-def _arrival(order: str | None):
-    return F.col(order).cast("long") if order else F.lit(0).cast("long")
+def _arrival(rows: DataFrame, order: str | None):
+    """What decides between equal versions: the earlier row by ``order``, else one by its content."""
+    return -F.col(order).cast("long") if order else F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """The newest row of each id. An incoming row must be strictly newer than the stored one; of equal
-    versions in a batch the first by ``order`` wins (without ``order`` any one of them)."""
+    versions in a batch the first by ``order`` wins (without ``order`` one that its content chooses)."""
     def side(rows: DataFrame, first: int, arrival) -> DataFrame:
         row = F.struct(*[F.col(f"`{c}`") for c in stored.columns]).alias("r")
-        return rows.select(row, F.col("id").alias("_id"), F.struct(version().alias("v"), F.lit(first).alias("s"), (-arrival).alias("a")).alias("_rank"))
+        return rows.select(row, F.col("id").alias("_id"), F.struct(version().alias("v"), F.lit(first).alias("s"), arrival.alias("a")).alias("_rank"))
 
-    both = side(stored, 1, F.lit(0).cast("long")).unionByName(side(incoming, 0, _arrival(order)))
+    both = side(stored, 1, F.lit(0).cast("long")).unionByName(side(incoming, 0, _arrival(incoming, order)))
     return both.groupBy("_id").agg(F.max_by("r", "_rank").alias("r")).select("r.*")
 
 
 def accepted(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """Incoming rows that are taken when they come one by one: each newer than the stored row and than
-    all rows of its id before it."""
+    all rows of its id before it. Without ``order`` the newest of each id comes first, so that it alone is taken."""
     old = stored.select("id", version().alias("_old"))
-    before = Window.partitionBy("id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = incoming.withColumn("_v", version()).withColumn("_at", _arrival(order) if order else F.monotonically_increasing_id())
+    rows = incoming.withColumn("_v", version())
+    turn = [F.col(order).cast("long")] if order else [F.desc("_v"), _arrival(incoming, None).desc()]
+    before = Window.partitionBy("id").orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_top", F.max("_v").over(before)).join(old, "id", "left")
     newer = (F.col("_old").isNull() | (F.col("_v") > F.col("_old"))) & (F.col("_top").isNull() | (F.col("_v") > F.col("_top")))
-    return rows.filter(newer).drop("_v", "_at", "_top", "_old").select(*incoming.columns)
+    return rows.filter(newer).select(*incoming.columns)
 
 
 def insert_batch(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:

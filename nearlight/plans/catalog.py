@@ -173,7 +173,7 @@ def digest_difference(spark, sf):
     return replication.digest_diff(replication.digest(r, 1), replication.digest(r, 3))
 
 
-@query("""select n.id, n.cluster_id, n.ts, n.node, p.node_id from (select id, any_value(cluster_id) as cluster_id, max((ts, node))[1] as ts, any_value(node) as node from replicas group by id) n
+@query("""select n.id, n.cluster_id, n.v.ts as ts, n.v.node as node, p.node_id from (select id, any_value(cluster_id) as cluster_id, max({'ts': ts, 'node': node}) as v from replicas group by id) n
 join placement p using (cluster_id)""")
 def reconcile_all_replicas(spark, sf):
     r = t.replicas(spark, sf)
@@ -403,10 +403,9 @@ def heartbeat_available_stream(spark, sf):
 from (select id, cluster_id, cluster_id in (3, 4) and id > 100 and id < 400 as b from vectors) where not (cluster_id = 4 and id > 100)""")
 def split_divert_stream(spark, sf):
     """Clusters 3 and 4 are split from row 100 on; 3 until row 400, 4 without end, so that its rows still wait."""
-    v = t.vectors(spark, sf).select("cluster_id", F.col("id").alias("seq"), F.lit("row").alias("kind"), "id")
-    told = spark.createDataFrame([(3, 100, "begin", None), (4, 100, "begin", None), (3, 400, "end", None)], "cluster_id long, seq long, kind string, id long")
-    rows = v.filter("seq not in (100, 400) or cluster_id not in (3, 4)").unionByName(told)
-    return ingest.divert(spark, rows).select("id", "cluster_id", "released")
+    v = t.vectors(spark, sf).select("cluster_id", (2 * F.col("id")).alias("seq"), F.lit("row").alias("kind"), "id")
+    told = spark.createDataFrame([(3, 201, "begin", None), (4, 201, "begin", None), (3, 799, "end", None)], "cluster_id long, seq long, kind string, id long")
+    return ingest.divert(spark, v.unionByName(told)).select("id", "cluster_id", "released")
 
 
 @query()
@@ -741,6 +740,12 @@ def reconcile_received(spark, sf):
     return _reconciled(spark, sf, t.nodes(spark))[1]
 
 
+@query("select count(*) as n_unique, 3 * count(*) as n_total, true as complete from vectors")
+def replication_complete(spark, sf):
+    """Once all nodes have reconciled, every id has all its copies."""
+    return replication.replication_check(_reconciled(spark, sf, t.nodes(spark))[0], 3)
+
+
 @query("select node_id, true as near from replicas group by 1 union all select -1, true")
 def distinct_ids_sketched(spark, sf):
     """Sketches by node and batch, merged by node and over all, against the exact counts: within three percent."""

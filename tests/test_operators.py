@@ -269,6 +269,41 @@ def test_engine_from_buffer_to_search_and_heal(spark):
     assert (check["n_unique"], check["n_total"], check["complete"]) == (72, 144, True) and e.hints.count() == 0
 
 
+def test_engine_forwards_refuses_and_drops(spark):
+    e, df = engine_of(spark)
+    q = spark.createDataFrame([(1, [0.0, 10.0])], "qid long, qvec array<double>")
+    rows = df.limit(5).withColumn("ord", F.col("ord") + 1000)
+    e.insert(df.filter("ord < 20"), "ord", 1.0)
+    held = e.buffer.count()
+    assert e.coordinator == 3 and e.receive(e.buffer.limit(4), "client", at=1) == "forward" and e.buffer.count() == held
+    assert e.receive(e.buffer, "bootstrap", at=1) == "refuse" == e.receive(e.buffer, "other")
+    assert e.query(q, 3, at=0).count() == 3 == e.query(q, 3).count()
+    lost = e.dropped
+    e.set_active([])  # nobody is reachable, so nobody coordinates
+    assert e.receive(e.buffer, "client", at=1) == "drop" and e.dropped == lost + held and e.query(q, 3, at=1).count() == 0
+    e.set_active([0, 1, 2, 3])
+    e.insert(rows, "ord", 2.0)
+    assert e.buffer.count() == held + 5
+
+
+def test_without_order_only_the_newest_is_taken(spark):
+    stored = spark.createDataFrame([(1, 2.0, 0)], "id long, ts double, node long")
+    new = spark.createDataFrame([(1, 1.0, 0, "a"), (1, 3.0, 0, "b"), (1, 4.0, 0, "c"), (1, 4.0, 0, "d"), (2, 1.0, 0, "e")], "id long, ts double, node long, p string")
+    first = {tuple(r) for r in store.accepted(stored, new).collect()}
+    assert len(first) == 2 and {r[:2] for r in first} == {(1, 4.0), (2, 1.0)}
+    assert {tuple(r) for r in store.accepted(stored, new.repartition(4)).collect()} == first
+    kept = store.upsert(stored.withColumn("p", F.lit("s")), new).filter("id = 1").first()
+    assert kept == store.upsert(stored.withColumn("p", F.lit("s")), new.repartition(3)).filter("id = 1").first() and kept["ts"] == 4.0
+
+
+def test_beats_are_jittered_within_their_bounds(spark):
+    s = spark.range(2000).select(health.jittered(1).alias("s")).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    assert 2.5 <= s["lo"] < 2.55 and 3.45 < s["hi"] <= 3.5
+    assert spark.range(50).select(health.jittered(1, 0.0, 0.05).alias("s")).agg(F.min("s")).first()[0] == 0.1
+    asked = spark.createDataFrame([(1, True), (2, False)], "peer_id long, answered boolean")
+    assert [tuple(r) for r in health.first_contact(asked, 5).collect()] == [(1, 5.0)]
+
+
 def test_engine_rows_wait_for_a_split(spark):
     e, df = engine_of(spark)
     e.insert(df, "ord", 1.0)
