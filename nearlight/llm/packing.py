@@ -31,7 +31,6 @@ SIZES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 256  # of a sequence, in ids
 ATTENTION = 16_384  # ids of a sequence whose attention costs as much as the rest
 TASK_ROWS = 50_000
-AHEAD = 12  # pieces of a look-ahead
 
 
 def cost(c: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
@@ -39,13 +38,11 @@ def cost(c: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
 
 
 def fill(room: int, after: list[int], at: int) -> int:
-    """What the remaining lengths put into ``room``: the longest that fits, again and again.
-    ``after`` holds all lengths in ascending order, those below ``at`` remaining."""
+    """What the remaining lengths put into ``room``: the longest that fits, until none does.
+    ``after`` holds all lengths in ascending order, those below ``at`` remaining. It looks at as many pieces as
+    the room takes, so all looks of a task together cost a small multiple of its pieces."""
     got = 0
-    for _ in range(AHEAD):
-        at = bisect_left(after, room - got + 1, 0, at) - 1
-        if at < 0:
-            break
+    while (at := bisect_left(after, room - got + 1, 0, at) - 1) >= 0:
         got += after[at]
     return got
 
