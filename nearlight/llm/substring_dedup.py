@@ -429,7 +429,8 @@ def _flags(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     if not parts.filter("hot").isEmpty():
         lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
     whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    flags = lone.unionByName(whole).groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    # Copies of a text under one key, the null key above all, bring the same runs.
+    flags = lone.unionByName(whole).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     return cut(flags, "substring-flags", keep=True)
 
 
