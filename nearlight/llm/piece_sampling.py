@@ -3,7 +3,9 @@
 A text is its dummy space and itself, cut into units before every line end and every space that does
 not follow a space; no piece reaches over such a cut (inside a piece a space mark only follows a space
 mark, which is checked, and none holds a line end), so the lattice of a text is the chain of its units'
-lattices, and sampling each unit is sampling the text. All distinct units of a
+lattices, and sampling each unit is sampling the text. For the same reason a unit of more than ``LONG``
+characters, as texts without spaces have, is cut further wherever no piece of the vocabulary that
+stands there reaches over. All distinct units of a
 batch are filtered together: for every end position, in ascending order, the log-sum over the
 pieces that end there. Every occurrence then walks back from its end, drawing pieces by their
 share of that sum. The draws come from a counter-based generator over the row's key, the unit's
@@ -15,8 +17,9 @@ The model's piece scores are ranks, not probabilities: a piece of rank ``r`` wei
 text holds it, go by the byte pieces, so that decoding gives the text back exactly.
 
 Defined cases: a null text counts as empty and has no pieces; a null key draws as key 0 and stays null; repeated rows
-get equal segmentations; an empty table gives an empty result; other columns are not read. A
-text without any space is one unit, filtered like the others.
+get equal segmentations; an empty table gives an empty result; other columns are not read. Only where
+pieces overlap without end, as in one letter repeated for megabytes, a long unit stays whole and is
+filtered byte by byte.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ from nearlight.llm.common import NO_KEY, chunks, key_column, mix, null_key, ship
 THETA = 1.0
 SEED = 20
 MARK = "▁"
+LONG = 256  # characters of a unit that is cut further
+STEP = 64  # bytes between such cuts, at least now and then
+WINDOW = 1 << 18  # bytes whose pieces are looked at together
 UNIT = re.compile("\n[^ \n]*| +[^ \n]*")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,21 +138,10 @@ class Sampler:
     def _hashes(self, prefix: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
         return (prefix[start + n] - prefix[start]) * self.inverses[start]
 
-    def lattice(self, units: list[str]):
-        """Filtered lattices of ``units``, one node for each byte position of each unit.
-
-        Returns nodes' first edge, edges' piece and start node, edges' cumulative share among
-        those that end in the same node, and the units' first and last nodes."""
-        raw = [u.encode() for u in units]
-        size = np.array([len(r) for r in raw], np.int64)
-        end = np.cumsum(size)
-        begin = end - size
-        buf = np.frombuffer(b"".join(raw), np.uint8)
+    def _found(self, buf: np.ndarray, left: np.ndarray):
+        """Where pieces stand: for each length, their places, the length and their ids. ``left``: bytes from each
+        place to the end that no piece may cross."""
         prefix, ahead = self._prefix(buf), _eight(buf)
-        left = np.repeat(end, size) - np.arange(len(buf))  # bytes to the unit's end
-        node0 = begin + np.arange(len(units))  # a unit of n bytes has n + 1 nodes
-        node = np.arange(len(buf)) + np.repeat(np.arange(len(units)), size)
-        starts, ends, ids = [], [], []
         room = np.arange(len(buf))
         for n, (hashes, piece, front, back, whole) in sorted(self.by_len.items()):
             room = room[np.flatnonzero(left[room] >= n)]
@@ -162,10 +157,49 @@ class Sampler:
                 same &= ahead[at + n - 8] == back[own]
             if n > 16:
                 same &= (buf[at[:, None] + np.arange(8, n - 8)] == whole[own, 8 : n - 8]).all(axis=1)
-            hit = hit[same]
-            starts.append(node[room[may[hit]]])
+            yield at[same], n, piece[own[same]]
+
+    def split(self, unit: str) -> list:
+        """A long unit in parts that no piece reaches over: the first like a unit, the others as 1-tuples."""
+        raw = (unit if unit[:1] == "\n" else " " + unit).encode()
+        reach, cuts = max(self.by_len), []
+        for a in range(0, len(raw), WINDOW):
+            lo = max(0, a - reach)
+            buf = np.frombuffer(raw[lo : a + WINDOW + reach], np.uint8)
+            change = np.zeros(len(buf) + 1, np.int64)
+            for at, n, _ in self._found(buf, len(buf) - np.arange(len(buf))):
+                change += np.bincount(at + 1, minlength=len(change)) - np.bincount(at + n, minlength=len(change))
+            free = np.flatnonzero((np.cumsum(change)[:-1] == 0) & (buf & 0xC0 != 0x80)) + lo
+            cuts.append(free[(free >= max(a, 1)) & (free < a + WINDOW)])
+        at = np.concatenate(cuts)
+        at = at[np.flatnonzero(np.diff(at // STEP, prepend=-1))].tolist()
+        parts = [raw[a:b].decode() for a, b in zip([0, *at], [*at, len(raw)])]
+        return [parts[0] if unit[:1] == "\n" else parts[0][1:], *[(p,) for p in parts[1:]]]
+
+    def units(self, text: str) -> list:
+        cut = units(text)
+        if len(text) > LONG and max(map(len, cut)) > LONG:
+            cut = [p for u in cut for p in (self.split(u) if len(u) > LONG else (u,))]
+        return cut
+
+    def lattice(self, units: list[str]):
+        """Filtered lattices of ``units``, one node for each byte position of each unit.
+
+        Returns nodes' first edge, edges' piece and start node, edges' cumulative share among
+        those that end in the same node, and the units' first and last nodes."""
+        raw = [u.encode() for u in units]
+        size = np.array([len(r) for r in raw], np.int64)
+        end = np.cumsum(size)
+        begin = end - size
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        left = np.repeat(end, size) - np.arange(len(buf))  # bytes to the unit's end
+        node0 = begin + np.arange(len(units))  # a unit of n bytes has n + 1 nodes
+        node = np.arange(len(buf)) + np.repeat(np.arange(len(units)), size)
+        starts, ends, ids = [], [], []
+        for at, n, found in self._found(buf, left):
+            starts.append(node[at])
             ends.append(starts[-1] + n)
-            ids.append(piece[k[hit]])
+            ids.append(found)
         bare = self._bare(units, begin)
         starts.append(node[bare])
         ends.append(starts[-1] + 1)
@@ -221,14 +255,14 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and their number for each text."""
-        cut = [units(t) for t in texts]
+        cut = [self.units(t) for t in texts]
         per = np.array([len(p) for p in cut], np.int64)
         number = Numbers()
         unit = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
         if not len(unit):
             return np.zeros(0, np.int64), per
         # A unit begins with its first space or, where the text has one, with its line end.
-        edge0, piece, start, share, node0, node1 = self.lattice([u if u[:1] == "\n" else " " + u for u in number])
+        edge0, piece, start, share, node0, node1 = self.lattice([u[0] if type(u) is tuple else u if u[:1] == "\n" else " " + u for u in number])
         key = np.repeat(keys.astype(np.int64).view(np.uint64) ^ self.seed, per)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(per) - per, per)
         who, now = np.arange(len(unit)), node1[unit]
