@@ -232,8 +232,13 @@ def test_pieces(spark, docs):
     assert a == {r["doc_id"]: r["ids_crc32"] for r in piece_sampling.digest(df.repartition(7), path).collect()}
 
 
-@pytest.mark.parametrize("text", ["   a  b", "of    it\n  \n   x ", " ", " \n" + " " * 7, "a b\nc"])
-def test_pieces_follow_the_enumerated_distribution(text):
+@pytest.mark.parametrize("text", ["   a  b", "of    it\n  \n   x ", " ", " \n" + " " * 7, "a b\nc", "#theqz(ande"])
+@pytest.mark.parametrize("long", [False, True])
+def test_pieces_follow_the_enumerated_distribution(text, long, monkeypatch):
+    if long:  # every unit is cut wherever it can be
+        monkeypatch.setattr(piece_sampling, "LONG", 0)
+        monkeypatch.setattr(piece_sampling, "STEP", 1)
+        monkeypatch.setattr(piece_sampling, "WINDOW", 3)
     import public_tokenizers as P
     import sentencepiece
 
@@ -258,6 +263,8 @@ def test_pieces_follow_the_enumerated_distribution(text):
     for way, w in want.items():
         p = w / total
         assert abs(got[way] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 5
+    if long and text[0] == "#":
+        assert sum(type(u) is tuple for u in piece_sampling.sampler(path).units(text)) > 0
     assert any(set(sp.id_to_piece(i)) == {"▁"} and len(sp.id_to_piece(i)) > 1 for way in got for i in way) == ("  " in " " + text)
 
 
@@ -461,3 +468,24 @@ def test_token_counts_with_nulls_revisions_and_nothing(spark, tmp_path):
     found = {(x["source"], x["lang"]): (x["n_docs"], x["n_tokens"]) for x in r.totals().collect()}
     assert found == {(None, None): (2, 7), (None, "en"): (1, 0), ("s", "en"): (0, 0)}
     assert r.totals(live=True).count() == 2
+
+
+def test_pieces_of_ten_megabytes_without_spaces():
+    """Linear in the text, whatever its script; and equal runs are cut alike."""
+    import time
+
+    import public_tokenizers as P
+
+    m = piece_sampling.sampler(P.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    letters = "".join(map(chr, range(0x3041, 0x3094))) + "日本語東京大学\U00020000"
+    japanese = "".join(rng.choice(letters) for _ in range(350_000)) * 10
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(300_000))
+    for text in (japanese, blob):
+        began = time.monotonic()
+        ids, counts = m.sample([text], np.array([5]))
+        same = m.decode(ids, counts) == [text.encode()]
+        assert same and time.monotonic() - began < 300
+    ids, counts = m.sample([blob[:5000], "x", blob[:5000]], np.array([5, 6, 5]))
+    a, _, b = np.split(ids, np.cumsum(counts)[:-1])
+    assert (a == b).all()
