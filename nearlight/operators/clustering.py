@@ -57,8 +57,9 @@ def learn(buffer: DataFrame) -> tuple[DataFrame, DataFrame] | None:
 def silhouette(x: np.ndarray, lab: np.ndarray) -> float:
     """Mean Euclidean silhouette."""
     ks, inv, cnt = np.unique(lab, return_inverse=True, return_counts=True)
-    d = distances(x, x)
-    return float(silhouettes(np.stack([d[:, inv == k].sum(1) for k in range(len(ks))], 1), cnt, inv).mean())
+    member = np.eye(len(ks))[inv]
+    sums = np.vstack([distances(x[a : a + TILE], x) @ member for a in range(0, len(x), TILE)])
+    return float(silhouettes(sums, cnt, inv).mean())
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -158,7 +159,14 @@ def choose_k(vectors: DataFrame, min_k: int = 5, max_k: int = 30, seed: int = 42
         models, moved = _pass(rows, models)
         if moved < 1e-4:
             break
-    score = {k: silhouette(x, distances(x, c).argmin(1)) for k, c in models.items()}
+    settled = spark.sparkContext.broadcast(models)
+
+    def judge(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                yield pd.DataFrame({"k": [k], "s": [silhouette(given.value, distances(given.value, settled.value[k]).argmin(1))]})
+
+    score = {r["k"]: r["s"] for r in tasks.mapInPandas(judge, "k long, s double").collect()}
     k = max(ks, key=lambda k: (score[k], -k))
     centres = spark.sparkContext.broadcast(models[k])
 
