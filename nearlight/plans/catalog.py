@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearlight.functions import cosine, dot, euclid, norm
+from nearlight.functions import dot, euclid, norm
 from nearlight.operators import ann, clustering, engine, health, rebalance, replication, search, store
 from nearlight.session import kept_dir
 from nearlight.sources import requests

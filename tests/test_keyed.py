@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from nearlight.functions import PHI_8
 from nearlight.session import kept_dir
