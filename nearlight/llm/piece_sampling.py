@@ -176,10 +176,14 @@ class Sampler:
         parts = [raw[a:b].decode() for a, b in zip([0, *at], [*at, len(raw)])]
         return [parts[0] if unit[:1] == "\n" else parts[0][1:], *[(p,) for p in parts[1:]]]
 
-    def units(self, text: str) -> list:
+    def units(self, text: str, known: dict) -> list:
+        """The units of a text; ``known``: those that were split before in this batch."""
         cut = units(text)
         if len(text) > LONG and max(map(len, cut)) > LONG:
-            cut = [p for u in cut for p in (self.split(u) if len(u) > LONG else (u,))]
+            for u in cut:
+                if len(u) > LONG and u not in known:
+                    known[u] = self.split(u)
+            cut = [p for u in cut for p in (known[u] if len(u) > LONG else (u,))]
         return cut
 
     def lattice(self, units: list[str]):
@@ -255,7 +259,8 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and their number for each text."""
-        cut = [self.units(t) for t in texts]
+        known: dict = {}
+        cut = [self.units(t, known) for t in texts]
         per = np.array([len(p) for p in cut], np.int64)
         number = Numbers()
         unit = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
