@@ -264,7 +264,7 @@ def test_pieces_follow_the_enumerated_distribution(text, long, monkeypatch):
         p = w / total
         assert abs(got[way] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 5
     if long and text[0] == "#":
-        assert sum(type(u) is tuple for u in piece_sampling.sampler(path).units(text)) > 0
+        assert sum(type(u) is tuple for u in piece_sampling.sampler(path).units(text, {})) > 0
     assert any(set(sp.id_to_piece(i)) == {"▁"} and len(sp.id_to_piece(i)) > 1 for way in got for i in way) == ("  " in " " + text)
 
 
