@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from nearlight.llm import ngram_join, packing, quality_rules, substring_dedup
 from nearlight.llm.common import cut, scratch
 
+#: A passage of over 50 words holds so many whole words, even where it is joined to other text at one end.
+PASSAGE_WORDS = 50
+
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy keeps."""
@@ -27,8 +30,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 400 bytes that also start elsewhere."""
-    out = substring_dedup.dedup(docs, keep_text=True).select("row.*", F.col("kept_text").alias("text"))
+    """Every document without the strings of 400 bytes, and those of 50 words, that also start elsewhere."""
+    out = substring_dedup.dedup(docs, keep_text=True, words=PASSAGE_WORDS).select("row.*", F.col("kept_text").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -24,6 +24,10 @@ Polynomial hashes are taken modulo 2**64 with random odd values for the bytes; t
 defeat any such base agree in fewer than 50 of the 64 bits at ``LENGTH`` bytes and below. What hashes
 find equal in a sort is compared byte by byte. Long texts are looked at in overlapping parts.
 
+A passage of many short words may have fewer than ``LENGTH`` bytes. With ``words``, a second pass finds
+the strings of that many words (``[^\\x20\\x09-\\x0D]+``) in the same way, a word's 64-bit cryptographic digest in
+the place of a byte; whitespace between words may differ. What either pass finds goes.
+
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` keep everything; repeated rows
 are occurrences of each other; null keys stay null; an empty table gives an empty result; other columns are not read.
 """
@@ -31,6 +35,7 @@ are occurrences of each other; null keys stay null; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -50,10 +55,22 @@ CHUNK = 1 << 19  # bytes of text whose windows are looked at together
 SORT_BYTES = 3 << 20  # text of the anchors that are sorted together
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+BYTES, WORDS = np.dtype(np.uint8), np.dtype(np.uint64)  # symbols that are compared: bytes, or digests of words
+
+
+class _Digests(dict):
+    """Digests of words, as they are asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = out = hashlib.blake2b(word, digest_size=8).digest()
+        return out
 
 
 class Hashes:
-    """Prefix polynomial hashes of a buffer; ``of(i, n)`` names the ``n`` bytes from ``i``."""
+    """Prefix polynomial hashes of a buffer; ``of(i, n)`` names the ``n`` symbols from ``i``."""
 
     BASE = np.uint64(0xC2B2AE3D27D4EB4F)
     TABLE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,7 +83,7 @@ class Hashes:
             Hashes.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE)]))
             Hashes.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inv)]))
         self.buf = buf
-        self.prefix = np.concatenate([[np.uint64(0)], np.cumsum(self.TABLE[buf] * Hashes.power[: len(buf)])])
+        self.prefix = np.concatenate([[np.uint64(0)], np.cumsum((self.TABLE[buf] if buf.dtype == BYTES else buf) * Hashes.power[: len(buf)])])
 
     def of(self, i: np.ndarray, n) -> np.ndarray:
         return (self.prefix[i + n] - self.prefix[i]) * Hashes.inverse[i]
@@ -90,12 +107,12 @@ class Hashes:
 
 
 def suffix_sort(h: Hashes, at: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes ``at`` by their first ``limit`` bytes (``limit >= 8``).
+    """Order of the suffixes ``at`` by their first ``limit`` symbols (``limit >= 8`` for bytes).
 
-    Runs are formed by the first eight bytes; each run of equal ones is merged bottom up, all
+    Runs are formed by the first eight bytes, or the first word; each run of equal ones is merged bottom up, all
     runs together, every comparison being a common extension by hashes."""
-    key = np.zeros(len(at), np.uint64)
-    for k in range(8):
+    key = h.buf[at].astype(np.uint64)
+    for k in range(1, 8 if h.buf.dtype == BYTES else 1):
         key = key << np.uint64(8) | h.buf[at + k].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -146,7 +163,7 @@ def suffix_sort(h: Hashes, at: np.ndarray, limit: int) -> np.ndarray:
 
 
 def equal_runs(h: Hashes, at: np.ndarray, limit: int) -> np.ndarray:
-    """Class of each suffix by its first ``limit`` bytes, verified byte by byte; -1 if alone."""
+    """Class of each suffix by its first ``limit`` symbols, verified one by one; -1 if alone."""
     out = np.full(len(at), -1, np.int64)
     if len(at) < 2:
         return out
@@ -165,12 +182,13 @@ def equal_runs(h: Hashes, at: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def segments(raw: list[bytes], length: int, gram: int):
+def segments(raw: list[bytes], length: int, gram: int, kind: np.dtype = BYTES):
     """Segments of all texts: text index, first and last window, anchor, hashes, and ``Hashes``."""
-    size = np.array([len(r) for r in raw], np.int64)
+    wide = kind.itemsize
+    size = np.array([len(r) // wide for r in raw], np.int64)
     end = np.cumsum(size)
     begin = end - size
-    buf = np.frombuffer(b"".join(raw), np.uint8)
+    buf = np.frombuffer(b"".join(raw), kind)
     n = len(buf)
     if n < length or not (size >= length).any():
         return None
@@ -193,33 +211,36 @@ def segments(raw: list[bytes], length: int, gram: int):
     doc = np.searchsorted(end, lo, side="right")
     ah = mix(h.of(p, gram) + _K)
     whole, digest = memoryview(buf.tobytes()), hashlib.blake2b
-    cx = b"".join([digest(whole[a:b], digest_size=8).digest() for a, b in zip(lo.tolist(), (hi + length).tolist())])
+    cx = b"".join([digest(whole[a:b], digest_size=8).digest() for a, b in zip((lo * wide).tolist(), ((hi + length) * wide).tolist())])
     cx = np.frombuffer(cx, np.uint64) ^ mix((p - lo).astype(np.uint64) + _K)
     return doc, lo, hi, p, ah, cx, begin, h
 
 
-def _texts(batches, length: int):
-    """Texts or parts of long ones with their rows: ``(frame, rows, first bytes, bytes)``. Parts
+def _texts(batches, length: int, kind: np.dtype):
+    """Texts or parts of long ones with their rows: ``(frame, rows, first symbols, symbols)``. Parts
     overlap by ``length - 1``, so that each window lies in one part."""
+    digests, wide = _Digests(), kind.itemsize
     for pdf in batches:
         rows, froms, raw = [], [], []
         for i, t in enumerate(pdf["t"]):
             x = t.encode()
-            for a in range(0, max(1, len(x) - length + 1), PART):
+            if kind == WORDS:
+                x = b"".join([digests[w] for w in x.split()])
+            for a in range(0, max(1, len(x) // wide - length + 1), PART):
                 rows.append(i)
                 froms.append(a)
-                raw.append(x[a : a + PART + length - 1])
+                raw.append(x[a * wide : (a + PART + length - 1) * wide])
         rows, froms = np.array(rows, np.int64), np.array(froms, np.int64)
-        for i, j in chunks(raw, CHUNK):
+        for i, j in chunks(raw, CHUNK * wide):
             yield pdf, rows[i:j], froms[i:j], raw[i:j]
 
 
-def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def anchored(rows: DataFrame, length: int, gram: int, kind: np.dtype) -> DataFrame:
     """``(ah, cx, k, th, lo, hi)``: a row for each segment."""
 
     def run(batches):
-        for pdf, row, at, raw in _texts(batches, length):
-            got = segments(raw, length, gram)
+        for pdf, row, at, raw in _texts(batches, length, kind):
+            got = segments(raw, length, gram, kind)
             if got is None:
                 continue
             doc, lo, hi, _, ah, cx, begin, _ = got
@@ -262,15 +283,16 @@ def bitmap(wanted: DataFrame) -> tuple[np.ndarray, int]:
     return whole.reshape(-1), shift
 
 
-def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """``wanted(ah, cx, k, th, lo, n, hot)`` with the segment's bytes, its anchor's offset and, for hot
+def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int, kind: np.dtype) -> DataFrame:
+    """``wanted(ah, cx, k, th, lo, n, hot)`` with the segment's symbols, its anchor's offset and, for hot
     anchors, two hashes of each window in place of the bytes."""
     held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    wide = kind.itemsize
 
     def run(batches):
         maybe, shift = held.value
-        for pdf, row, begins, raw in _texts(batches, length):
-            got = segments(raw, length, gram)
+        for pdf, row, begins, raw in _texts(batches, length, kind):
+            got = segments(raw, length, gram, kind)
             if got is None:
                 continue
             doc, lo, hi, p, ah, cx, begin, h = got
@@ -283,7 +305,7 @@ def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) ->
                 yield pd.DataFrame(
                     {
                         "ah": ah[t].view(np.int64), "cx": cx[t].view(np.int64), "k": k[t], "th": th[t], "lo": at[t], "off": (p - lo)[t].astype(np.int32),
-                        "body": [text[a : b + length] for a, b in zip(lo[t].tolist(), hi[t].tolist())],
+                        "body": [text[a * wide : (b + length) * wide] for a, b in zip(lo[t].tolist(), hi[t].tolist())],
                     }
                 )
 
@@ -292,18 +314,18 @@ def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) ->
     return got.join(wanted, ["ah", "cx", "k", "th", "lo"]).dropDuplicates(["ah", "cx"])
 
 
-def sort_segments(parts: list[tuple[bytes, int]], length: int) -> list[np.ndarray]:
-    """For each ``(bytes, anchor offset)``, which of its windows another part also has."""
+def sort_segments(parts: list[tuple[bytes, int]], length: int, kind: np.dtype) -> list[np.ndarray]:
+    """For each ``(symbols, anchor offset)``, which of its windows another part also has."""
     raw = [b for b, _ in parts]
-    size = np.array([len(b) for b in raw], np.int64)
+    size = np.array([len(b) // kind.itemsize for b in raw], np.int64)
     begin = np.cumsum(size) - size
     n_win = size - length + 1
     off = np.array([o for _, o in parts], np.int64)
-    h = Hashes(np.frombuffer(b"".join(raw), np.uint8))
+    h = Hashes(np.frombuffer(b"".join(raw), kind))
     part = np.repeat(np.arange(len(parts)), n_win)
     start = np.repeat(begin - (np.cumsum(n_win) - n_win), n_win) + np.arange(int(n_win.sum()))
     anchor = begin + off
-    # Windows that begin 16b to 16b + 15 bytes before the anchor share the core from 16b before it.
+    # Windows that begin 16b to 16b + 15 symbols before the anchor share the core from 16b before it.
     block = (anchor[part] - start) // CORE
     code = part * (1 << 32) + block
     first = np.flatnonzero(np.diff(code, prepend=-1))
@@ -324,13 +346,13 @@ def sort_segments(parts: list[tuple[bytes, int]], length: int) -> list[np.ndarra
     return np.split(dup, np.cumsum(n_win)[:-1])
 
 
-def sorted_windows(parts: DataFrame, length: int) -> DataFrame:
+def sorted_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
     """``(k, th, a, b)``: runs of repeated windows of the segments that are not repeated whole."""
     spark = parts.sparkSession
     small_batches(spark, 2000)
 
     def solve(held):
-        flags = sort_segments([(r[6], r[5]) for r in held], length)
+        flags = sort_segments([(r[6], r[5]) for r in held], length, kind)
         out = []
         for r, f in zip(held, flags):
             if r[4] == 1 and f.any():
@@ -354,15 +376,16 @@ def sorted_windows(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition(n, "ah").sortWithinPartitions("ah").mapInPandas(run, "k long, th long, a long, b long")
 
 
-def hot_windows(parts: DataFrame, length: int) -> DataFrame:
+def hot_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
     """As :func:`sorted_windows` for hot anchors: windows are counted by 128 bits of their digest."""
+    wide = kind.itemsize
 
     def run(batches):
         digest = hashlib.blake2b
         for pdf in batches:
             for k, th, lo, n, body in pdf[["k", "th", "lo", "n", "body"]].itertuples(index=False, name=None):
                 view = memoryview(body)
-                got = np.frombuffer(b"".join([digest(view[a : a + length], digest_size=16).digest() for a in range(len(body) - length + 1)]), np.int64)
+                got = np.frombuffer(b"".join([digest(view[a : a + length * wide], digest_size=16).digest() for a in range(0, len(body) - length * wide + 1, wide)]), np.int64)
                 yield pd.DataFrame({"w1": got[0::2], "w2": got[1::2], "k": k, "th": th, "a": lo + np.arange(len(got) // 2), "n": n})
 
     each = hold(parts.mapInPandas(run, "w1 long, w2 long, k long, th long, a long, n long"))
@@ -370,9 +393,9 @@ def hot_windows(parts: DataFrame, length: int) -> DataFrame:
     return each.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k", "th", "a", F.col("a").alias("b"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: int = HOT, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: int = HOT, key: str = "doc_id", text: str = "text", keep_text: bool = False, words: int | None = None) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256, spans)`` for every row, ``spans`` the removed
-    ``[from, to)`` as longs in bytes; with ``keep_text`` also ``row`` (the document's other columns, after one named ``_``) and ``kept_text``.
+    ``[from, to)`` as longs in bytes; with ``words``, strings of that many words go too; with ``keep_text`` also ``row`` (the document's other columns, after one named ``_``) and ``kept_text``.
 
     ``kept_text`` is the remaining bytes with what is no longer whole UTF-8 left out."""
     spark = docs.sparkSession
@@ -382,7 +405,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     rows = docs.select(key_column(key).alias("k"), whole).withColumn("th", F.xxhash64("t"))
     with scratch(spark):
         small_batches(spark)
-        flags = _flags(rows, length, gram, hot)
+        flags = _flags(rows, length, gram, hot, BYTES)
+    if words:
+        with scratch(spark):
+            small_batches(spark)
+            flags = flags.join(_flags(rows, words, max(4, words // 4), hot, WORDS).withColumnRenamed("runs", "word_runs"), ["k", "th"], "full")
     others = [F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]]
     carry = [F.struct(*others).alias("row")] if keep_text else []
     whole_rows = docs.select(key_column(key).alias("k"), whole, *carry).withColumn("th", F.xxhash64("t"))
@@ -390,9 +417,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     def apply(batches):
         for pdf in batches:
             out = []
-            for t, runs in zip(pdf["t"], pdf["runs"]):
+            word_runs = pdf["word_runs"] if words else [None] * len(pdf)
+            for t, runs, by_word in zip(pdf["t"], pdf["runs"], word_runs):
                 raw = t.encode()
-                spans = merge(runs, length)
+                spans = merge(covered(runs, length) + worded(raw, by_word, words))
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])
@@ -413,35 +441,45 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
     return null_key(out, key)
 
 
-def _flags(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+def _flags(rows: DataFrame, length: int, gram: int, hot: int, kind: np.dtype) -> DataFrame:
     """``(k, th, runs)``: runs of repeated windows of each text that has any."""
     spark = rows.sparkSession
-    found = hold(anchored(rows, length, gram))
+    found = hold(anchored(rows, length, gram, kind))
     rep = F.min(F.struct("k", "th", "lo")).alias("rep")
     kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
     many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
     known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
     wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
     small_batches(spark)
-    parts = cut(cut_segments(rows, wanted, length, gram), "substring-segments")
+    parts = cut(cut_segments(rows, wanted, length, gram, kind), "substring-segments")
     let_go(spark)
-    lone = sorted_windows(parts.filter("not hot"), length)
+    lone = sorted_windows(parts.filter("not hot"), length, kind)
     if not parts.filter("hot").isEmpty():
-        lone = lone.unionByName(hot_windows(parts.filter("hot"), length))
+        lone = lone.unionByName(hot_windows(parts.filter("hot"), length, kind))
     whole = found.join(known.filter("n > 1").select("ah", "cx"), ["ah", "cx"], "left_semi").select("k", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
     # Copies of a text under one key, the null key above all, bring the same runs.
     flags = lone.unionByName(whole).distinct().groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     return cut(flags, "substring-flags", keep=True)
 
 
-def merge(runs, length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by windows that start in ``runs`` of ``(a, b)``."""
-    if runs is None or len(runs) == 0:
+def covered(runs, length: int) -> list[tuple[int, int]]:
+    """Ranges covered by windows of ``length`` that start in ``runs`` of ``(a, b)``."""
+    return [] if runs is None else [(r["a"], r["b"] + length) for r in runs]
+
+
+def worded(raw: bytes, runs, length: int | None) -> list[tuple[int, int]]:
+    """As :func:`covered` for windows of words, in bytes of ``raw``."""
+    if runs is None or not len(runs):
         return []
-    pairs = sorted((r["a"], r["b"] + length) for r in runs)
-    out = [list(pairs[0])]
-    for a, b in pairs[1:]:
-        if a <= out[-1][1]:
+    at = [m.span() for m in _WORD.finditer(raw)]
+    return [(at[a][0], at[b - 1][1]) for a, b in covered(runs, length)]
+
+
+def merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal byte runs covered by ``pairs`` of ``(from, to)``."""
+    out: list[list[int]] = []
+    for a, b in sorted(pairs):
+        if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])

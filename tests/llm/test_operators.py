@@ -89,6 +89,51 @@ def test_substrings(spark, docs, hot):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_removed(docs, 40)
 
 
+def brute_passages(docs, n_bytes, n_words):
+    """``brute_removed`` where strings of ``n_words`` words go as well."""
+    raw = [(t or "").encode() for _, t in docs]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raw]
+    by_byte = Counter(r[k : k + n_bytes] for r in raw for k in range(len(r) - n_bytes + 1))
+    windows = [[tuple(r[x:y] for x, y in w[k : k + n_words]) for k in range(len(w) - n_words + 1)] for r, w in zip(raw, at)]
+    by_word = Counter(x for w in windows for x in w)
+    out = Counter()
+    for (i, _), r, w, own in zip(docs, raw, at, windows):
+        cov = np.zeros(len(r), bool)
+        for k in range(len(r) - n_bytes + 1):
+            if by_byte[r[k : k + n_bytes]] > 1:
+                cov[k : k + n_bytes] = True
+        for k, x in enumerate(own):
+            if by_word[x] > 1:
+                cov[w[k][0] : w[k + n_words - 1][1]] = True
+        left = bytes(np.frombuffer(r, np.uint8)[~cov])
+        out[(i, len(r), len(r) - len(left), hashlib.sha256(left).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot,part", [(20_000, 1 << 22), (2, 1 << 22), (20_000, 30)])
+def test_substrings_by_words(spark, docs, hot, part, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART", part)
+    docs = [*docs, (2000, "one  " + "b a " * 30 + "two"), (2001, "three b\n" + "a b " * 29 + "four")]
+    got = substring_dedup.dedup(frame(spark, docs), length=60, hot=hot, words=20).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_passages(docs, 60, 20)
+
+
+def test_pipeline_removes_passages_of_short_words(spark):
+    """Passages of over 50 words go, though they have fewer than 400 bytes; shorter ones stay."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    passage, short, clean = words(51), words(40), words(300)
+    assert len(passage) < 400
+    texts = [f"{words(90)} {passage} {words(90)}", f"{words(90)} {passage.replace(' ', '  ', 3)} {words(90)}", f"{words(70)} {short} {words(70)}", f"{words(70)} {short} {words(70)}", clean]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in cp.stage_substrings(spark, rows, "").collect()}
+    assert [" ".join(out[i]["text"].split()) for i in (0, 1)] == [" ".join(t.replace(p, "").split()) for t, p in zip(texts, (passage, passage.replace(" ", "  ", 3)))]
+    assert [out[i]["text"] for i in (2, 3, 4)] == texts[2:]
+    assert all(r["n_chars"] == len(r["text"]) for r in out.values())
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(2)
     buf = rng.integers(97, 99, 600).astype(np.uint8)
