@@ -63,12 +63,27 @@ class Best:
             order = np.argsort(ids[a : a + step], kind="stable")
             rid = ids[a : a + step][order]
             s = scores(self.q, x[a : a + step][order], self.metric, self.k)
+            if self.score.shape[1] == self.k > 0:
+                self._enter(s, rid)
+                continue
             top = np.argsort(-s, axis=1, kind="stable")[:, : self.k]
             score = np.hstack([self.score, np.take_along_axis(s, top, 1)])
             rid = np.hstack([self.id, rid[top]])
             keep = np.lexsort((rid, -score), axis=1)[:, : self.k]
             self.score, self.id = np.take_along_axis(score, keep, 1), np.take_along_axis(rid, keep, 1)
 
+    def _enter(self, s: np.ndarray, rid: np.ndarray) -> None:
+        """Only what reaches a query's last place is ranked."""
+        i, j = np.nonzero(s >= self.score[:, -1:])
+        if not len(i):
+            return
+        some = np.unique(i)
+        of = np.concatenate([np.repeat(some, self.k), i])
+        score, ids = np.concatenate([self.score[some].ravel(), s[i, j]]), np.concatenate([self.id[some].ravel(), rid[j]])
+        order = np.lexsort((ids, -score, of))
+        keep = order[np.searchsorted(of[order], some)[:, None] + np.arange(self.k)]
+        self.score[some], self.id[some] = score[keep], ids[keep]
+
     def rows(self) -> pd.DataFrame:
         m = self.id.shape[1]
         out = pd.DataFrame({"qid": np.repeat(self.qid, m), "id": self.id.ravel(), "score": self.score.ravel()})
@@ -283,8 +298,10 @@ def search_routed(queries: DataFrame, clusters: DataFrame, placement: DataFrame,
         found = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
     top = _ranked(found, k, "cosine")
     if top_look > 1:
-        held = best.join(replicas.select("node_id", "id").distinct(), "node_id").groupBy("qid", "id").agg(F.min_by("node_id", "look").alias("node_id"))
-        return top.join(held, ["qid", "id"]).select("qid", "node_id", "id", "score", "rank")
+        # Only hits ask which nodes hold them: by node alone, every query would meet all rows of its nodes.
+        held = top.join(replicas.select("node_id", "id"), "id").join(best, ["qid", "node_id"])
+        held = held.groupBy("qid", "id", "score", "rank").agg(F.min_by("node_id", "look").alias("node_id"))
+        return held.select("qid", "node_id", "id", "score", "rank")
     return top.join(best, "qid").select("qid", "node_id", "id", "score", "rank")
 
 

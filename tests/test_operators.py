@@ -24,6 +24,43 @@ def test_topk_ties_nulls_and_dimensions(spark):
     assert search.topk(q.limit(0), v, 2).count() == 0
 
 
+def test_best_rows_in_many_batches():
+    """What is added later enters by score, then by id, as if all were ranked at once."""
+    rng = np.random.default_rng(5)
+    q, x, ids = rng.integers(-2, 3, (7, 3)).astype(float), rng.integers(-2, 3, (900, 3)).astype(float), rng.permutation(900)
+    for metric in ("cosine", "dot", "euclid"):
+        best = search.Best(np.arange(7), q, 5, metric)
+        for a in range(0, 900, 37):
+            best.add(ids[a : a + 37], x[a : a + 37])
+        s = search.scores(q, x, metric)
+        for i, order in enumerate(np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]):
+            assert best.id[i].tolist() == ids[order].tolist() and np.allclose(best.score[i], s[i, order])
+
+
+def test_routed_search_joins_hits_only(spark):
+    """No join of queries with all rows of their nodes, of which there are a hundred times as many as hits."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist(), i % 4) for i in range(2000)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, cluster_id long")
+    clusters = spark.createDataFrame([(c, rng.normal(size=4).tolist()) for c in range(4)], "cluster_id long, centroid array<double>")
+    placement = spark.createDataFrame([(c, (c + d) % 4) for c in range(4) for d in (0, 1)], "cluster_id long, node_id long")
+    q = v.filter("id < 100").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = search.search_routed(q, clusters, placement, placement.select("node_id").distinct(), v.join(placement, "cluster_id"), 10, 3)
+        assert len(out.collect()) == 1000
+        nodes, joined = [out._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            n = nodes.pop()
+            nodes += [n.children().apply(i) for i in range(n.children().size())]
+            if "Join" in n.nodeName():
+                joined.append(n.metrics().get("numOutputRows").get().value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert joined and max(joined) <= 4000  # as many as there are copies of rows; it had been 300 000
+
+
 def test_upsert_needs_a_newer_version(spark):
     schema = "id long, vec array<double>, payload string, cluster_id long, ts double, node long"
     old = spark.createDataFrame([(1, None, "a", 0, 1.0, 0), (2, None, "b", 0, 1.0, 1)], schema)
