@@ -13,10 +13,11 @@ cross-entropy a symbol. A part of the training documents is kept out of the coun
 right answers by the margin between the two best languages, made monotonous, is the score, and the
 cross-entropies of right answers bound what may be accepted (``accepted``).
 
-The model travels to every task, so its size has a bound that does not depend on the corpus:
-a gram is kept if its share of its language's and order's counts is at least ``L / GRAMS`` with ``L`` languages, hence
-no order holds more than ``GRAMS`` grams over all languages (``MAX_LANGS`` languages at most; more raise). What
-is left out is not lost: its probability goes to the shorter order. All counts are of all documents.
+The model travels to every task while no order holds more than ``GRAMS`` grams over all languages (``MAX_LANGS``
+languages at most; more raise). Beyond that :func:`spread` judges by the same, whole model: probabilities are
+joined order by order for all grams that the texts hold, the frequent ones travel, and the rest are joined
+with the texts that hold them. No gram is left out of a judgement. :func:`train` alone, which returns models that must
+travel, leaves rare grams of an order that is too large to the shorter order. All counts are of all documents.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; so is every text where no
 language was learned. Documents without id, language or text teach nothing; ``held_out`` is false for
@@ -191,10 +192,8 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> list[Model]:
-    """Models of ``docs(lang, text)``, by name."""
-    spark = docs.sparkSession
-    all_ = counts(docs)
+def known_counts(all_: DataFrame) -> tuple[list[str], dict]:
+    """Languages of :func:`counts`, and by language and order its totals, with the ``discount``."""
     facts = all_.groupBy("lang", "k").agg(
         F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("grams")
     )
@@ -202,10 +201,28 @@ def train(docs: DataFrame) -> list[Model]:
     langs = sorted({r["lang"] for r in facts})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: name a column that holds languages")
+    for r in facts:
+        r["discount"] = r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] and r["twice"] else 0.5
+    return langs, {(r["lang"], r["k"]): r for r in facts}
+
+
+def large(by: dict) -> set[int]:
+    """Orders with more grams than may travel."""
+    return {k for k in range(1, ORDER + 1) if sum(r["grams"] for (_, o), r in by.items() if o == k) > GRAMS}
+
+
+def train(docs: DataFrame) -> list[Model]:
+    """Models of ``docs(lang, text)``, by name; orders that are :func:`large` without their rare grams."""
+    all_ = counts(docs)
+    return models_of(all_, *known_counts(all_))
+
+
+def models_of(all_: DataFrame, langs: list[str], by: dict) -> list[Model]:
     if not langs:
         return []
-    by = {(r["lang"], r["k"]): r for r in facts}
-    least = spark.createDataFrame([(r["lang"], r["k"], -(-r["total"] * len(langs) // GRAMS)) for r in facts], "of string, o int, least long")
+    spark, cut_at = all_.sparkSession, large(by)
+    least = [(lang, k, -(-r["total"] * len(langs) // GRAMS) if k in cut_at else 1) for (lang, k), r in by.items()]
+    least = spark.createDataFrame(least, "of string, o int, least long")
     kept = all_.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (F.col("k") == F.col("o"))).filter("n >= least")
     contexts = all_.groupBy("lang", "k", F.shiftrightunsigned("gram", 16).alias("c")).agg(F.sum("n").alias("total"))
     contexts = contexts.select(F.col("lang").alias("c_lang"), F.col("k").alias("c_k"), "c", "total")
@@ -216,9 +233,8 @@ def train(docs: DataFrame) -> list[Model]:
     for lang in langs:
         arrays, discount = [], []
         for k in range(1, ORDER + 1):
-            r, g = by[lang, k], groups.get((lang, k))
-            once, twice = r["once"], r["twice"]
-            discount.append(once / (once + 2 * twice) if once and twice else 0.5)
+            g = groups.get((lang, k))
+            discount.append(by[lang, k]["discount"])
             if g is None:
                 arrays.append((np.zeros(0, np.uint64), np.zeros(0), np.ones(0)))
             else:
@@ -274,6 +290,79 @@ def judged(docs: DataFrame, models: list[Model], text: str = "text") -> DataFram
     return docs.mapInArrow(run, f"{kinds}, {_JUDGED}")
 
 
+def _suffix(k: int) -> F.Column:
+    return F.col("gram") if k == ORDER else F.col("gram").bitwiseAND((1 << 16 * k) - 1)
+
+
+def log_probabilities(seen: DataFrame, all_: DataFrame, langs: list[str], by: dict) -> DataFrame:
+    """``(gram, l, lp)``: the logarithm of each gram of ``seen(gram)`` in the language numbered ``l``, order by order."""
+    spark, below = seen.sparkSession, None
+    for k in range(1, ORDER + 1):
+        named = [(lang, i, by[lang, k]["discount"], 1 / (by[lang, 1]["grams"] + 1)) for i, lang in enumerate(langs)]
+        named = F.broadcast(spark.createDataFrame(named, "lang string, l int, d double, floor double"))
+        own = all_.filter(F.col("k") == k).join(named, "lang").select("l", "gram", "n", (F.col("n") - F.col("d")).alias("held"), F.shiftrightunsigned("gram", 16).alias("c"))
+        contexts = own.groupBy("l", "c").agg(F.sum("n").alias("total"), F.sum("held").alias("all_held"))
+        need = seen.select(_suffix(k).alias("gram")).distinct().crossJoin(named.select("l", "floor"))
+        need = need.withColumn("c", F.shiftrightunsigned("gram", 16)).join(own.select("l", "gram", "held"), ["l", "gram"], "left")
+        need = need.join(F.broadcast(contexts) if k == 1 else contexts, ["l", "c"], "left")  # the empty context alone
+        lower = F.col("floor")
+        if below is not None:
+            need = need.withColumn("s", F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1)).join(below.select("l", F.col("gram").alias("s"), "p"), ["l", "s"])
+            lower = F.col("p")
+        p = F.coalesce(F.col("held") / F.col("total"), F.lit(0.0)) + F.coalesce(1 - F.col("all_held") / F.col("total"), F.lit(1.0)) * lower
+        below = cut(need.select("l", "gram", p.alias("p")), "language-probabilities")
+    return below.select("gram", "l", F.log("p").alias("lp"))
+
+
+def spread(docs: DataFrame, all_: DataFrame, langs: list[str], by: dict, text: str = "text") -> DataFrame:
+    """As :func:`judged` by the whole model of ``all_``, whatever its size."""
+    spark, m = docs.sparkSession, len(langs)
+    seen = docs.filter(F.col(text).isNotNull()).select(F.lit("").alias("lang"), F.col(text).alias("text"))
+    seen = cut(seen.mapInArrow(_count, "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "language-seen")
+    least = -(-(seen.agg(F.sum("n")).first()[0] or 0) * m // GRAMS)
+    found = log_probabilities(seen.select("gram"), all_, langs, by).join(seen, "gram")
+    top = found.filter(F.col("n") >= least).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("l", "lp"))).alias("lp"))
+    top = top.select("gram", "lp.lp").toArrow()  # at most GRAMS logarithms
+    keys, values = top.column("gram").to_numpy().view(np.uint64), np.array(top.column("lp").to_pylist(), float).reshape(-1, m)
+    order = np.argsort(keys)
+    given = spark.sparkContext.broadcast((keys[order], values[order]))
+    carried = [c for c in docs.columns if c != text]
+    rest_type = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))
+    fields = [pa.field("n_symbols", pa.int64()), pa.field("has", pa.bool_()), pa.field("sums", pa.list_(pa.float64())), pa.field("rest", rest_type)]
+
+    def run(batches):
+        keys, values = given.value
+        for batch in batches:
+            rows = batch.num_rows
+            n, has, sums = np.zeros(rows, np.int64), np.zeros(rows, bool), np.zeros((rows, m))
+            rest: list[list] = [[] for _ in range(rows)]
+            for held in batches_of(batch.column(text).to_pylist()):
+                for i, grams, letter in held:
+                    n[i] += len(grams)
+                    has[i] = letter
+                    own, times = np.unique(grams, return_counts=True)
+                    at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                    hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                    sums[i] += times[hit] @ values[at[hit]]
+                    rest[i] += [{"gram": g, "n": t} for g, t in zip(own[~hit].view(np.int64).tolist(), times[~hit].tolist())]
+            own = [pa.array(n), pa.array(has), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(rest, rest_type)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *own], schema=pa.schema([*(batch.schema.field(c) for c in carried), *fields]))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
+    parts = docs.mapInArrow(run, f"{kinds}, n_symbols long, has boolean, sums array<double>, rest array<struct<gram:bigint,n:bigint>>")
+    parts = cut(parts.withColumn("row", F.monotonically_increasing_id()), "language-parts")
+    # Rare grams: no text or gram brings many rows.
+    more = parts.select("row", F.explode("rest").alias("r")).select("row", "r.gram", F.col("r.n").alias("times"))
+    more = more.join(found.filter(F.col("n") < least).select("gram", "l", "lp"), "gram").groupBy("row", "l").agg(F.sum(F.col("times") * F.col("lp")).alias("s"))
+    more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("l", "s"))).alias("more"))
+    sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", F.col("more.s"), lambda a, b: a + b))
+    out = parts.drop("rest").join(more, "row", "left").withColumn("h", F.transform(sums, lambda x: -x / F.greatest(F.col("n_symbols"), F.lit(1))))
+    first, names = F.array_min("h"), F.array(*[F.lit(x) for x in langs])
+    second = F.element_at(F.array_sort("h"), 2) if m > 1 else first
+    judge = [F.element_at(names, F.array_position("h", first).cast("int")), first, (second - first) * F.col("n_symbols")]
+    return out.select(*carried, *[F.when(F.col("has"), x).alias(a) for x, a in zip(judge, ("lang_pred", "entropy", "margin"))], "n_symbols")
+
+
 def margin_bin(margin: str) -> F.Column:
     return F.least(F.greatest(F.ceil(F.log(STEP, F.greatest(F.col(margin), F.lit(1e-9)))), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
@@ -313,8 +402,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         taught = known.filter(F.col("part") > CALIBRATION).unionByName(
             known.filter(F.col("part") == CALIBRATION).join(F.broadcast(thin.limit(MAX_LANGS + 1)), F.col("lang") == F.col("thin"), "left_semi")
         )
-        models = train(taught.select("lang", "text"))
-        out = cut(judged(rows, models), "languages", keep=True)
+        all_ = counts(taught.select("lang", "text"))
+        langs, by = known_counts(all_)
+        out = spread(rows, all_, langs, by) if large(by) else judged(rows, models_of(all_, langs, by))
+        out = cut(out, "languages", keep=True)
         score, limit = calibration(out.filter((F.col("part") == CALIBRATION) & F.col("lang").isNotNull() & F.col("lang_pred").isNotNull()))
     scores = F.array(*[F.lit(s) for s in score])
     sure = F.when(F.col("lang_pred").isNull(), 0.0).otherwise(F.element_at(scores, margin_bin("margin") + 1))

@@ -366,6 +366,43 @@ def test_floor_keeps_models_small_and_whole(spark, monkeypatch):
             assert m.probabilities(np.uint64(ctx << 16) | words).min() > 0
 
 
+@pytest.mark.parametrize("grams", [1 << 19, 80, 4])
+def test_no_gram_is_left_out(spark, monkeypatch, grams):
+    """However few grams may travel, texts are judged by all."""
+    from nearlight.llm.common import scratch
+
+    monkeypatch.setattr(language_id, "GRAMS", grams)
+    rows, texts = texts_of(120), defaultdict(list)
+    for _, t, lang, _ in rows:
+        texts[lang].append(t)
+    p, _ = brute_models(texts)
+    odd = [None, "", "12 #!", "a", "the xyzzy zzz", rows[0][1] * 3, "\U00020000"]
+    docs = spark.createDataFrame([(None if i < 2 else i, t) for i, t in enumerate([t for _, t, _, _ in rows[:40]] + odd)], "k long, text string").repartition(3)
+    with scratch(spark):
+        all_ = language_id.counts(spark.createDataFrame([(lang, t) for _, t, lang, _ in rows], "lang string, text string"))
+        langs, by = language_id.known_counts(all_)
+        assert bool(language_id.large(by)) == (grams < 100)
+        got = (language_id.spread(docs, all_, langs, by) if language_id.large(by) else language_id.judged(docs, language_id.models_of(all_, langs, by))).collect()
+        other = language_id.judged(docs, language_id.train(spark.createDataFrame([(lang, t) for _, t, lang, _ in rows], "lang string, text string"))).collect()
+    want = Counter()
+    for i, t in enumerate([t for _, t, _, _ in rows[:40]] + odd):
+        s, has = language_id.symbols(t or "")
+        s = [0, 0, 0, *s.tolist()]
+        h = sorted((-sum(math.log(p(lang, s[k - 3 : k + 1])) for k in range(3, len(s))) / max(1, len(s) - 3), lang) for lang in sorted(texts))
+        want[(None if i < 2 else i, h[0][1], f"{h[0][0]:.8f}", f"{(h[1][0] - h[0][0]) * (len(s) - 3):.6f}") if has else (None if i < 2 else i, None, "", "")] += 1
+    told = lambda x: Counter((r["k"], r["lang_pred"], "" if r["entropy"] is None else f"{r['entropy']:.8f}", "" if r["margin"] is None else f"{r['margin']:.6f}") for r in x)
+    assert told(got) == want
+    assert (told(other) == want) == (grams > 100)  # what travelled alone had left grams out
+
+
+def test_identify_beyond_what_travels(spark, monkeypatch):
+    docs = frame(spark, [*texts_of(150), (1000, None, "en", None), (1001, "12", None, None), (None, "the of and", None, None)])
+    whole = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    monkeypatch.setattr(language_id, "GRAMS", 60)
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert got.keys() == whole.keys() and all(got[i]["lang_pred"] == whole[i]["lang_pred"] and abs(got[i]["score"] - whole[i]["score"]) < 0.1 for i in got)
+
+
 def test_identify(spark):
     rows = texts_of(400)
     odd = [(1000, None, "en", None), (1001, "", "en", None), (1002, "12 #! 3", None, None), (None, rows[0][1], rows[0][2], None), (1003, rows[1][1], None, None), (1004, "\U00020000", "日", None), (1005, "the of " * 700_000, None, None)]
