@@ -25,8 +25,9 @@ defeat any such base agree in fewer than 50 of the 64 bits at ``LENGTH`` bytes a
 find equal in a sort is compared byte by byte. Long texts are looked at in overlapping parts.
 
 A passage of many short words may have fewer than ``LENGTH`` bytes. With ``words``, a second pass finds
-the strings of that many words (``[^\\x20\\x09-\\x0D]+``) in the same way, a word's 64-bit cryptographic digest in
-the place of a byte; whitespace between words may differ. What either pass finds goes.
+the strings of that many words (``[^\\x20\\x09-\\x0D]+``) in the same way, with 64 bits for a word in the place of a
+byte: up to eight bytes as they are, shuffled, else a cryptographic digest; whitespace between words may differ. What either pass finds goes; with ``aside`` the
+columns follow the strings of ``LENGTH`` bytes alone, and what both passes leave stands beside them.
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` keep everything; repeated rows
 are occurrences of each other; null keys stay null; an empty table gives an empty result; other columns are not read.
@@ -35,7 +36,6 @@ are occurrences of each other; null keys stay null; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -49,14 +49,16 @@ GRAM = 100
 CORE = 16  # windows whose common bytes are sorted first
 HOT = 4_000
 BITMAP = (16, 28)  # least and most bits of the prefilter's names; it has 16 for each wanted segment
+PASSAGE_WORDS = 50  # as many whole words as a passage of over 50 has, even where it is joined to other text at one end
 PART = 1 << 22  # bytes of a text that are looked at together
 LIVE = 1 << 18  # windows that are sorted together
 CHUNK = 1 << 19  # bytes of text whose windows are looked at together
 SORT_BYTES = 3 << 20  # text of the anchors that are sorted together
 
 _K = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BYTES, WORDS = np.dtype(np.uint8), np.dtype(np.uint64)  # symbols that are compared: bytes, or digests of words
+_SPACE = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first bytes of a word
+BYTES, WORDS = np.dtype(np.uint8), np.dtype(np.uint64)  # symbols that are compared: bytes, or words by 64 bits
 
 
 class _Digests(dict):
@@ -69,6 +71,29 @@ class _Digests(dict):
         return out
 
 
+def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``raw`` start and end."""
+    edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(raw, np.uint8)], prepend=True, append=True))
+    return edge[0::2], edge[1::2]
+
+
+def word_symbols(texts: list[bytes], digests: _Digests) -> list[bytes]:
+    """64 bits for each word of each text. Words of up to eight bytes never share them: shorter ones
+    have their number in the last byte, and those of eight whose own last byte looks so are digested as longer ones are."""
+    raw = b" ".join(texts) + b" " * 8
+    lo, hi = word_edges(raw)
+    size = hi - lo
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    last = np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)
+    code = eight[lo] & _LEFT[np.minimum(size, 8)] | last
+    out = mix(code + _K)
+    t = np.flatnonzero((size > 8) | (size == 8) & (code >> np.uint64(56) < 8))
+    out[t] = np.frombuffer(b"".join([digests[raw[a:b]] for a, b in zip(lo[t].tolist(), hi[t].tolist())]), np.uint64)
+    ends = np.searchsorted(lo, np.cumsum([len(x) + 1 for x in texts])).tolist()
+    whole = memoryview(out.tobytes())
+    return [bytes(whole[8 * a : 8 * b]) for a, b in zip([0, *ends], ends)]
+
+
 class Hashes:
     """Prefix polynomial hashes of a buffer; ``of(i, n)`` names the ``n`` symbols from ``i``."""
 
@@ -222,10 +247,10 @@ def _texts(batches, length: int, kind: np.dtype):
     digests, wide = _Digests(), kind.itemsize
     for pdf in batches:
         rows, froms, raw = [], [], []
-        for i, t in enumerate(pdf["t"]):
-            x = t.encode()
-            if kind == WORDS:
-                x = b"".join([digests[w] for w in x.split()])
+        texts = [t.encode() for t in pdf["t"]]
+        if kind == WORDS:
+            texts = [x for i, j in chunks(texts, 1 << 20) for x in word_symbols(texts[i:j], digests)]
+        for i, x in enumerate(texts):
             for a in range(0, max(1, len(x) // wide - length + 1), PART):
                 rows.append(i)
                 froms.append(a)
@@ -258,15 +283,21 @@ def _name(ah, cx, k, th, lo) -> np.ndarray:
     return out
 
 
+def _row_name(k, th) -> np.ndarray:
+    none = np.zeros(len(k), np.int64)
+    return _name(none, none, k, th, none)
+
+
 def bitmap(wanted: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the names of ``wanted`` rows, 32 MB at most, and what names are shifted by."""
+    """Bits of the names of ``wanted`` segments and of their texts, 32 MB at most, and what names are shifted by."""
     width = min(max(BITMAP[0], (16 * wanted.count()).bit_length()), BITMAP[1])
     shift = np.uint64(64 - width)
 
     def bits(batches):
         got = np.zeros(1 << width, bool)
         for pdf in batches:
-            got[(_name(pdf["ah"], pdf["cx"], pdf["k"], pdf["th"], pdf["lo"]) >> shift).astype(np.int64)] = True
+            for name in (_name(pdf["ah"], pdf["cx"], pdf["k"], pdf["th"], pdf["lo"]), _row_name(pdf["k"], pdf["th"])):
+                got[(name >> shift).astype(np.int64)] = True
         packed = np.packbits(got).reshape(64, -1)
         some = [p for p in range(64) if packed[p].any()]
         yield pd.DataFrame({"part": some, "bits": [blob(packed[p]) for p in some]})
@@ -291,15 +322,20 @@ def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int, kin
 
     def run(batches):
         maybe, shift = held.value
-        for pdf, row, begins, raw in _texts(batches, length, kind):
+
+        def has(name):
+            name = (name >> shift).astype(np.int64)
+            return maybe[name >> 3] >> (7 - (name & 7)).astype(np.uint8) & 1
+
+        some = (pdf[has(_row_name(pdf["k"], pdf["th"])) == 1] for pdf in batches)
+        for pdf, row, begins, raw in _texts(some, length, kind):
             got = segments(raw, length, gram, kind)
             if got is None:
                 continue
             doc, lo, hi, p, ah, cx, begin, h = got
             k, th = pdf["k"].to_numpy()[row[doc]], pdf["th"].to_numpy()[row[doc]]
             at = lo - begin[doc] + begins[doc]
-            name = (_name(ah.view(np.int64), cx.view(np.int64), k, th, at) >> shift).astype(np.int64)
-            t = np.flatnonzero(maybe[name >> 3] >> (7 - (name & 7)).astype(np.uint8) & 1)
+            t = np.flatnonzero(has(_name(ah.view(np.int64), cx.view(np.int64), k, th, at)))
             if len(t):
                 text = h.buf.tobytes()
                 yield pd.DataFrame(
@@ -393,11 +429,15 @@ def hot_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
     return each.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k", "th", "a", F.col("a").alias("b"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: int = HOT, key: str = "doc_id", text: str = "text", keep_text: bool = False, words: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: int = HOT, key: str = "doc_id", text: str = "text", keep_text: bool = False, words: int | None = None, aside: bool = False) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256, spans)`` for every row, ``spans`` the removed
     ``[from, to)`` as longs in bytes; with ``words``, strings of that many words go too; with ``keep_text`` also ``row`` (the document's other columns, after one named ``_``) and ``kept_text``.
 
-    ``kept_text`` is the remaining bytes with what is no longer whole UTF-8 left out."""
+    ``kept_text`` is the remaining bytes with what is no longer whole UTF-8 left out. With ``aside``, strings of
+    ``words`` words don't go from these columns; ``n_passage_bytes``, the bytes that only they cover, and ``text``, what
+    is left without either kind, follow."""
+    if aside and not words:
+        raise ValueError("aside needs words")
     spark = docs.sparkSession
     gram = gram or max(8, length // 4)
     small_batches(spark)
@@ -420,23 +460,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
             word_runs = pdf["word_runs"] if words else [None] * len(pdf)
             for t, runs, by_word in zip(pdf["t"], pdf["runs"], word_runs):
                 raw = t.encode()
-                spans = merge(covered(runs, length) + worded(raw, by_word, words))
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                out.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [x for s in spans for x in s], left))
-            cols = list(zip(*out)) if out else [[]] * 6
+                by_byte, by_word = covered(runs, length), worded(raw, by_word, words)
+                spans = merge(by_byte if aside else by_byte + by_word)
+                left = without(raw, spans)
+                rest = without(raw, merge(by_byte + by_word)) if aside and by_word else left
+                out.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [x for s in spans for x in s], left, rest))
+            cols = list(zip(*out)) if out else [[]] * 7
             frame = {"k": pdf["k"], "n_bytes": cols[0], "n_removed": cols[1], "n_spans": cols[2], "kept_sha256": cols[3], "spans": list(cols[4])}
             if keep_text:
                 frame |= {"row": pdf["row"], "kept_text": [x.decode("utf-8", "ignore") for x in cols[5]]}
+            if aside:
+                frame |= {"n_passage_bytes": [len(a) - len(b) for a, b in zip(cols[5], cols[6])], "text": [x.decode("utf-8", "ignore") for x in cols[6]]}
             yield pd.DataFrame(frame)
 
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
     if keep_text:
         schema += f", row {whole_rows.schema['row'].dataType.simpleString()}, kept_text string"
+    if aside:
+        schema += ", n_passage_bytes long, text string"
     out = whole_rows.join(flags, ["k", "th"], "left").drop("th").mapInPandas(apply, schema)
     return null_key(out, key)
 
@@ -445,10 +486,10 @@ def _flags(rows: DataFrame, length: int, gram: int, hot: int, kind: np.dtype) ->
     """``(k, th, runs)``: runs of repeated windows of each text that has any."""
     spark = rows.sparkSession
     found = hold(anchored(rows, length, gram, kind))
-    rep = F.min(F.struct("k", "th", "lo")).alias("rep")
-    kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), rep)
+    # Any segment of a kind stands for it: first values are of one row, and need no sort as a least struct does.
+    kinds = found.groupBy("ah", "cx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "th", "lo")])
     many = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "rep.*"), "substring-kinds")
+    known = cut(kinds.join(many, "ah").select("ah", "cx", "n", "kinds", "k", "th", "lo"), "substring-kinds")
     wanted = known.filter("kinds > 1").select("ah", "cx", "k", "th", "lo", "n", (F.col("kinds") > hot).alias("hot"))
     small_batches(spark)
     parts = cut(cut_segments(rows, wanted, length, gram, kind), "substring-segments")
@@ -471,8 +512,8 @@ def worded(raw: bytes, runs, length: int | None) -> list[tuple[int, int]]:
     """As :func:`covered` for windows of words, in bytes of ``raw``."""
     if runs is None or not len(runs):
         return []
-    at = [m.span() for m in _WORD.finditer(raw)]
-    return [(at[a][0], at[b - 1][1]) for a, b in covered(runs, length)]
+    lo, hi = word_edges(raw)
+    return [(int(lo[a]), int(hi[b - 1])) for a, b in covered(runs, length)]
 
 
 def merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -486,7 +527,18 @@ def merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in out]
 
 
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What ``spans``, in order and apart, leave of ``raw``."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    kept.append(raw[at:])
+    return b"".join(kept)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: every document's repeated strings removed."""
+    """op2: every document's repeated strings removed; beside them, passages that repeat and have fewer bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = dedup(docs, words=PASSAGE_WORDS, aside=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "text")

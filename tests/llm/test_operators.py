@@ -491,6 +491,44 @@ def test_pipeline(spark, docs):
     assert sorted(r["doc_id"] for r in near.select("doc_id").collect()) == sorted(want)
 
 
+def test_word_symbols():
+    """Equal words have equal symbols, and no others, whatever bytes they hold and wherever they stand."""
+    texts = [b"", b" \n", b"a", b"a\x00 a\x00\x00 a", "abcdefg abcdefgh abcdefghi \u00a0 日本 é\u2028é".encode(), b"\x0babcdefgh\x0c\tA\x1c a ", b"abcdefg" * 9, b"abcdefg\x07 abcdefg\x00 abcdefg\x0e abcdefg\xff abcdef\x06 abcdef", bytes(range(1, 256))]
+    got = substring_dedup.word_symbols(texts, substring_dedup._Digests())
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert [len(x) // 8 for x in got] == [len(w) for w in words]
+    pairs = {(w, x[8 * i : 8 * i + 8]) for ws, x in zip(words, got) for i, w in enumerate(ws)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({x for _, x in pairs})
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_substrings_with_passages_aside(spark, docs, hot):
+    """The columns are as without passages, and the text as if both kinds had gone."""
+    got = substring_dedup.dedup(frame(spark, docs), length=60, hot=hot, words=20, aside=True).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_removed(docs, 60)
+    both = substring_dedup.dedup(frame(spark, docs), length=60, hot=hot, words=20, keep_text=True).collect()
+    assert Counter((r["doc_id"], r["n_removed"] + r["n_passage_bytes"], r["text"]) for r in got) == Counter((r["doc_id"], r["n_removed"], r["kept_text"]) for r in both)
+    assert any(r["n_passage_bytes"] for r in got)
+
+
+def test_op2_shows_passages_of_short_words(spark, tmp_path):
+    """The contract's columns keep to 400 bytes; passages of over 50 words with fewer bytes are gone from the text."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    passage, twice, clean = words(51), words(300), words(300)
+    assert len(passage) < 400 < len(twice)
+    texts = [f"{words(90)} {passage} {words(90)}", f"{words(90)} {passage}", f"{words(70)} {twice}", f"{twice} {words(70)}", clean, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in substring_dedup.query(spark, f"{tmp_path}").collect()}
+    rows = list(enumerate(texts))
+    assert Counter((i, *[out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]) for i in out) == brute_removed(rows, 400)
+    assert [out[i]["n_removed"] for i in (0, 1, 4)] == [0, 0, 0] and out[2]["n_removed"] >= len(twice)
+    assert [out[i]["text"].split() for i in (0, 1)] == [t.replace(passage, "").split() for t in texts[:2]]
+    assert twice not in out[2]["text"] and twice not in out[3]["text"]
+    assert [out[i]["text"] for i in (4, 5, 6)] == [clean, "", ""]
+    assert [out[i]["n_passage_bytes"] for i in (0, 1, 4, 5, 6)] == [len(passage), len(passage), 0, 0, 0]
+
+
 def test_substrings_of_repeated_rows_without_key(spark):
     """Copies of one text under the null key bring their runs once, however many they are."""
     rng = random.Random(7)
