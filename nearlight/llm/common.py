@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -58,6 +59,27 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set(session.SETTINGS["bytes"], str(8 << 20))
 
 
+def trim() -> None:
+    """Hand memory that is free back to the system, as far as the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, for a task's end in mind: Spark keeps Python workers for later tasks, and the
+    heap of one that has freed large arrays stays as large as its largest task made it."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
 def key_column(key: str):
     """The key as a long that is never null: pandas would turn a column with nulls to doubles, which
     hold no long above 2**53. :func:`null_key` undoes it."""

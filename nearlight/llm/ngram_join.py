@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, hold, key_column, let_go, mix, null_key, scratch, small_batches, spanning
+from nearlight.llm.common import NO_KEY, blob, chunks, components, cut, hold, key_column, lean, let_go, mix, null_key, scratch, small_batches, spanning
 
 N = 5
 SKETCH = 1 << 20  # counters
@@ -45,6 +45,7 @@ LONG = 1 << 22  # bytes of a text that are hashed together
 CHUNK = 1 << 19  # bytes of text that are hashed together
 HUB_ROUNDS = 1  # further leaders before what is left is compared by families
 TILE_SHINGLES = 500_000  # of the sets that a task holds on either side
+ENTRIES = 500_000  # of the index that a task packs at a time
 BLOCK = 512  # members of a leader that one task compares
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +191,7 @@ def survey(rows: DataFrame, n: int) -> DataFrame:
         parts = np.minimum(total, 65535).astype(np.uint16).reshape(64, -1)
         yield pd.DataFrame({"k": 0, "n": 0, "sig": 0, "part": range(64), "counts": [blob(p) for p in parts]})
 
-    return rows.mapInPandas(run, "k long, n long, sig long, part int, counts binary")
+    return rows.mapInPandas(lean(run), "k long, n long, sig long, part int, counts binary")
 
 
 def merged_sketch(found: DataFrame) -> np.ndarray:
@@ -251,13 +252,13 @@ def index_entries(rows: DataFrame, n: int, percent: int, classes: np.ndarray, n_
                 sigs.append(sig)
                 sizes.append(len(x))
                 many += p
-            if many > 2_000_000:
+            if many > ENTRIES:
                 yield flush()
                 hs, sigs, sizes, many = [], [], [], 0
         if hs:
             yield flush()
 
-    return rows.mapInPandas(run, "b int, body binary")
+    return rows.mapInPandas(lean(run), "b int, body binary")
 
 
 def blocks(entries: DataFrame, percent: int) -> DataFrame:
@@ -364,7 +365,7 @@ def needed_sets(rows: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["sig", "body"])
 
-    return rows.mapInPandas(run, "sig long, body binary").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body"))
+    return rows.mapInPandas(lean(run), "sig long, body binary").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body"))
 
 
 def sets_of(rows: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
@@ -407,7 +408,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "c", "inter", "na", "nc"])
 
     both = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return both.mapInPandas(run, "a long, c long, inter long, na long, nc long")
+    return both.mapInPandas(lean(run), "a long, c long, inter long, na long, nc long")
 
 
 def linked(percent: int) -> str:
@@ -576,7 +577,7 @@ def family_links(families: DataFrame, facts: DataFrame, sets: DataFrame, percent
             if len(some):
                 yield pd.DataFrame({"u": c[lab[some]], "v": c[some]})
 
-    return r.repartition("f", "t1", "t2").sortWithinPartitions("f", "t1", "t2", "at").mapInPandas(run, "u long, v long")
+    return r.repartition("f", "t1", "t2").sortWithinPartitions("f", "t1", "t2", "at").mapInPandas(lean(run), "u long, v long")
 
 
 def grown(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import chunks, cut, key_column, null_key, scratch, ship, small_batches
+from nearlight.llm.common import chunks, cut, key_column, lean, null_key, scratch, ship, small_batches
 from nearlight.llm.wavelet import encoder
 
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -86,10 +86,10 @@ def lengths(docs: DataFrame, tokenizer: str | None, key: str = "doc_id", text: s
         enc = encoder(tokenizer)
         for pdf in batches:
             texts = pdf["t"].tolist()
-            for i, j in chunks(texts, 1 << 20):
+            for i, j in chunks(texts, 1 << 19):
                 yield pd.DataFrame({"k": pdf["k"].iloc[i:j], "n": enc.encode(texts[i:j])[1]})
 
-    return docs.select(key_column(key).alias("k"), t.alias("t")).mapInPandas(run, "k long, n long")
+    return docs.select(key_column(key).alias("k"), t.alias("t")).mapInPandas(lean(run), "k long, n long")
 
 
 def pieces(found: DataFrame, top: int) -> DataFrame:
@@ -122,7 +122,7 @@ def pack_documents(
         yield pd.DataFrame({"k": pdf["k"], "piece": pdf["piece"], "length": pdf["length"], "bin": [f"{part}-{x}" for x in bins], "capacity": [caps[x] for x in bins], "off": offs})
 
     # Rows go round the tasks: no key, the null one neither, makes a task larger than the others.
-    return null_key(parts.repartition(n_tasks).mapInPandas(run, "k long, piece long, length long, bin string, capacity long, off long"), key)
+    return null_key(parts.repartition(n_tasks).mapInPandas(lean(run), "k long, piece long, length long, bin string, capacity long, off long"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearlight.llm.common import blob, chunks, cut, hold, key_column, let_go, mix, null_key, scratch, small_batches
+from nearlight.llm.common import blob, chunks, cut, hold, key_column, lean, let_go, mix, null_key, scratch, small_batches
 
 LENGTH = 400
 GRAM = 100
@@ -53,7 +53,7 @@ PASSAGE_WORDS = 50  # as many whole words as a passage of over 50 has, even wher
 PART = 1 << 22  # bytes of a text that are looked at together
 LIVE = 1 << 18  # windows that are sorted together
 CHUNK = 1 << 19  # bytes of text whose windows are looked at together
-SORT_BYTES = 3 << 20  # text of the anchors that are sorted together
+SORT_BYTES = 1 << 20  # text of the anchors that are sorted together, some 95 bytes of memory for each
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [*b" \t\n\v\f\r"])
@@ -110,6 +110,12 @@ class Hashes:
         self.buf = buf
         self.prefix = np.concatenate([[np.uint64(0)], np.cumsum((self.TABLE[buf] if buf.dtype == BYTES else buf) * Hashes.power[: len(buf)])])
 
+    @classmethod
+    def forget(cls, most: int) -> None:
+        """Keep the powers for buffers of up to ``most`` symbols only."""
+        if len(cls.power) > most + 1:
+            cls.power, cls.inverse = cls.power[: most + 1].copy(), cls.inverse[: most + 1].copy()
+
     def of(self, i: np.ndarray, n) -> np.ndarray:
         return (self.prefix[i + n] - self.prefix[i]) * Hashes.inverse[i]
 
@@ -272,7 +278,7 @@ def anchored(rows: DataFrame, length: int, gram: int, kind: np.dtype) -> DataFra
             k, th, base = pdf["k"].to_numpy()[row[doc]], pdf["th"].to_numpy()[row[doc]], at[doc] - begin[doc]
             yield pd.DataFrame({"ah": ah.view(np.int64), "cx": cx.view(np.int64), "k": k, "th": th, "lo": lo + base, "hi": hi + base})
 
-    return rows.mapInPandas(run, "ah long, cx long, k long, th long, lo long, hi long")
+    return rows.mapInPandas(lean(run), "ah long, cx long, k long, th long, lo long, hi long")
 
 
 def _name(ah, cx, k, th, lo) -> np.ndarray:
@@ -345,7 +351,7 @@ def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int, kin
                     }
                 )
 
-    got = rows.mapInPandas(run, "ah long, cx long, k long, th long, lo long, off int, body binary")
+    got = rows.mapInPandas(lean(run), "ah long, cx long, k long, th long, lo long, off int, body binary")
     # Rows that are repeated as a whole give the same segment twice.
     return got.join(wanted, ["ah", "cx", "k", "th", "lo"]).dropDuplicates(["ah", "cx"])
 
@@ -382,10 +388,8 @@ def sort_segments(parts: list[tuple[bytes, int]], length: int, kind: np.dtype) -
     return np.split(dup, np.cumsum(n_win)[:-1])
 
 
-def sorted_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
-    """``(k, th, a, b)``: runs of repeated windows of the segments that are not repeated whole."""
-    spark = parts.sparkSession
-    small_batches(spark, 2000)
+def solved(batches, length: int, kind: np.dtype):
+    """Frames ``(k, th, a, b)`` of the segments of ``batches``, whose anchors come one after another."""
 
     def solve(held):
         flags = sort_segments([(r[6], r[5]) for r in held], length, kind)
@@ -396,20 +400,29 @@ def sorted_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
                 out += [(r[1], r[2], r[3] + a, r[3] + b - 1) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
         return pd.DataFrame(out, columns=["k", "th", "a", "b"])
 
+    held, size = [], 0
+    for pdf in batches:
+        for r in pdf[["ah", "k", "th", "lo", "n", "off", "body"]].itertuples(index=False, name=None):
+            if size >= SORT_BYTES and held[-1][0] != r[0]:
+                yield solve(held)
+                held, size = [], 0
+            held.append(r)
+            size += len(r[6])
+    if held:
+        yield solve(held)
+    Hashes.forget(CHUNK)
+
+
+def sorted_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
+    """``(k, th, a, b)``: runs of repeated windows of the segments that are not repeated whole."""
+    spark = parts.sparkSession
+    small_batches(spark, 2000)
+
     def run(batches):
-        held, size = [], 0
-        for pdf in batches:
-            for r in pdf[["ah", "k", "th", "lo", "n", "off", "body"]].itertuples(index=False, name=None):
-                if size >= SORT_BYTES and held[-1][0] != r[0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[6])
-        if held:
-            yield solve(held)
+        return solved(batches, length, kind)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # dealt evenly: a byte costs more here than in a shuffle
-    return parts.repartition(n, "ah").sortWithinPartitions("ah").mapInPandas(run, "k long, th long, a long, b long")
+    return parts.repartition(n, "ah").sortWithinPartitions("ah").mapInPandas(lean(run), "k long, th long, a long, b long")
 
 
 def hot_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
@@ -424,7 +437,7 @@ def hot_windows(parts: DataFrame, length: int, kind: np.dtype) -> DataFrame:
                 got = np.frombuffer(b"".join([digest(view[a : a + length * wide], digest_size=16).digest() for a in range(0, len(body) - length * wide + 1, wide)]), np.int64)
                 yield pd.DataFrame({"w1": got[0::2], "w2": got[1::2], "k": k, "th": th, "a": lo + np.arange(len(got) // 2), "n": n})
 
-    each = hold(parts.mapInPandas(run, "w1 long, w2 long, k long, th long, a long, n long"))
+    each = hold(parts.mapInPandas(lean(run), "w1 long, w2 long, k long, th long, a long, n long"))
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1")
     return each.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k", "th", "a", F.col("a").alias("b"))
 
@@ -478,7 +491,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, hot: i
         schema += f", row {whole_rows.schema['row'].dataType.simpleString()}, kept_text string"
     if aside:
         schema += ", n_passage_bytes long, text string"
-    out = whole_rows.join(flags, ["k", "th"], "left").drop("th").mapInPandas(apply, schema)
+    out = whole_rows.join(flags, ["k", "th"], "left").drop("th").mapInPandas(lean(apply), schema)
     return null_key(out, key)
 
 

@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from nearlight.llm import embedding_dedup, ngram_join, packing, piece_sampling, quality_rules, sharding, substring_dedup, token_counts, url_filter, wavelet
-from nearlight.llm.common import components
+from nearlight.llm.common import components, lean, trim
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, t string, row string, m int"
 
@@ -572,3 +575,45 @@ def test_pieces_of_ten_megabytes_without_spaces():
     ids, counts = m.sample([blob[:5000], "x", blob[:5000]], np.array([5, 6, 5]))
     a, _, b = np.split(ids, np.cumsum(counts)[:-1])
     assert (a == b).all()
+
+
+def segments_of_anchors(n_anchors, size=1000):
+    """Frames of two segments an anchor that differ in their first byte, in the anchors' order."""
+    rng = np.random.default_rng(5)
+    for a in range(n_anchors):
+        body = rng.integers(97, 123, size, dtype=np.uint8).tobytes()
+        rows = [(a, 2 * a + i, 0, 0, 1, size // 2, first + body[1:]) for i, first in enumerate((b"A", b"B"))]
+        yield pd.DataFrame(rows, columns=["ah", "k", "th", "lo", "n", "off", "body"])
+
+
+def test_substring_sorts_hold_little_memory():
+    Hashes, before = substring_dedup.Hashes, (substring_dedup.Hashes.power, substring_dedup.Hashes.inverse)
+    Hashes.power = Hashes.inverse = np.ones(0, np.uint64)
+    tracemalloc.start()
+    try:
+        got = pd.concat(substring_dedup.solved(segments_of_anchors(1800), 400, substring_dedup.BYTES))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[["a", "b"]].values.tolist() == [[1, 600]] * 3600
+    assert peak < 140 << 20, peak
+    assert len(Hashes.power) <= substring_dedup.CHUNK + 1
+    Hashes.power, Hashes.inverse = before
+
+
+def test_lean_tasks_leave_no_freed_memory():
+    held = []
+
+    def run(batches):
+        for n in batches:
+            many = [bytes(1000) for _ in range(n)]
+            held.append(many[-1])  # what stays at the heap's end keeps all before it
+            yield len(many)
+
+    def used():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    trim()
+    before = used()
+    assert list(lean(run)(iter([150_000]))) == [150_000]
+    assert used() < before + 40
